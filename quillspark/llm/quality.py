@@ -118,7 +118,8 @@ def verdicts(measured: DataFrame, limits: DataFrame) -> DataFrame:
             beyond = beyond | (value < F.col(f"__f.{k}_lo"))
     same = F.col("__m.lang").eqNullSafe(F.col("__f.lang")) & F.col("__m.source").eqNullSafe(F.col("__f.source"))
     joined = measured.alias("__m").join(limits.alias("__f"), same, "left")
-    return joined.select("__m.*", base_failed().alias("base_failed"), (~base_failed() & ~F.coalesce(beyond, F.lit(False))).alias("kept"))
+    # one condition over both sides: parts over measures alone would be pushed below them, and compute them again
+    return joined.select("__m.*", base_failed().alias("base_failed"), (~F.coalesce(base_failed() | beyond, base_failed())).alias("kept"))
 
 
 def judge(docs: DataFrame, min_group: int = 100, spread: int = 3) -> DataFrame:

@@ -90,14 +90,14 @@ goal as (
 items as (
   select doc_id, source, size, count(*) as n, size * count(*) as tokens,
     cast(cast('0x' || substr(md5('0:' || coalesce(cast(doc_id as varchar), '-')), 1, 12) as bigint) as double) / 281474976710656.0 as place
-  from measured where size > 0 group by all),
+  from measured where size > 0 group by doc_id, source, size),
 lined as (select *, sum(tokens) over (partition by source order by place, doc_id, size rows unbounded preceding) as upto from items),
 copies as (
   select i.*, c.copy, cast(c.copy * g.source_size + i.upto as double) / g.target as finish
   from lined i join goal g on i.source is not distinct from g.source cross join (select unnest(range(3)) as copy) c),
 line as (select *, sum(tokens) over (order by finish / (1 + finish), place, doc_id, size, source nulls first, copy rows unbounded preceding) as g from copies),
 plan as (
-  select doc_id, source, size, sum(greatest(0, least(tokens, (select cast(round(sum(target)) as bigint) from goal) - g + tokens))) // max(n) as taken from line group by all)
+  select doc_id, source, size, sum(greatest(0, least(tokens, (select cast(round(sum(target)) as bigint) from goal) - g + tokens))) // max(n) as taken from line group by doc_id, source, size)
 select m.doc_id, m.size, g.source_size, g.target, cast(coalesce(p.taken, 0) as bigint) as taken
 from measured m join goal g on m.source is not distinct from g.source
 left join plan p on m.doc_id is not distinct from p.doc_id and m.source is not distinct from p.source and m.size = p.size
@@ -107,7 +107,7 @@ OP2 = """
 with p as (select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as h from pages),
 g as (select h, max(page_id) as largest from p group by h)
 select page_id, cast(strlen(html) as bigint) as payload_bytes,
-  array_to_string(list_transform(range(0, 32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast(1 + ((cast('0x' || substr(h, cast(1 + 5 * (i // 4) as int), 5) as bigint) >> cast(15 - 5 * (i % 4) as int)) & 31) as int), 1)), '') as payload_digest,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast(1 + ((cast('0x' || substr(h, cast(1 + 5 * (i // 4) as int), 5) as bigint) >> cast(15 - 5 * (i % 4) as int)) & 31) as int), 1)), '') as payload_digest,
   case when page_id is not distinct from largest then 'response' else 'revisit' end as record_type,
   case when page_id is distinct from largest then largest end as refers_to
 from p join g using (h)
@@ -115,10 +115,10 @@ from p join g using (h)
 
 OP3 = """
 with v as (
-  select vec_id, list_transform(embedding, x -> cast(floor(1024 * cast(x as double)) as bigint)) as v from embeddings
-  where vec_id is not null and embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+  select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as v from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 s as (
-  select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(range(1, len(q.v) + 1), i -> q.v[i] * c.v[i])) as bigint) as score
+  select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) as bigint) as score
   from v q join v c on q.vec_id % 100 = 0 and c.vec_id <> q.vec_id),
 r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank from s)
 select query_id, rank, vec_id, score from r where rank <= 10
