@@ -7,8 +7,8 @@ left best-fit, longest first, group by group of equal sequences. Pieces are then
 looked up in the patterns' slots: at most room / 2 groups hold at most 63 different lengths each, so the slots have a
 fixed bound and are broadcast.
 
-Words are tokenised once per task: the vocabulary's pieces never cross white space, so the ids of a text are those of
-its words in turn. (Texts with a special token's string are tokenised whole.)
+Parts of texts are tokenised once per task and remembered: ids never cross the pre-tokenizer's parts, so a text's ids
+are those of its parts in turn. (Texts with a special token's string, or not in normal form, are tokenised whole.)
 
 Defined results: a null or empty text is a piece with the end id alone; repeated rows are packed each; an empty table
 gives an empty one; other columns are ignored.
@@ -16,48 +16,110 @@ gives an empty one; other columns are ignored.
 
 from __future__ import annotations
 
+import json
+import os
+import re
+import struct
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm._common import cut, prefix_sums
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Words whose ids a task keeps; the memory is emptied beyond that.
-MEMORY = 400_000
+#: Words and parts whose ids a task keeps; the memory is emptied beyond that.
+MEMORY = 500_000
+#: Python splits at these, the vocabulary doesn't.
+_ODD = re.compile(r"[\x1c-\x1f]")
+
+
+class Memory(dict):
+    """What `make` gives for a key, remembered for up to MEMORY keys; then it starts anew."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key):
+        if len(self) >= MEMORY:
+            self.clear()
+        self[key] = out = self.make(key)
+        return out
+
+
+def _latin(text: str) -> bool:
+    try:
+        return text.isascii() or bool(text.encode("latin-1"))
+    except UnicodeEncodeError:
+        return False
+
+
+@lru_cache(1)
+def encoder(vocabulary: str):
+    """A function that gives a text's ids as little-endian unsigned 32-bit numbers.
+
+    A text is split at white space, and words as the vocabulary's pre-tokenizer splits them; each different word and
+    part is tokenised once and remembered. Words in Latin-1 are put in lower case, as the vocabulary does in any case
+    (there the two agree, and texts are in normal form), and their parts go to its model directly.
+    """
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(vocabulary)
+    model = tokenizer.model
+    special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    parts_of = regex.compile(json.loads(tokenizer.to_str())["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
+    lower = tokenizer.normalizer.normalize_str("AÉ") == "aé"
+    # bytes as a byte-level model writes them: itself if it can be seen, else the next free code point from 256
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letters = {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in seen)}
+
+    def whole(text: str) -> bytes:
+        return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def part(x: str) -> bytes:
+        ids = [t.id for t in model.tokenize(x if x.isascii() else x.encode().decode("latin-1").translate(letters))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    parts = Memory(part)
+
+    def word(x: str) -> bytes:
+        return b"".join(map(parts.__getitem__, parts_of(x.lower()))) if lower and _latin(x) else whole(x)
+
+    words = Memory(word)
+
+    def encode(text: str) -> bytes:
+        if any(x in text for x in special) or _ODD.search(text):
+            return whole(text)
+        if _latin(text):
+            text = text.lower()
+        elif not unicodedata.is_normalized("NFC", text):  # words might join
+            return whole(text)
+        return b"".join(map(words.__getitem__, text.split()))
+
+    return encode
 
 
 def _pieces(vocabulary: str, room: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(vocabulary)
-        special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-        known: dict[str, bytes] = {}
-
-        def encode(text: str) -> bytes:
-            if any(x in text for x in special):
-                return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-            parts = text.split()
-            new = [w for w in dict.fromkeys(parts) if w not in known]
-            if new:
-                if len(known) > MEMORY:
-                    known.clear()
-                    new = list(dict.fromkeys(parts))
-                for w, x in zip(new, tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                    known[w] = np.array(x.ids, "<u4").tobytes()
-            return b"".join(map(known.__getitem__, parts))
-
+        try:  # where executors have the package, the tasks of a worker share what it remembers
+            from quillspark.llm.packing import encoder as own
+        except ImportError:
+            own = encoder
+        encode, last = own(vocabulary), end.to_bytes(4, "little")
         for batch in batches:
             out: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encode(text.as_py() or "") + end.to_bytes(4, "little")
+                ids = encode(text.as_py() or "") + last
                 for i, at in enumerate(range(0, len(ids), 4 * room)):
                     part = ids[at : at + 4 * room]
                     out.append((doc, i, at // 4, len(part) // 4, zlib.crc32(part)))
