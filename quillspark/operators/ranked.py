@@ -166,6 +166,15 @@ def parse(query: str, terms_of) -> tuple[tuple | None, list[tuple[list[str], boo
     return tree, phrases
 
 
+def _minus(k: int):
+    return lambda x: x - k
+
+
+def _beside(i: int, n0: int, n1: int, distance: int):
+    """Does phrase i stand at most so many tokens before or after a phrase of n0 tokens at x?"""
+    return lambda x: F.exists(f"p{i}", lambda y: F.when(y >= x, y - x - n0).otherwise(x - y - n1) <= distance)
+
+
 def _holds(tree: tuple, phrases: list) -> Column:
     kind = tree[0]
     if kind == "phrase":
@@ -177,8 +186,7 @@ def _holds(tree: tuple, phrases: list) -> Column:
         # a start of each phrase with at most `distance` tokens between it and the first one's
         near = F.lit(True)
         for i in rest:
-            n0, n1 = len(phrases[first][0]), len(phrases[i][0])
-            near = near & F.exists(f"p{first}", lambda x, i=i, n0=n0, n1=n1: F.exists(f"p{i}", lambda y: F.when(y >= x, y - x - n0).otherwise(x - y - n1) <= tree[2]))
+            near = near & F.exists(f"p{first}", _beside(i, len(phrases[first][0]), len(phrases[i][0]), tree[2]))
         return near & (F.size(f"p{first}") > 0)
     a, b = _holds(tree[1], phrases), _holds(tree[2], phrases)
     return a & b if kind == "and" else a | b if kind == "or" else a & ~b
@@ -197,7 +205,7 @@ def bm25(index: Index, query: str, prefix: str | None = None) -> DataFrame:
     for i, (terms, last) in enumerate(phrases):
         for k, t in enumerate(terms):
             is_term = F.col("term").startswith(t) if last and k == len(terms) - 1 else F.col("term") == t
-            places.append(F.flatten(F.collect_list(F.when(is_term, F.transform("positions", lambda x, k=k: x - k)))).alias(f"p{i}_{k}"))
+            places.append(F.flatten(F.collect_list(F.when(is_term, F.transform("positions", _minus(k))))).alias(f"p{i}_{k}"))
     hits = index.postings.where(wanted).groupBy("vault", "path").agg(*places)
     for i, (terms, _) in enumerate(phrases):
         own = F.array_distinct(f"p{i}_0") if terms else empty
