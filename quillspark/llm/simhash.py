@@ -14,6 +14,7 @@ get a row; an empty table gives an empty one; other columns are ignored by `near
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -29,6 +30,9 @@ _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
 #: Shingle hashes counted at a time, and pairs of nodes looked at at a time.
 BLOCK, FRONTIER = 1 << 15, 1 << 19
+#: Words of a wide fingerprint; its halves of 32 bits are looked up with as many errors. Bits in which fingerprints of
+#: documents with a given similarity of shingle sets differ, as a share: measured, nearly a line above 0.7.
+WIDE, HALF, ERRORS = 6, 32, 3
 
 
 def fingerprint(text: str | None, k: int = 3, seed: int = 42) -> int:
@@ -40,11 +44,37 @@ def fingerprint(text: str | None, k: int = 3, seed: int = 42) -> int:
     if len(found) < k:
         found, k = [" ".join(found)], 1
     shingles = map(" ".join, zip(*(found[i:] for i in range(k)), strict=False))
-    hashes = np.array([digest(s, seed) for s in shingles], ">u8")
+    return int(_majority(np.array([digest(s, seed) for s in shingles], np.uint64)))
+
+
+def _majority(hashes: np.ndarray) -> np.uint64:
+    """The bits that are set in over half of the hashes. Sums of 255 bits fit in a byte, and are taken so."""
     counts = np.zeros(64, np.int64)
     for i in range(0, len(hashes), BLOCK):
-        counts += np.unpackbits(hashes[i : i + BLOCK].view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(hashes)).view(">u8")[0])
+        part = hashes[i : i + BLOCK].astype(">u8").view(np.uint8).reshape(-1, 8)
+        rows = max(1, -(-len(part) // 255))
+        bits = np.zeros((255 * rows, 64), np.uint8)
+        bits[: len(part)] = np.unpackbits(part, axis=1)
+        counts += bits.reshape(255, rows, 64).sum(0, dtype=np.uint8).sum(0, dtype=np.int64)
+    return np.packbits(2 * counts > len(hashes)).view(">u8")[0].astype(np.uint64)
+
+
+def wide_fingerprint(text: str | None, k: int = 5, words: int = WIDE, seed: int = 42) -> np.ndarray:
+    """Several words of 64 such bits, each of other mixtures of the shingles' hashes."""
+    found = _WORDS.findall((text or "").translate(_LOWER))
+    if not found:
+        return np.zeros(words, np.uint64)
+    digest = xxhash.xxh64_intdigest
+    if len(found) < k:
+        found, k = [" ".join(found)], 1
+    hashes = np.array([digest(s, seed) for s in map(" ".join, zip(*(found[i:] for i in range(k)), strict=False))], np.uint64)
+    out = []
+    for i in range(words):  # a step of the splitmix64 generator
+        z = hashes + np.uint64((i + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        out.append(_majority(z ^ (z >> np.uint64(31))))
+    return np.array(out, np.uint64)
 
 
 def fingerprints(docs: DataFrame, k: int = 3, seed: int = 42) -> DataFrame:
@@ -70,9 +100,12 @@ def _stars(links: np.ndarray, n: int) -> np.ndarray:
             root = root[root]
 
 
-def trie_join(tries: np.ndarray, codes: np.ndarray, budget: int, top: int) -> np.ndarray:
+def trie_join(tries: np.ndarray, codes: np.ndarray, budget: int, top: int, stop: int = 0, whole: np.ndarray | None = None, far: int = 0) -> np.ndarray:
     """For each code the least place of its component within its trie.
 
+    Bits below `stop` aren't looked at. With `whole` (rows of wide fingerprints), linked codes must also have at most
+    `far` differing bits there.
+
     tries, codes (unsigned, sorted by trie and code): equal `tries` have equal top bits and form one trie. Pairs of
     nodes are ranges of places; small pairs are compared directly.
     """
@@ -91,8 +124,10 @@ def trie_join(tries: np.ndarray, codes: np.ndarray, budget: int, top: int) -> np
             todo += [(bit, pairs[:half]), (bit, pairs[half:])]
             continue
         size = (pairs[:, 1] - pairs[:, 0]) * (pairs[:, 3] - pairs[:, 2])
-        leaf = (size <= 64) | (bit < 0)
+        leaf = (size <= 64) | (bit < stop)
         links = _compare(codes, pairs[leaf], budget)
+        if whole is not None and len(links):
+            links = links[np.bitwise_count(whole[links[:, 0]] ^ whole[links[:, 1]]).sum(1) <= far]
         if len(links):
             root = _stars(np.concatenate([links, np.stack([np.arange(n), root], 1)]), n)
         pairs = pairs[~leaf]
@@ -198,16 +233,88 @@ def near_duplicates(docs: DataFrame, k: int = 3, budget: int = 3, seed: int = 42
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
     distinct = cut(fps.groupBy("fp").agg(first), "distinct")
     joined = cut(stars(links(distinct, budget)), "stars")
+    named = _named(distinct, joined)
+    return fps.join(named, "fp").select("doc_id", "text_hash", "fp", F.col("first.doc_id").alias("component_id"), F.col("first.text_hash").alias("first_hash"))
+
+
+def _wide_links(far: int, many: int = 1 << 15):
+    top = HALF // (ERRORS + 1)
+
+    def flush(trie: list, code: list, fp: list) -> pa.RecordBatch:
+        whole = np.frombuffer(b"".join(fp), np.uint64).reshape(len(fp), -1)
+        root = trie_join(np.array(trie), np.array(code, np.int64).view(np.uint64), ERRORS, top, 64 - HALF, whole, far)
+        own = np.flatnonzero(root != np.arange(len(root)))
+        return pa.RecordBatch.from_arrays([pa.array([fp[i] for i in own], pa.binary()), pa.array([fp[root[i]] for i in own], pa.binary())], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[list, list, list] = ([], [], [])
+        for b in batches:
+            for h, c in zip(held, b.columns, strict=True):
+                h.extend(c.to_pylist())
+            trie = held[0]
+            if len(trie) >= many:
+                stop = len(trie) - 1
+                while stop and trie[stop - 1] == trie[-1]:
+                    stop -= 1
+                if stop:
+                    yield flush(*(h[:stop] for h in held))
+                    for h in held:
+                        del h[:stop]
+        if held[0]:
+            yield flush(*held)
+
+    return run
+
+
+def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id, text_hash, first_id, first_hash: each row of docs, and which document stands for its group.
+
+    Documents whose sets of k-word shingles have about that similarity or more differ in more bits than one trie can
+    afford. So fingerprints are wide; each half-word is a code of its own, with tries that allow ERRORS errors, and
+    pairs found there must agree in the whole fingerprint as documents of that similarity do. A pair just at the
+    threshold is found by at least one of the codes with a probability of about 0.97, closer ones nearly surely.
+    """
+    codes, size = 64 // HALF * WIDE, HALF // (ERRORS + 1)
+    # cos of the angle is 2s / (1 + s) for sets of one size; half a standard deviation of the bits is granted
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    far = int(64 * WIDE * share + 0.5 * math.sqrt(64 * WIDE * share * (1 - share)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [wide_fingerprint(x.as_py(), k).tobytes() for x in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, pa.binary())], names=["doc_id", "text_hash", "fp"])
+
+    def tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = b.column(0).to_pylist()
+            half = np.frombuffer(b"".join(fps), np.uint32).reshape(len(fps), codes).astype(np.uint64)
+            for block in range(ERRORS + 1):
+                turned = (half << np.uint64(block * size) | half >> np.uint64(HALF - block * size)) & np.uint64((1 << HALF) - 1)
+                for i in range(codes):
+                    trie = (turned[:, i] >> np.uint64(HALF - size)).astype(np.int64) * (codes * (ERRORS + 1)) + block * codes + i
+                    yield pa.RecordBatch.from_arrays([pa.array(trie), pa.array((turned[:, i] << np.uint64(64 - HALF)).view(np.int64)), b.column(0)], names=["trie", "code", "fp"])
+
+    fps = cut(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, fp binary"), "wide-fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
+    distinct = cut(fps.groupBy("fp").agg(first), "wide-distinct")
+    each = distinct.select("fp").mapInArrow(tries, "trie long, code long, fp binary").repartition(partitions(docs.sparkSession), "trie")
+    ordered = each.sortWithinPartitions("trie", F.col("code").bitwiseXOR(F.lit(-(1 << 63)).cast("long")))
+    joined = cut(stars(ordered.mapInArrow(_wide_links(far), "a binary, b binary")), "wide-stars")
+    named = _named(distinct, joined)
+    return fps.join(named, "fp").select("doc_id", "text_hash", F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash"))
+
+
+def _named(distinct: DataFrame, joined: DataFrame) -> DataFrame:
+    """fp, first: for each fingerprint the first document of its component, given the components' stars."""
     member = joined.select(F.col("a").alias("fp"), F.col("b").alias("root")).union(joined.select(F.col("b").alias("fp"), F.col("b").alias("root")).distinct())
     least = member.join(distinct, "fp").groupBy("root").agg(F.min("first").alias("least"))
-    named = distinct.join(member.join(least, "root").select("fp", "least"), "fp", "left").select("fp", F.coalesce("least", "first").alias("first"))
-    return fps.join(named, "fp").select("doc_id", "text_hash", "fp", F.col("first.doc_id").alias("component_id"), F.col("first.text_hash").alias("first_hash"))
+    return distinct.join(member.join(least, "root").select("fp", "least"), "fp", "left").select("fp", F.coalesce("least", "first").alias("first"))
 
 
-def one_of_each(docs: DataFrame, k: int = 3, budget: int = 3, seed: int = 42) -> DataFrame:
+def one_of_each(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs with all their columns, one row of each group: that of the least doc_id, and of its repetitions one."""
-    groups = near_duplicates(docs, k, budget, seed)
-    first = groups.select(F.col("component_id").alias("__id"), F.col("first_hash").alias("__hash")).distinct()
+    groups = similar_groups(docs, k, similarity)
+    first = groups.select(F.col("first_id").alias("__id"), F.col("first_hash").alias("__hash")).distinct()
     own = docs.withColumn("__id", F.col("doc_id")).withColumn("__hash", F.xxhash64("text"))
     same = own["__id"].eqNullSafe(first["__id"]) & (own["__hash"] == first["__hash"])
     return own.join(first, same, "left_semi").dropDuplicates(["__id", "__hash"]).drop("__id", "__hash")
