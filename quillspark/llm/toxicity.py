@@ -14,6 +14,7 @@ each get a row; other columns are ignored.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled documents that the model is fitted on, at most; words it looks at.
-TRAIN_DOCS, VOCABULARY = 8000, 2000
+TRAIN_DOCS, VOCABULARY = 6000, 2000
 _SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 _WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of words' starts that are features of their own.
@@ -49,28 +50,29 @@ def fit(texts: list[str], labels: list[int], rounds: int = 400, rate: float = 0.
     y = np.array(labels, float)
     if not len(y) or y.min() == y.max():
         return -12.0, {}
-    bags = [[features(_words(s)) for s in _SENTENCE.findall(t)] for t in texts]
+    # features of toxic documents first, then how often others have those: never more than these are held
     seen: tuple[Counter, Counter] = (Counter(), Counter())
-    for b, k in zip(bags, labels, strict=True):
-        seen[int(k)].update(set().union(*b) if b else ())
+    for t in (t for t, k in zip(texts, labels, strict=True) if k):
+        seen[1].update(features(_words(t)))
+    often = {f for f, a in seen[1].items() if a >= 2}
+    for t in (t for t, k in zip(texts, labels, strict=True) if not k):
+        seen[0].update(features(_words(t)) & often)
     n1, n0 = y.sum(), len(y) - y.sum()
     gain = {}
-    for w, a in seen[1].items():
-        c = seen[0][w]
-        if a >= 2 and a / n1 > c / n0:
-            gain[w] = (a * (n0 - c) - c * (n1 - a)) ** 2 * len(y) / (n1 * n0 * (a + c) * (len(y) - a - c) + 1e-9)
-    chosen = sorted(gain, key=lambda w: (-gain[w], w))[:VOCABULARY]
-    index = {w: i for i, w in enumerate(chosen)}
-    doc, cell, word = [], [], []
-    s = 0
-    for d, b in enumerate(bags):
-        for bag in b:
-            hit = [index[w] for w in bag if w in index]
+    for f in often:
+        a, c = seen[1][f], seen[0][f]
+        if a / n1 > c / n0:
+            gain[f] = (a * (n0 - c) - c * (n1 - a)) ** 2 * len(y) / (n1 * n0 * (a + c) * (len(y) - a - c) + 1e-9)
+    chosen = sorted(gain, key=lambda f: (-gain[f], f))[:VOCABULARY]
+    index = {f: i for i, f in enumerate(chosen)}
+    doc, cell, word = array("l"), array("l"), array("l")
+    for d, t in enumerate(texts):
+        for sentence in _SENTENCE.findall(t):
+            hit = [index[f] for f in features(_words(sentence)) if f in index]
+            cell.extend([len(doc)] * len(hit))
+            word.extend(hit)
             doc.append(d)
-            cell += [s] * len(hit)
-            word += hit
-            s += 1
-    doc, cell, word = np.array(doc, int), np.array(cell, int), np.array(word, int)
+    doc, cell, word, s = np.array(doc, int), np.array(cell, int), np.array(word, int), len(doc)
     if not s:
         return -12.0, {}
     w, bias = np.zeros(len(chosen)), -4.0
