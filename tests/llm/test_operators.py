@@ -1,0 +1,383 @@
+"""The training-data operators against brute force and on odd tables."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+import __spark_entry__ as entry
+from quillspark.llm import html, mixing, packing, quality, queries, secrets, sharding, simhash, toxicity, vafile, warc
+
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+SF = "/root/testdata/sf0.001"
+
+
+def rows(df):
+    return [r.asDict(recursive=True) for r in df.collect()]
+
+
+# --- mixing
+
+
+def test_mix_meets_targets_and_repeats_at_most_three_times(spark):
+    rng = random.Random(1)
+    data = [(i, f"s{min(i % 7, 3)}", " ".join(["w"] * rng.randint(1, 40))) for i in range(800)]
+    got = rows(mixing.mix(spark.createDataFrame(data, "doc_id long, source string, text string")))
+    sizes = Counter()
+    for _, s, t in data:
+        sizes[s] += len(WORDS.findall(t))
+    total, weights = sum(sizes.values()), {s: 1 + i % 3 for i, s in enumerate(sorted(sizes))}
+    goal, open_ = {}, set(sizes)
+    while True:  # the contract's own wording
+        rest = total - sum(goal.values())
+        share = {s: rest * weights[s] / sum(weights[x] for x in open_) for s in open_}
+        full = {s for s in open_ if share[s] > 3 * sizes[s]}
+        if not full:
+            goal |= share
+            break
+        goal |= {s: 3.0 * sizes[s] for s in full}
+        open_ -= full
+    taken = Counter()
+    for r, (_, s, _) in zip(sorted(got, key=lambda r: r["doc_id"]), data, strict=True):
+        assert r["taken"] <= 3 * r["size"] and r["target"] == pytest.approx(goal[s])
+        taken[s] += r["taken"]
+    assert sum(taken.values()) == pytest.approx(total, abs=1)
+    assert all(abs(taken[s] - goal[s]) <= 40 for s in sizes)
+
+
+def test_mix_reruns_agree_and_odd_rows(spark, odd, none):
+    a, b = (sorted(map(str, rows(mixing.mix(odd)))) for _ in range(2))
+    assert a == b and len(a) == odd.count()
+    assert mixing.mix(none).count() == 0 and mixing.mixed(none).count() == 0
+    assert mixing.mixed(odd).columns == odd.columns
+    only_empty = odd.where("doc_id in (3, 4)")
+    assert [r["target"] for r in rows(mixing.mix(only_empty))] == [0.0, 0.0]
+
+
+# --- WARC
+
+
+def test_warc_round_trip_of_payloads(spark, tmp_path):
+    data = [(1, "u", "aé"), (2, "u", "aé"), (3, "v w", None), (4, None, ""), (5, "x", "b" * 700_000), (None, "y", "b")]
+    pages = spark.createDataFrame(data, "page_id long, url string, html string")
+    got = {r["page_id"]: r for r in rows(warc.read(warc.write(pages, f"file://{tmp_path}/w")))}
+    assert got[1]["record_type"] == "revisit" and got[1]["refers_to"] == 2 and got[3]["refers_to"] == 4
+    assert bytes(got[5]["payload"]) == b"b" * 700_000 and got[None]["record_type"] == "response"
+    for i, _, t in data:
+        raw = (t or "").encode()
+        assert (got[i]["payload_bytes"], got[i]["payload_digest"]) == (len(raw), warc.digest(raw))
+    assert warc.round_trip(pages.where("false")).count() == 0
+    assert {r["record_type"] for r in rows(warc.round_trip(pages, min_bytes=10))} == {"response"}
+
+
+def test_warc_breakage_is_found():
+    good = warc.record(1, "u", b"abc", warc.digest(b"abc"), None, True, "2026-01-01T00:00:00Z")
+    assert warc.parse(good)["payload"] == b"abc"
+    with pytest.raises(warc.WarcError):
+        warc.parse(good.replace(b"abc", b"abd"))
+    with pytest.raises(warc.WarcError):
+        warc.parse(good[:-3])
+
+
+# --- exact search
+
+
+@pytest.mark.parametrize("dims", [1, 7])
+def test_top_k_is_exact_with_ties_and_bad_vectors(spark, dims):
+    rng = np.random.default_rng(0)
+    data = [(i, [float(x) for x in rng.integers(-3, 4, dims) / 8]) for i in range(700)]
+    data += [(1000 + i, [0.25] * dims) for i in range(60)] + [(2000, None), (2100, [float("nan")] * dims), (2200, [None] * dims), (2300, [float("inf")] * dims)]
+    got = rows(vafile.top_k(spark.createDataFrame(data, "vec_id long, embedding array<float>")))
+    ok = [(i, np.floor(1024 * np.array(v)).astype(int)) for i, v in data if i < 2000]
+    for q, v in ((q, v) for q, v in ok if q % 100 == 0):
+        want = sorted(((-int(v @ w), i) for i, w in ok if i != q))[:10]
+        mine = sorted((r["rank"], -r["score"], r["vec_id"]) for r in got if r["query_id"] == q)
+        assert [(s, i) for _, s, i in mine] == want
+    assert len(got) == 10 * sum(i % 100 == 0 for i, _ in ok)
+
+
+# --- HTML
+
+PAGE = '<html><head><title>t</title><script>var a="</p>"</script></head><body><header><h1>Site</h1></header><nav><ul><li>Menu</ul></nav><div class="cookie-notice">We use</div><article><h1>A &amp; B</h1><p>One <b>bold</b>\n two<p>Three<br>four<form>f</form><aside>Also</aside><section class="comments"><p>nice!</p></section></article><footer>end</footer></body></html>'
+
+
+def test_html_main_text(spark):
+    pages = [(1, "http://h/1", PAGE), (1, "http://h/1", PAGE), (2, None, None), (3, "http://h/2", ""), (4, "http://h/3", "plain &lt;text")]
+    got = {r["page_id"]: r for r in rows(html.extract(spark.createDataFrame(pages, "page_id long, url string, html string")))}
+    assert got[1]["text"] == "A & B\n\nOne bold two\n\nThree four" and got[1]["n_chars"] == len(got[1]["text"])
+    assert got[2]["text"] == got[3]["text"] == "" and got[4]["text"] == "plain <text"
+
+
+def test_wrapper_covers_what_it_learned_from():
+    streams = [html.stream_of(list(html.blocks(p))) for p in (PAGE, PAGE.replace("<aside>Also</aside>", ""), PAGE.replace("<p>Three", "<p>Two<p>Three"), "<p>x", PAGE.replace("<footer>end</footer>", ""))]
+    wrapper = streams[0]
+    for s in streams[1:]:
+        wrapper = html.align(wrapper, s)
+    assert all(html.covers(wrapper, s) for s in streams)
+    assert not html.covers(streams[0], html.stream_of(list(html.blocks("<table><tr><td>y</table>"))))
+
+
+def test_template_text_is_left_out_where_nothing_says_article(spark):
+    pages = [(i, f"http://h/{i}", f"<div id=a>Same for all</div><div id=b>Only here {i}</div>") for i in range(8)]
+    got = rows(html.extract(spark.createDataFrame(pages, "page_id long, url string, html string")))
+    assert {r["text"] for r in got} == {f"Only here {i}" for i in range(8)}
+
+
+# --- packing
+
+
+def test_packing_is_whole_tight_and_exact(spark, odd, none):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(queries.vocabulary())
+    got = rows(packing.pack(odd, queries.vocabulary(), room=64))
+    want = Counter()
+    for r in odd.collect():
+        ids = [*t.encode(r["text"] or "", add_special_tokens=False).ids, 0]
+        for i, at in enumerate(range(0, len(ids), 64)):
+            part = np.array(ids[at : at + 64], "<u4").tobytes()
+            want[r["doc_id"], i, at, len(part) // 4, zlib.crc32(part)] += 1
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == want
+    places: dict = {}
+    for r in got:
+        places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for own in places.values():
+        at = 0
+        for offset, n in sorted(own):
+            assert offset == at
+            at += n
+        assert at <= 64
+    assert len(places) <= -(-sum(r["length"] for r in got) // 64) + 1
+    assert packing.pack(none, queries.vocabulary()).count() == 0
+
+
+def test_groups_use_each_piece_once_and_come_near_the_bound():
+    rng = np.random.default_rng(3)
+    h = Counter(int(x) for x in rng.gamma(2, 150, 5000).clip(1, 1024))
+    found = packing.groups(h, 1024)
+    used = Counter()
+    for shape, n in found:
+        assert sum(k * m for k, m in shape.items()) <= 1024
+        for k, m in shape.items():
+            used[k] += n * m
+    assert used == h
+    assert sum(n for _, n in found) <= 1.01 * -(-sum(k * v for k, v in h.items()) // 1024) + 1
+
+
+# --- toxicity
+
+
+def test_toxicity_learns_which_sentence(spark, none):
+    rng = random.Random(2)
+    sentence = lambda: " ".join("".join(rng.choices("abcdef", k=4)) for _ in range(8)) + "."
+    docs, labels = [], []
+    for i in range(400):
+        s = [sentence() for _ in range(5)]
+        if i % 3 == 0:
+            s[2] = "you are zorgish " + s[2]
+        docs.append((i, "\n".join(s)))
+        labels.append((i, int(i % 3 == 0)))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    model = toxicity.train(d, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    got = {r["doc_id"]: r for r in rows(toxicity.classify(d, model))}
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert all((got[i]["score"] >= 0.5) == (i % 3 == 0) for i in held) and len(held) > 40
+    assert all("zorgish" in docs[i][1][s["start"] : s["end"]] for i in held for s in got[i]["spans"])
+    assert toxicity.classify(none, model).count() == 0
+
+
+def test_toxicity_without_labels_and_on_odd_rows(spark, odd):
+    empty = spark.createDataFrame([], "doc_id long, toxic int")
+    got = rows(toxicity.classify(odd, toxicity.train(odd, empty)))
+    assert len(got) == odd.count() and all(0 <= r["score"] < 0.5 for r in got)
+    assert next(r["score"] for r in got if r["doc_id"] == 3) == 0
+
+
+# --- SimHash
+
+
+def _fingerprint(text, k=3):
+    import xxhash
+
+    w = WORDS.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    s = [" ".join(w[i : i + k]) for i in range(len(w) - k + 1)] if len(w) >= k else [" ".join(w)] if w else []
+    h = [xxhash.xxh64_intdigest(x, 42) for x in s]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def _components(fps):
+    root = {f: f for f in fps}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in root:
+        for b in root:
+            if a < b and (a ^ b).bit_count() <= 3:
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    return {f: find(f) for f in fps}
+
+
+def test_components_match_brute_force(spark, odd, none):
+    docs = odd.unionByName(spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id + 100 doc_id", "text", "lang", "source", "n_chars", "'' size", "'' place"))
+    data = [(r["doc_id"], _fingerprint(r["text"])) for r in docs.collect()]
+    root = _components({f for _, f in data})
+    least: dict = {}
+    for i, f in data:
+        if i is not None:
+            least[root[f]] = min(least.get(root[f], i), i)
+    got = Counter((r["doc_id"], r["fp"] & (1 << 64) - 1, r["component_id"]) for r in rows(simhash.near_duplicates(docs)))
+    assert got == Counter((i, f, least.get(root[f])) for i, f in data)
+    assert simhash.near_duplicates(none).count() == 0
+
+
+def test_trie_join_finds_all_links_of_dense_codes():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, 20, dtype=np.uint64)
+    codes = np.unique(np.concatenate([b ^ np.array([sum(1 << int(i) for i in rng.choice(48, rng.integers(0, 4), replace=False)) for _ in range(60)], np.uint64) for b in base]))
+    tries = (codes >> np.uint64(48)).astype(np.int64)
+    got = simhash.trie_join(tries, codes, 3, 16)
+    want = list(range(len(codes)))
+    for i in range(len(codes)):
+        for j in range(i):
+            if tries[i] == tries[j] and int(codes[i] ^ codes[j]).bit_count() <= 3:
+                a, b = want[i], want[j]
+                want = [min(a, b) if x in (a, b) else x for x in want]
+    assert list(got) == want
+
+
+def test_one_of_each_keeps_one_and_leaves_others(spark, odd, none):
+    rng = random.Random(4)
+    base = [" ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(300)) for _ in range(6)]
+    data = []
+    for i, t in enumerate(base):
+        data.append((10 * i, t))
+        for j in range(1, 4):
+            w = t.split()
+            w[40 * j] = "changed"
+            data.append((10 * i + j, " ".join(w)))
+    kept = rows(simhash.one_of_each(spark.createDataFrame(data, "doc_id long, text string")))
+    assert sorted(r["doc_id"] for r in kept) == [0, 10, 20, 30, 40, 50]
+    left = simhash.one_of_each(odd)
+    assert left.columns == odd.columns and sorted(map(str, (r["doc_id"] for r in rows(left)))) == ["1", "1", "3", "5", "6", "7", "None"]
+    assert simhash.one_of_each(none).count() == 0
+
+
+# --- secrets
+
+
+def test_secrets_are_found_and_false_alarms_are_not(spark, odd, none):
+    forest = secrets.train(spark)
+    key = "AKIA" + "Q7RZ2MXN5T8WLB4K"
+    texts = [
+        f"the old {key} was here", 'set token = "1beb58b8af68854f0e01b4ad40cdbb6ae7f578ae" now', "login password=45bb0d53635bf1b89d end", "commit 1beb58b8af68854f0e01b4ad40cdbb6ae7f578ae merged",
+        "the password=changeme river", "see /usr/share/doc/meadow/copper1/harvest.html for more", "nothing at all", None, "", f"two {key} and {key}, twice",
+    ]
+    d = spark.createDataFrame([(i, t, 5, "x") for i, t in enumerate(texts)], "doc_id long, text string, n_chars int, value string")
+    got = rows(secrets.find(d, forest))
+    assert Counter(r["doc_id"] for r in got) == {0: 1, 1: 1, 2: 1, 9: 2}
+    assert all(texts[r["doc_id"]][r["start"] : r["end"]] == r["value"] for r in got)
+    new = {r["doc_id"]: r for r in rows(secrets.redact(d, forest))}
+    assert new[9]["text"] == "two [SECRET] and [SECRET], twice" and new[9]["n_chars"] == len(new[9]["text"]) and new[9]["value"] == "x"
+    assert all(new[i]["text"] == texts[i] and new[i]["n_chars"] == 5 for i in (3, 4, 5, 6, 7, 8))
+    assert secrets.redact(odd, forest).count() == odd.count() and secrets.find(none, forest).count() == 0
+    assert secrets.redact(none, forest).columns == none.columns
+
+
+def test_forest_on_fresh_findings(spark):
+    fresh = secrets.labelled_findings(spark, 9000)  # a third of them weren't trained on
+    got = secrets.scored(secrets.candidates(secrets.cut(fresh, "fresh")), secrets.train(spark)).selectExpr("avg(cast((score >= 0.5) = (label = 1) as int)) right").first()[0]
+    assert got > 0.98
+
+
+# --- quality rules
+
+
+def _measures(text):
+    t = text or ""
+    w = WORDS.findall(t)
+    grams = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    n = Counter(grams)
+    covered = {i + k for i, g in enumerate(grams) if n[g] > 1 for k in range(5)}
+    lines = [x for x in t.split("\n") if WORDS.search(x)]
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(covered)
+
+
+def test_quality_counts_match_brute_force(spark, odd, none):
+    data = spark.createDataFrame([(50, "a b c d e f a b c d e f a b c d e\n#x\n#x\n\nÉ \U0001f600 é|&", "en", "s1", 1, "", ""), (51, "one two\none two\nthree", "en", "s1", 1, "", "")], odd.schema)
+    docs = odd.unionByName(data)
+    got = rows(quality.judge(docs))
+    want = Counter((r["doc_id"], *_measures(r["text"])) for r in docs.collect())
+    names = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    assert Counter(tuple(r[k] for k in names) for r in got) == want
+    for r in got:
+        assert r["base_failed"] == (r["n_words"] < 10 or 100 * r["n_repeat_words"] > 20 * r["n_words"])
+        assert not (r["base_failed"] and r["kept"])
+    assert Counter(r["doc_id"] for r in rows(quality.keep_good(docs))) == Counter(r["doc_id"] for r in got if r["kept"])
+    assert quality.judge(none).count() == 0 and quality.keep_good(none).columns == none.columns
+
+
+def test_fences_follow_their_source(spark):
+    clean = "one two three four five six seven eight nine ten eleven twelve "
+    noisy = "one # two | three four # five six | seven eight # nine ten | eleven twelve "
+    data = [(i, f"{clean}{i} a{i}", "en", "plain") for i in range(150)] + [(200 + i, f"{noisy}{i} a{i}", "en", "tables") for i in range(150)] + [(500, noisy + "x y", "en", "plain")]
+    kept = {r["doc_id"]: r["kept"] for r in rows(quality.judge(spark.createDataFrame(data, "doc_id long, text string, lang string, source string")))}
+    assert all(kept[i] for i in range(150)) and all(kept[200 + i] for i in range(150)) and not kept[500]
+
+
+# --- sharding
+
+
+def test_shards_fit_and_split_only_where_needed(spark, odd, none):
+    docs = spark.createDataFrame([(i, "x" * (i % 90)) for i in range(3000)] + [(9, "same")] * 500 + [(None, None), (5000, "y" * 5000)], "doc_id long, text string")
+    got = rows(sharding.assign(docs, 4000))
+    assert Counter((r["doc_id"], r["bytes"]) for r in got) == Counter((r["doc_id"], len(r["text"] or "")) for r in docs.collect())
+    size, n = Counter(), Counter()
+    for r in got:
+        size[r["shard"]] += r["bytes"]
+        n[r["shard"]] += 1
+    for r in got:
+        assert r["shard_bytes"] == size[r["shard"]] and r["shard_rows"] == n[r["shard"]] and r["over"] == (size[r["shard"]] > 4000)
+        assert r["shard_bytes"] <= 4000 or r["shard_rows"] == 1
+    for s in size:  # no bucket could have stayed whole
+        parent = sum(v for k, v in size.items() if k.startswith(s[:-1]))
+        assert s == "" or parent > 4000
+        assert not any(o != s and o.startswith(s) for o in size)
+    assert {r["shard"] for r in rows(sharding.assign(odd, 1 << 30))} == {""} and sharding.assign(none, 10).count() == 0
+
+
+# --- the pipeline
+
+
+def test_pipeline_stages(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    forest_free = {"secret_scans"}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        if name == "best_fit_packing":
+            assert {"doc_id", "sequence_id", "offset"} <= set(out.columns)
+            assert out.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+            break
+        assert out.columns == docs.columns and 0 < out.count()
+        if name == "quality_rules":
+            kept = {r["doc_id"] for r in rows(quality.judge(docs)) if r["kept"]}
+            assert {r["doc_id"] for r in out.select("doc_id").collect()} == kept
+        if name in forest_free:
+            assert out.count() == docs.count() and not out.where("text rlike 'password=[0-9a-f]{18}'").count()
+        path = f"/tmp/pipeline-test-{hashlib.md5(name.encode()).hexdigest()[:6]}"
+        out.write.mode("overwrite").parquet(path)
+        docs = spark.read.parquet(path)
+
+
+def test_queries_are_registered():
+    names = set(entry.queries())
+    assert {f"op{n}" for n in range(1, 11)} <= {n.split("_")[0] for n in names} and "pipeline" in names
+    assert set(entry.oracle_sql()) <= names
