@@ -286,7 +286,7 @@ def vault_status(spark, sf):
 
 @_query("""
 with e as (select user_id, event_type, ts, event_id, lag(ts) over (partition by user_id order by ts) as before from events),
-g as (select *, sum(case when before is null or ts >= before + interval 6 hours then 1 else 0 end) over (partition by user_id order by ts rows unbounded preceding) as burst from e)
+g as (select *, sum(case when before is null or ts > before + interval 6 hours then 1 else 0 end) over (partition by user_id order by ts rows unbounded preceding) as burst from e)
 select user_id, count(*) as merged, max(ts) as ts from g group by user_id, burst""", files=False)
 def change_debounce(spark, sf):
     e = adapters.table(spark, sf, "events").select("user_id", F.col("event_type"), F.col("ts").cast("timestamp").alias("ts"))

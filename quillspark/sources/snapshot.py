@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from quillspark.errors import EngineError
 
@@ -21,19 +22,23 @@ class Snapshots:
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def current(self) -> int | None:
+        return (self._pointer() or {}).get("snapshot")
+
+    def _pointer(self) -> dict | None:
         p = self._path(f"{self.root}/CURRENT")
         if not self._fs.exists(p):
             return None
         got = json.loads(self.spark.read.text(f"{self.root}/CURRENT", wholetext=True).first()[0])
         if got["schema_version"] > VERSION:
             raise EngineError("schema_too_new", f"the snapshot has version {got['schema_version']}, this program reads {VERSION}")
-        return got["snapshot"]
+        return got
 
     def read(self, name: str) -> DataFrame:
-        n = self.current()
-        if n is None:
+        """A table of the current snapshot, with the schema it was written with (ids that look like numbers stay text)."""
+        now = self._pointer()
+        if now is None:
             raise EngineError("invalid_request", "there is no snapshot yet")
-        return self.spark.read.parquet(f"{self.root}/v={n}/{name}")
+        return self.spark.read.schema(StructType.fromJson(now["tables"][name])).parquet(f"{self.root}/v={now['snapshot']}/{name}")
 
     def commit(self, tables: dict[str, DataFrame]) -> int:
         """Writes all tables as a new snapshot, then points to it. Readers see all of it or none."""
@@ -42,7 +47,7 @@ class Snapshots:
             df.write.mode("overwrite").partitionBy("vault").parquet(f"{self.root}/v={n}/{name}")
         temp = self._path(f"{self.root}/.CURRENT-{n}")
         out = self._fs.create(temp, True)
-        out.write(bytearray(json.dumps({"schema_version": VERSION, "snapshot": n}).encode()))
+        out.write(bytearray(json.dumps({"schema_version": VERSION, "snapshot": n, "tables": {k: df.schema.jsonValue() for k, df in tables.items()}}).encode()))
         out.close()
         jvm = self.spark.sparkContext._jvm
         options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)

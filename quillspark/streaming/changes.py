@@ -33,7 +33,7 @@ def translate(raw: DataFrame) -> DataFrame:
 
 
 def debounce(changes: DataFrame, gap: str, key: list[str] = ("vault", "path"), value: str = "action") -> DataFrame:
-    """The last value of each burst: changes of a key less than `gap` apart. Works on streams with a watermark too."""
+    """The last value of each burst: changes of a key at most `gap` apart. Works on streams with a watermark too."""
     burst = F.session_window("ts", gap)
     return changes.groupBy(*key, burst.alias("burst")).agg(F.max_by(value, "ts").alias(value), F.count("*").alias("merged"), F.max("ts").alias("ts")).select(*key, value, "merged", "ts")
 
