@@ -10,9 +10,17 @@ from functools import lru_cache
 _TOKEN = re.compile(r"[^\W_]+")
 
 
-def fold_tokens(text: str) -> list[str]:
+class _Marks(dict):
+    """A translation that drops combining marks, and learns characters as they come."""
+
+    def __missing__(self, c: int) -> int | None:
+        self[c] = out = None if unicodedata.combining(chr(c)) else c
+        return out
+
+
+def fold_tokens(text: str, marks: dict = _Marks()) -> list[str]:  # noqa: B008
     """Runs of letters and digits in lower case, without combining marks."""
-    plain = "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c))
+    plain = text if text.isascii() else unicodedata.normalize("NFD", text).translate(marks)
     return _TOKEN.findall(plain.lower())
 
 
