@@ -1,7 +1,7 @@
 """Main text of web pages by wrappers: union-free regular expressions inferred per host.
 
 Each page becomes a stream of block tags and text slots; runs of equal groups fold into repeated ones. Streams that
-differ (few per host) are aligned one after the other: what both have stays, groups in one alone become optional,
+differ are aligned one after the other, many of a host in rounds of bounded groups: what both have stays, groups in one alone become optional,
 a single occurrence of a repeated group counts as one repetition. The wrapper that results covers every page of its
 host. A slot knows its path of open blocks, and from counts over all of the host's pages whether its text ever
 differs; paths and constancy say which slots are content. A page is then matched against its host's wrapper and the
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 from html import unescape
@@ -29,11 +30,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm._common import cut
+from quillspark.llm._common import cut, sized
 
 WRAPPER_BYTES, SALTS = 32 << 20, 16
 #: Pages of a host from which text that is always the same counts as the template's.
 STEADY = 5
+#: Streams or wrappers that one task aligns in a round, about.
+FAN = 64
 
 # Element names and class words with a meaning.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
@@ -219,16 +222,42 @@ def align(a: list, b: list) -> list:
 def covers(wrapper: list, stream: list) -> bool:
     """Does the wrapper match the folded stream?"""
     flat = [(y, isinstance(x, list) and x[0] == "?") for x in wrapper for y in (x[1:] if isinstance(x, list) and x[0] == "?" else [x])]
+    once = _once(stream, sorted((y[1:] for y, _ in flat if isinstance(y, list)), key=len, reverse=True))
+    return _follows(flat, once) or once != stream and _follows(flat, stream)
+
+
+def _follows(flat: list[tuple], stream: list) -> bool:
+    """Can the stream be had from the items by leaving out optional ones?
+
+    Taking the first item that fits mostly does; where it doesn't, all places that the stream may be at are followed.
+    """
     i = 0
-    for x in _once(stream, sorted((y[1:] for y, _ in flat if isinstance(y, list)), key=len, reverse=True)):
-        while i < len(flat) and flat[i][0] != x:
-            if not flat[i][1]:
-                return False
+    for x in stream:
+        while i < len(flat) and flat[i][0] != x and flat[i][1]:
             i += 1
-        if i == len(flat):
-            return False
+        if i == len(flat) or flat[i][0] != x:
+            break
         i += 1
-    return all(optional for _, optional in flat[i:])
+    else:
+        if all(optional for _, optional in flat[i:]):
+            return True
+    n = len(flat)
+    reach = [n] * (n + 1)  # how far a place can be left behind: up to the next item that isn't optional
+    places: dict[str, list[int]] = {}
+    for q in range(n - 1, -1, -1):
+        reach[q] = reach[q + 1] if flat[q][1] else q
+        places.setdefault(str(flat[q][0]), []).append(q)
+    at = [0]
+    for x in stream:
+        new = []
+        for q in reversed(places.get(str(x), ())):
+            k = bisect_right(at, q) - 1  # the last place before it reaches furthest
+            if k >= 0 and reach[at[k]] >= q:
+                new.append(q + 1)
+        at = new
+        if not at:
+            return False
+    return reach[at[-1]] == n
 
 
 def stream_of(found: list) -> list:
@@ -261,24 +290,37 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _infer(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """A host's wrapper from its streams, the most frequent first, and the paths whose text never differs."""
-    streams = rows[rows["kind"] == "stream"].sort_values(["pages", "what"], ascending=[False, True])
+    """One wrapper from some streams or wrappers of a host, the most frequent first."""
     wrapper: list | None = None
-    for what in streams["what"]:
+    for what in rows.sort_values(["pages", "wrapper"], ascending=[False, True])["wrapper"]:
         stream = json.loads(what)
         if wrapper is None:
             wrapper = stream
         elif not covers(wrapper, stream):
             wrapper = align(wrapper, stream)
-    steady = rows[(rows["kind"] == "path") & (rows["pages"] >= STEADY) & (rows["low"] == rows["high"])]["what"]
-    return pd.DataFrame({"host": [key[0]], "wrapper": [json.dumps({"wrapper": wrapper, "steady": sorted(steady)})]})
+    return pd.DataFrame({"host": [key[0]], "wrapper": [json.dumps(wrapper)], "pages": [int(rows["pages"].sum())]})
 
 
-def wrappers(pages: DataFrame) -> DataFrame:
-    """host, wrapper (as JSON) for pages (url, html)."""
+def wrappers(pages: DataFrame, fan: int = FAN) -> DataFrame:
+    """host, wrapper (as JSON, with the paths whose text never differs) for pages (url, html).
+
+    A host's streams are aligned in rounds, about `fan` in a task, until one wrapper is left; so a host with any number
+    of different streams never meets in one task.
+    """
+    schema = "host string, wrapper string, pages long"
     found = pages.select("url", "html").mapInArrow(_learn, "host string, kind string, what string, pages long, low long, high long")
-    summed = found.groupBy("host", "kind", "what").agg(F.sum("pages").alias("pages"), F.min("low").alias("low"), F.max("high").alias("high"))
-    return summed.groupBy("host").applyInPandas(_infer, "host string, wrapper string")
+    summed = cut(found.groupBy("host", "kind", "what").agg(F.sum("pages").alias("pages"), F.min("low").alias("low"), F.max("high").alias("high")), "streams")
+    level = summed.where("kind = 'stream'").select("host", F.col("what").alias("wrapper"), "pages")
+    while True:
+        counts = cut(level.groupBy("host").agg(F.count("*").alias("n")), "streams-of-hosts")
+        if (counts.agg(F.max("n")).first()[0] or 0) <= 1:
+            break
+        part = F.pmod(F.xxhash64("wrapper"), F.ceil(F.col("n") / F.lit(fan)).cast("long")).alias("part")
+        level = cut(level.join(sized(counts), "host").select("host", "wrapper", "pages", part).groupBy("host", "part").applyInPandas(_infer, schema), "wrappers-round")
+    same = summed.where((F.col("kind") == "path") & (F.col("pages") >= STEADY) & (F.col("low") == F.col("high")))
+    steady = same.groupBy("host").agg(F.array_sort(F.collect_set("what")).alias("steady"))
+    paths = F.coalesce(F.to_json("steady"), F.lit("[]"))
+    return level.join(steady, "host", "left").select("host", F.concat(F.lit('{"wrapper": '), "wrapper", F.lit(', "steady": '), paths, F.lit("}")).alias("wrapper"))
 
 
 def main_text(html: str, learned: dict | None) -> str:

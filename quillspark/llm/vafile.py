@@ -84,7 +84,7 @@ def top_k(vectors: DataFrame, queries_every: int = 100, k: int = 10, scale: int
     held = cut(distinct, "candidates")
     blocks = max(1, -(-held.count() // BLOCK))
     pack = lambda g: _pack(g, low, width)
-    put = lambda d, n: d.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(n)), F.lit(n)).cast("int")).groupBy("block").applyInPandas(pack, "block int, ids binary, cells binary, exact binary")
+    put = lambda d, n: d.withColumn("block", F.pmod(F.xxhash64("vec_id", "v", F.lit(n)), F.lit(n)).cast("int")).groupBy("block").applyInPandas(pack, "block int, ids binary, cells binary, exact binary")
     index = cut(put(held, blocks), "va-file")
     asked = v.where(F.col("vec_id") % queries_every == 0).distinct()
     n = asked.count()

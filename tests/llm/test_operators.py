@@ -1,6 +1,7 @@
 """The training-data operators against brute force and on odd tables."""
 
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -112,6 +113,17 @@ def test_html_main_text(spark):
     assert got[2]["text"] == got[3]["text"] == "" and got[4]["text"] == "plain <text"
 
 
+def test_wrappers_of_many_streams_in_rounds(spark):
+    item = lambda i: f"<div class='c{'abcdefghij'[i]}'>x</div>"
+    bodies = [f"<article><p>{i}</p></article>" + "".join(item(j) for j in range(10) if i >> j & 1) for i in range(0, 1024, 37)]
+    pages = spark.createDataFrame([(f"http://{h}/{i}", b) for h in ("one", "two") for i, b in enumerate(bodies)] + [("http://three/", "<p>y")], "url string, html string")
+    for fan in (3, 64):
+        got = {r["host"]: json.loads(r["wrapper"]) for r in html.wrappers(pages, fan).collect()}
+        assert set(got) == {"one", "two", "three"} and got["one"] == got["two"]
+        assert all(html.covers(got["one"]["wrapper"], html.stream_of(list(html.blocks(b)))) for b in bodies)
+    assert html.wrappers(pages.limit(0)).count() == 0
+
+
 def test_wrapper_covers_what_it_learned_from():
     streams = [html.stream_of(list(html.blocks(p))) for p in (PAGE, PAGE.replace("<aside>Also</aside>", ""), PAGE.replace("<p>Three", "<p>Two<p>Three"), "<p>x", PAGE.replace("<footer>end</footer>", ""))]
     wrapper = streams[0]
@@ -119,6 +131,8 @@ def test_wrapper_covers_what_it_learned_from():
         wrapper = html.align(wrapper, s)
     assert all(html.covers(wrapper, s) for s in streams)
     assert not html.covers(streams[0], html.stream_of(list(html.blocks("<table><tr><td>y</table>"))))
+    wrapper = [["?", "#", "x"], "#", "y"]  # the first fitting item isn't always the right one
+    assert html.covers(wrapper, ["#", "y"]) and html.covers(wrapper, ["#", "x", "#", "y"]) and not html.covers(wrapper, ["x", "y"]) and not html.covers(wrapper, ["#"])
 
 
 def test_template_text_is_left_out_where_nothing_says_article(spark):
