@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import time
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -37,33 +38,42 @@ def hash_embedder(dims: int) -> Embedder:
     return lambda texts: [one(t) for t in texts]
 
 
-def in_batches(embed: Embedder, texts: Sequence[str], dims: int, batch: int = 16, retries: int = 1) -> list[list[float]]:
-    """Vectors of all texts. A refused batch is halved, and the size learned is kept once a batch of it has passed."""
+def in_batches(embed: Embedder, texts: Sequence[str], dims: int, batch: int = 16, retries: int = 1, pause: float = 0.25) -> list[list[float]]:
+    """Vectors of all texts. A refused batch is halved; the size learned is kept once a batch of several has passed, so
+    one text that is too long on its own account doesn't slow down the others."""
     out: list[list[float]] = []
-    at, size = 0, max(1, batch)
+    at, most = 0, max(1, batch)
+    size = most
     while at < len(texts):
         part = texts[at : at + size]
-        for attempt in range(retries + 1):
-            try:
-                got = embed(part)
-                break
-            except Unavailable as e:
-                if attempt == retries:
-                    raise EngineError("embedding_unavailable", str(e)) from e
-            except Refused:
-                if len(part) == 1:
-                    raise
-                got, size = None, max(1, len(part) // 2)
-                break
-        if got is None:
+        try:
+            got = _patiently(embed, part, retries, pause)
+        except Refused:
+            if len(part) == 1:
+                raise
+            size = len(part) // 2
             continue
         if len(got) != len(part) or any(len(v) != dims for v in got):
             raise EngineError("embedding_unavailable", "the service's vectors don't fit the request")
         out += got
         at += len(part)
+        if len(part) > 1 and size < most:
+            most = size
+        size = most
     return out
 
 
+def _patiently(embed: Embedder, part: Sequence[str], retries: int, pause: float) -> list[list[float]]:
+    for attempt in range(retries + 1):
+        try:
+            return embed(part)
+        except Unavailable as e:
+            if attempt == retries:
+                raise EngineError("embedding_unavailable", str(e)) from e
+            time.sleep(pause)
+    raise AssertionError
+
+
 def by_index(rows: list[dict]) -> list[list[float]]:
     """A response's vectors in the order of the request: indices are absent, or a permutation."""
     found = [r.get("index") for r in rows]

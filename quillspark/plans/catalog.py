@@ -8,10 +8,13 @@ from collections.abc import Callable
 from dataclasses import dataclass, replace
 from pathlib import Path
 
+from pyspark.sql import DataFrame, SparkSession
+
 from quillspark.errors import EngineError
 from quillspark.functions.text import closest
 
 NAME = re.compile(r"[A-Za-z0-9_-]+")
+ROWS = "id string, name string, path string, status string, created_at string, last_error string"
 
 
 @dataclass(frozen=True)
@@ -42,6 +45,24 @@ class Catalog:
         self._by_id = {v.id: v for v in vaults}
         self.now, self.data_dir = now, data_dir
 
+    @classmethod
+    def load(cls, table: DataFrame, **kw) -> Catalog:
+        """The catalog that `rows` wrote out: a row for each vault."""
+        return cls([Vault(**r.asDict()) for r in table.select("id", "name", "path", "status", "created_at", "last_error").collect()], **kw)
+
+    def rows(self, spark: SparkSession) -> DataFrame:
+        """The catalog as a table, to be written where `load` finds it."""
+        return spark.createDataFrame([(v.id, v.name, v.path, v.status, v.created_at, v.last_error) for v in self.list()], ROWS).coalesce(1)
+
+    def subscribe(self, token: str | None = None) -> list[str]:
+        """Ids of the vaults whose changes a reader gets: one, which must be active, or all that are active just now."""
+        if token is None:
+            return [v.id for v in self.list("active")]
+        v = self.get(token)
+        if v.status != "active":
+            raise EngineError("vault_not_active", f"{v.name!r} is {v.status}")
+        return [v.id]
+
     def list(self, status: str | None = None) -> list[Vault]:
         return [v for _, v in sorted(self._by_id.items()) if status in (None, v.status)]
 

@@ -12,8 +12,9 @@ from quillspark.functions.chunker import chunk_files
 from quillspark.functions.embed import Embedder, embed_chunks
 from quillspark.operators import content, diff, paths, ranked, semantic
 from quillspark.operators.merge import Result
-from quillspark.plans.catalog import Catalog, Scope
+from quillspark.plans.catalog import Catalog, Scope, Vault
 from quillspark.sources.snapshot import Snapshots
+from quillspark.streaming.changes import events
 
 FILES = ["vault", "path", "size", "mtime", "content_hash", "indexed_at", "content"]
 
@@ -70,25 +71,50 @@ class Engine:
         return Result(content.get_content(own, [v.id for v in scope.run], wanted), partial=scope.partial())
 
 
-def ingest(snapshots: Snapshots, disk: DataFrame, now: str, embed: Embedder | None = None, dims: int = 64) -> DataFrame:
+def ingest(snapshots: Snapshots, disk: DataFrame, now: str, embed: Embedder | None = None, dims: int = 64, vaults: list[str] | None = None) -> DataFrame:
     """Brings the snapshot up to what is on disk (vault, path, size, mtime, content_hash, content); the diff's report.
 
-    Chunks and vectors are made for new and changed files only. A file whose vectors can't be made stays searchable
-    by path and content, with null vectors.
+    vaults: those that disk is a listing of, by default those that it has files of; others are neither read nor
+    written. Chunks and vectors are made for new and changed files only. A file whose vectors can't be made stays
+    searchable by path and content, with null vectors.
     """
+    return diff.report(_ingest(snapshots, disk, now, embed, dims, vaults))
+
+
+def _ingest(snapshots: Snapshots, disk: DataFrame, now: str, embed: Embedder | None, dims: int, vaults: list[str] | None) -> DataFrame:
+    """ingest, and the diff as it was when the scan began."""
     spark = snapshots.spark
+    own = [r[0] for r in disk.select("vault").distinct().collect()] if vaults is None else vaults  # names of vaults
     if snapshots.current() is None:
         files = spark.createDataFrame([], disk.select("vault", "path", "size", "mtime", "content_hash").schema).withColumn("indexed_at", F.lit("")).withColumn("content", F.lit(""))
         chunks = None
     else:
-        files, chunks = snapshots.read("files").select(*FILES), snapshots.read("chunks")
+        files, chunks = snapshots.read("files", own).select(*FILES), snapshots.read("chunks", own)
+    disk = disk.where(F.col("vault").isin(own))
     changes = diff.scan_diff(disk, files)
     fresh = disk.join(changes.where(F.col("effect").isin("inserted", "updated")).select("vault", "path"), ["vault", "path"], "left_semi")
     made = chunk_files(fresh).withColumnRenamed("content_hash", "chunk_hash")
     made = embed_chunks(made, embed, dims) if embed else made.withColumn("embedding", F.lit(None).cast("array<float>"))
     gone = changes.where(F.col("effect") != "skipped").where(F.col("effect") != "hash_unchanged").select("vault", F.col("path").alias("file_path"))
     kept = made if chunks is None else chunks.select(*made.columns).join(gone, ["vault", "file_path"], "left_anti").unionByName(made)
-    counted = diff.report(changes)
-    done = spark.createDataFrame(counted.collect(), counted.schema)  # a row for each vault
-    snapshots.commit({"files": diff.apply_diff(files, disk, changes, now).select(*FILES), "chunks": kept})
-    return done
+    # the diff is a table of its own in the snapshot: a later look at the disk could give another
+    snapshots.commit({"files": diff.apply_diff(files, disk, changes, now).select(*FILES), "chunks": kept, "changes": changes}, own)
+    return snapshots.read("changes", own)
+
+
+def rescan(snapshots: Snapshots, disk: DataFrame, now: str, embed: Embedder | None = None, dims: int = 64, vaults: list[str] | None = None) -> DataFrame:
+    """ingest, answered by an event for each file that was created, modified or deleted."""
+    return events(_ingest(snapshots, disk, now, embed, dims, vaults), F.lit(now))
+
+
+def rebuild(snapshots: Snapshots, vault: str) -> int:
+    """Forgets a vault's chunks and its files' hashes, so that its next scan makes all anew; paths and texts stay."""
+    files = diff.rebuild(snapshots.read("files", [vault]))
+    return snapshots.commit({"files": files, "chunks": snapshots.read("chunks", [vault]).limit(0)}, [vault])
+
+
+def terminate(catalog: Catalog, snapshots: Snapshots, token: str) -> Vault:
+    """Takes a vault out of the catalog and the index; its notes stay."""
+    gone = catalog.terminate(token)
+    snapshots.forget(gone.id)
+    return gone

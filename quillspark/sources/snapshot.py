@@ -1,24 +1,29 @@
-"""Immutable snapshots of the engine's tables, and a pointer that moves to a new one in a single rename."""
+"""Immutable snapshots of the engine's tables, and a pointer that moves to a new one in a single rename.
+
+A table lies in <root>/<table>/vault=<id>/v=<version>. CURRENT says which version of each vault belongs to the snapshot,
+so a commit writes the vaults that it touches and no others, and readers see all of it or none.
+"""
 
 from __future__ import annotations
 
 import json
+import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructType
 
 from quillspark.errors import EngineError
 
-VERSION = 1
+VERSION = 2
 
 
 class Snapshots:
-    """Tables below a folder: v=<n>/<table>, each partitioned by vault; CURRENT names the snapshot that readers use."""
-
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
+        self._jvm = spark.sparkContext._jvm
+        self._path = self._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def current(self) -> int | None:
@@ -31,27 +36,77 @@ class Snapshots:
         got = json.loads(self.spark.read.text(f"{self.root}/CURRENT", wholetext=True).first()[0])
         if got["schema_version"] > VERSION:
             raise EngineError("schema_too_new", f"the snapshot has version {got['schema_version']}, this program reads {VERSION}")
+        if got["schema_version"] < VERSION:
+            raise EngineError("invalid_request", f"the snapshot has version {got['schema_version']}; scan its vaults into a new folder")
         return got
 
-    def read(self, name: str) -> DataFrame:
-        """A table of the current snapshot, with the schema it was written with (ids that look like numbers stay text)."""
+    def vaults(self, name: str) -> list[str]:
+        """The vaults that have rows in a table."""
+        return sorted(((self._pointer() or {"tables": {}})["tables"].get(name) or {"parts": {}})["parts"])
+
+    def read(self, name: str, vaults: Iterable[str] | None = None) -> DataFrame:
+        """A table of the current snapshot, of some vaults or all, with the schema it was written with (ids that look
+        like numbers stay text)."""
         now = self._pointer()
         if now is None:
             raise EngineError("invalid_request", "there is no snapshot yet")
-        return self.spark.read.schema(StructType.fromJson(now["tables"][name])).parquet(f"{self.root}/v={now['snapshot']}/{name}")
+        table = now["tables"][name]
+        schema = StructType.fromJson(table["schema"])
+        chosen = table["parts"] if vaults is None else {v: table["parts"][v] for v in set(vaults) if v in table["parts"]}
+        if not chosen:
+            return self.spark.createDataFrame([], schema)
+        base = f"{self.root}/{name}"
+        paths = [f"{base}/vault={self._escaped(k)}/v={v}" for k, v in sorted(chosen.items())]
+        whole = StructType(schema.fields).add("v", StringType())
+        return self.spark.read.schema(whole).option("basePath", base).parquet(*paths).select(*schema.names)
+
+    def _escaped(self, vault: str) -> str:
+        return self._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(vault)
 
-    def commit(self, tables: dict[str, DataFrame]) -> int:
-        """Writes all tables as a new snapshot, then points to it. Readers see all of it or none."""
-        n = (self.current() or 0) + 1
+    def commit(self, tables: dict[str, DataFrame], vaults: Iterable[str] | None = None) -> int:
+        """Writes tables (each with a column vault) as a new snapshot, then points to it.
+
+        With vaults, the tables hold only these vaults' rows, and what others had stays as it is; a vault that has no
+        rows leaves the table. Without, the tables are replaced altogether.
+        """
+        was = self._pointer() or {"snapshot": 0, "tables": {}}
+        n = was["snapshot"] + 1
+        version = f"{n}-{uuid.uuid4().hex[:12]}"  # files that a failed commit left are never taken for this one's
+        new = dict(was["tables"])
+        touched = None if vaults is None else set(vaults)
         for name, df in tables.items():
-            df.write.mode("overwrite").partitionBy("vault").parquet(f"{self.root}/v={n}/{name}")
-        temp = self._path(f"{self.root}/.CURRENT-{n}")
+            base = f"{self.root}/{name}"
+            df.withColumn("v", F.lit(version)).write.mode("append").partitionBy("vault", "v").parquet(base)
+            found = self._fs.globStatus(self._path(f"{base}/vault=*/v={version}")) or []
+            utils = self._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+            parts = {utils.unescapePathName(s.getPath().getParent().getName().removeprefix("vault=")): version for s in found}
+            kept = {k: v for k, v in new.get(name, {"parts": {}})["parts"].items() if touched is not None and k not in touched}
+            new[name] = {"schema": df.schema.jsonValue(), "parts": kept | parts}
+        return self._point(n, new)
+
+    def forget(self, vault: str) -> int:
+        """A snapshot without a vault, in all tables; its files stay until they are cleaned up."""
+        was = self._pointer() or {"snapshot": 0, "tables": {}}
+        return self._point(was["snapshot"] + 1, {k: t | {"parts": {p: v for p, v in t["parts"].items() if p != vault}} for k, t in was["tables"].items()})
+
+    def clean(self) -> int:
+        """Deletes the versions that the current snapshot doesn't hold; call it when no reader uses older ones."""
+        gone = 0
+        for name, table in (self._pointer() or {"tables": {}})["tables"].items():
+            held = {f"vault={self._escaped(k)}/v={v}" for k, v in table["parts"].items()}
+            for s in self._fs.globStatus(self._path(f"{self.root}/{name}/vault=*/v=*")) or []:
+                p = s.getPath()
+                if f"{p.getParent().getName()}/{p.getName()}" not in held:
+                    gone += bool(self._fs.delete(p, True))
+        return gone
+
+    def _point(self, n: int, tables: dict) -> int:
+        temp = self._path(f"{self.root}/.CURRENT-{n}-{uuid.uuid4().hex[:12]}")
         out = self._fs.create(temp, True)
-        out.write(bytearray(json.dumps({"schema_version": VERSION, "snapshot": n, "tables": {k: df.schema.jsonValue() for k, df in tables.items()}}).encode()))
+        out.write(bytearray(json.dumps({"schema_version": VERSION, "snapshot": n, "tables": tables}).encode()))
         out.close()
-        jvm = self.spark.sparkContext._jvm
-        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        options = self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = self._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
         context.rename(temp, self._path(f"{self.root}/CURRENT"), options)
         return n

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import re
+from dataclasses import dataclass
+from urllib.parse import unquote, urlsplit
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,12 +68,62 @@ def watched(path: Column) -> Column:
     return path.endswith(".md") & ~path.rlike(r"(^|/)\.") & ~F.greatest(*[name.contains(c).cast("int") for c in CONFLICTS]).cast("boolean")
 
 
+@dataclass(frozen=True)
+class Links:
+    """What symbolic links of a local folder lead to: the files to read, or None where a plain listing does."""
+
+    files: list[str] | None
+    outside: int = 0
+    errors: int = 0
+
+
+def follow_links(folder: str) -> Links:
+    """Follows a local folder's links; what they reach outside it, or can't reach, is counted and left out.
+
+    A folder that is reached twice is read once, under the path found first, so circles end. Folders of stores have no
+    links.
+    """
+    at = urlsplit(folder)
+    if at.scheme not in ("", "file"):
+        return Links(None)
+    root = unquote(at.path) if at.scheme else folder
+    real, seen, files, outside, errors, linked = os.path.realpath(root), set(), [], 0, 0, False
+    todo = [root]
+    while todo:
+        here = todo.pop()
+        if (own := os.path.realpath(here)) in seen:
+            continue
+        seen.add(own)
+        try:
+            entries = sorted(os.scandir(here), key=lambda e: e.name)
+        except OSError:
+            errors += 1
+            continue
+        for e in entries:
+            linked = linked or e.is_symlink()
+            if e.is_symlink() and not os.path.exists(e.path):
+                errors += e.name.endswith(".md")
+            elif e.is_symlink() and os.path.commonpath([real, os.path.realpath(e.path)]) != real:
+                outside += 1
+            elif e.is_dir():
+                todo.append(e.path)
+            elif e.name.endswith(".md"):
+                files.append(e.path)
+    return Links(files if linked or errors else None, outside, errors)
+
+
 def walk(spark: SparkSession, vault: str, folder: str, ignore: list[str] | None = None, gitignores: dict[str, str] | None = None, content: bool = True) -> DataFrame:
     """The Markdown files below a folder: vault, path, size, mtime and, if asked for, content and content_hash.
 
     Without content only the listing is read; a scan asks so first, and reads the files that need it afterwards.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(folder)
+    links = follow_links(folder)
+    listing = spark.read.format("binaryFile").option("pathGlobFilter", "*.md")
+    if links.files is None:
+        raw = listing.option("recursiveFileLookup", True).load(folder)
+    else:  # paths, not patterns
+        named = [re.sub(r"([\\\[\]{}*?])", r"\\\1", f) for f in links.files]
+        raw = listing.load(named) if named else listing.option("recursiveFileLookup", True).load(folder).limit(0)
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(folder)
     root = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toUri().getPath().rstrip("/") + "/"
