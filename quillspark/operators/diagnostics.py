@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.errors import EngineError
-from quillspark.functions.chunker import HARD
+from quillspark.functions.chunker import HARD, diagnose
 
 
 def chunk_diff(stored: DataFrame, recomputed: DataFrame) -> DataFrame:
@@ -33,6 +36,26 @@ def chunk_summary(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("vault", "file_path").agg(F.count("*").alias("chunks"), F.min(size).alias("min_bytes"), F.max(size).alias("max_bytes"), F.avg(size).alias("avg_bytes"), F.count_if(size > HARD).alias("oversized"))
 
 
+def diagnosed(chunks: DataFrame) -> DataFrame:
+    """chunks with fenced_bytes, languages, thematic_breaks, code_heavy, and warnings in words."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            found = [diagnose(c or "") for c in x["content"]]
+            yield x.assign(**{k: [f[k] for f in found] for k in ("fenced_bytes", "languages", "thematic_breaks", "code_heavy")})
+
+    fields = "fenced_bytes long, languages array<string>, thematic_breaks int, code_heavy boolean"
+    d = chunks.mapInPandas(run, ", ".join(f"`{n}` {t}" for n, t in chunks.dtypes) + ", " + fields)
+    return d.withColumn("warnings", F.array_compact(F.array(F.when(F.col("code_heavy"), "code-heavy"), F.when(F.col("thematic_breaks") > 0, "thematic-break-present"))))
+
+
+def debug_summary(found: DataFrame) -> DataFrame:
+    """chunk_summary for chunks that were diagnosed and have boundaries, with the code-heavy ones and the breaks."""
+    at_break = F.count_if(F.col("ended_by") == "thematic_break") + F.count_if((F.col("chunk_index") == 0) & (F.col("started_by") == "thematic_break"))
+    more = found.groupBy("vault", "file_path").agg(F.count_if("code_heavy").alias("code_heavy"), at_break.alias("break_boundaries"))
+    return chunk_summary(found).join(more, ["vault", "file_path"])
+
+
 def owner(files: DataFrame, path: str) -> str:
     """The one vault that has a path."""
     found = [r[0] for r in files.where(F.col("path") == path).select("vault").distinct().take(2)]

@@ -8,9 +8,10 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.errors import EngineError
 from quillspark.functions.chunker import chunk_files
 from quillspark.functions.embed import Embedder, embed_chunks
-from quillspark.operators import content, diff, paths, ranked, semantic
+from quillspark.operators import content, diagnostics, diff, paths, ranked, semantic
 from quillspark.operators.merge import Result
 from quillspark.plans.catalog import Catalog, Scope, Vault
 from quillspark.sources.snapshot import Snapshots
@@ -70,6 +71,23 @@ class Engine:
         own, scope = self._scoped(self.files, vaults)
         return Result(content.get_content(own, [v.id for v in scope.run], wanted), partial=scope.partial())
 
+    def debug_chunks(self, path: str, mode: str = "indexed", vaults: list[str] | None = None) -> Result:
+        """How one file is cut: its indexed chunks with their boundaries, a preview of a new cut, or the difference.
+
+        Just one vault in scope may have the path.
+        """
+        if mode not in ("indexed", "preview", "diff"):
+            raise EngineError("invalid_request", f"unknown mode {mode!r}")
+        own, scope = self._scoped(self.files, vaults)
+        vault = diagnostics.owner(own, path)
+        new = chunk_files(own.where((F.col("vault") == vault) & (F.col("path") == path)))
+        if mode == "preview":
+            return Result(diagnostics.diagnosed(new).orderBy("chunk_index"), partial=scope.partial())
+        old = self.chunks.where((F.col("vault") == vault) & (F.col("file_path") == path)).drop("embedding").withColumnRenamed("chunk_hash", "content_hash")
+        if mode == "diff":
+            return Result(diagnostics.chunk_diff(old, new).orderBy("chunk_index"), partial=scope.partial())
+        return Result(diagnostics.diagnosed(diagnostics.annotate(old, new)).orderBy("chunk_index"), partial=scope.partial())
+
 
 def ingest(snapshots: Snapshots, disk: DataFrame, now: str, embed: Embedder | None = None, dims: int = 64, vaults: list[str] | None = None) -> DataFrame:
     """Brings the snapshot up to what is on disk (vault, path, size, mtime, content_hash, content); the diff's report.

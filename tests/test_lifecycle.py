@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from quillspark.errors import EngineError
 from quillspark.functions.embed import Refused, Unavailable, hash_embedder, in_batches
 from quillspark.plans.catalog import Catalog, Vault
-from quillspark.plans.engine import ingest, rebuild, rescan, terminate
+from quillspark.operators.diagnostics import debug_summary
+from quillspark.plans.engine import Engine, ingest, rebuild, rescan, terminate
 from quillspark.sources.embedding_http import http_embedder
 from quillspark.sources.snapshot import Snapshots
 from quillspark.sources.vaults import follow_links, walk
@@ -144,3 +145,25 @@ def test_no_snapshot(spark, tmp_path):
     s.commit({"t": spark.createDataFrame([("007", 1), ("x", 2)], "vault string, n int")})
     s.commit({"t": spark.createDataFrame([], "vault string, n int")}, ["x"])
     assert [tuple(r) for r in s.read("t").orderBy(F.col("n")).collect()] == [("007", 1)]
+
+
+def test_debug_chunks(spark, two):
+    (two / "a" / "code.md").write_text("# Code\n\n```python\nprint('a long line of code')\nprint('another one')\n```\n\n---\n\nAfter the rule.\n")
+    (two / "b" / "b" / "x.md").write_text("x")
+    s, c = Snapshots(spark, f"{two}/index"), Catalog([Vault("1", "one", f"{two}/a"), Vault("2", "two", f"{two}/b/b")])
+    ingest(s, walk(spark, "1", f"{two}/a").unionByName(walk(spark, "2", f"{two}/b/b")), "t1")
+    e = Engine(c, s.read("files"), s.read("chunks"))
+    got = e.debug_chunks("code.md").rows
+    rows = got.collect()
+    assert [(r["started_by"], r["ended_by"], r["code_heavy"], r["warnings"], r["languages"]) for r in rows] == [("heading:h1", "thematic_break", True, ["code-heavy"], ["python"]), ("thematic_break", "document_end", False, [], [])]
+    one = debug_summary(got).first()
+    assert (one["chunks"], one["code_heavy"], one["break_boundaries"]) == (2, 1, 1)
+    assert e.debug_chunks("code.md", "preview").rows.count() == 2
+    assert {r["change"] for r in e.debug_chunks("code.md", "diff").rows.collect()} == {"same"}
+    changed = Engine(c, s.read("files").withColumn("content", F.concat("content", F.lit("\n# More\n\ntext\n"))), s.read("chunks"))
+    assert [r["change"] for r in changed.debug_chunks("code.md", "diff").rows.collect()] == ["same", "changed", "added"]
+    assert [r["ended_by"] for r in changed.debug_chunks("code.md").rows.collect()] == ["thematic_break", "indexed_unknown"]
+    for path, mode, code in (("x.md", "indexed", "invalid_request"), ("none.md", "indexed", "path_not_found"), ("code.md", "other", "invalid_request")):
+        with pytest.raises(EngineError, match=code):
+            e.debug_chunks(path, mode)
+    assert e.debug_chunks("x.md", vaults=["two"]).rows.count() == 1
