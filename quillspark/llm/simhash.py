@@ -17,6 +17,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +31,11 @@ _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
 #: Shingle hashes counted at a time, and pairs of nodes looked at at a time.
 BLOCK, FRONTIER = 1 << 15, 1 << 19
-#: Words of a wide fingerprint; its halves of 32 bits are looked up with as many errors. Bits in which fingerprints of
-#: documents with a given similarity of shingle sets differ, as a share: measured, nearly a line above 0.7.
-WIDE, HALF, ERRORS = 6, 32, 3
+#: Words of 64 bits of a wide fingerprint, whose halves of 32 bits are looked up with as many errors, and further words
+#: that pairs found there must about agree in. Candidates of sets up to SMALL shingles come from shared shingles instead.
+WIDE, HALF, ERRORS, CHECK, SMALL = 12, 32, 3, 2, 64
+#: Rounds that look at one candidate per document, before all that are left.
+ROUNDS = 2
 
 
 def fingerprint(text: str | None, k: int = 3, seed: int = 42) -> int:
@@ -59,15 +62,17 @@ def _majority(hashes: np.ndarray) -> np.uint64:
     return np.packbits(2 * counts > len(hashes)).view(">u8")[0].astype(np.uint64)
 
 
-def wide_fingerprint(text: str | None, k: int = 5, words: int = WIDE, seed: int = 42) -> np.ndarray:
-    """Several words of 64 such bits, each of other mixtures of the shingles' hashes."""
+def shingle_set(text: str | None, k: int = 5, seed: int = 42) -> np.ndarray:
+    """The different hashes of the text's shingles of k words, in order."""
     found = _WORDS.findall((text or "").translate(_LOWER))
-    if not found:
-        return np.zeros(words, np.uint64)
-    digest = xxhash.xxh64_intdigest
     if len(found) < k:
-        found, k = [" ".join(found)], 1
-    hashes = np.array([digest(s, seed) for s in map(" ".join, zip(*(found[i:] for i in range(k)), strict=False))], np.uint64)
+        found, k = [" ".join(found)] if found else [], 1
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(s, seed) for s in map(" ".join, zip(*(found[i:] for i in range(k)), strict=False))], np.uint64))
+
+
+def wide_fingerprint(hashes: np.ndarray, words: int = WIDE + CHECK) -> np.ndarray:
+    """Several words of 64 such bits, each of other mixtures of the hashes."""
     out = []
     for i in range(words):  # a step of the splitmix64 generator
         z = hashes + np.uint64((i + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
@@ -100,36 +105,42 @@ def _stars(links: np.ndarray, n: int) -> np.ndarray:
             root = root[root]
 
 
-def trie_join(tries: np.ndarray, codes: np.ndarray, budget: int, top: int, stop: int = 0, whole: np.ndarray | None = None, far: int = 0) -> np.ndarray:
-    """For each code the least place of its component within its trie.
+def trie_join(tries: np.ndarray, codes: np.ndarray, budget: int, top: int) -> np.ndarray:
+    """For each code the least place of its component within its trie."""
+    n = len(codes)
+    root = np.arange(n)
+    for links in trie_links(tries, codes, budget, top):
+        root = _stars(np.concatenate([links, np.stack([np.arange(n), root], 1)]), n)
+    return root
+
+
+def trie_links(tries: np.ndarray, codes: np.ndarray, budget: int, top: int, stop: int = 0, label: np.ndarray | None = None) -> Iterator[np.ndarray]:
+    """Pairs of places within a trie whose codes differ in at most budget bits, each once, some at a time.
 
-    Bits below `stop` aren't looked at. With `whole` (rows of wide fingerprints), linked codes must also have at most
-    `far` differing bits there.
+    Bits below `stop` aren't looked at on the way down. Nodes that hold one and the same `label` aren't joined.
 
     tries, codes (unsigned, sorted by trie and code): equal `tries` have equal top bits and form one trie. Pairs of
     nodes are ranges of places; small pairs are compared directly.
     """
-    n = len(codes)
-    root = np.arange(n)
     edges = np.flatnonzero(np.r_[True, tries[1:] != tries[:-1], True])
     lo, hi = edges[:-1], edges[1:]
     big = hi - lo > 1
     lo, hi = lo[big], hi[big]
     todo = [(63 - top, np.stack([lo, hi, lo, hi, np.zeros_like(lo)], 1))]
     ones: dict[int, np.ndarray] = {}
+    other = None if label is None else np.r_[0, np.cumsum(label[1:] != label[:-1])]
     while todo:
         bit, pairs = todo.pop()
         if len(pairs) > FRONTIER:
             half = len(pairs) // 2
             todo += [(bit, pairs[:half]), (bit, pairs[half:])]
             continue
+        if other is not None:
+            a0, a1, b0, b1, _ = pairs.T
+            pairs = pairs[(other[a0] != other[a1 - 1]) | (other[b0] != other[b1 - 1]) | (label[a0] != label[b0])]
         size = (pairs[:, 1] - pairs[:, 0]) * (pairs[:, 3] - pairs[:, 2])
         leaf = (size <= 64) | (bit < stop)
-        links = _compare(codes, pairs[leaf], budget)
-        if whole is not None and len(links):
-            links = links[np.bitwise_count(whole[links[:, 0]] ^ whole[links[:, 1]]).sum(1) <= far]
-        if len(links):
-            root = _stars(np.concatenate([links, np.stack([np.arange(n), root], 1)]), n)
+        yield from _compare(codes, pairs[leaf], budget)
         pairs = pairs[~leaf]
         if not len(pairs):
             continue
@@ -145,26 +156,21 @@ def trie_join(tries: np.ndarray, codes: np.ndarray, budget: int, top: int, stop:
         new = new[(new[:, 1] > new[:, 0]) & (new[:, 3] > new[:, 2]) & (new[:, 4] <= budget) & ~((new[:, 0] == new[:, 2]) & (new[:, 1] - new[:, 0] == 1))]
         if len(new):
             todo.append((bit - 1, new))
-    return root
 
 
-def _compare(codes: np.ndarray, pairs: np.ndarray, budget: int, at_once: int = 1 << 20) -> np.ndarray:
-    """The linked places of pairs of nodes."""
-    out = []
+def _compare(codes: np.ndarray, pairs: np.ndarray, budget: int, at_once: int = 1 << 20) -> Iterator[np.ndarray]:
+    """The linked places of pairs of nodes, some at a time however large a pair is."""
     size = (pairs[:, 1] - pairs[:, 0]) * (pairs[:, 3] - pairs[:, 2])
     upto = np.cumsum(size)
-    start = 0
-    while start < len(pairs):
-        stop = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + at_once, "right")))
-        p, s = pairs[start:stop], size[start:stop]
-        start = stop
-        of = np.repeat(np.arange(len(p)), s)
-        k = np.arange(len(of)) - np.repeat(np.cumsum(s) - s, s)
-        wide = (p[:, 3] - p[:, 2])[of]
-        a, b = p[of, 0] + k // wide, p[of, 2] + k % wide
-        near = (np.bitwise_count(codes[a] ^ codes[b]) <= budget) & (a != b)
-        out.append(np.stack([a[near], b[near]], 1))
-    return np.concatenate(out) if out else np.empty((0, 2), np.int64)
+    for start in range(0, int(upto[-1]) if len(pairs) else 0, at_once):
+        k = np.arange(start, min(start + at_once, int(upto[-1])))
+        of = np.searchsorted(upto, k, "right")
+        k -= (upto - size)[of]
+        wide = (pairs[:, 3] - pairs[:, 2])[of]
+        a, b = pairs[of, 0] + k // wide, pairs[of, 2] + k % wide
+        near = (np.bitwise_count(codes[a] ^ codes[b]) <= budget) & ((a < b) | (pairs[of, 0] != pairs[of, 2]))
+        if near.any():
+            yield np.stack([a[near], b[near]], 1)
 
 
 def _links(budget: int, top: int, many: int = 1 << 16):
@@ -237,71 +243,149 @@ def near_duplicates(docs: DataFrame, k: int = 3, budget: int = 3, seed: int = 42
     return fps.join(named, "fp").select("doc_id", "text_hash", "fp", F.col("first.doc_id").alias("component_id"), F.col("first.text_hash").alias("first_hash"))
 
 
-def _wide_links(far: int, many: int = 1 << 15):
+def _candidates(far: int, small: int, turn: int | None, many: int = 1 << 16):
+    """Candidate pairs of rows (trie, code, key, check words, label): with `turn` for each key the one that comes first
+    in the turn's order, as (a, b, place of b); else all with different labels."""
     top = HALF // (ERRORS + 1)
-
-    def flush(trie: list, code: list, fp: list) -> pa.RecordBatch:
-        whole = np.frombuffer(b"".join(fp), np.uint64).reshape(len(fp), -1)
-        root = trie_join(np.array(trie), np.array(code, np.int64).view(np.uint64), ERRORS, top, 64 - HALF, whole, far)
-        own = np.flatnonzero(root != np.arange(len(root)))
-        return pa.RecordBatch.from_arrays([pa.array([fp[i] for i in own], pa.binary()), pa.array([fp[root[i]] for i in own], pa.binary())], names=["a", "b"])
+    factor = np.uint64((2 * (turn or 0) + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)  # odd: each key has a place of its own
+
+    def flush(trie: np.ndarray, code: np.ndarray, key: np.ndarray, label: np.ndarray, *check: np.ndarray) -> Iterator[pa.RecordBatch]:
+        place = key.view(np.uint64) * factor
+        check = [c.view(np.uint64) for c in check]  # signed ones would be counted by their absolute values
+        best = np.full(len(key), (1 << 64) - 1, np.uint64)
+        of = np.zeros(len(key), np.int64)
+        met = np.zeros(len(key), bool)
+        for links in trie_links(trie, code.view(np.uint64), ERRORS, top, 64 - HALF, label):
+            links = links[label[links[:, 0]] != label[links[:, 1]]]
+            bits = sum(np.bitwise_count(c[links[:, 0]] ^ c[links[:, 1]]).astype(int) for c in check)
+            a, b = links[bits <= np.where(trie[links[:, 0]] < 0, small, far)].T
+            a, b = np.where(place[a] < place[b], b, a), np.where(place[a] < place[b], a, b)
+            if turn is None:
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(key[a], key[b])), pa.array(np.minimum(key[a], key[b])), pa.array(np.zeros(len(a), np.int64))], names=["a", "b", "place"])
+                continue
+            order = np.argsort(place[b], kind="stable")[::-1]
+            a, b = a[order], b[order]
+            nearer = place[b] < best[a]
+            of[a[nearer]], best[a[nearer]] = key[b[nearer]], place[b[nearer]]  # the last one counts: the least
+            met[a] = True
+        own = np.flatnonzero(met)
+        if len(own):
+            yield pa.RecordBatch.from_arrays([pa.array(key[own]), pa.array(of[own]), pa.array((best[own] >> np.uint64(1)).astype(np.int64))], names=["a", "b", "place"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[list, list, list] = ([], [], [])
+        held: list[list[np.ndarray]] = []
+        rows = 0
         for b in batches:
-            for h, c in zip(held, b.columns, strict=True):
-                h.extend(c.to_pylist())
-            trie = held[0]
-            if len(trie) >= many:
-                stop = len(trie) - 1
-                while stop and trie[stop - 1] == trie[-1]:
-                    stop -= 1
+            held.append([np.frombuffer(c.buffers()[1], np.int64)[c.offset : c.offset + len(c)] if not c.null_count else c.to_numpy(zero_copy_only=False) for c in b.columns])
+            rows += b.num_rows
+            if rows >= many:
+                x = [np.concatenate(c) for c in zip(*held, strict=True)]
+                stop = int(np.flatnonzero(np.r_[True, x[0][1:] != x[0][:-1]])[-1])  # the last trie may go on
+                held, rows = [[c[stop:] for c in x]], len(x[0]) - stop
                 if stop:
-                    yield flush(*(h[:stop] for h in held))
-                    for h in held:
-                        del h[:stop]
-        if held[0]:
-            yield flush(*held)
+                    yield from flush(*(c[:stop] for c in x))
+        if rows:
+            yield from flush(*(np.concatenate(c) for c in zip(*held, strict=True)))
 
     return run
 
 
+def _tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of tries for rows (key, label, fp, tokens)."""
+    codes, size = 64 // HALF * WIDE, HALF // (ERRORS + 1)
+    names = ["trie", "code", "key", "label", *(f"check{i}" for i in range(CHECK))]
+    for b in batches:
+        key, label = (b.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+        fps = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint64).reshape(len(key), WIDE + CHECK)
+        check = fps[:, WIDE:].view(np.int64)
+        tokens = [np.frombuffer(x, np.uint64) for x in b.column(3).to_pylist()]
+        n = np.array([len(x) for x in tokens])
+        row = np.repeat(np.arange(len(key)), n)
+        if len(row):  # a shared shingle is a trie of its own, in which all codes are equal
+            trie = (np.concatenate(tokens) | np.uint64(1 << 63)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (trie, np.zeros_like(trie), key[row], label[row], *check[row].T.copy())], names=names)
+        wide = fps[:, 0] != 0
+        half = np.ascontiguousarray(fps[wide, :WIDE]).view(np.uint32).reshape(-1, codes).astype(np.uint64)
+        rest = [pa.array(x) for x in (key[wide], label[wide], *check[wide].T.copy())]
+        for block in range(ERRORS + 1):
+            turned = (half << np.uint64(block * size) | half >> np.uint64(HALF - block * size)) & np.uint64((1 << HALF) - 1)
+            for i in range(codes):
+                trie = (turned[:, i] >> np.uint64(HALF - size)).astype(np.int64) * (codes * (ERRORS + 1)) + block * codes + i
+                yield pa.RecordBatch.from_arrays([pa.array(trie), pa.array((turned[:, i] << np.uint64(64 - HALF)).view(np.int64)), *rest], names=names)
+
+
 def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, text_hash, first_id, first_hash: each row of docs, and which document stands for its group.
 
-    Documents whose sets of k-word shingles have about that similarity or more differ in more bits than one trie can
-    afford. So fingerprints are wide; each half-word is a code of its own, with tries that allow ERRORS errors, and
-    pairs found there must agree in the whole fingerprint as documents of that similarity do. A pair just at the
-    threshold is found by at least one of the codes with a probability of about 0.97, closer ones nearly surely.
+    Two documents are linked if the Jaccard similarity of their sets of k-word shingles (64-bit hashes) of the whole
+    texts is at least that; groups are the components. Only candidates are compared, all of them exactly:
+
+    Sets over SMALL shingles have wide fingerprints; each half-word is a code of its own, with tries that allow ERRORS
+    errors, and pairs found there must be near in CHECK further words, with 3.5 standard deviations granted. A pair just
+    at the threshold is found by at least one code with a probability of about 0.999, closer ones nearly surely.
+    Smaller sets are compared if they share one of the first shingles in the order of hashes, as many as similar sets
+    can't all differ in; that finds all.
+
+    Candidates are first looked at one per document and round, so that large groups link up by a few comparisons each;
+    then all pairs that aren't in one group yet.
     """
-    codes, size = 64 // HALF * WIDE, HALF // (ERRORS + 1)
-    # cos of the angle is 2s / (1 + s) for sets of one size; half a standard deviation of the bits is granted
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    far = int(64 * WIDE * share + 0.5 * math.sqrt(64 * WIDE * share * (1 - share)))
+    exact = Fraction(str(similarity))
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi  # of bits that differ, for sets of one size
+    allowed = lambda p: int(64 * CHECK * p + 3.5 * math.sqrt(64 * CHECK * p * (1 - p)))
+    far, small = allowed(share), allowed(1.25 * share)  # 4 of 5 shingles: 0.1875
+    both = int(SMALL / exact)  # a set of SMALL may be similar to one of this size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [wide_fingerprint(x.as_py(), k).tobytes() for x in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, pa.binary())], names=["doc_id", "text_hash", "fp"])
+            out: tuple[list, list, list] = ([], [], [])
+            for x in b.column(2):
+                h = shingle_set(x.as_py(), k)
+                fp = wide_fingerprint(h)
+                fp[0] = fp[0] | np.uint64(fp[0] == 0) if len(h) > SMALL else 0
+                first = h[: len(h) - math.ceil(exact * len(h)) + 1] if 0 < len(h) <= both else h[:0]
+                for o, v in zip(out, (xxhash.xxh64_intdigest(h.tobytes()), fp.tobytes(), first.tobytes()), strict=True):
+                    o.append(v)
+            cols = [pa.array(np.array(out[0], np.uint64).view(np.int64)), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], names=["doc_id", "text_hash", "key", "fp", "tokens"])
+
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    fps = cut(hashed.mapInArrow(run, f"doc_id {id_type}, text_hash long, key long, fp binary, tokens binary"), "wide-fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
+    named = cut(fps.groupBy("key").agg(first, F.min("text_hash").alias("held")), "shingle-sets")
+    marks = fps.groupBy("key").agg(F.min("fp").alias("fp"), F.min("tokens").alias("tokens"))
 
-    def tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(nodes: DataFrame, turn: int | None) -> DataFrame:
+        words = ", ".join(f"check{i} long" for i in range(CHECK))
+        rows = nodes.select("key", "label", "fp", "tokens").mapInArrow(_tries, f"trie long, code long, key long, label long, {words}")
+        ordered = rows.repartition(partitions(docs.sparkSession), "trie").sortWithinPartitions("trie", F.col("code").bitwiseXOR(F.lit(-(1 << 63)).cast("long")))
+        return cut(ordered.mapInArrow(_candidates(far, small, turn), "a long, b long, place long"), "candidates")
+
+    pairs = found(marks.withColumn("label", F.col("key")), 0)
+    ends = cut(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), "ends")
+    texts = hashed.join(named.join(ends, "key").select("key", F.col("held").alias("text_hash")), "text_hash").groupBy("key").agg(F.first("text").alias("text"))
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = b.column(0).to_pylist()
-            half = np.frombuffer(b"".join(fps), np.uint32).reshape(len(fps), codes).astype(np.uint64)
-            for block in range(ERRORS + 1):
-                turned = (half << np.uint64(block * size) | half >> np.uint64(HALF - block * size)) & np.uint64((1 << HALF) - 1)
-                for i in range(codes):
-                    trie = (turned[:, i] >> np.uint64(HALF - size)).astype(np.int64) * (codes * (ERRORS + 1)) + block * codes + i
-                    yield pa.RecordBatch.from_arrays([pa.array(trie), pa.array((turned[:, i] << np.uint64(64 - HALF)).view(np.int64)), b.column(0)], names=["trie", "code", "fp"])
-
-    fps = cut(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, fp binary"), "wide-fingerprints")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
-    distinct = cut(fps.groupBy("fp").agg(first), "wide-distinct")
-    each = distinct.select("fp").mapInArrow(tries, "trie long, code long, fp binary").repartition(partitions(docs.sparkSession), "trie")
-    ordered = each.sortWithinPartitions("trie", F.col("code").bitwiseXOR(F.lit(-(1 << 63)).cast("long")))
-    joined = cut(stars(ordered.mapInArrow(_wide_links(far), "a binary, b binary")), "wide-stars")
-    named = _named(distinct, joined)
-    return fps.join(named, "fp").select("doc_id", "text_hash", F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash"))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(x.as_py(), k).view(np.int64) for x in b.column(1)], pa.list_(pa.int64()))], names=["key", "hashes"])
+
+    sets = cut(texts.mapInArrow(hashes, "key long, hashes array<long>"), "sets")
+    few = cut(marks.join(ends, "key"), "marks")
+    linked = None
+    for turn in [*range(ROUNDS), None]:
+        if turn != 0:
+            stars_ = cut(stars(linked), "set-stars")
+            label = F.coalesce("root", "key").alias("label")
+            pairs = found(few.join(stars_.select(F.col("a").alias("key"), F.col("b").alias("root")), "key", "left").select("key", label, "fp", "tokens"), turn)
+        one = pairs.select("a", "b").distinct() if turn is None else pairs.groupBy("a").agg(F.min_by("b", "place").alias("b"))
+        side = lambda e: sets.select(F.col("key").alias(e), F.col("hashes").alias(f"{e}_hashes"))
+        common = F.size(F.array_intersect("a_hashes", "b_hashes")).cast("long")
+        near = common * (exact.numerator + exact.denominator) >= (F.size("a_hashes") + F.size("b_hashes")) * exact.numerator
+        true = one.join(side("a"), "a").join(side("b"), "b").where(near).select("a", "b")
+        linked = cut(true if linked is None else true.union(linked), "links")
+    joined = cut(stars(linked), "set-stars")
+    names = _named(named.select(F.col("key").alias("fp"), "first"), joined).withColumnRenamed("fp", "key")
+    return fps.join(names, "key").select("doc_id", "text_hash", F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash"))
 
 
 def _named(distinct: DataFrame, joined: DataFrame) -> DataFrame:

@@ -283,6 +283,30 @@ def test_one_of_each_keeps_one_and_leaves_others(spark, odd, none):
     assert simhash.one_of_each(none).count() == 0
 
 
+def test_similar_groups_are_exact_around_the_threshold(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefghij", k=7))
+    data, place = [], 0
+    for n, near in ((300, range(10, 17)), (300, range(10, 17)), (90, range(2, 6)), (40, range(1, 4)), (9, (0,)), (8, (0,))) * 6:
+        base = [word() for _ in range(n)]
+        for changes in near:  # each pair of its own: one word changed in as many places, far from each other
+            mark = [f"{w}{place}" for w in base]
+            other = list(mark)
+            for i in range(changes):
+                other[(2 * i + 1) * n // (2 * changes)] = word()
+            data += [(place, " ".join(mark)), (place + 1, " ".join(other if changes else [*mark, word()]))]
+            place += 2
+    data += [(place + i, " ".join([*(f"w{j}" for j in range(60 + i))])) for i in range(60)]  # a chain
+    shingles = {i: {tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for i, t in data}
+    jaccard = lambda a, b: len(shingles[a] & shingles[b]) / len(shingles[a] | shingles[b])
+    pairs = [(a, a + 1) for a in range(0, place, 2)]
+    assert sum(0.78 <= jaccard(*p) < 0.8 for p in pairs) >= 6 and sum(0.8 <= jaccard(*p) < 0.83 for p in pairs) >= 6
+    got = {r["doc_id"]: r["first_id"] for r in rows(simhash.similar_groups(spark.createDataFrame(data, "doc_id long, text string")))}
+    for a, b in pairs:
+        assert got[a] == a and got[b] == (a if jaccard(a, b) >= 0.8 else b)
+    assert all(got[place + i] == place for i in range(60))
+
+
 # --- secrets
 
 
