@@ -125,8 +125,7 @@ def content_html_bodies(spark, sf):
 
 @_query(f"select {META}, content[1:200] as text, strlen(content) > 200 as truncated from files where strlen(content[1:200]) = 200")
 def preview_truncate(spark, sf):
-    f = adapters.files(spark, sf)
-    return f.where(F.octet_length(F.left("content", F.lit(200))) == 200).select("path", "size", "content_hash", "vault", byte_truncate(F.col("content"), 200).alias("text"), (F.octet_length("content") > 200).alias("truncated"))
+    return adapters.files(spark, sf).select("path", "size", "content_hash", "vault", byte_truncate(F.col("content"), 200).alias("text"), (F.octet_length("content") > 200).alias("truncated"))
 
 
 # --- across vaults

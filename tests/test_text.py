@@ -72,3 +72,12 @@ def test_stemmer_and_tokens():
 
 def test_closest():
     assert text.closest(["notes", "work"], "note") == "notes" and text.closest(["notes"], "elsewhere") is None
+
+
+def test_preview_has_every_file_cut_at_a_bound_of_characters(spark, tmp_path):
+    from quillspark.queries import QUERIES
+
+    texts = ["", "short", "é" * 100, "a" + "é" * 100, "ab€" * 70, "x" * 199 + "\U0001f600z", "x" * 200, "x" * 201]
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["path"]: (r["text"], r["truncated"]) for r in QUERIES["preview_truncate"](spark, str(tmp_path)).collect()}
+    assert got == {f"notes/s/{i:08d}.md": (t.encode()[:200].decode(errors="ignore"), len(t.encode()) > 200) for i, t in enumerate(texts)}
