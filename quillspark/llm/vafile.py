@@ -7,8 +7,8 @@ exact one. Exact vectors are then read in the order of their bounds, best first,
 exact score. Queries come in blocks too; each block of queries meets each block of vectors once, and only the k best
 of a block leave it.
 
-Equal vectors never need more than their k + 1 least ids, so more are left out beforehand, exactly; a hot vector is
-thus no hot block.
+Of a vector and id no more than k rows are ever needed, and of equal vectors no more than those of the k + 1 least
+different ids (one may be the query's own), so more are left out beforehand, exactly; a hot vector is thus no hot block.
 
 Defined results: vectors that are null, of another length than most, or that hold a null or non-finite component take
 no part; a repeated id is a row like any other, but never its own query's result; null ids take no part; an empty
@@ -79,8 +79,8 @@ def top_k(vectors: DataFrame, queries_every: int = 100, k: int = 10, scale: int
     ends = v.agg(*[f(F.get("v", F.lit(i))) for i in range(dims) for f in (F.min, F.max)]).first()
     low = np.array(ends[::2], np.int64)
     width = (np.array(ends[1::2], np.int64) - low) // CELLS + 1
-    same = Window.partitionBy("v").orderBy("vec_id")
-    distinct = v.withColumn("n", F.row_number().over(same)).where(F.col("n") <= k + 1).drop("n")
+    repeated = v.withColumn("n", F.row_number().over(Window.partitionBy("v", "vec_id").orderBy("vec_id"))).where(F.col("n") <= k)
+    distinct = repeated.withColumn("n", F.dense_rank().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("n") <= k + 1).drop("n")
     held = cut(distinct, "candidates")
     blocks = max(1, -(-held.count() // BLOCK))
     pack = lambda g: _pack(g, low, width)

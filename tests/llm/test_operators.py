@@ -101,6 +101,17 @@ def test_top_k_is_exact_with_ties_and_bad_vectors(spark, dims):
     assert len(got) == 10 * sum(i % 100 == 0 for i, _ in ok)
 
 
+def test_top_k_with_repeated_query_rows_among_equal_vectors(spark):
+    data = [(0, [1.0, 0.5])] * 2 + [(i, [1.0, 0.5]) for i in range(1, 21)] + [(100, [1.0, 0.5])] * 15 + [(7, [1.0, 0.5])] * 30 + [(30 + i, [0.5, i / 64]) for i in range(20)]
+    got = rows(vafile.top_k(spark.createDataFrame(data, "vec_id long, embedding array<float>")))
+    ok = [(i, np.floor(1024 * np.array(v)).astype(int)) for i, v in data]
+    for q in (0, 100):
+        v = next(w for i, w in ok if i == q)
+        want = sorted((-int(v @ w), i) for i, w in ok if i != q)[:10]
+        assert [(-r["score"], r["vec_id"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == want
+    assert len(got) == 20
+
+
 # --- HTML
 
 PAGE = '<html><head><title>t</title><script>var a="</p>"</script></head><body><header><h1>Site</h1></header><nav><ul><li>Menu</ul></nav><div class="cookie-notice">We use</div><article><h1>A &amp; B</h1><p>One <b>bold</b>\n two<p>Three<br>four<form>f</form><aside>Also</aside><section class="comments"><p>nice!</p></section></article><footer>end</footer></body></html>'
