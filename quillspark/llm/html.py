@@ -1,15 +1,18 @@
 """Main text of web pages by wrappers: union-free regular expressions inferred per host.
 
 Each page becomes a stream of block tags and text slots; runs of equal groups fold into repeated ones. Streams that
-differ are aligned one after the other, many of a host in rounds of bounded groups: what both have stays, groups in one alone become optional,
-a single occurrence of a repeated group counts as one repetition. The wrapper that results covers every page of its
-host. A slot knows its path of open blocks, and from counts over all of the host's pages whether its text ever
-differs; paths and constancy say which slots are content. A page is then matched against its host's wrapper and the
-text of its best content slots is taken.
+differ are aligned one after the other, many of a host in rounds of bounded groups: what both have stays, groups in one
+alone become optional, a single occurrence of a repeated group counts as one repetition. The wrapper that results
+covers every page of its host.
 
-Work per page happens where the page lies; only folded streams and counts per host and path are shuffled, summed
-first, so hot hosts weigh no more than others. Wrappers are broadcast up to `WRAPPER_BYTES` in all; beyond that they're
-joined by host and salt.
+Each different stream is then matched against its host's wrapper, which binds its texts to the wrapper's slots. A slot
+is judged by what its texts are like on all pages of the host (do they ever differ, how long are they, how much of
+them is links) and by what the elements around it say of themselves; classes of `body` and `html` say nothing. A page's
+text is that of its content slots, in page order.
+
+Pages are parsed once, where they lie, into a written table of texts; counts by slot are summed before they're shuffled.
+Which slots of a stream are content is broadcast if that table is small; else it's joined by host and stream, with hot
+streams dealt out over as many parts as their pages call for.
 
 Defined results: a null page counts as empty and has an empty text; pages without a URL form a host of their own;
 repeated rows each get a row; an empty table gives an empty one; other columns are ignored.
@@ -21,89 +24,136 @@ import json
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
-from functools import lru_cache
+from difflib import SequenceMatcher
 from html import unescape
 
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm._common import cut, sized
+from quillspark.llm._common import cut, partitions, sized
 
-WRAPPER_BYTES, SALTS = 32 << 20, 16
-#: Pages of a host from which text that is always the same counts as the template's.
+#: Different texts of a host's pages, beside which text that never differs counts as the template's.
 STEADY = 5
 #: Streams or wrappers that one task aligns in a round, about.
 FAN = 64
+#: Cells of a table of alignment; longer streams are cut at items that both have once, or at common runs.
+CELLS = 1 << 20
+#: Items of a wrapper times items of a stream, up to which all ways to match them are followed. Beyond it a stream whose
+#: first way fails has slots of its own.
+WORK = 1 << 24
 
 # Element names and class words with a meaning.
-BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
+BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = "script style noscript template iframe svg math textarea select title object canvas audio video button".split()
-OUT_TAGS = frozenset("nav aside form menu dialog head search footer label".split())
+OUT_TAGS = frozenset("nav aside menu dialog head search footer label".split())
 OUT_WORDS = frozenset("ad ads advert adverts advertisement advertising adsbygoogle sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login sidebar menu menus nav navbar navigation breadcrumb breadcrumbs footer comment comments commentlist respond replies reply disqus share sharing social related recommended recommendations widget widgets toolbar pagination pager skip paywall".split())
+COMMENT_WORDS = frozenset("comment comments commentlist respond replies reply disqus".split())
 OUT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 HEADER_WORDS = frozenset("header masthead topbar".split())
 MAIN_WORDS = frozenset("article content main post entry story articlebody".split())
+STATE_WORDS = (frozenset("has no with without is not hide show".split()), frozenset("open closed enabled disabled on off visible count left right".split()))
+STRUCTURE = frozenset("article main nav header footer section h1 h2 h3".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(" + "|".join(RAW) + r")(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>|<[!?][^>]*>",
+    r"|<(/?)([a-z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+)>|<[!?][^>]*>",
     re.S | re.I,
 )
-_ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?(?=[\s/]|$)", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-GONE, OTHER, MAIN, ARTICLE = 0, 1, 2, 3
-
-
-@lru_cache(4096)
-def _meaning(name: str, attributes: str) -> tuple[str, int | None]:
-    """An element's name in paths, and what it says of its content: a level, or None for nothing."""
-    got = {m[0].lower(): m[1] or m[2] or m[3] for m in _ATTRIBUTE.findall(attributes)} if attributes else {}
-    found = {w.lower() for k in ("class", "id", "itemprop") for w in _WORD.findall(got.get(k, ""))}
-    label = name + "".join(f".{w}" for w in sorted(found))
-    if name in OUT_TAGS or found & OUT_WORDS or got.get("role", "").lower() in OUT_ROLES or "hidden" in got or got.get("aria-hidden", "").lower() == "true" or "display:none" in got.get("style", "").replace(" ", "").lower():
-        return label, GONE
+#: Marks that a label ends with: what the element says of what's in it.
+OUT, DOUBT, MAIN, ARTICLE, HEADER, FORM = "-", "!", "+", "*", "^", "~"
+
+
+def label_of(name: str, attributes: str) -> str:
+    """An element's name in streams: its tag, the words of its classes and id, and its mark, if any."""
+    got = {}
+    for m in _ATTRIBUTE.findall(attributes) if attributes else ():
+        got.setdefault(m[0].lower(), m[1] or m[2] or m[3])
+    tokens = [[w.lower() for w in _WORD.findall(t)] for k in ("class", "id", "itemprop") for t in got.get(k, "").split()]
+    label = name + "".join(f".{w}" for w in sorted({w for t in tokens for w in t}))
+    hidden = "hidden" in got and got["hidden"].lower() != "false" or got.get("aria-hidden", "").lower() == "true" or "display:none" in got.get("style", "").replace(" ", "").lower()
+    if name in ("body", "html"):
+        return name
+    role = got.get("role", "").lower()
+    # "has-sidebar" and "comments-open" tell a state; "comment-list" and "site-footer" what it is
+    telling = [t for t in tokens if t and t[0] not in STATE_WORDS[0] and not (len(t) > 1 and t[-1] in STATE_WORDS[1])]
+    says = lambda words: any(w in words for t in telling for w in t)
+    if name == "main" or role == "main" and not hidden:
+        return label + MAIN
+    if name in OUT_TAGS or hidden or role in OUT_ROLES or says(COMMENT_WORDS):
+        return label + OUT
+    if says(OUT_WORDS):
+        return label + DOUBT
     if name == "article":
-        return label, ARTICLE
-    if name == "main" or got.get("role", "").lower() == "main" or found & MAIN_WORDS:
-        return label, MAIN
-    if name == "header" or found & HEADER_WORDS:
-        return label, OTHER - 2  # out unless in an article
-    return label, None
+        return label + ARTICLE
+    if says(MAIN_WORDS):
+        return label + MAIN
+    if name == "header" or says(HEADER_WORDS):
+        return label + HEADER
+    return label + FORM if name == "form" else label
+
 
+def blocks(html: str, known: dict | None = None) -> list[str | tuple[str, int]]:
+    """A page's stream: tags ("p", "/p"), and each block's text with how many of its characters lie in links.
 
-def blocks(html: str) -> Iterator[tuple[str, int, str] | str]:
-    """A page's stream: tags ("p", "/p"), and for each block with text its (path, level, text)."""
-    stack: list[tuple[str, str, int]] = [("", "", OTHER)]
+    known: labels of (name, attributes), remembered between pages.
+    """
+    known = {} if known is None else known
+    if len(known) > 50_000:
+        known.clear()
+
+    def label(name: str, attributes: str) -> str:
+        at = (name, attributes)
+        if at not in known:
+            known[at] = label_of(name, attributes)
+        return known[at]
+
+    found: list[str | tuple[str, int]] = []
+    stack: list[tuple[str, str]] = [("", "")]
     text: list[str] = []
     inline_out: list[str] = []
-    at = 0
+    forms: list[int] = []
+    at = links = anchor = 0
 
     def flush():
+        nonlocal links
         if text:
             whole = " ".join("".join(text).split())
             text.clear()
             if whole:
-                yield "/".join(x[1] for x in stack[1:]), stack[-1][2], whole
+                found.append((whole, min(links, len(whole))))
+        links = 0
 
     def close(to: int):
         while len(stack) > to:
-            yield f"/{stack.pop()[1]}"
+            name, own = stack.pop()
+            if name == "form" and forms:
+                forms.pop()
+            found.append(f"/{own}")
+
+    def add(part: str):
+        nonlocal links
+        part = unescape(part)
+        text.append(part)
+        if anchor:
+            links += len(part.strip())
 
     for m in _TOKEN.finditer(html):
         start = m.start()
         if start > at and not inline_out:
-            text.append(unescape(html[at:start]))
+            add(html[at:start])
         at = m.end()
         name = m[3]
         if not name:
             continue
         name = name.lower()
-        if name not in BLOCKS and name != "head":
+        if name not in BLOCKS:
             if inline_out:
                 if m[2] and name in inline_out:
                     del inline_out[inline_out.index(name) :]
@@ -111,70 +161,126 @@ def blocks(html: str) -> Iterator[tuple[str, int, str] | str]:
                     inline_out.append(name)
             elif name == "br":
                 text.append(" ")
-            elif not m[2] and name not in VOID and _meaning(name, m[4])[1] == GONE:
+            elif name == "a":
+                anchor = 0 if m[2] else 1
+            if not m[2] and not inline_out and name not in VOID and label(name, m[4])[-1] in (OUT, DOUBT):
                 inline_out.append(name)
             continue
         inline_out.clear()
-        yield from flush()
+        flush()
         if m[2]:
-            at_depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name), 0)
-            if at_depth:
-                yield from close(at_depth)
+            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name), 0)
+            if depth:
+                close(depth)
             continue
         if name in ("body", "html"):
-            yield from close(1)
+            close(1)
         elif stack[-1][0] == "p":
-            yield from close(len(stack) - 1)
+            close(len(stack) - 1)
         for i in range(len(stack) - 1, max(0, len(stack) - 4), -1):
             if stack[i][0] in CLOSES.get(name, ()):
-                yield from close(i)
+                close(i)
                 break
             if stack[i][0] in ("ul", "ol", "dl", "table"):
                 break
         if name == "hr":
             continue
-        label, says = _meaning(name, m[4])
-        level = stack[-1][2]
-        if says == GONE or level == GONE:
-            level = GONE
-        elif says == OTHER - 2:
-            level = level if level == ARTICLE else GONE
-        elif says is not None:
-            level = max(level, says)
-        stack.append((name, label, level))
-        yield label
+        if name in STRUCTURE:  # a form around it is the page's frame, not something to fill in
+            for i in forms:
+                found[i] = found[i].rstrip(FORM)
+        own = label(name, m[4])
+        if name == "form":
+            forms.append(len(found))
+        stack.append((name, own))
+        found.append(own)
     if at < len(html) and not inline_out:
-        text.append(unescape(html[at:]))
-    yield from flush()
-    yield from close(1)
+        add(html[at:])
+    flush()
+    close(1)
+    return found
+
 
+# --- streams and wrappers: lists of tags, text slots ("#", the element that they're in, and what those around it say
+# together), ["+", ...] repeated, ["?", ...] optional
 
-# --- streams and wrappers: lists of tags, "#" for a text slot, ["+", ...] repeated, ["?", ...] optional
 
+def fold(items: list, of: list[list[list[int]]] | None = None) -> list:
+    """items with runs of equal groups (of up to 12 items) folded into repeated ones.
 
-def fold(items: list) -> list:
-    """items with runs of equal groups (of up to 12 items) folded into repeated ones."""
+    of: for each item the places of texts that its slots hold, a list a slot; it is folded likewise, in place.
+    """
     out: list = []
-    for x in items:
+    kept: list[list[list[int]]] = []
+
+    def merge(to: list, more: list) -> None:
+        for x, y in zip([s for p in to for s in p], [s for p in more for s in p], strict=True):
+            x.extend(y)
+
+    for k, x in enumerate(items):
         out.append(x)
+        kept.append(of[k] if of is not None else [])
         again = True
         while again:
             again = False
             for n in range(1, min(12, len(out)) + 1):
                 tail = out[-n:]
                 if n < len(out) and isinstance(out[-n - 1], list) and out[-n - 1][0] == "+" and out[-n - 1][1:] == tail:
-                    del out[-n:]
-                elif len(out) >= 2 * n and not (n == 1 and isinstance(tail[0], list)) and out[-2 * n : -n] == tail:
+                    merge(kept[-n - 1 : -n], kept[-n:])
+                    del out[-n:], kept[-n:]
+                elif len(out) >= 2 * n and out[-1] == out[-n - 1] and not (n == 1 and isinstance(tail[0], list)) and out[-2 * n : -n] == tail:
+                    merge(kept[-2 * n : -n], kept[-n:])
                     out[-2 * n :] = [["+", *tail]]
+                    kept[-2 * n :] = [[s for p in kept[-2 * n : -n] for s in p]]
                 else:
                     continue
                 again = True
                 break
+    if of is not None:
+        of[:] = kept
+    return out
+
+
+def named(found: list) -> list[str]:
+    """The stream of blocks() with a slot's name for each text."""
+    out: list[str] = []
+    stack: list[str] = []
+    name = None
+    for x in found:
+        if not isinstance(x, str):
+            if name is None:
+                marks = {own[-1] for own in stack}
+                inside = next((m for m in (ARTICLE, MAIN) if m in marks), "")
+                gone = marks & {OUT, FORM} or HEADER in marks and not inside
+                name = "#" + (stack[-1] if stack else "") + "#" + (OUT if gone else DOUBT if DOUBT in marks else inside)
+            out.append(name)
+            continue
+        name = None
+        if x[0] != "/":
+            stack.append(x)
+        elif stack:
+            stack.pop()
+        out.append(x)
+    return out
+
+
+def stream_of(found: list, places: list | None = None) -> list:
+    """The folded stream of blocks(); places gets for each of its slots, in order, which blocks' texts it holds."""
+    n, of = 0, []
+    for x in found:
+        of.append([] if isinstance(x, str) else [[n]])
+        n += not isinstance(x, str)
+    out = fold(named(found), of)
+    if places is not None:
+        places += [s for p in of for s in p]
     return out
 
 
+def _slots(item) -> int:
+    return sum(map(_slots, item[1:])) if isinstance(item, list) else int(item[0] == "#")
+
+
 def _once(items: list, bodies: list[list]) -> list:
-    """items with single occurrences of repeated groups' bodies as groups."""
+    """items with single occurrences of repeated groups' bodies as groups. Slots stay in order."""
     out, i = [], 0
     while i < len(items):
         body = next((b for b in bodies if items[i : i + len(b)] == b), None)
@@ -183,110 +289,178 @@ def _once(items: list, bodies: list[list]) -> list:
     return out
 
 
-def align(a: list, b: list) -> list:
-    """The wrapper that covers what a and b cover."""
-    inner = lambda x: sorted((y[1:] for y in x if isinstance(y, list)), key=len, reverse=True)
-    a, b = _once(a, inner(b)), _once(b, inner(a))
-    bare = lambda x: x[1:] if isinstance(x, list) and x[0] == "?" else [x]
-    # optional groups are laid open for the alignment, each item marked
-    flat = [(y, isinstance(x, list) and x[0] == "?") for x in a for y in bare(x)]
-    other = [(y, isinstance(x, list) and x[0] == "?") for x in b for y in bare(x)]
-    n, m = len(flat), len(other)
+def _flat(wrapper: list) -> list[tuple]:
+    """The items of a wrapper, each with: is it optional?"""
+    return [(y, isinstance(x, list) and x[0] == "?") for x in wrapper for y in (x[1:] if isinstance(x, list) and x[0] == "?" else [x])]
+
+
+def _bodies(flat: list[tuple]) -> list[list]:
+    return sorted((y[1:] for y, _ in flat if isinstance(y, list)), key=len, reverse=True)
+
+
+def _common(a: list, b: list) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence; of long lists a common one, found between runs that both have."""
+    n, m = len(a), len(b)
+    if n * m > CELLS:
+        return [(x.a + i, x.b + i) for x in SequenceMatcher(None, a, b, autojunk=True).get_matching_blocks() for i in range(x.size)]
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
+        row, below, x = best[i], best[i + 1], a[i]
         for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if flat[i][0] == other[j][0] else max(best[i + 1][j], best[i][j + 1])
-    out: list = []
-    i = j = 0
-    while i < n or j < m:
-        if i < n and j < m and flat[i][0] == other[j][0]:
-            out.append((flat[i][0], flat[i][1] or other[j][1]))
+            row[j] = below[j + 1] + 1 if x == b[j] else max(below[j], row[j + 1])
+    out, i, j = [], 0, 0
+    while i < n and j < m:
+        if a[i] == b[j]:
+            out.append((i, j))
             i, j = i + 1, j + 1
-        elif j == m or i < n and best[i + 1][j] >= best[i][j + 1]:
-            out.append((flat[i][0], True))
+        elif best[i + 1][j] >= best[i][j + 1]:
             i += 1
         else:
-            out.append((other[j][0], True))
             j += 1
+    return out
+
+
+def align(a: list, b: list) -> list:
+    """The wrapper that covers what a and b cover."""
+    a, b = _once(a, _bodies(_flat(b))), _once(b, _bodies(_flat(a)))
+    flat, other = _flat(a), _flat(b)  # optional groups are laid open for the alignment, each item marked
+    names: dict[str, int] = {}
+    number = lambda x: [names.setdefault(json.dumps(y), len(names)) for y, _ in x]
     merged: list = []
-    for item, optional in out:
+
+    def put(item, optional: bool) -> None:
         if not optional:
             merged.append(item)
         elif merged and isinstance(merged[-1], list) and merged[-1][0] == "?":
             merged[-1].append(item)
         else:
             merged.append(["?", item])
+
+    i = j = 0
+    for p, q in [*_common(number(flat), number(other)), (len(flat), len(other))]:
+        for x, _ in flat[i:p]:
+            put(x, True)
+        for x, _ in other[j:q]:
+            put(x, True)
+        if p < len(flat):
+            put(flat[p][0], flat[p][1] or other[q][1])
+        i, j = p + 1, q + 1
     return merged
 
 
-def covers(wrapper: list, stream: list) -> bool:
-    """Does the wrapper match the folded stream?"""
-    flat = [(y, isinstance(x, list) and x[0] == "?") for x in wrapper for y in (x[1:] if isinstance(x, list) and x[0] == "?" else [x])]
-    once = _once(stream, sorted((y[1:] for y, _ in flat if isinstance(y, list)), key=len, reverse=True))
-    return _follows(flat, once) or once != stream and _follows(flat, stream)
+def bind(wrapper: list, stream: list) -> list[int] | None:
+    """For each slot of the folded stream the wrapper's slot that it is, or None if the wrapper doesn't match it."""
+    flat = _flat(wrapper)
+    places = _follow(flat, stream)
+    if places is None:
+        return None
+    first, n = [], 0
+    for x, _ in flat:
+        first.append(n)
+        n += _slots(x)
+    return [first[q] + k for q in places for k in range(_slots(flat[q][0]))]
 
 
-def _follows(flat: list[tuple], stream: list) -> bool:
-    """Can the stream be had from the items by leaving out optional ones?
+def _follow(flat: list[tuple], stream: list) -> list[int] | None:
+    """The places of the wrapper's items that the stream is, by leaving out optional ones; None if it can't be.
 
-    Taking the first item that fits mostly does; where it doesn't, all places that the stream may be at are followed.
+    A repeated group is matched by itself or by its body, once. Taking the first item that fits mostly does; where it
+    doesn't, all places that the stream may be at are followed.
     """
-    i = 0
-    for x in stream:
-        while i < len(flat) and flat[i][0] != x and flat[i][1]:
+    names: dict[str, int] = {}
+    number = lambda x: names.setdefault(x if isinstance(x, str) else json.dumps(x), len(names))
+    wrap = [(number(x), optional) for x, optional in flat]
+    items = [number(x) for x in stream]
+    i, out = 0, []
+    for x in items:
+        while i < len(wrap) and wrap[i][0] != x and wrap[i][1]:
             i += 1
-        if i == len(flat) or flat[i][0] != x:
+        if i == len(wrap) or wrap[i][0] != x:
             break
+        out.append(i)
         i += 1
     else:
-        if all(optional for _, optional in flat[i:]):
-            return True
-    n = len(flat)
+        if all(optional for _, optional in wrap[i:]):
+            return out
+    n, m = len(wrap), len(items)
+    if n * m > WORK:
+        return None
     reach = [n] * (n + 1)  # how far a place can be left behind: up to the next item that isn't optional
-    places: dict[str, list[int]] = {}
+    where: dict[int, list[int]] = {}
+    bodies: dict[int, list[tuple[list[int], int]]] = {}  # by first item
     for q in range(n - 1, -1, -1):
-        reach[q] = reach[q + 1] if flat[q][1] else q
-        places.setdefault(str(flat[q][0]), []).append(q)
-    at = [0]
-    for x in stream:
-        new = []
-        for q in reversed(places.get(str(x), ())):
-            k = bisect_right(at, q) - 1  # the last place before it reaches furthest
-            if k >= 0 and reach[at[k]] >= q:
-                new.append(q + 1)
-        at = new
-        if not at:
-            return False
-    return reach[at[-1]] == n
+        reach[q] = reach[q + 1] if wrap[q][1] else q
+        where.setdefault(wrap[q][0], []).append(q)
+        if isinstance(flat[q][0], list):
+            body = [number(x) for x in flat[q][0][1:]]
+            bodies.setdefault(body[0], []).append((body, q))
+    steps: list[dict[int, int]] = [{0: 0}, *({} for _ in items)]  # by items matched: place -> how many the last one took
+    sure: list[list[int]] = []
+    for k in range(m + 1):
+        sure.append(at := sorted(steps[k]))
+        if k == m or not at:
+            continue
+        for size, q in [*((1, q) for q in where.get(items[k], ())), *((len(b), q) for b, q in bodies.get(items[k], ()) if items[k : k + len(b)] == b)]:
+            j = bisect_right(at, q) - 1  # the last place before it reaches furthest
+            if j >= 0 and reach[at[j]] >= q:
+                steps[k + size][q + 1] = size
+    if not sure[m] or reach[sure[m][-1]] != n:
+        return None
+    out, k, p = [], m, sure[m][-1]
+    while k:
+        out.append(p - 1)
+        k -= steps[k][p]
+        p = sure[k][bisect_right(sure[k], out[-1]) - 1]
+    return out[::-1]
 
 
-def stream_of(found: list) -> list:
-    return fold([x if isinstance(x, str) else "#" for x in found])
+def covers(wrapper: list, stream: list) -> bool:
+    """Does the wrapper match the folded stream?"""
+    return bind(wrapper, stream) is not None
+
+
+def hints(stream: list) -> list[str]:
+    """For each slot what the elements around it say: OUT, DOUBT (by their classes only), MAIN, ARTICLE or nothing."""
+    return [h for x in stream for h in (hints(x[1:]) if isinstance(x, list) else [x.rpartition("#")[2]] if x[0] == "#" else [])]
 
 
 def host_of(url: str | None) -> str:
     return re.sub(r"^[a-z][\w+.-]*://|[/?#].*", "", url or "", flags=re.I | re.S).lower()
 
 
-def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per batch: host, kind, what, pages, low, high. A row for each host's folded stream, and for each path of slots
-    with the least and greatest hash of a page's text there."""
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known: dict = {}
+    texts_type = pa.list_(pa.struct([("at", pa.int32()), ("text", pa.string()), ("links", pa.int32())]))
+    names = ["page_id", "url", "host", "stream", "key", "page", "texts"]
     for b in batches:
-        rows: dict[tuple, list] = {}
-        for url, html in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            found, host = list(blocks(html.as_py() or "")), host_of(url)
-            rows.setdefault((host, "stream", json.dumps(stream_of(found))), [0, 0, 0])[0] += 1
-            texts: dict[tuple, xxhash.xxh64] = {}
-            for x in found:
-                if not isinstance(x, str) and x[1] == OTHER:
-                    texts.setdefault(x[:2], xxhash.xxh64()).update(x[2])
-            for (path, _), h in texts.items():
-                v = h.intdigest() >> 1
-                r = rows.setdefault((host, "path", path), [0, v, v])
-                r[0], r[1], r[2] = r[0] + 1, min(r[1], v), max(r[2], v)
+        rows: list[tuple] = []
+        held = 0
+        for page_id, url, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+            found, places = blocks(html.as_py() or "", known), []
+            stream = json.dumps(stream_of(found, places))
+            slot = {i: k for k, s in enumerate(places) for i in s}
+            texts = [x for x in found if not isinstance(x, str)]
+            whole = xxhash.xxh64("\n".join(x[0] for x in texts)).intdigest() >> 1
+            rows.append((page_id, url, host_of(url), stream, xxhash.xxh64(stream).intdigest() >> 1, whole, [{"at": slot[i], "text": t, "links": n} for i, (t, n) in enumerate(texts)]))
+            held += len(html.as_py() or "")
+            if held > 8 << 20:
+                yield _batch(rows, texts_type, names, b.column(0).type)
+                rows, held = [], 0
         if rows:
-            c = list(zip(*(k + tuple(v) for k, v in rows.items()), strict=True))
-            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.string()) for x in c[:3]), *(pa.array(x, pa.int64()) for x in c[3:])], names=["host", "kind", "what", "pages", "low", "high"])
+            yield _batch(rows, texts_type, names, b.column(0).type)
+
+
+def _batch(rows: list[tuple], texts: pa.DataType, names: list[str], page_id: pa.DataType) -> pa.RecordBatch:
+    types = [page_id, pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), texts]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
+
+def parsed(pages: DataFrame) -> DataFrame:
+    """page_id, url, host, stream (folded, as JSON), its key, page (a hash of all text), texts with the slot that each
+    is in: a written table with a row for each page (page_id, url, html)."""
+    kind = pages.schema["page_id"].dataType.simpleString()
+    schema = f"page_id {kind}, url string, host string, stream string, key long, page long, texts array<struct<at:int,text:string,links:int>>"
+    return cut(pages.select("page_id", "url", "html").mapInArrow(_parse, schema), "parsed-pages")
 
 
 def _infer(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -301,82 +475,96 @@ def _infer(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"host": [key[0]], "wrapper": [json.dumps(wrapper)], "pages": [int(rows["pages"].sum())]})
 
 
-def wrappers(pages: DataFrame, fan: int = FAN) -> DataFrame:
-    """host, wrapper (as JSON, with the paths whose text never differs) for pages (url, html).
+def streams(read: DataFrame) -> DataFrame:
+    """host, key, stream, pages: a row for each different stream of a host of parsed pages, written."""
+    return cut(read.groupBy("host", "key", "stream").agg(F.count("*").alias("pages")), "streams")
+
+
+def wrappers(found: DataFrame, fan: int = FAN) -> DataFrame:
+    """host, wrapper (as JSON), pages for the streams of hosts.
 
     A host's streams are aligned in rounds, about `fan` in a task, until one wrapper is left; so a host with any number
     of different streams never meets in one task.
     """
-    schema = "host string, wrapper string, pages long"
-    found = pages.select("url", "html").mapInArrow(_learn, "host string, kind string, what string, pages long, low long, high long")
-    summed = cut(found.groupBy("host", "kind", "what").agg(F.sum("pages").alias("pages"), F.min("low").alias("low"), F.max("high").alias("high")), "streams")
-    level = summed.where("kind = 'stream'").select("host", F.col("what").alias("wrapper"), "pages")
+    level = found.select("host", F.col("stream").alias("wrapper"), "pages")
     while True:
         counts = cut(level.groupBy("host").agg(F.count("*").alias("n")), "streams-of-hosts")
         if (counts.agg(F.max("n")).first()[0] or 0) <= 1:
-            break
+            return level
         part = F.pmod(F.xxhash64("wrapper"), F.ceil(F.col("n") / F.lit(fan)).cast("long")).alias("part")
-        level = cut(level.join(sized(counts), "host").select("host", "wrapper", "pages", part).groupBy("host", "part").applyInPandas(_infer, schema), "wrappers-round")
-    same = summed.where((F.col("kind") == "path") & (F.col("pages") >= STEADY) & (F.col("low") == F.col("high")))
-    steady = same.groupBy("host").agg(F.array_sort(F.collect_set("what")).alias("steady"))
-    paths = F.coalesce(F.to_json("steady"), F.lit("[]"))
-    return level.join(steady, "host", "left").select("host", F.concat(F.lit('{"wrapper": '), "wrapper", F.lit(', "steady": '), paths, F.lit("}")).alias("wrapper"))
-
+        dealt = level.join(sized(counts), "host").select("host", "wrapper", "pages", part)
+        level = cut(dealt.groupBy("host", "part").applyInPandas(_infer, "host string, wrapper string, pages long"), "wrappers-round")
 
-def main_text(html: str, learned: dict | None) -> str:
-    """A page's main text: of its blocks in content slots, those of the best level that the page has.
 
-    Levels: in an article; in what calls itself main content; elsewhere, if the host's wrapper doesn't always have the
-    same text there. A page that its wrapper doesn't cover is read by paths alone.
+def _bind(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A row for each slot of a stream: host, key, at, slot (the wrapper's), hint. A stream that its wrapper doesn't
+    match, if there is one, has slots of its own."""
+    for b in batches:
+        out: list[tuple] = []
+        held: tuple = ("", [])
+        for host, key, stream, wrapper in b.itertuples(index=False):
+            if held[0] != wrapper:
+                held = (wrapper, json.loads(wrapper))
+            items = json.loads(stream)
+            slots = bind(held[1], items)
+            out += [(host, key, at, f"{key}:{at}" if slots is None else str(slots[at]), hint) for at, hint in enumerate(hints(items))]
+        yield pd.DataFrame(out, columns=["host", "key", "at", "slot", "hint"])
+
+
+def score() -> Column:
+    """How much speaks for a slot: content if it's over 0."""
+    links = F.col("links") / F.greatest(F.col("chars"), F.lit(1))
+    constant = (F.col("low") == F.col("high")) & (F.col("contents") >= STEADY)
+    prose = (F.col("chars") / F.greatest(F.col("texts"), F.lit(1)) >= 60) & (links < 0.3)
+    most = prose & ~constant & (2 * F.col("chars") > F.col("host_chars"))
+    hint = F.element_at(F.create_map(*[F.lit(x) for kv in {ARTICLE: 3, MAIN: 2, "": 0, DOUBT: -4, OUT: -9}.items() for x in kv]), F.col("hint"))
+    points = lambda x, n: F.when(x, n).otherwise(0)
+    return 1 + hint - points(constant, 2) - points(links > 0.5, 2) + points(prose, 1) + points(most, 3)
+
+
+def slots(read: DataFrame, found: DataFrame, learned: DataFrame) -> DataFrame:
+    """host, key, pages, kept (slots of the stream that are content): a row for each different stream of a host.
+
+    Slots outside what calls itself the article or main content count only where they hold over twice as much text as
+    those inside.
     """
-    found = list(blocks(html))
-    steady: set[str] = set()
-    if learned and learned["wrapper"] is not None and covers(learned["wrapper"], stream_of(found)):
-        steady = learned["steady"]
-    texts = [x for x in found if not isinstance(x, str) and x[1] > GONE and not (x[1] == OTHER and x[0] in steady)]
-    best = max((x[1] for x in texts), default=GONE)
-    return "\n\n".join(x[2] for x in texts if x[1] == best)
+    bound = cut(found.join(sized(learned.select("host", "wrapper")), "host").select("host", "key", "stream", "wrapper").mapInPandas(_bind, "host string, key long, at int, slot string, hint string"), "bound-slots")
+    each = read.select("host", "key", "page", F.explode("texts").alias("t")).select("host", "key", "page", "t.at", F.xxhash64("t.text").alias("h"), F.length("t.text").alias("n"), "t.links")
+    own = each.groupBy("host", "key", "at").agg(F.min("h").alias("low"), F.max("h").alias("high"), F.approx_count_distinct("page", 0.1).alias("contents"), F.count("*").alias("texts"), F.sum("n").alias("chars"), F.sum("links").alias("links"))
+    own = cut(own.join(bound, ["host", "key", "at"]), "texts-of-slots")
+    total = own.groupBy("host", "slot").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("contents").alias("contents"), F.sum("texts").alias("texts"), F.sum("chars").alias("chars"), F.sum("links").alias("links"), F.collect_set("hint").alias("hints"))
+    least = F.coalesce(*[F.when(F.array_contains("hints", x), x) for x in (OUT, DOUBT, "", MAIN, ARTICLE)])  # at most five
+    judged = total.withColumn("hint", least).withColumn("host_chars", F.sum("chars").over(Window.partitionBy("host"))).select("host", "slot", "hint", (score() > 0).alias("content"))
+    both = own.drop("hint").join(judged, ["host", "slot"]).where("content")
+    chars = lambda inside: F.sum(F.when(F.col("hint").isin(MAIN, ARTICLE) == inside, F.col("chars")).otherwise(0))
+    places = lambda inside: F.collect_list(F.when(F.col("hint").isin(MAIN, ARTICLE) | F.lit(not inside), F.col("at")))
+    kept = both.groupBy("host", "key").agg(chars(True).alias("in"), chars(False).alias("out"), places(True).alias("main"), places(False).alias("all"))
+    kept = kept.select("host", "key", F.when((F.col("in") > 0) & (2 * F.col("in") >= F.col("out")), F.col("main")).otherwise(F.col("all")).alias("kept"))
+    return cut(found.select("host", "key", "pages").join(kept, ["host", "key"], "left"), "content-slots")
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for each row of pages (page_id, url, html)."""
     spark = pages.sparkSession
-    learned = cut(wrappers(pages), "wrappers")
-    size = learned.agg(F.coalesce(F.sum(F.length("wrapper") + F.length("host")), F.lit(0))).first()[0]
-    schema = "page_id long, url string, text string, n_chars long"
-
-    def rows(batch: pa.RecordBatch, of) -> pa.RecordBatch:
-        urls = batch.column(1).to_pylist()
-        texts = [main_text(h.as_py() or "", of(i, u)) for i, (u, h) in enumerate(zip(urls, batch.column(2), strict=True))]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
-
-    def load(x: str | None) -> dict | None:
-        got = json.loads(x) if x else None
-        return got and got | {"steady": set(got["steady"])}
-
-    if size <= WRAPPER_BYTES:
-        table = spark.sparkContext.broadcast({r[0]: r[1] for r in learned.collect()})  # at most WRAPPER_BYTES
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known: dict[str, dict | None] = {}
-            for b in batches:
-
-                def of(_, url):
-                    host = host_of(url)
-                    if host not in known:
-                        known[host] = load(table.value.get(host))
-                    return known[host]
-
-                yield rows(b, of)
-
-        return pages.select("page_id", "url", "html").mapInArrow(run, schema)
-
-    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            known = b.column(3)
-            yield rows(b, lambda i, _, known=known: load(known[i].as_py()))
-
-    host = F.lower(F.regexp_replace(F.coalesce("url", F.lit("")), r"(?is)^[a-z][\w+.-]*://|[/?#].*", ""))
-    salted = learned.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    own = pages.select("page_id", "url", "html", host.alias("host"), F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int").alias("salt"))
-    return own.join(salted, ["host", "salt"], "left").select("page_id", "url", "html", "wrapper").mapInArrow(joined, schema)
+    read = parsed(pages)
+    found = streams(read)
+    return chosen(read, slots(read, found, wrappers(found)), partitions(spark))
+
+
+def chosen(read: DataFrame, kept: DataFrame, parts: int, rows: int | None = None) -> DataFrame:
+    """The texts of parsed pages by the slots that are content."""
+    small = sized(kept) if rows is None else sized(kept, rows)
+    pages = read.select("page_id", "url", "host", "key", "texts")
+    if small is kept:  # too large to be broadcast: streams with more pages than a task should have are dealt out
+        each = max(1000, -(-(kept.agg(F.sum("pages")).first()[0] or 0) // parts))
+        deals = F.expr(f"cast((pages - 1) div {each} as int)")
+        hot = F.broadcast(kept.where(F.col("pages") > each).select("host", "key", deals.alias("deals")))  # at most `parts` rows
+        salt = F.expr("cast(pmod(xxhash64(page_id, url), coalesce(deals, 0) + 1) as int)")
+        pages = pages.join(hot, ["host", "key"], "left").withColumn("salt", salt).drop("deals")
+        small = kept.withColumn("salt", F.explode(F.sequence(F.lit(0), deals)))
+        both = pages.join(small, ["host", "key", "salt"], "left")
+    else:
+        both = pages.join(small, ["host", "key"], "left")
+    own = F.transform(F.filter("texts", lambda t: F.array_contains(F.coalesce("kept", F.array().cast("array<int>")), t["at"])), lambda t: t["text"])
+    text = F.array_join(own, "\n\n")
+    return both.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))

@@ -124,31 +124,139 @@ def test_html_main_text(spark):
     assert got[2]["text"] == got[3]["text"] == "" and got[4]["text"] == "plain <text"
 
 
+def pages_of(spark, *htmls, host="h"):
+    return spark.createDataFrame([(i, f"http://{host}/{i}", h) for i, h in enumerate(htmls)], "page_id long, url string, html string")
+
+
+LABELLED = [  # a page, its main text
+    ('<body class="single has-sidebar"><article><p>Story one.</p></article></body>', "Story one."),
+    ('<article class="post comments-open"><p>Story two.</p></article>', "Story two."),
+    ('<article><p title="the hidden gem">Gem.</p><p data-hidden="false">Seen.</p></article>', "Gem.\n\nSeen."),
+    ("<main><h1>Headline</h1><article><p>Body.</p></article></main>", "Headline\n\nBody."),
+    ('<div id="content"><div class="x">' + "The long story goes on and on, with words enough. " * 3 + '</div><article class="y"><p>Next</p></article></div>', ("The long story goes on and on, with words enough. " * 3).strip() + "\n\nNext"),
+    ("<body><form action=x><header><h1>Site</h1></header><article><h2>T</h2><p>In a frame.</p></article><input name=q></form></body>", "T\n\nIn a frame."),
+    ('<article><p title="5" tall">Tall text.</p></article>', "Tall text."),
+    ("<article><form><p>Your name</p><input></form><p>Kept.</p></article>", "Kept."),
+    ('<article><p>Body</p><section class="comment-list"><article class="comment"><p>First!</p></article></section></article>', "Body"),
+    ('<div class="site-header">Brand</div><div class="story"><p>Told.</p></div><div class="cookie-notice">We use</div>', "Told."),
+    ("<article><header><h1>In head</h1></header><p>x</p><footer>by me</footer></article>", "In head\n\nx"),
+    ("<article><ul><li>one<li>two</ul><table><tr><td>a<td>b</table></article>", "one\n\ntwo\n\na\n\nb"),
+    ("<article><p>a&nbsp;b &lt;i&gt; &#x41;&eacute;<span hidden>no</span> end</p></article>", "a b <i> A\u00e9 end"),
+    ("<article><!-- <p>no</p> --><p>yes<script>var x='<p>'</script></p><style>p{}</style></article>", "yes"),
+    ('<article><p>Real <a href="/x">link</a> here.</p><div class="share-buttons">Share</div></article>', "Real link here."),
+    ('<div role="main"><p>By role.</p></div><div role="navigation">Menu</div>', "By role."),
+    ('<article><div style="display: none">secret</div><div aria-hidden="true">icon</div><pre>code  here</pre></article>', "code here"),
+    ("<ARTICLE><P>Upper<BR>case</ARTICLE>", "Upper case"),
+    ("<article><p>unclosed <b>bold<p>next</article><footer>f", "unclosed bold\n\nnext"),
+    ("<nav><a href=/>Home</a></nav>", ""),
+    ("just text", "just text"),
+    ("<article><blockquote><p>Quoted.</p></blockquote><figure><img src=x><figcaption>Caption.</figcaption></figure></article>", "Quoted.\n\nCaption."),
+    ("<p>One.</p><ul><li><a href=/a>All of it a link</a></li></ul><p>Two.</p>", "One.\n\nTwo."),
+    ('<article><h1 hidden="">gone</h1><p>1 < 2 and a<b></p></article>', "1 < 2 and a"),
+    ("<article><p>" + "word " * 5000 + "</p></article>", ("word " * 5000).strip()),
+]
+
+
+def test_labelled_pages(spark):
+    pages = spark.createDataFrame([(i, f"http://host{i}.example/a?b#c", h) for i, (h, _) in enumerate(LABELLED)], "page_id int, url string, html string")
+    got = {r["page_id"]: r["text"] for r in rows(html.extract(pages))}
+    assert [(i, got[i]) for i in range(len(LABELLED))] == [(i, t) for i, (_, t) in enumerate(LABELLED)]
+
+
+def test_template_slots_go_and_varying_ones_stay(spark):
+    page = lambda i: f"<div class=top>Same for all</div><p>Only here {i}</p><div class=more><a href=/{i}>Go to {i}</a></div>" + ("<div class=q>Extra same</div>" if i % 2 else "")
+    got = {r["page_id"]: r["text"] for r in rows(html.extract(pages_of(spark, *map(page, range(12)))))}
+    assert got == {i: f"Only here {i}" for i in range(12)}
+    # a host with copies of one page alone shows no template
+    got = rows(html.extract(pages_of(spark, *[page(0)] * 12)))
+    assert {r["text"] for r in got} == {"Same for all\n\nOnly here 0"}
+
+
+def test_a_class_is_only_a_hint(spark):
+    long = "A real story of some length that goes on for more than sixty characters, number {}."
+    page = lambda i: f'<div class="widget"><p>{long.format(i)}</p></div><div class="promo">Buy {i}</div>'
+    got = {r["page_id"]: r["text"] for r in rows(html.extract(pages_of(spark, *map(page, range(8)))))}
+    assert got == {i: long.format(i) for i in range(8)}
+
+
+def test_both_ways_to_join_slots_agree(spark):
+    docs = pages_of(spark, *[h for h, _ in LABELLED] * 3).union(pages_of(spark, *["<article><p>hot</p></article>"] * 3000, host="hot"))
+    read = html.parsed(docs)
+    found = html.streams(read)
+    kept = html.slots(read, found, html.wrappers(found))
+    a, b = (sorted(map(str, rows(html.chosen(read, kept, 4, n)))) for n in (10_000, 0))
+    assert a == b and len(a) == docs.count()
+
+
+def test_pages_empty_table_and_clashing_columns(spark):
+    docs = pages_of(spark, PAGE, PAGE).selectExpr("*", "'x' text", "1 n_chars", "'y' host", "2 key", "3 salt", "4 kept")
+    got = rows(html.extract(docs))
+    assert list(got[0]) == ["page_id", "url", "text", "n_chars"] and {r["text"] for r in got} == {"A & B\n\nOne bold two\n\nThree four"}
+    assert html.extract(docs.limit(0)).count() == 0
+
+
+def test_very_long_pages_are_aligned(spark):
+    rng = random.Random(9)
+    page = lambda n: "<article>" + "".join(f"<{t}>x{i}</{t}>" for i, t in enumerate(rng.choices(["p", "h2", "blockquote", "pre", "figure"], k=n))) + "</article>"
+    docs = [page(4000), page(6000), page(50)]
+    got = {r["page_id"]: r["text"] for r in rows(html.extract(pages_of(spark, *docs)))}
+    assert all(got[i].split("\n\n") == [f"x{k}" for k in range(n)] for i, n in enumerate((4000, 6000, 50)))
+
+
+def _language(wrapper):
+    """The wrapper as a regular expression over tags, for brute force."""
+    def one(x):
+        if isinstance(x, str):
+            return re.escape(f"<{x}>")
+        return f"(?:{''.join(map(one, x[1:]))}){'+' if x[0] == '+' else '?'}"
+    return "".join(f"(?:{one(y)})?" if isinstance(x, list) and x[0] == "?" else one(x) for x in wrapper for y in (x[1:] if isinstance(x, list) and x[0] == "?" else [x]))
+
+
+def _unfold(items):
+    return "".join(_unfold(x[1:]) * 2 if isinstance(x, list) else f"<{x}>" for x in items)
+
+
+def test_wrappers_match_as_regular_expressions_do():
+    rng = random.Random(11)
+    for _ in range(300):
+        several = [html.fold([rng.choice("ab#c") for _ in range(rng.randint(1, 9))]) for _ in range(4)]
+        wrapper = several[0]
+        for s in several[1:3]:
+            wrapper = wrapper if html.covers(wrapper, s) else html.align(wrapper, s)
+        pattern = re.compile(_language(wrapper))
+        assert all(html.covers(wrapper, s) and pattern.fullmatch(_unfold(s)) for s in several[:3])
+        if html.covers(wrapper, several[3]):
+            assert pattern.fullmatch(_unfold(several[3]))
+        for s in several[:3]:
+            got = html.bind(wrapper, s)
+            assert len(got) == str(s).count("#") and got == sorted(got)
+
+
 def test_wrappers_of_many_streams_in_rounds(spark):
     item = lambda i: f"<div class='c{'abcdefghij'[i]}'>x</div>"
     bodies = [f"<article><p>{i}</p></article>" + "".join(item(j) for j in range(10) if i >> j & 1) for i in range(0, 1024, 37)]
-    pages = spark.createDataFrame([(f"http://{h}/{i}", b) for h in ("one", "two") for i, b in enumerate(bodies)] + [("http://three/", "<p>y")], "url string, html string")
+    pages = spark.createDataFrame([(1, f"http://{h}/{i}", b) for h in ("one", "two") for i, b in enumerate(bodies)] + [(1, "http://three/", "<p>y")], "page_id long, url string, html string")
+    found = html.streams(html.parsed(pages))
     for fan in (3, 64):
-        got = {r["host"]: json.loads(r["wrapper"]) for r in html.wrappers(pages, fan).collect()}
+        got = {r["host"]: json.loads(r["wrapper"]) for r in html.wrappers(found, fan).collect()}
         assert set(got) == {"one", "two", "three"} and got["one"] == got["two"]
-        assert all(html.covers(got["one"]["wrapper"], html.stream_of(list(html.blocks(b)))) for b in bodies)
-    assert html.wrappers(pages.limit(0)).count() == 0
+        assert all(html.covers(got["one"], html.stream_of(html.blocks(b))) for b in bodies)
+    assert html.wrappers(found.limit(0)).count() == 0
 
 
 def test_wrapper_covers_what_it_learned_from():
-    streams = [html.stream_of(list(html.blocks(p))) for p in (PAGE, PAGE.replace("<aside>Also</aside>", ""), PAGE.replace("<p>Three", "<p>Two<p>Three"), "<p>x", PAGE.replace("<footer>end</footer>", ""))]
+    streams = [html.stream_of(html.blocks(p)) for p in (PAGE, PAGE.replace("<aside>Also</aside>", ""), PAGE.replace("<p>Three", "<p>Two<p>Three"), "<p>x", PAGE.replace("<footer>end</footer>", ""))]
     wrapper = streams[0]
     for s in streams[1:]:
         wrapper = html.align(wrapper, s)
     assert all(html.covers(wrapper, s) for s in streams)
-    assert not html.covers(streams[0], html.stream_of(list(html.blocks("<table><tr><td>y</table>"))))
+    assert not html.covers(streams[0], html.stream_of(html.blocks("<table><tr><td>y</table>")))
     wrapper = [["?", "#", "x"], "#", "y"]  # the first fitting item isn't always the right one
-    assert html.covers(wrapper, ["#", "y"]) and html.covers(wrapper, ["#", "x", "#", "y"]) and not html.covers(wrapper, ["x", "y"]) and not html.covers(wrapper, ["#"])
+    assert html.bind(wrapper, ["#", "y"]) == [1] and html.bind(wrapper, ["#", "x", "#", "y"]) == [0, 1] and not html.covers(wrapper, ["x", "y"]) and not html.covers(wrapper, ["#"])
 
 
 def test_template_text_is_left_out_where_nothing_says_article(spark):
-    pages = [(i, f"http://h/{i}", f"<div id=a>Same for all</div><div id=b>Only here {i}</div>") for i in range(8)]
-    got = rows(html.extract(spark.createDataFrame(pages, "page_id long, url string, html string")))
+    got = rows(html.extract(pages_of(spark, *[f"<div id=a>Same for all</div><div id=b>Only here {i}</div>" for i in range(8)])))
     assert {r["text"] for r in got} == {f"Only here {i}" for i in range(8)}
 
 
