@@ -56,24 +56,25 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def prefix_sums(rows: DataFrame, keys: list[str], place: str, tie: list[str], weight: str, out: str) -> DataFrame:
-    """Adds `out`: the running sum of `weight` in each group of `keys`, by `place` (a double in [0, 1)) and then `tie`.
+def prefix_sums(rows: DataFrame, keys: list[str], order: list[str], weight: str, out: str, place: str | None = None) -> DataFrame:
+    """Adds `out`: the running sum of `weight` in each group of `keys`, by the columns `order`.
 
-    No group meets in one task: each is cut into ranges of `place`, as many as its share of all rows calls for; sums
-    of ranges are added up first, then the rows inside each range. `rows` is read twice, so it should be a written
-    table. Rows that agree in place and tie get their sums in any order.
+    No group meets in one task: rows are sorted by range (bounds are quantiles of a sample, taken by Spark) or, where
+    `place` is given (a number spread evenly over [0, 1) in each group, the first of `order`), dealt by it into as many
+    ranges as a group's share of all rows calls for. Sums of ranges are added up first, then the rows inside each
+    range. Rows that agree in `order` get their sums in any order; there should be few of the same.
     """
-    total = rows.groupBy(*keys).agg(F.count("*").alias("__n"))
-    n = rows.count()
-    width = max(32, n // (6 * partitions(rows.sparkSession)) + 1)
-    ranges = sized(total.withColumn("__parts", (F.col("__n") / width).cast("long") + 1).drop("__n"))
-    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
-    put = rows.alias("a").join(ranges.alias("b"), same).select("a.*", F.floor(F.col(place) * F.col("__parts")).alias("__range"))
-    before = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = put.groupBy(*keys, "__range").agg(F.sum(weight).alias("__sum")).withColumn("__start", F.coalesce(F.sum("__sum").over(before), F.lit(0))).drop("__sum")
-    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in [*keys, "__range"]]
-    put = put.alias("a").join(sized(cut(starts, "starts")).alias("b"), same).select("a.*", "__start")
-    inside = Window.partitionBy(*keys, "__range").orderBy(place, *tie).rowsBetween(Window.unboundedPreceding, 0)
-    return put.withColumn(out, F.col("__start") + F.sum(weight).over(inside)).drop("__range", "__start")
-
-
+    spark, at, begin = rows.sparkSession, f"{out} range", f"{out} start"
+    if place is None:
+        put = cut(rows.repartitionByRange(partitions(spark), *keys, *order).withColumn(at, F.spark_partition_id()), "ranges")
+    else:
+        width = max(32, rows.count() // (6 * partitions(spark)) + 1)
+        shares = sized(rows.groupBy(*keys).agg((F.expr(f"count(*) div {width}") + 1).alias(at)))
+        same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+        put = rows.alias("a").join(shares.alias("b"), same).select("a.*", F.floor(F.col(place) * F.col(f"`{at}`")).alias(at))
+    before = Window.partitionBy(*keys).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    starts = put.groupBy(*keys, at).agg(F.sum(weight).alias(begin)).withColumn(begin, F.coalesce(F.sum(begin).over(before), F.lit(0)))
+    same = [F.col(f"a.`{k}`").eqNullSafe(F.col(f"b.`{k}`")) for k in [*keys, at]]
+    put = put.alias("a").join(sized(cut(starts, "starts")).alias("b"), same).select("a.*", begin)
+    inside = Window.partitionBy(*keys, at).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return put.withColumn(out, F.col(begin) + F.sum(weight).over(inside)).drop(at, begin)

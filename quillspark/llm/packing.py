@@ -24,7 +24,6 @@ import unicodedata
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -63,22 +62,24 @@ def _latin(text: str) -> bool:
         return False
 
 
-@lru_cache(1)
 def encoder(vocabulary: str):
-    """A function that gives a text's ids as little-endian unsigned 32-bit numbers.
+    """A function that gives a text's ids as little-endian unsigned 32-bit numbers, by a vocabulary's JSON.
 
     A text is split at white space, and words as the vocabulary's pre-tokenizer splits them; each different word and
-    part is tokenised once and remembered. Words in Latin-1 are put in lower case, as the vocabulary does in any case
-    (there the two agree, and texts are in normal form), and their parts go to its model directly.
+    part is tokenised once and remembered. If the vocabulary puts texts in lower case, so are words in Latin-1 (there
+    the two agree, and texts are in normal form), and their parts go to its model directly.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(vocabulary)
+    tokenizer = Tokenizer.from_str(vocabulary)
     model = tokenizer.model
     special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-    parts_of = regex.compile(json.loads(tokenizer.to_str())["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
-    lower = tokenizer.normalizer.normalize_str("AÉ") == "aé"
+    split, *rest = (json.loads(vocabulary).get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    plain = split.get("type") == "Split" and split["invert"] and "Regex" in split["pattern"] and [(x["type"], x.get("use_regex")) for x in rest] == [("ByteLevel", False)]
+    # other vocabularies tokenise whole texts
+    lower = plain and tokenizer.normalizer is not None and tokenizer.normalizer.normalize_str("AÉ\t b") == "aé b"
+    parts_of = regex.compile(split["pattern"]["Regex"]).findall if lower else None
     # bytes as a byte-level model writes them: itself if it can be seen, else the next free code point from 256
     seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
     letters = {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in seen)}
@@ -87,18 +88,18 @@ def encoder(vocabulary: str):
         return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def part(x: str) -> bytes:
-        ids = [t.id for t in model.tokenize(x if x.isascii() else x.encode().decode("latin-1").translate(letters))]
+        ids = [t.id for t in model.tokenize(x.encode().decode("latin-1").translate(letters))]
         return struct.pack(f"<{len(ids)}I", *ids)
 
     parts = Memory(part)
 
     def word(x: str) -> bytes:
-        return b"".join(map(parts.__getitem__, parts_of(x.lower()))) if lower and _latin(x) else whole(x)
+        return b"".join(map(parts.__getitem__, parts_of(x.lower()))) if _latin(x) else whole(x)
 
     words = Memory(word)
 
     def encode(text: str) -> bytes:
-        if any(x in text for x in special) or _ODD.search(text):
+        if not lower or any(x in text for x in special) or _ODD.search(text):
             return whole(text)
         if _latin(text):
             text = text.lower()
@@ -109,13 +110,17 @@ def encoder(vocabulary: str):
     return encode
 
 
-def _pieces(vocabulary: str, room: int, end: int):
+def _pieces(vocabulary, room: int, end: int):
+    """vocabulary: its JSON, as a broadcast."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        try:  # where executors have the package, the tasks of a worker share what it remembers
-            from quillspark.llm.packing import encoder as own
-        except ImportError:
-            own = encoder
-        encode, last = own(vocabulary), end.to_bytes(4, "little")
+        # the tasks of a worker share what it remembers, by way of a module that all workers have
+        held = pa.__dict__.setdefault("_quillspark_encoders", {})
+        key = zlib.crc32(vocabulary.value.encode()), len(vocabulary.value)
+        if key not in held:
+            held.clear()
+            held[key] = encoder(vocabulary.value)
+        encode, last = held[key], end.to_bytes(4, "little")
         for batch in batches:
             out: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -205,14 +210,17 @@ def slots(found: list[tuple[Counter, int]]) -> np.ndarray:
 
 
 def tokenised(docs: DataFrame, vocabulary: str, room: int, end: int = 0) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32: the pieces of each document."""
-    return docs.select("doc_id", "text").mapInArrow(_pieces(vocabulary, room, end), PIECES)
+    """doc_id, piece, start, length, ids_crc32: the pieces of each document. vocabulary: a path on the driver."""
+    with open(vocabulary, encoding="utf-8") as f:
+        shared = docs.sparkSession.sparkContext.broadcast(f.read())  # some megabytes, whatever the corpus
+    return docs.select("doc_id", "text").mapInArrow(_pieces(shared, room, end), PIECES)
 
 
 def pack(docs: DataFrame, vocabulary: str, room: int = 2048, end: int = 0) -> DataFrame:
     """The pieces with sequence_id and offset: a row for each piece of docs (doc_id, text)."""
-    place = F.shiftrightunsigned(F.xxhash64("doc_id", "piece", "ids_crc32"), 11) / F.lit(float(1 << 53))
-    pieces = cut(tokenised(docs, vocabulary, room, end).withColumn("one", F.lit(1).cast("long")).withColumn("place", place), "pieces")
+    place = F.shiftrightunsigned(F.xxhash64("id"), 11) / F.lit(float(1 << 53))  # repeated rows have places of their own
+    pieces = tokenised(docs, vocabulary, room, end).withColumn("one", F.lit(1).cast("long")).withColumn("id", F.monotonically_increasing_id())
+    pieces = cut(pieces.withColumn("place", place), "pieces")
     histogram = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # at most `room` rows
     table = docs.sparkSession.sparkContext.broadcast(slots(groups(histogram, room)))
 
@@ -224,6 +232,6 @@ def pack(docs: DataFrame, vocabulary: str, room: int = 2048, end: int = 0) -> Da
             of = x["rank"].to_numpy() - row[:, 1]
             yield x.drop(columns="rank").assign(sequence_id=row[:, 3] + of // row[:, 2], offset=row[:, 4] + of % row[:, 2] * row[:, 0])
 
-    ranked = prefix_sums(pieces, ["length"], "place", ["doc_id", "piece", "start", "ids_crc32"], "one", "upto")
+    ranked = prefix_sums(pieces, ["length"], ["place", "id"], "one", "upto", "place")
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
     return ranked.select(*names, (F.col("upto") - 1).alias("rank")).mapInPandas(look, f"{PIECES}, sequence_id long, offset long")

@@ -59,6 +59,23 @@ def test_mix_reruns_agree_and_odd_rows(spark, odd, none):
     assert [r["target"] for r in rows(mixing.mix(only_empty))] == [0.0, 0.0]
 
 
+def test_many_sources_are_ordered_in_ranges(spark):
+    rng = random.Random(3)
+    data = [(f"s{rng.randint(0, 10**6)}" if i else None, rng.choice([0, 1, 5, 50, 5000]), 1) for i in range(400)]
+    measured = spark.createDataFrame(list({s: (s, n) for s, n, _ in data}.values()), "source string, size long")
+    a, b = (rows(mixing.targets(mixing.weighted(measured, one_task=n), one_task=n)) for n in (10**6, 10))
+    assert sorted(map(str, a)) == sorted(map(str, b))
+
+
+def test_mix_of_a_large_source_of_low_weight(spark):
+    data = [(i, "a" if i % 20 else f"b{i % 3}", "w " * (1 + i % 7)) for i in range(4000)]
+    got = rows(mixing.mix(spark.createDataFrame(data, "doc_id long, source string, text string")))
+    goal, taken = {r["source"] if "source" in r else data[r["doc_id"]][1]: r["target"] for r in got}, Counter()
+    for r in got:
+        taken[data[r["doc_id"]][1]] += r["taken"]
+    assert all(abs(taken[s] - goal[s]) <= 21 for s in goal) and goal["a"] > 10000
+
+
 # --- WARC
 
 
@@ -288,6 +305,28 @@ def test_packing_is_whole_tight_and_exact(spark, odd, none):
     assert packing.pack(none, queries.vocabulary()).count() == 0
 
 
+def test_ids_are_the_tokenizers_for_every_low_code_point_and_random_strings():
+    from tokenizers import Tokenizer
+
+    path = queries.vocabulary()
+    with open(path, encoding="utf-8") as f:
+        encode = packing.encoder(f.read())
+    t = Tokenizer.from_file(path)
+    rng = random.Random(1)
+    pools = [range(128), range(256), range(0x3000), [32, 9, 10, 13, 97, 65, 48, 39, 46, 0xE9, 0x301, 0xA0, 0x85, 0x1C, 0x7F, 0]]
+    texts = [x for c in range(0x3000) for x in (chr(c), f"Word{chr(c)}b {chr(c)}X")]
+    texts += ["".join(chr(rng.choice(pools[i % 4])) for _ in range(rng.randint(1, 24))) for i in range(8000)]
+    assert not [x for x in texts if encode(x) != np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes()]
+
+
+def test_other_vocabularies_are_used_whole():
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    t = Tokenizer(models.WordLevel({"A": 0, "a": 1, "?": 2}, unk_token="?"))
+    t.pre_tokenizer = pre_tokenizers.Whitespace()
+    assert packing.encoder(t.to_str())("A a b") == np.array([0, 1, 2], "<u4").tobytes()
+
+
 def test_groups_use_each_piece_once_and_come_near_the_bound():
     rng = np.random.default_rng(3)
     h = Counter(int(x) for x in rng.gamma(2, 150, 5000).clip(1, 1024))
