@@ -1,105 +1,165 @@
 """Exact top-k search by inner product with vector-approximation files.
 
-Each dimension's range over all vectors (one pass, 2 numbers a dimension) is cut into cells of equal width. A block of
-vectors holds each one's cells, a byte a component, beside the exact components. A query scans the block's cells:
-the inner product with the cells' middles, give or take a margin that is the same for the whole block, bounds the
-exact one. Exact vectors are then read in the order of their bounds, best first, until the next bound is below the kth
-exact score. Queries come in blocks too; each block of queries meets each block of vectors once, and only the k best
-of a block leave it.
-
-Of a vector and id no more than k rows are ever needed, and of equal vectors no more than those of the k + 1 least
-different ids (one may be the query's own), so more are left out beforehand, exactly; a hot vector is thus no hot block.
-
-Defined results: vectors that are null, of another length than most, or that hold a null or non-finite component take
-no part; a repeated id is a row like any other, but never its own query's result; null ids take no part; an empty
-table gives an empty one; other columns are ignored.
+Each dimension's range over all vectors (one pass, 2 numbers a dimension) is cut into cells of equal width. The
+approximation file holds a byte a component, in blocks; exact vectors lie in a table of their own. Queries, in blocks
+too, scan the cells: the inner product with the cells' middles, give or take a margin, bounds the exact one. From a
+block leave only those whose upper bound reaches the kth lower bound there, then only those that reach the kth of all.
+Exact vectors are then read by id in the order of their upper bounds, a round at a time, until the next bound of a
+query lies below its kth exact score.
+
+Of equal vectors no more than those of the k + 1 least different ids are needed (one may be the query's own), and of
+these k rows each; so more are left out beforehand, exactly, and a hot vector is no hot block.
+
+Components are whole numbers held as doubles. Products that surely fit in a long are taken as longs; others as
+unbounded integers, and only a result that doesn't fit in the column raises an error, as does a component beyond a
+double once it's scaled.
+
+Defined results: vectors that are null or hold a null or non-finite component take no part, nor do null ids; vectors
+are compared with those of their own length, of length 0 too (score 0); a repeated id is a row like any other, but
+never its own query's result, and its different vectors are queries of their own, whose results are ranked together; an
+empty table gives an empty one; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm._common import cut
+from quillspark.llm._common import cut, partitions
 
 CELLS = 256
-BLOCK, QUERIES = 4096, 512
-FOUND = "query_id long, vec_id long, score long"
+#: Vectors of a block of cells, at most, and queries of a block.
+BLOCK, QUERIES = 1 << 15, 1024
+#: Estimates held at a time.
+AT_ONCE = 1 << 20
 
 
 def integers(vectors: DataFrame, scale: int = 1024) -> DataFrame:
-    """vec_id, v: floor(scale * x) of each component; rows that take no part are left out."""
-    fits = F.col("embedding").isNotNull() & F.col("vec_id").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < 1e12))
-    return vectors.where(fits).select("vec_id", F.transform("embedding", lambda x: F.floor(F.lit(float(scale)) * x.cast("double"))).alias("v"))
-
-
-def _pack(group: pd.DataFrame, low: np.ndarray, width: np.ndarray) -> pd.DataFrame:
-    v = np.array(group["v"].tolist(), np.int64).reshape(len(group), -1)
-    cells = np.clip((v - low) // width, 0, CELLS - 1).astype(np.uint8)
-    return pd.DataFrame({"block": [group["block"].iloc[0]], "ids": [group["vec_id"].to_numpy(np.int64).tobytes()], "cells": [cells.tobytes()], "exact": [v.tobytes()]})
-
-
-def search_block(ids: np.ndarray, cells: np.ndarray, exact: np.ndarray, low: np.ndarray, width: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """query_id, vec_id, score: the k best of a block for each query, ties to smaller ids."""
-    middle = low + cells * width + (width - 1) / 2
-    estimate = queries.astype(float) @ middle.T
-    margin = np.abs(queries) @ ((width - 1) / 2) + 1e-6 * (1 + np.abs(estimate).max(axis=1, initial=0))
-    out: list[tuple] = []
-    for q in range(len(queries)):
-        bound = estimate[q] + margin[q]
-        keep = np.flatnonzero(ids != query_ids[q])
-        if len(keep) > k:
-            floor = -np.partition(-(estimate[q][keep] - margin[q]), k - 1)[k - 1]  # k vectors surely score that much
-            keep = keep[bound[keep] >= floor]
-        keep = keep[np.argsort(-bound[keep], kind="stable")]
-        score = np.empty(0, np.int64)
-        for i in range(0, len(keep), 64):
-            if len(score) >= k and bound[keep[i]] < np.partition(score, len(score) - k)[len(score) - k]:
-                break
-            score = np.r_[score, exact[keep[i : i + 64]] @ queries[q]]
-        best = np.lexsort((ids[keep[: len(score)]], -score))[:k]
-        out.append((np.full(len(best), query_ids[q]), ids[keep[best]], score[best]))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
-
-
-def top_k(vectors: DataFrame, queries_every: int = 100, k: int = 10, scale: int = 1024) -> DataFrame:
-    """query_id, rank, vec_id, score for the queries: the rows of vectors whose id is divisible by queries_every."""
-    spark = vectors.sparkSession
-    v = cut(integers(vectors, scale), "integers")
-    size = v.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    if size is None or not size[0]:
-        return empty
-    dims = size[0]
-    v = v.where(F.size("v") == dims)
+    """vec_id, v: floor(scale * x) of each component, as doubles; rows that take no part are left out."""
+    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    fits = F.col("embedding").isNotNull() & F.col("vec_id").isNotNull() & F.forall("embedding", finite)
+    # adding up halves to a whole number below 2 ** 52, floor() is exact; larger doubles are whole numbers
+    whole = lambda y: F.when(F.abs(y) < 2.0**52, F.floor(y).cast("double")).otherwise(y)
+    return vectors.where(fits).select("vec_id", F.transform("embedding", lambda x: whole(F.lit(float(scale)) * x.cast("double"))).alias("v"))
+
+
+class Cells:
+    """The cells of each dimension: where they begin and how wide they are."""
+
+    def __init__(self, low: np.ndarray, high: np.ndarray):
+        self.low, self.width = low, np.floor((high - low) / CELLS) + 1
+        self.most = np.maximum(np.abs(low), np.abs(high))
+
+    def of(self, v: np.ndarray) -> np.ndarray:
+        return np.clip((v - self.low) // self.width, 0, CELLS - 1).astype(np.uint8)
+
+    def bounds(self, queries: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The estimates of inner products (a row for each query), and how far each query's may be off."""
+        middle = self.low + cells * self.width + (self.width - 1) / 2
+        off = np.abs(queries) @ ((self.width - 1) / 2) + 1e-9 * (np.abs(queries) @ (self.most + self.width)) + 1e-6
+        return queries @ middle.T, off
+
+
+def scan(cells: Cells, ids: np.ndarray, rows: np.ndarray, block: np.ndarray, query_ids: np.ndarray, query_rows: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple]:
+    """query row, row, lower and upper bound of a block's vectors that may be among a query's k best."""
+    step = max(1, AT_ONCE // max(1, len(ids)))
+    for at in range(0, len(queries), step):
+        estimates, off = cells.bounds(queries[at : at + step], block)
+        for q, (estimate, d) in enumerate(zip(estimates, off, strict=True), at):
+            keep = np.flatnonzero(ids != query_ids[q])
+            if len(keep) > k:
+                kth = -np.partition(-estimate[keep], k - 1)[k - 1]
+                keep = keep[estimate[keep] + d >= kth - d]
+            yield np.full(len(keep), query_rows[q]), rows[keep], estimate[keep] - d, estimate[keep] + d
+
+
+def _pack(group: pd.DataFrame, cells: Cells | None) -> pd.DataFrame:
+    """A block: its ids, rows, and either cells or exact vectors, as bytes."""
+    v = np.array(group["v"].tolist(), float).reshape(len(group), -1)
+    held = v if cells is None else cells.of(v)
+    return pd.DataFrame({"block": [group["block"].iloc[0]], "ids": [group["vec_id"].to_numpy(np.int64).tobytes()], "rows": [group["row"].to_numpy(np.int64).tobytes()], "held": [held.tobytes()]})
+
+
+def _score(fits: bool):
+    """Rows of (query row, row, upper, query id, id, query vector, vector) with exact scores, as decimal strings if
+    they may not fit in a long."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            a, c = (np.array(b.column(i).flatten()).reshape(b.num_rows, -1) for i in (5, 6))
+            if fits:
+                score = pa.array((a.astype(np.int64) * c.astype(np.int64)).sum(1), pa.int64())
+            else:
+                whole = [sum(int(x) * int(y) for x, y in zip(p, q, strict=True)) for p, q in zip(a, c, strict=True)]
+                score = pa.array([str(x) for x in whole]).cast(pa.decimal256(76, 0)).cast(pa.decimal128(38, 0))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), b.column(4), score], names=["query_row", "row", "query_id", "vec_id", "score"])
+
+    return run
+
+
+def _of_one_length(v: DataFrame, dims: int, queries_every: int, k: int) -> DataFrame:
+    """query_id, vec_id, score: at least each query's k best, for vectors of one length."""
+    spark = v.sparkSession
     ends = v.agg(*[f(F.get("v", F.lit(i))) for i in range(dims) for f in (F.min, F.max)]).first()
-    low = np.array(ends[::2], np.int64)
-    width = (np.array(ends[1::2], np.int64) - low) // CELLS + 1
+    cells = Cells(np.array(ends[::2], float), np.array(ends[1::2], float))
+    if not np.isfinite(cells.most).all():
+        raise OverflowError("a component is beyond a double once it is scaled")
+    fits = float(cells.most @ cells.most) < 2.0**62
     repeated = v.withColumn("n", F.row_number().over(Window.partitionBy("v", "vec_id").orderBy("vec_id"))).where(F.col("n") <= k)
     distinct = repeated.withColumn("n", F.dense_rank().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("n") <= k + 1).drop("n")
-    held = cut(distinct, "candidates")
-    blocks = max(1, -(-held.count() // BLOCK))
-    pack = lambda g: _pack(g, low, width)
-    put = lambda d, n: d.withColumn("block", F.pmod(F.xxhash64("vec_id", "v", F.lit(n)), F.lit(n)).cast("int")).groupBy("block").applyInPandas(pack, "block int, ids binary, cells binary, exact binary")
-    index = cut(put(held, blocks), "va-file")
-    asked = v.where(F.col("vec_id") % queries_every == 0).distinct()
-    n = asked.count()
-    if not n:
-        return empty
-    asks = put(asked, -(-n // QUERIES)).select(F.col("block").alias("asked"), F.col("ids").alias("asked_ids"), F.col("exact").alias("asked_exact"))
-    pairs = asks.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition(blocks, "block").join(index, "block")
+    held = cut(distinct.withColumn("row", F.monotonically_increasing_id()), "exact-vectors")
+    asked = cut(v.where(F.col("vec_id") % queries_every == 0).distinct().withColumn("row", F.monotonically_increasing_id()), "queries")
+    n, m = held.count(), asked.count()
+    blocks = max(-(-n // BLOCK), min(partitions(spark), -(-n // 1024)))
+    put = lambda d, n, cells: d.withColumn("block", F.pmod(F.xxhash64("row", F.lit(n)), F.lit(n)).cast("int")).groupBy("block").applyInPandas(lambda g: _pack(g, cells), "block int, ids binary, rows binary, held binary")
+    index = cut(put(held, max(1, blocks), cells), "va-file")
+    asks = put(asked, max(1, -(-m // QUERIES)), None).select(*[F.col(c).alias(f"asked_{c}") for c in ("block", "ids", "rows", "held")])
+    pairs = asks.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(max(1, blocks) - 1)))).join(index, "block")
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of = lambda b, t: np.frombuffer(b, t)
         for x in batches:
             for r in x.itertuples():
-                of = lambda b, t: np.frombuffer(b, t)
-                got = search_block(of(r.ids, np.int64), of(r.cells, np.uint8).reshape(-1, dims), of(r.exact, np.int64).reshape(-1, dims), low, width, of(r.asked_ids, np.int64), of(r.asked_exact, np.int64).reshape(-1, dims), k)
-                yield pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), got, strict=True)))
+                got = scan(cells, of(r.ids, np.int64), of(r.rows, np.int64), of(r.held, np.uint8).reshape(-1, dims), of(r.asked_ids, np.int64), of(r.asked_rows, np.int64), of(r.asked_held, float).reshape(-1, dims), k)
+                out = [np.concatenate(c) for c in zip(*got, strict=True)]
+                yield pd.DataFrame(dict(zip(("query_row", "row", "low", "high"), out, strict=True)))
+
+    found = cut(pairs.select("ids", "rows", "held", "asked_ids", "asked_rows", "asked_held").mapInPandas(look, "query_row long, row long, low double, high double"), "bounds")
+    best = Window.partitionBy("query_row")
+    kth = found.withColumn("n", F.row_number().over(best.orderBy(F.desc("low")))).where(F.col("n") <= k).groupBy("query_row").agg(F.when(F.max("n") == k, F.min("low")).alias("kth"))
+    left = found.join(kth, "query_row").where(F.col("kth").isNull() | (F.col("high") >= F.col("kth"))).drop("kth", "low")
+    left = cut(left.withColumn("n", F.row_number().over(best.orderBy(F.desc("high"), "row"))), "survivors")
+    most = left.agg(F.max("n")).first()[0] or 0
+    done, upto, size = None, 0, 2 * k
+    while upto < most:
+        now = left.where((F.col("n") > upto) & (F.col("n") <= upto + size))
+        if done is not None:  # queries whose next bound is below their kth score are certain
+            ranked = done.withColumn("n", F.row_number().over(best.orderBy(F.desc("score")))).where(F.col("n") <= k)
+            kth = ranked.groupBy("query_row").agg(F.when(F.max("n") == k, F.min("score")).cast("double").alias("kth"))
+            now = now.join(kth, "query_row", "left").where(F.col("kth").isNull() | (F.col("high") * (1 + F.signum("high") * 1e-9) + 1e-6 >= F.col("kth"))).drop("kth")
+        read = now.join(held.select("row", "vec_id", "v"), "row").join(asked.select(F.col("row").alias("query_row"), F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_row")
+        exact = read.select("query_row", "row", "high", "query_id", "vec_id", "q", "v").mapInArrow(_score(fits), f"query_row long, row long, query_id long, vec_id long, score {'long' if fits else 'decimal(38,0)'}")
+        done = cut(exact if done is None else done.union(exact), "scores")
+        upto, size = upto + size, 4 * size
+    out = done if done is not None else spark.createDataFrame([], "query_id long, vec_id long, score long")
+    return out.select("query_id", "vec_id", F.col("score").cast("decimal(38,0)").alias("score"))
 
-    found = pairs.select("ids", "cells", "exact", "asked_ids", "asked_exact").mapInPandas(look, FOUND)
+
+def top_k(vectors: DataFrame, queries_every: int = 100, k: int = 10, scale: int = 1024) -> DataFrame:
+    """query_id, rank, vec_id, score for the queries: the rows of vectors whose id is divisible by queries_every."""
+    spark = vectors.sparkSession
+    v = cut(integers(vectors, scale), "integers")
+    lengths = [r[0] for r in v.groupBy(F.size("v").alias("d")).agg(F.count("*")).collect()]  # a number for each length
+    parts = [_of_one_length(v.where(F.size("v") == d).withColumn("v", F.col("v") if d else F.array(F.lit(0.0))), max(1, d), queries_every, k) for d in sorted(lengths)]
+    if not parts:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = reduce(DataFrame.union, parts).withColumn("rank", rank.cast("int")).where(F.col("rank") <= k)
+    long = F.when(F.abs("score") < F.lit(str(2**63)).cast("decimal(38,0)"), F.col("score").cast("long")).otherwise(F.raise_error(F.lit("a score does not fit in a long")).cast("long"))
+    return best.select("query_id", "rank", "vec_id", long.alias("score"))

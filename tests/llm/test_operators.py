@@ -129,6 +129,46 @@ def test_top_k_with_repeated_query_rows_among_equal_vectors(spark):
     assert len(got) == 20
 
 
+def _brute_top(data, q, v, k=10):
+    return sorted((-sum(x * y for x, y in zip(v, w, strict=True)), i) for i, w in data if i != q and len(w) == len(v))[:k]
+
+
+def test_top_k_of_large_values_repeated_ids_lengths_and_clashing_columns(spark, none):
+    import math
+
+    rng = np.random.default_rng(8)
+    data = [(i, [float(x) for x in rng.normal(0, 4.0e5, 5)]) for i in range(300)]  # products near 2 ** 62
+    data += [(300 + i, [float(x) for x in rng.integers(-9, 9, 3)]) for i in range(200)] + [(600, []), (601, []), (700, [1.0])]
+    data += [(0, [1.0, 2.0, 3.0]), (5, data[5][1]), (5, data[5][1])]
+    d = spark.createDataFrame([(i, v, i, "x", 1.0) for i, v in data], "vec_id long, embedding array<double>, row long, block string, score double")
+    got = rows(vafile.top_k(d))
+    ok = [(i, [math.floor(1024 * x) for x in v]) for i, v in data]
+    for q in (100, 200, 300, 400, 600, 700):
+        want = _brute_top(ok, q, next(v for i, v in ok if i == q))
+        assert [(-r["score"], r["vec_id"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == want
+    both = sorted(sum((_brute_top(ok, 0, v) for i, v in ok if i == 0), []))[:10]  # two vectors of one id are ranked together
+    assert [(-r["score"], r["vec_id"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == 0] == both
+    assert vafile.top_k(d.limit(0)).count() == 0 and vafile.top_k(d.where("vec_id = 5")).count() == 0
+    wide = spark.createDataFrame([(0, [2e12, 1.0]), (1, [1.0, -3.0]), (2, [2.0, 5.0])], "vec_id long, embedding array<double>")
+    assert [(r["vec_id"], r["score"]) for r in rows(vafile.top_k(wide))] == [(2, 2 * 2**20 * 2 * 10**12 + 5 * 2**20), (1, 2**20 * 2 * 10**12 - 3 * 2**20)]
+    with pytest.raises(Exception, match="fit in a long"):
+        vafile.top_k(spark.createDataFrame([(0, [2e12]), (1, [2e12])], "vec_id long, embedding array<double>")).collect()
+
+
+def test_bounds_hold_and_few_exact_vectors_are_read():
+    rng = np.random.default_rng(4)
+    v = np.floor(rng.normal(0, 120, (3000, 32)))
+    cells = vafile.Cells(v.min(0), v.max(0))
+    query = v[:7]
+    read = 0
+    for q, (_, found, low, high) in enumerate(vafile.scan(cells, np.arange(3000), np.arange(3000), cells.of(v), np.arange(7), np.arange(7), query, 10)):
+        exact = v[found] @ query[q]
+        assert ((low <= exact) & (exact <= high)).all()
+        assert set(np.argsort(-(v @ query[q]), kind="stable")[:11]) - {q} <= set(found) | {q}
+        read += len(found)
+    assert read < 7 * 60
+
+
 # --- HTML
 
 PAGE = '<html><head><title>t</title><script>var a="</p>"</script></head><body><header><h1>Site</h1></header><nav><ul><li>Menu</ul></nav><div class="cookie-notice">We use</div><article><h1>A &amp; B</h1><p>One <b>bold</b>\n two<p>Three<br>four<form>f</form><aside>Also</aside><section class="comments"><p>nice!</p></section></article><footer>end</footer></body></html>'
