@@ -405,8 +405,42 @@ def test_toxicity_learns_which_sentence(spark, none):
 def test_toxicity_without_labels_and_on_odd_rows(spark, odd):
     empty = spark.createDataFrame([], "doc_id long, toxic int")
     got = rows(toxicity.classify(odd, toxicity.train(odd, empty)))
-    assert len(got) == odd.count() and all(0 <= r["score"] < 0.5 for r in got)
-    assert next(r["score"] for r in got if r["doc_id"] == 3) == 0
+    assert len(got) == odd.count() and all(r["score"] == pytest.approx(toxicity.BASE) for r in got)
+
+
+def _noisy_or(text, weights):
+    """A score by its definition, sentence by sentence."""
+    import math
+
+    p0, keep = 1 / (1 + math.exp(-toxicity.FLOOR)), 1 - toxicity.BASE
+    for sentence in re.findall(r"[^.!?\n]+[.!?]*", text):
+        w = set(re.findall(r"[^\W\d_]+", sentence.lower()))
+        have = w | {x[:n] + "*" for x in w for n in (4, 5, 6) if len(x) > n}
+        p = 1 / (1 + math.exp(-min(30, toxicity.BIAS + sum(weights.get(f, 0) for f in have))))
+        keep *= 1 - max(0, (p - p0) / (1 - p0))
+    return 1 - keep
+
+
+def test_scores_are_the_noisy_or_of_sentences_and_length_alone_counts_nothing():
+    rng = random.Random(7)
+    weights = {"vile": 5.0, "rott*": 3.0, "meh": 0.5, "nice": -2.0, "awful": 7.5}
+    starts = toxicity.beginnings(weights)
+    pool = ["vile", "rotten", "meh", "nice", "awful", "tree", "walks", "Vile", "vilest"]
+    for _ in range(200):
+        text = " ".join(rng.choice(pool) + rng.choice(["", "", ".", "!", "\n"]) for _ in range(rng.randint(0, 60)))
+        assert toxicity.score(text, weights, starts)[0] == pytest.approx(_noisy_or(text, weights), abs=1e-9)
+    for n in (1, 1000, 100_000):
+        assert toxicity.score("meh the day went on. " * n, weights, starts) == (pytest.approx(toxicity.BASE), [])
+        found = toxicity.score("a tree. " * n + "this is awful and vile.", weights, starts)
+        assert found[0] > 0.9 and len(found[1]) == 1
+
+
+def test_toxicity_learns_alike_from_repeated_ids_and_within_its_bounds(spark):
+    docs = spark.createDataFrame([(i % 300, f"word{i % 7} " + ("zorg here. " if i % 300 % 4 == 0 else "fine. ") * (1 + i // 300) + "x. " * 50) for i in range(900)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(300)] * 2 + [(None, 1)], "doc_id long, toxic int")
+    a, b = toxicity.train(docs, labels), toxicity.train(docs.repartition(7), labels.repartition(3))
+    assert a == b and a.get("zorg", 0) > 0
+    assert toxicity.train(docs, labels, train_chars=100) == {}  # no more than half a document
 
 
 # --- SimHash
