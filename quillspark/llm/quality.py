@@ -7,7 +7,8 @@ language's, and those to that of all documents.
 
 A document is rejected if one of its measures lies beyond its group's fence: the upper quartile plus `spread` times
 the distance of the quartiles, or plus the least width in MEASURES where quartiles lie close together (likewise below
-the lower quartile for word length).
+the lower quartile for word length). Where a measure is 0 in most documents of a group, as symbols and repeats are in
+prose, its quartiles coincide and the least width decides; groups that have more of it get fences of their own.
 
 Defined results: a null text counts as empty; a null language or source is a group of its own; repeated rows each
 count and each get a row; an empty table gives an empty one; other columns are ignored by `measure` and kept by
@@ -29,6 +30,8 @@ MEASURES = {
     "capitals": ("1000 * n_capitals div greatest(word_chars, 1)", 300, False),
     "word_length": ("10 * word_chars div greatest(n_words, 1)", 30, True),
 }
+#: Documents that a group must have for quartiles of its own.
+MIN_GROUP = 30
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals"]
 
 
@@ -91,7 +94,7 @@ def _quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
     return placed.groupBy(*keys).agg(F.max("docs").alias("docs"), at(1).alias("q1"), at(3).alias("q3"))
 
 
-def fences(sketch: DataFrame, min_group: int = 100, spread: int = 3) -> DataFrame:
+def fences(sketch: DataFrame, min_group: int = MIN_GROUP, spread: int = 3) -> DataFrame:
     """lang, source and, for each measure, <measure>_hi (and _lo): a row for each source of a language."""
     own = _quartiles(sketch, ["lang", "source"]).alias("o")
     lang = _quartiles(sketch, ["lang"]).alias("l")
@@ -122,14 +125,14 @@ def verdicts(measured: DataFrame, limits: DataFrame) -> DataFrame:
     return joined.select("__m.*", base_failed().alias("base_failed"), (~F.coalesce(base_failed() | beyond, base_failed())).alias("kept"))
 
 
-def judge(docs: DataFrame, min_group: int = 100, spread: int = 3) -> DataFrame:
+def judge(docs: DataFrame, min_group: int = MIN_GROUP, spread: int = 3) -> DataFrame:
     """doc_id, lang, source, COUNTS, base_failed and kept for each row of docs. Texts are read once."""
     measured = cut(measure(docs.select("doc_id", "lang", "source", "text")).drop("text"), "measured")
     limits = cut(fences(sketches(measured), min_group, spread), "fences")
     return verdicts(measured, sized(limits))
 
 
-def keep_good(docs: DataFrame, min_group: int = 100, spread: int = 3) -> DataFrame:
+def keep_good(docs: DataFrame, min_group: int = MIN_GROUP, spread: int = 3) -> DataFrame:
     """The rows of docs that judge() keeps, with all their columns.
 
     Texts are measured twice, once for the sketches and once to filter each row where it lies, so none is shuffled.

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillspark.llm import html, mixing, packing, quality, secrets, sharding, simhash, toxicity, vafile, warc
 
 #: Bytes of text that a shard may hold.
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 1 << 20
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -146,7 +146,7 @@ def _op9() -> str:
     least = " ".join(f"when '{k}' then {w}" for k, (_, w, _) in quality.MEASURES.items())
     low = ", ".join(f"'{k}'" for k, (_, _, x) in quality.MEASURES.items() if x)
     quart = lambda name, keys: f"{name} as (select {keys} measure, max(docs) as docs, min(value) filter (4 * upto >= docs) as q1, min(value) filter (4 * upto >= 3 * docs) as q3 from (select {keys} measure, value, sum(n) over (partition by {keys} measure order by value) as upto, sum(n) over (partition by {keys} measure) as docs from (select {keys} measure, value, count(*) as n from bucketed group by all)) group by {keys} measure)"
-    pick = lambda c: f"case when o.docs >= 100 then o.{c} when l.docs >= 100 then l.{c} else e.{c} end"
+    pick = lambda c: f"case when o.docs >= {quality.MIN_GROUP} then o.{c} when l.docs >= {quality.MIN_GROUP} then l.{c} else e.{c} end"
     return f"""
 with {_MEASURED},
 each as ({_each()}),

@@ -673,6 +673,23 @@ def test_shards_fit_and_split_only_where_needed(spark, odd, none):
     assert {r["shard"] for r in rows(sharding.assign(odd, 1 << 30))} == {""} and sharding.assign(none, 10).count() == 0
 
 
+def test_written_shards_are_the_planned_ones(spark, odd, none, tmp_path):
+    data = [(i, "x" * (i % 90)) for i in range(1500)] + [(9, "same" * 10)] * 900 + [(7, "abcd" * 10)] * 300 + [(None, None), (5000, "y" * 5000)]
+    docs = spark.createDataFrame([(*r, "mine", "own") for r in data], "doc_id long, text string, shard string, id string").repartition(5)
+    column = sharding.write_shards(docs, 4000, f"file://{tmp_path}/s")
+    back = spark.read.schema(f"{docs.schema.simpleString()[7:-1].replace(':', ' ')}, {column} string").parquet(f"file://{tmp_path}/s")
+    got = rows(back)
+    assert column == "shard_1" and Counter((r["doc_id"], r["text"], r["shard"], r["id"]) for r in got) == Counter((*r, "mine", "own") for r in data)
+    size, n = Counter(), Counter()
+    for r in got:
+        size[r[column]] += len(r["text"] or "")
+        n[r[column]] += 1
+    assert len(size) > 5 and all(size[k] <= 4000 or n[k] == 1 for k in size)
+    assert size == Counter({f"b{r['shard']}": r["shard_bytes"] for r in rows(sharding.assign(docs, 4000))})
+    for i, d in enumerate((odd, none)):
+        sharding.write_shards(d, 1000, f"file://{tmp_path}/{i}")
+
+
 # --- the pipeline
 
 
