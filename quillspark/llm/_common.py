@@ -47,6 +47,30 @@ def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def join_hot(rows: DataFrame, side: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """rows joined by keys (never null) with side, which has each key once and in `n` how many rows have it.
+
+    Keys with more rows than a task should have are at most as many as there are tasks; they are broadcast, so that the
+    rows of a hot key stay where they are. The others meet by a shuffle. Both tables are read twice.
+    """
+    total = side.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    each = max(1000, total // partitions(rows.sparkSession))
+    hot, rest = (F.broadcast(side.where(F.col(n) > each)), side.where(F.col(n) <= each))
+    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(rest, keys))
+
+
+def join_dealt(rows: DataFrame, side: DataFrame, keys: list[str], n: str, spread: list[str], how: str = "inner") -> DataFrame:
+    """As join_hot, for wide sides: the rows of a hot key are dealt out by `spread` over as many parts as they call for,
+    and the side's row goes to each; only the hot keys and their numbers of parts are broadcast."""
+    total = side.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    each = max(1000, total // partitions(rows.sparkSession))
+    last = F.expr(f"cast((`{n}` - 1) div {each} as int)")
+    hot = F.broadcast(side.where(F.col(n) > each).select(*keys, last.alias("last part")))
+    part = F.pmod(F.xxhash64(*spread), F.coalesce(F.col("last part"), F.lit(0)) + 1).cast("int")
+    dealt = rows.join(hot, keys, "left").withColumn("part", part).drop("last part")
+    return dealt.join(side.withColumn("part", F.explode(F.sequence(F.lit(0), last))), [*keys, "part"], how).drop("part")
+
+
 def words(text: Column) -> Column:
     """The words `[^\\x20\\x09-\\x0D]+` of a text, none for null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), WS), "")

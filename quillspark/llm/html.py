@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm._common import cut, partitions, sized
+from quillspark.llm._common import BROADCAST_ROWS, cut, join_dealt, sized
 
 #: Different texts of a host's pages, beside which text that never differs counts as the template's.
 STEADY = 5
@@ -545,26 +545,16 @@ def slots(read: DataFrame, found: DataFrame, learned: DataFrame) -> DataFrame:
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for each row of pages (page_id, url, html)."""
-    spark = pages.sparkSession
     read = parsed(pages)
     found = streams(read)
-    return chosen(read, slots(read, found, wrappers(found)), partitions(spark))
+    return chosen(read, slots(read, found, wrappers(found)))
 
 
-def chosen(read: DataFrame, kept: DataFrame, parts: int, rows: int | None = None) -> DataFrame:
-    """The texts of parsed pages by the slots that are content."""
-    small = sized(kept) if rows is None else sized(kept, rows)
+def chosen(read: DataFrame, kept: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The texts of parsed pages by the slots that are content; kept is broadcast up to so many rows."""
     pages = read.select("page_id", "url", "host", "key", "texts")
-    if small is kept:  # too large to be broadcast: streams with more pages than a task should have are dealt out
-        each = max(1000, -(-(kept.agg(F.sum("pages")).first()[0] or 0) // parts))
-        deals = F.expr(f"cast((pages - 1) div {each} as int)")
-        hot = F.broadcast(kept.where(F.col("pages") > each).select("host", "key", deals.alias("deals")))  # at most `parts` rows
-        salt = F.expr("cast(pmod(xxhash64(page_id, url), coalesce(deals, 0) + 1) as int)")
-        pages = pages.join(hot, ["host", "key"], "left").withColumn("salt", salt).drop("deals")
-        small = kept.withColumn("salt", F.explode(F.sequence(F.lit(0), deals)))
-        both = pages.join(small, ["host", "key", "salt"], "left")
-    else:
-        both = pages.join(small, ["host", "key"], "left")
+    small = sized(kept, rows)
+    both = join_dealt(pages, kept, ["host", "key"], "pages", ["page_id", "url"], "left") if small is kept else pages.join(small, ["host", "key"], "left")
     own = F.transform(F.filter("texts", lambda t: F.array_contains(F.coalesce("kept", F.array().cast("array<int>")), t["at"])), lambda t: t["text"])
     text = F.array_join(own, "\n\n")
     return both.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))

@@ -22,10 +22,10 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm._common import cut, partitions
+from quillspark.llm._common import cut, join_dealt, join_hot, partitions, sized
 
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
@@ -33,7 +33,7 @@ _LOWER = {c: c + 32 for c in range(65, 91)}
 BLOCK, FRONTIER = 1 << 15, 1 << 19
 #: Words of 64 bits of a wide fingerprint, whose halves of 32 bits are looked up with as many errors, and further words
 #: that pairs found there must about agree in. Candidates of sets up to SMALL shingles come from shared shingles instead.
-WIDE, HALF, ERRORS, CHECK, SMALL = 12, 32, 3, 2, 64
+WIDE, HALF, ERRORS, CHECK, SMALL = 8, 32, 3, 1, 64
 #: Rounds that look at one candidate per document, before all that are left.
 ROUNDS = 2
 
@@ -237,25 +237,33 @@ def near_duplicates(docs: DataFrame, k: int = 3, budget: int = 3, seed: int = 42
     """
     fps = cut(fingerprints(docs, k, seed), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
-    distinct = cut(fps.groupBy("fp").agg(first), "distinct")
+    distinct = cut(fps.groupBy("fp").agg(first, F.count("*").alias("n")), "distinct")
     joined = cut(stars(links(distinct, budget)), "stars")
-    named = _named(distinct, joined)
-    return fps.join(named, "fp").select("doc_id", "text_hash", "fp", F.col("first.doc_id").alias("component_id"), F.col("first.text_hash").alias("first_hash"))
+    named = cut(_named(distinct, joined), "named")
+    return join_hot(fps, named, ["fp"], "n").select("doc_id", "text_hash", "fp", F.col("first.doc_id").alias("component_id"), F.col("first.text_hash").alias("first_hash"))
+
+
+def _trie_of(code: Column) -> Column:
+    """The trie that a row's code is in: a shared shingle's own (negative codes), or that of its first bits."""
+    return F.when(code < 0, code).otherwise(F.shiftright(code, HALF - HALF // (ERRORS + 1)))
 
 
 def _candidates(far: int, small: int, turn: int | None, many: int = 1 << 16):
-    """Candidate pairs of rows (trie, code, key, check words, label): with `turn` for each key the one that comes first
-    in the turn's order, as (a, b, place of b); else all with different labels."""
+    """Candidate pairs of rows (code, key, check words and perhaps label; else keys are labels), by code: with `turn`
+    for each key the one that comes first in the turn's order, as (a, b, place of b); else all with different labels."""
     top = HALF // (ERRORS + 1)
     factor = np.uint64((2 * (turn or 0) + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)  # odd: each key has a place of its own
 
-    def flush(trie: np.ndarray, code: np.ndarray, key: np.ndarray, label: np.ndarray, *check: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def flush(trie: np.ndarray, code: np.ndarray, key: np.ndarray, *more: np.ndarray) -> Iterator[pa.RecordBatch]:
+        # codes to the left end, as trie_links has them; shared shingles have none
+        code = np.where(code < 0, 0, code).astype(np.uint64) << np.uint64(64 - HALF)
         place = key.view(np.uint64) * factor
-        check = [c.view(np.uint64) for c in check]  # signed ones would be counted by their absolute values
+        check = [c.view(np.uint64) for c in more[:CHECK]]  # signed ones would be counted by their absolute values
+        label = more[CHECK] if len(more) > CHECK else key
         best = np.full(len(key), (1 << 64) - 1, np.uint64)
         of = np.zeros(len(key), np.int64)
         met = np.zeros(len(key), bool)
-        for links in trie_links(trie, code.view(np.uint64), ERRORS, top, 64 - HALF, label):
+        for links in trie_links(trie, code, ERRORS, top, 64 - HALF, label):
             links = links[label[links[:, 0]] != label[links[:, 1]]]
             bits = sum(np.bitwise_count(c[links[:, 0]] ^ c[links[:, 1]]).astype(int) for c in check)
             a, b = links[bits <= np.where(trie[links[:, 0]] < 0, small, far)].T
@@ -276,7 +284,8 @@ def _candidates(far: int, small: int, turn: int | None, many: int = 1 << 16):
         held: list[list[np.ndarray]] = []
         rows = 0
         for b in batches:
-            held.append([np.frombuffer(c.buffers()[1], np.int64)[c.offset : c.offset + len(c)] if not c.null_count else c.to_numpy(zero_copy_only=False) for c in b.columns])
+            cols = [np.frombuffer(c.buffers()[1], np.int64)[c.offset : c.offset + len(c)] if not c.null_count else c.to_numpy(zero_copy_only=False) for c in b.columns]
+            held.append([np.where(cols[0] < 0, cols[0], cols[0] >> (HALF - top)), *cols])
             rows += b.num_rows
             if rows >= many:
                 x = [np.concatenate(c) for c in zip(*held, strict=True)]
@@ -291,27 +300,28 @@ def _candidates(far: int, small: int, turn: int | None, many: int = 1 << 16):
 
 
 def _tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of tries for rows (key, label, fp, tokens)."""
+    """Rows (code, key, check words, label if there) of tries for rows (key, fp, tokens, and perhaps label).
+
+    A code holds the half-word's number and turn above its 32 turned bits, or a shared shingle with the highest bit."""
     codes, size = 64 // HALF * WIDE, HALF // (ERRORS + 1)
-    names = ["trie", "code", "key", "label", *(f"check{i}" for i in range(CHECK))]
     for b in batches:
-        key, label = (b.column(i).to_numpy(zero_copy_only=False) for i in range(2))
-        fps = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint64).reshape(len(key), WIDE + CHECK)
+        key, *label = (b.column(i).to_numpy(zero_copy_only=False) for i in range(b.num_columns) if i not in (1, 2))
+        names = ["code", "key", *(f"check{i}" for i in range(CHECK)), *(["label"] if label else [])]
+        fps = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint64).reshape(len(key), WIDE + CHECK)
         check = fps[:, WIDE:].view(np.int64)
-        tokens = [np.frombuffer(x, np.uint64) for x in b.column(3).to_pylist()]
+        tokens = [np.frombuffer(x, np.uint64) for x in b.column(2).to_pylist()]
         n = np.array([len(x) for x in tokens])
         row = np.repeat(np.arange(len(key)), n)
         if len(row):  # a shared shingle is a trie of its own, in which all codes are equal
-            trie = (np.concatenate(tokens) | np.uint64(1 << 63)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (trie, np.zeros_like(trie), key[row], label[row], *check[row].T.copy())], names=names)
+            code = (np.concatenate(tokens) | np.uint64(1 << 63)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (code, key[row], *check[row].T.copy(), *(x[row] for x in label))], names=names)
         wide = fps[:, 0] != 0
         half = np.ascontiguousarray(fps[wide, :WIDE]).view(np.uint32).reshape(-1, codes).astype(np.uint64)
-        rest = [pa.array(x) for x in (key[wide], label[wide], *check[wide].T.copy())]
+        rest = [pa.array(x) for x in (key[wide], *check[wide].T.copy(), *(x[wide] for x in label))]
         for block in range(ERRORS + 1):
             turned = (half << np.uint64(block * size) | half >> np.uint64(HALF - block * size)) & np.uint64((1 << HALF) - 1)
             for i in range(codes):
-                trie = (turned[:, i] >> np.uint64(HALF - size)).astype(np.int64) * (codes * (ERRORS + 1)) + block * codes + i
-                yield pa.RecordBatch.from_arrays([pa.array(trie), pa.array((turned[:, i] << np.uint64(64 - HALF)).view(np.int64)), *rest], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(turned[:, i].astype(np.int64) + (block * codes + i << HALF)), *rest], names=names)
 
 
 def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -322,7 +332,7 @@ def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> Data
 
     Sets over SMALL shingles have wide fingerprints; each half-word is a code of its own, with tries that allow ERRORS
     errors, and pairs found there must be near in CHECK further words, with 3.5 standard deviations granted. A pair just
-    at the threshold is found by at least one code with a probability of about 0.999, closer ones nearly surely.
+    at the threshold is found by at least one code with a probability of about 0.99, closer ones nearly surely.
     Smaller sets are compared if they share one of the first shingles in the order of hashes, as many as similar sets
     can't all differ in; that finds all.
 
@@ -352,53 +362,64 @@ def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> Data
     hashed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     fps = cut(hashed.mapInArrow(run, f"doc_id {id_type}, text_hash long, key long, fp binary, tokens binary"), "wide-fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
-    named = cut(fps.groupBy("key").agg(first, F.min("text_hash").alias("held")), "shingle-sets")
-    marks = fps.groupBy("key").agg(F.min("fp").alias("fp"), F.min("tokens").alias("tokens"))
+    named = cut(fps.groupBy("key").agg(first, F.count("*").alias("n"), F.min("fp").alias("fp"), F.min("tokens").alias("tokens")), "shingle-sets")
 
     def found(nodes: DataFrame, turn: int | None) -> DataFrame:
-        words = ", ".join(f"check{i} long" for i in range(CHECK))
-        rows = nodes.select("key", "label", "fp", "tokens").mapInArrow(_tries, f"trie long, code long, key long, label long, {words}")
-        ordered = rows.repartition(partitions(docs.sparkSession), "trie").sortWithinPartitions("trie", F.col("code").bitwiseXOR(F.lit(-(1 << 63)).cast("long")))
+        words = "".join(f", check{i} long" for i in range(CHECK))
+        rows = nodes.mapInArrow(_tries, f"code long, key long{words}" + (", label long" if "label" in nodes.columns else ""))
+        ordered = rows.repartition(partitions(docs.sparkSession), _trie_of(F.col("code"))).sortWithinPartitions("code")
         return cut(ordered.mapInArrow(_candidates(far, small, turn), "a long, b long, place long"), "candidates")
 
-    pairs = found(marks.withColumn("label", F.col("key")), 0)
-    ends = cut(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), "ends")
-    texts = hashed.join(named.join(ends, "key").select("key", F.col("held").alias("text_hash")), "text_hash").groupBy("key").agg(F.first("text").alias("text"))
+    pairs = found(named.select("key", "fp", "tokens"), 0)
+    ends = cut(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct().join(named, "key"), "ends")
+    # the text of one document of each set: others with that set stay where they are
+    one = ends.select("key", F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"))
+    same = hashed["doc_id"].eqNullSafe(one["doc_id"]) & (hashed["text_hash"] == one["text_hash"])
+    texts = hashed.join(sized(one), same).groupBy("key").agg(F.first("text").alias("text"))
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(x.as_py(), k).view(np.int64) for x in b.column(1)], pa.list_(pa.int64()))], names=["key", "hashes"])
 
     sets = cut(texts.mapInArrow(hashes, "key long, hashes array<long>"), "sets")
-    few = cut(marks.join(ends, "key"), "marks")
+    few = ends.select("key", "fp", "tokens")
     linked = None
     for turn in [*range(ROUNDS), None]:
         if turn != 0:
             stars_ = cut(stars(linked), "set-stars")
             label = F.coalesce("root", "key").alias("label")
-            pairs = found(few.join(stars_.select(F.col("a").alias("key"), F.col("b").alias("root")), "key", "left").select("key", label, "fp", "tokens"), turn)
+            pairs = found(few.join(stars_.select(F.col("a").alias("key"), F.col("b").alias("root")), "key", "left").select("key", "fp", "tokens", label), turn)
         one = pairs.select("a", "b").distinct() if turn is None else pairs.groupBy("a").agg(F.min_by("b", "place").alias("b"))
-        side = lambda e: sets.select(F.col("key").alias(e), F.col("hashes").alias(f"{e}_hashes"))
+        one = cut(one, "pairs")
+        side = lambda e: one.groupBy(e).agg(F.count("*").alias(f"{e}_n")).join(sets.select(F.col("key").alias(e), F.col("hashes").alias(f"{e}_hashes")), e)
         common = F.size(F.array_intersect("a_hashes", "b_hashes")).cast("long")
         near = common * (exact.numerator + exact.denominator) >= (F.size("a_hashes") + F.size("b_hashes")) * exact.numerator
-        true = one.join(side("a"), "a").join(side("b"), "b").where(near).select("a", "b")
+        true = join_dealt(join_dealt(one, side("a"), ["a"], "a_n", ["b"]), side("b"), ["b"], "b_n", ["a"]).where(near).select("a", "b")
         linked = cut(true if linked is None else true.union(linked), "links")
     joined = cut(stars(linked), "set-stars")
-    names = _named(named.select(F.col("key").alias("fp"), "first"), joined).withColumnRenamed("fp", "key")
-    return fps.join(names, "key").select("doc_id", "text_hash", F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash"))
+    names = cut(_named(named.select(F.col("key").alias("fp"), "first", "n"), joined).withColumnRenamed("fp", "key"), "named-sets")
+    return join_hot(fps, names, ["key"], "n").select("doc_id", "text_hash", F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash"))
 
 
 def _named(distinct: DataFrame, joined: DataFrame) -> DataFrame:
-    """fp, first: for each fingerprint the first document of its component, given the components' stars."""
+    """fp, first, n: for each fingerprint the first document of its component, given the components' stars."""
     member = joined.select(F.col("a").alias("fp"), F.col("b").alias("root")).union(joined.select(F.col("b").alias("fp"), F.col("b").alias("root")).distinct())
     least = member.join(distinct, "fp").groupBy("root").agg(F.min("first").alias("least"))
-    return distinct.join(member.join(least, "root").select("fp", "least"), "fp", "left").select("fp", F.coalesce("least", "first").alias("first"))
+    return distinct.join(member.join(least, "root").select("fp", "least"), "fp", "left").select("fp", F.coalesce("least", "first").alias("first"), "n")
 
 
 def one_of_each(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs with all their columns, one row of each group: that of the least doc_id, and of its repetitions one."""
+    """docs with all their columns, one row of each group: that of the least doc_id, and of its repetitions one.
+
+    Rows that nothing is like or equal to are told from the others by a join with the ids and hashes of those that go or
+    are repeated; only repeated ones are shuffled to keep one of them.
+    """
     groups = similar_groups(docs, k, similarity)
-    first = groups.select(F.col("first_id").alias("__id"), F.col("first_hash").alias("__hash")).distinct()
-    own = docs.withColumn("__id", F.col("doc_id")).withColumn("__hash", F.xxhash64("text"))
-    same = own["__id"].eqNullSafe(first["__id"]) & (own["__hash"] == first["__hash"])
-    return own.join(first, same, "left_semi").dropDuplicates(["__id", "__hash"]).drop("__id", "__hash")
+    leads = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_hash") == F.col("first_hash"))
+    counted = groups.withColumn("leads", leads).groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"), F.max("leads").alias("leads"))
+    known = sized(cut(counted.where(~F.col("leads") | (F.col("n") > 1)).select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "leads"), "near-copies"))
+    own = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("own id"), F.xxhash64("text").alias("own hash"))
+    told = own.join(known, own["own id"].eqNullSafe(known["id"]) & (own["own hash"] == known["hash"]), "left")
+    alone = told.where(F.col("leads").isNull()).select("row.*")
+    repeated = told.where("leads").dropDuplicates(["own id", "own hash"]).select("row.*")
+    return alone.unionByName(repeated)
