@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 WS = r"[\x20\x09-\x0D]+"
 #: Rows that a side may have to be broadcast; above it the same join is left to a shuffle.
 BROADCAST_ROWS = 100_000
+#: Whole texts that go to Python at once.
+TEXTS = 500
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,11 +36,18 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read again: computed once, and safe from lost executors."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.parquet(path)
+def cut(df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
+    """df, written to the shared folder and read again: computed once, and safe from lost executors.
+
+    batch: how many rows go to Python at once, where they hold whole texts; the session's own number otherwise.
+    """
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    path, own = shared_path(spark, name), spark.conf.get(key)
+    spark.conf.set(key, str(batch or own))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, own)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -32,26 +32,28 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm._common import cut, prefix_sums
+from quillspark.llm._common import TEXTS, cut, prefix_sums
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Words and parts whose ids a task keeps; the memory is emptied beyond that.
-MEMORY = 500_000
+#: Of how many words, and of how many parts, a worker keeps the ids in each of two generations.
+MEMORY = 100_000
 #: Python splits at these, the vocabulary doesn't.
 _ODD = re.compile(r"[\x1c-\x1f]")
 
 
 class Memory(dict):
-    """What `make` gives for a key, remembered for up to MEMORY keys; then it starts anew."""
+    """What `make` gives for a key. MEMORY keys later a key is forgotten, unless it was asked for in between."""
 
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.older = make, {}
 
     def __missing__(self, key):
         if len(self) >= MEMORY:
+            self.older = dict(self)
             self.clear()
-        self[key] = out = self.make(key)
+        out = self.older.get(key)
+        self[key] = out = self.make(key) if out is None else out
         return out
 
 
@@ -88,24 +90,26 @@ def encoder(vocabulary: str):
         return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def part(x: str) -> bytes:
-        ids = [t.id for t in model.tokenize(x.encode().decode("latin-1").translate(letters))]
+        seen_as = x if x.isascii() and x.isprintable() else x.encode().decode("latin-1").translate(letters)  # no part has a blank
+        ids = [t.id for t in model.tokenize(seen_as)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
     parts = Memory(part)
 
-    def word(x: str) -> bytes:
-        return b"".join(map(parts.__getitem__, parts_of(x.lower()))) if _latin(x) else whole(x)
+    def word(x: str) -> bytes:  # in lower case and Latin-1
+        own = parts_of(x)
+        return part(own[0]) if len(own) == 1 else b"".join(map(parts.__getitem__, own))
 
-    words = Memory(word)
+    words, others = Memory(word), Memory(lambda x: word(x.lower()) if _latin(x) else whole(x))
 
     def encode(text: str) -> bytes:
         if not lower or any(x in text for x in special) or _ODD.search(text):
             return whole(text)
         if _latin(text):
-            text = text.lower()
-        elif not unicodedata.is_normalized("NFC", text):  # words might join
+            return b"".join(map(words.__getitem__, text.lower().split()))
+        if not unicodedata.is_normalized("NFC", text):  # words might join
             return whole(text)
-        return b"".join(map(words.__getitem__, text.split()))
+        return b"".join(map(others.__getitem__, text.split()))
 
     return encode
 
@@ -220,7 +224,7 @@ def pack(docs: DataFrame, vocabulary: str, room: int = 2048, end: int = 0) -> Da
     """The pieces with sequence_id and offset: a row for each piece of docs (doc_id, text)."""
     place = F.shiftrightunsigned(F.xxhash64("id"), 11) / F.lit(float(1 << 53))  # repeated rows have places of their own
     pieces = tokenised(docs, vocabulary, room, end).withColumn("one", F.lit(1).cast("long")).withColumn("id", F.monotonically_increasing_id())
-    pieces = cut(pieces.withColumn("place", place), "pieces")
+    pieces = cut(pieces.withColumn("place", place), "pieces", TEXTS)
     histogram = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # at most `room` rows
     table = docs.sparkSession.sparkContext.broadcast(slots(groups(histogram, room)))
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm._common import cut, join_dealt, join_hot, partitions, sized
+from quillspark.llm._common import TEXTS, cut, join_dealt, join_hot, partitions, sized
 
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
@@ -235,7 +235,7 @@ def near_duplicates(docs: DataFrame, k: int = 3, budget: int = 3, seed: int = 42
 
     component_id: the least doc_id that is reachable; first_hash: the text_hash of that document.
     """
-    fps = cut(fingerprints(docs, k, seed), "fingerprints")
+    fps = cut(fingerprints(docs, k, seed), "fingerprints", TEXTS)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
     distinct = cut(fps.groupBy("fp").agg(first, F.count("*").alias("n")), "distinct")
     joined = cut(stars(links(distinct, budget)), "stars")
@@ -360,7 +360,7 @@ def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> Data
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     hashed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    fps = cut(hashed.mapInArrow(run, f"doc_id {id_type}, text_hash long, key long, fp binary, tokens binary"), "wide-fingerprints")
+    fps = cut(hashed.mapInArrow(run, f"doc_id {id_type}, text_hash long, key long, fp binary, tokens binary"), "wide-fingerprints", TEXTS)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
     named = cut(fps.groupBy("key").agg(first, F.count("*").alias("n"), F.min("fp").alias("fp"), F.min("tokens").alias("tokens")), "shingle-sets")
 
@@ -381,7 +381,7 @@ def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> Data
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(x.as_py(), k).view(np.int64) for x in b.column(1)], pa.list_(pa.int64()))], names=["key", "hashes"])
 
-    sets = cut(texts.mapInArrow(hashes, "key long, hashes array<long>"), "sets")
+    sets = cut(texts.mapInArrow(hashes, "key long, hashes array<long>"), "sets", TEXTS)
     few = ends.select("key", "fp", "tokens")
     linked = None
     for turn in [*range(ROUNDS), None]:
