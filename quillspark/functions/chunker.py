@@ -12,6 +12,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
@@ -21,6 +22,9 @@ _RULE = re.compile(r" {0,3}(?:(?:\*[ \t]*){3,}|(?:-[ \t]*){3,}|(?:_[ \t]*){3,})$
 _FENCE = re.compile(r" {0,3}(`{3,}|~{3,})[ \t]*([^`]*)$")
 _ITEM = re.compile(r" {0,3}(?:[-+*]|\d{1,9}[.)])(?:[ \t]+|$)")
 _QUOTE = re.compile(r" {0,3}> ?")
+# CommonMark's block tags, and how its other HTML blocks begin and end (those end with a blank line).
+_TAGS = "address article aside base basefont blockquote body caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frame frameset h1 h2 h3 h4 h5 h6 head header hr html iframe legend li link main menu menuitem nav noframes ol optgroup option p param search section summary table tbody td tfoot th thead title tr track ul"
+_HTML = [(r"<(?:script|pre|style|textarea)(?:\s|>|$)", r"</(?:script|pre|style|textarea)>"), (r"<!--", r"-->"), (r"<\?", r"\?>"), (r"<![a-z]", r">"), (r"<!\[CDATA\[", r"\]\]>"), (rf"</?(?:{_TAGS.replace(' ', '|')})(?:\s|/?>|$)", None)]
 _SETEXT = re.compile(r" {0,3}(=+|-+)[ \t]*$")
 
 
@@ -59,11 +63,11 @@ def _plain(inline: str) -> str:
 def events(text: str) -> Iterator[tuple]:
     """("heading", level, title, start, end), ("rule", start, end), ("block", kind, start, end): in order, by characters."""
     at, lines = 0, []
-    for raw in text.splitlines(keepends=True):
+    for raw in re.findall(r"[^\r\n]*(?:\r\n|\r|\n)|[^\r\n]+$", text):  # CommonMark's line ends, no others
         lines.append((at, raw))
         at += len(raw)
     i = 0
-    kind, start, end, fence = None, 0, 0, None
+    kind, start, end, fence, quoted, html = None, 0, 0, None, False, None
 
     def done():
         nonlocal kind
@@ -78,10 +82,24 @@ def events(text: str) -> Iterator[tuple]:
         i += 1
         if fence:
             end = at + len(raw)
-            close = re.match(r" {0,3}(`{3,}|~{3,})[ \t]*$", line)
-            if close and close[1][0] == fence[0] and len(close[1]) >= len(fence):
+            inner = line
+            while quoted and (m := _QUOTE.match(inner)):
+                inner = inner[m.end() :]
+            close = re.match(r" {0,3}(`{3,}|~{3,})[ \t]*$", inner)
+            if quoted and inner == line:  # the quote is over, and its fence with it
+                end, fence = at, None
+                yield from done()
+            elif close and close[1][0] == fence[0] and len(close[1]) >= len(fence):
                 fence = None
                 yield from done()
+                continue
+            else:
+                continue
+        if html is not None:
+            end = at + len(raw)
+            if re.search(html, line, re.I) if html else not line.strip():
+                html = None
+                yield from done()
             continue
         bare, inside = line, None
         while m := _QUOTE.match(bare):
@@ -107,8 +125,17 @@ def events(text: str) -> Iterator[tuple]:
             continue
         if (m := _FENCE.match(bare)) and not (m[1][0] == "`" and "`" in m[2]):
             yield from done()
-            kind, start, end, fence = "fence", at, at + len(raw), m[1]
+            kind, start, end, fence, quoted = "fence", at, at + len(raw), m[1], inside == "quote"
             continue
+        if inside is None and kind != "code" and (m := re.match(r" {0,3}(?=<)", line)):
+            ends = next((e or "" for s, e in _HTML if re.match(s, line[m.end() :], re.I)), None)
+            if ends is not None:
+                yield from done()
+                kind, start, end = "html", at, at + len(raw)
+                html = None if ends and re.search(ends, line[m.end() :], re.I) else ends
+                if html is None:
+                    yield from done()
+                continue
         code = line.startswith(("    ", "\t")) and kind not in ("paragraph", "item", "quote")
         want = "code" if code else inside or (kind if kind in ("item", "quote", "paragraph") else "paragraph")
         if want != kind or inside == "item":
@@ -128,7 +155,8 @@ def chunks(text: str) -> list[Chunk]:
     opened: int | None = None
     began = "document_start"
     path = ""
-    byte = lambda i: len(body[:i].encode())
+    sizes = None if body.isascii() else np.concatenate([[0], np.cumsum([1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF) for c in map(ord, body)])])
+    byte = lambda i: i if sizes is None else int(sizes[i])
 
     def close(stop: int, by: str):
         nonlocal opened, began

@@ -38,7 +38,7 @@ def hash_embedder(dims: int) -> Embedder:
     return lambda texts: [one(t) for t in texts]
 
 
-def in_batches(embed: Embedder, texts: Sequence[str], dims: int, batch: int = 16, retries: int = 1, pause: float = 0.25) -> list[list[float]]:
+def in_batches(embed: Embedder, texts: Sequence[str], dims: int | None, batch: int = 16, retries: int = 1, pause: float = 0.25) -> list[list[float]]:
     """Vectors of all texts. A refused batch is halved; the size learned is kept once a batch of several has passed, so
     one text that is too long on its own account doesn't slow down the others."""
     out: list[list[float]] = []
@@ -53,7 +53,7 @@ def in_batches(embed: Embedder, texts: Sequence[str], dims: int, batch: int = 16
                 raise
             size = len(part) // 2
             continue
-        if len(got) != len(part) or any(len(v) != dims for v in got):
+        if len(got) != len(part) or any(len(v) != (dims or len(v)) for v in got):
             raise EngineError("embedding_unavailable", "the service's vectors don't fit the request")
         out += got
         at += len(part)
@@ -85,14 +85,27 @@ def by_index(rows: list[dict]) -> list[list[float]]:
 
 
 def embed_chunks(chunks: DataFrame, embed: Embedder, dims: int, batch: int = 16) -> DataFrame:
-    """chunks with a column embedding; null for a batch of rows whose service is down, so that files stay searchable."""
+    """chunks with a column embedding. It is null for all rows of a file of which the service takes a text not at all,
+    and for what is left of a batch when the service is down, so that files stay searchable."""
+
+    def by_file(x: pd.DataFrame) -> list:
+        out: list = [None] * len(x)
+        places = x.reset_index(drop=True).groupby(["vault", "file_path"], sort=False, dropna=False).indices
+        for own in places.values():
+            try:
+                for i, v in zip(own, in_batches(embed, [x["content"].iloc[i] for i in own], dims, batch), strict=True):
+                    out[i] = v
+            except (EngineError, Refused) as e:
+                if isinstance(e.__cause__, Unavailable):
+                    break
+        return out
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             try:
                 vectors = in_batches(embed, list(x["content"]), dims, batch)
-            except EngineError:
-                vectors = [None] * len(x)
+            except (EngineError, Refused) as e:
+                vectors = [None] * len(x) if isinstance(e.__cause__, Unavailable) else by_file(x)
             yield x.assign(embedding=vectors)
 
     return chunks.mapInPandas(run, ", ".join(f"{n} {t}" for n, t in chunks.dtypes) + ", embedding array<float>")

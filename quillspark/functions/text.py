@@ -88,10 +88,22 @@ def glob_start(glob: str) -> str:
     return plain.rpartition("/")[0]
 
 
+# POSIX classes, as ranges of ASCII.
+_POSIX = {
+    "alnum": "a-zA-Z0-9", "alpha": "a-zA-Z", "ascii": r"\x00-\x7F", "blank": r"\t\x20", "cntrl": r"\x00-\x1F\x7F", "digit": "0-9", "graph": "!-~", "lower": "a-z",
+    "print": r"\x20-~", "punct": r"!-/:-@\[-`{-~", "space": r"\t\n\x0B\f\r\x20", "upper": "A-Z", "word": "a-zA-Z0-9_", "xdigit": "0-9A-Fa-f",
+}
+
+
 def java_regex(spark: SparkSession, pattern: str) -> str:
-    """A linear-time dialect's expression for Java: Unicode classes, \\n alone ends lines, `$` is the very end."""
+    """A linear-time dialect's expression for Java: Unicode classes, \\n alone ends lines, `$` is the very end.
+
+    POSIX classes and `(?P<name>` are translated; what only a backtracking dialect has is refused.
+    """
     if re.search(r"(?<!\\)(?:\\\\)*(?:\(\?(?:[=!]|<[=!])|\\[1-9]|\\k<)", pattern):
         raise EngineError("invalid_regex", "look-around and back-references aren't supported")
+    if re.search(r"(?<!\\)(?:\\\\)*(?:\\[QEGRXZhHNK]|\(\?>)", pattern):
+        raise EngineError("invalid_regex", "quoting, atomic groups and escapes of other dialects aren't supported")
     out, i, inside = [], 0, False
     multi = re.search(r"\(\?[a-z]*m", pattern)
     while i < len(pattern):
@@ -100,6 +112,18 @@ def java_regex(spark: SparkSession, pattern: str) -> str:
             out.append(pattern[i : i + 2])
             i += 2
             continue
+        if inside and (m := re.match(r"\[:(\^?)(\w+):\]", pattern[i:])):
+            if m[2] not in _POSIX:
+                raise EngineError("invalid_regex", f"unknown class {m[0]}")
+            out.append(f"[^{_POSIX[m[2]]}]" if m[1] else _POSIX[m[2]])
+            i += len(m[0])
+            continue
+        if not inside and pattern.startswith("(?P<", i):
+            out.append("(?<")
+            i += 4
+            continue
+        if not inside and c == "+" and re.search(r"(?<!\\)(?:\\\\)*(?:[*+?]|(?<!\\[pPxuU])\{\d+,?\d*\})$", pattern[:i]):
+            raise EngineError("invalid_regex", "possessive repetition isn't supported")
         inside = (inside or c == "[") and c != "]"
         out.append(r"\z" if c == "$" and not inside and not multi else c)
         i += 1

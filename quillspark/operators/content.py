@@ -49,6 +49,8 @@ def matching(files: DataFrame, query: str, mode: str = "substring", case_sensiti
         out = out.where(body.rlike(java))
         count = F.regexp_count(body, F.lit(java))
         hits, pieces = F.regexp_extract_all(body, F.lit(java), F.lit(0)), F.split(body, java)
+        # nothing comes before an empty match at the start, and split leaves that piece out
+        pieces = F.when(F.size(pieces) <= F.size(hits), F.concat(F.array(F.lit("")), pieces)).otherwise(pieces)
     else:
         needle = query if case_sensitive else fold(query)
         body = F.col("content") if case_sensitive else ascii_fold(F.col("content"))

@@ -6,6 +6,7 @@ Postings hold (vault, term, path, positions); statistics are per vault. A query
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -102,8 +103,6 @@ def parse(query: str, terms_of) -> tuple[tuple | None, list[tuple[list[str], boo
     def phrase():
         text, prefix = take("text")
         terms = terms_of(text)
-        if prefix and terms and not terms_of("x") == []:
-            terms[-1] = re.findall(r"[^\W_]+", text.lower())[-1]
         phrases.append((terms, prefix))
         return len(phrases) - 1
 
@@ -128,6 +127,8 @@ def parse(query: str, terms_of) -> tuple[tuple | None, list[tuple[list[str], boo
             if peek() == "distance":
                 distance = take()
             take("near" if peek() is None else ")")
+            if not ids:
+                raise EngineError("invalid_query", "NEAR needs phrases")
             return ("near", ids, distance)
         if kind == "text":
             return ("phrase", phrase())
@@ -170,9 +171,22 @@ def _minus(k: int):
     return lambda x: x - k
 
 
-def _beside(i: int, n0: int, n1: int, distance: int):
-    """Does phrase i stand at most so many tokens before or after a phrase of n0 tokens at x?"""
-    return lambda x: F.exists(f"p{i}", lambda y: F.when(y >= x, y - x - n0).otherwise(x - y - n1) <= distance)
+def _kth(k: int):
+    return lambda c: F.get(c, F.lit(k))
+
+
+def _nears(tree: tuple) -> list[tuple]:
+    return [tree] if tree[0] == "near" else [n for t in tree[1:] if isinstance(t, tuple) for n in _nears(t)]
+
+
+def _clumps(ids: list[int], phrases: list, distance: int) -> Column:
+    """Places of the phrases, a list for each clump: from any place on, each phrase's next, if there are at most
+    `distance` tokens between each one and the start of the last."""
+    starts = F.array_distinct(F.flatten(F.array(*[F.col(f"p{i}") for i in ids])))
+    following = lambda m: F.array(*[F.array_min(F.filter(F.col(f"p{i}"), lambda y: y >= m)) for i in ids])
+    sizes = [len(phrases[i][0]) for i in ids]
+    near = lambda c: functools.reduce(Column.__and__, [F.array_max(c) - F.get(c, F.lit(k)) - n <= distance for k, n in enumerate(sizes)])
+    return F.filter(F.transform(starts, following), lambda c: (F.size(F.array_compact(c)) == len(ids)) & near(c))
 
 
 def _holds(tree: tuple, phrases: list) -> Column:
@@ -182,12 +196,7 @@ def _holds(tree: tuple, phrases: list) -> Column:
     if kind == "never":
         return F.lit(False)
     if kind == "near":
-        first, *rest = tree[1]
-        # a start of each phrase with at most `distance` tokens between it and the first one's
-        near = F.lit(True)
-        for i in rest:
-            near = near & F.exists(f"p{first}", _beside(i, len(phrases[first][0]), len(phrases[i][0]), tree[2]))
-        return near & (F.size(f"p{first}") > 0)
+        return F.size(f"near{tree[1][0]}") > 0
     a, b = _holds(tree[1], phrases), _holds(tree[2], phrases)
     return a & b if kind == "and" else a | b if kind == "or" else a & ~b
 
@@ -212,6 +221,11 @@ def bm25(index: Index, query: str, prefix: str | None = None) -> DataFrame:
         for k in range(1, len(terms)):
             own = F.array_intersect(own, F.col(f"p{i}_{k}"))
         hits = hits.withColumn(f"p{i}", own)
+    counted = {i: F.size(f"p{i}") for i in range(len(phrases))}
+    for _, ids, distance in _nears(tree):  # only places in a clump count there
+        hits = hits.withColumn(f"near{ids[0]}", _clumps(ids, phrases, distance))
+        for k, i in enumerate(ids):
+            counted[i] = F.size(F.array_distinct(F.transform(f"near{ids[0]}", _kth(k))))
     of_vault = index.files.groupBy("vault").agg(F.count("*").alias("docs"), F.avg("dl").alias("avgdl"))
     having = hits.groupBy("vault").agg(*[F.count_if(F.size(f"p{i}") > 0).alias(f"n{i}") for i in range(len(phrases))])
     stats = of_vault.join(having, "vault")
@@ -221,7 +235,7 @@ def bm25(index: Index, query: str, prefix: str | None = None) -> DataFrame:
     score = F.lit(0.0)
     for i in range(len(phrases)):
         idf = F.ln((F.col("docs") - F.col(f"n{i}") + 0.5) / (F.col(f"n{i}") + 0.5))
-        tf = F.size(f"p{i}").cast("double")
+        tf = counted[i].cast("double")
         score = score - F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return rows.select("vault", "path", score.alias("score"))
 

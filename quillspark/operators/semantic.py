@@ -51,6 +51,12 @@ def payload(content: Column, include: str = "preview", preview_bytes: int = 600)
     return [text.alias("text"), F.lit(include).alias("text_kind"), (F.lit(False) if include == "full" else F.octet_length(content) > preview_bytes).alias("text_truncated")]
 
 
+def _cut(full: DataFrame, rows: DataFrame, limit: int) -> DataFrame:
+    """A row if a vault's k were used up, or if there are more rows than the limit."""
+    more = rows.limit(limit + 1).groupBy().count().where(F.col("count") > limit)
+    return full.select("count").unionByName(more)
+
+
 def headings(c: Column) -> Column:
     return F.when(c == "", F.expr("cast(array() as array<string>)")).otherwise(F.split(c, "/"))
 
@@ -60,7 +66,7 @@ def search_chunks(chunks: DataFrame, query: list[float], prefix: str | None = No
     order = [F.desc("score"), F.col("vault"), F.col("file_path"), F.col("chunk_index")]
     keep = [c for c in ("chunk_hash", "file_hash", "vault_name") if c in chunks.columns]
     rows = best.select("score", F.col("file_path"), "chunk_index", headings(F.col("heading_path")).alias("heading_path"), *payload(F.col("content"), include, preview_bytes), "vault", *keep)
-    return Result(rows.orderBy(*order).limit(limit), full)
+    return Result(rows.orderBy(*order).limit(limit), _cut(full, rows, limit))
 
 
 def search_documents(chunks: DataFrame, query: list[float], prefix: str | None = None, min_similarity: float | None = None, limit: int = 10, chunks_per_document: int = 3, multiplier: int = 10, cap: int = 1000, include: str = "preview", preview_bytes: int = 600) -> Result:
@@ -71,7 +77,7 @@ def search_documents(chunks: DataFrame, query: list[float], prefix: str | None =
     shown = F.struct((-F.col("score")).alias("order"), "chunk_index", "score", headings(F.col("heading_path")).alias("heading_path"), *payload(F.col("content"), include, preview_bytes))
     docs = best.groupBy("vault", "file_path", "file_hash").agg(F.max("score").alias("score"), F.slice(F.array_sort(F.collect_list(shown)), 1, chunks_per_document).alias("chunks"))
     docs = docs.withColumn("chunks", F.transform("chunks", lambda x: x.dropFields("order")))
-    return Result(docs.orderBy(F.desc("score"), "vault", "file_path").limit(limit), full)
+    return Result(docs.orderBy(F.desc("score"), "vault", "file_path").limit(limit), _cut(full, docs, limit))
 
 
 def building_hint(files: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillspark.errors import EngineError
 from quillspark.functions.chunker import chunk_files
-from quillspark.functions.embed import Embedder, embed_chunks
+from quillspark.functions.embed import Embedder, embed_chunks, in_batches
 from quillspark.operators import content, diagnostics, diff, paths, ranked, semantic
 from quillspark.operators.merge import Result
 from quillspark.plans.catalog import Catalog, Scope, Vault
@@ -57,8 +57,20 @@ class Engine:
         return self._run(self.files, vaults, search)
 
     def search_semantic(self, query: str | list[float], vaults: list[str] | None = None, granularity: str = "document", **how) -> Result:
-        vector = self.embed([query])[0] if isinstance(query, str) else query
-        search = {"document": semantic.search_documents, "chunk": semantic.search_chunks}[granularity]
+        searches = {"document": semantic.search_documents, "chunk": semantic.search_chunks}
+        if granularity not in searches:
+            raise EngineError("invalid_request", f"unknown granularity {granularity!r}")
+        if self.chunks is None or isinstance(query, str) and self.embed is None:
+            raise EngineError("embedding_unavailable", "there are no vectors, or nothing to embed the query with")
+        stored = self.chunks.where(F.col("embedding").isNotNull()).select(F.size("embedding")).first()
+        dims = stored[0] if stored else None
+        if isinstance(query, str):
+            vector = in_batches(self.embed, [query], dims)[0]
+        else:
+            vector = query
+        if dims is not None and len(vector) != dims:
+            raise EngineError("embedding_unavailable", f"the query has {len(vector)} dimensions, the index {dims}")
+        search = searches[granularity]
         out = self._run(self.chunks, vaults, lambda c: search(c, vector, **how))
         if not out.rows.take(1):
             hints = semantic.building_hint(self._scoped(self.files, vaults)[0], self._scoped(self.chunks, vaults)[0])
@@ -94,7 +106,7 @@ def ingest(snapshots: Snapshots, disk: DataFrame, now: str, embed: Embedder | No
 
     vaults: those that disk is a listing of, by default those that it has files of; others are neither read nor
     written. Chunks and vectors are made for new and changed files only. A file whose vectors can't be made stays
-    searchable by path and content, with null vectors.
+    searchable by path and content, with null vectors, and the next scan with an embedder makes it anew.
     """
     return diff.report(_ingest(snapshots, disk, now, embed, dims, vaults))
 
@@ -108,14 +120,22 @@ def _ingest(snapshots: Snapshots, disk: DataFrame, now: str, embed: Embedder | N
         chunks = None
     else:
         files, chunks = snapshots.read("files", own).select(*FILES), snapshots.read("chunks", own)
-    disk = disk.where(F.col("vault").isin(own))
-    changes = diff.scan_diff(disk, files)
+    with snapshots.staged(disk.where(F.col("vault").isin(own))) as disk:  # read once: a later look could find other bytes
+        return _apply(snapshots, disk, files, chunks, now, embed, dims, own)
+
+
+def _apply(snapshots: Snapshots, disk: DataFrame, files: DataFrame, chunks: DataFrame | None, now: str, embed: Embedder | None, dims: int, own: list[str]) -> DataFrame:
+    """Commits what the diff between disk and files calls for, and gives that diff."""
+    known = files
+    if embed and chunks is not None:  # files whose vectors couldn't be made are tried again, by an empty hash
+        open_ = chunks.where(F.col("embedding").isNull()).select("vault", F.col("file_path").alias("path")).distinct()
+        known = files.join(open_.withColumn("open", F.lit(True)), ["vault", "path"], "left").withColumn("content_hash", F.when(F.col("open"), "").otherwise(F.col("content_hash"))).drop("open")
+    changes = diff.scan_diff(disk, known)
     fresh = disk.join(changes.where(F.col("effect").isin("inserted", "updated")).select("vault", "path"), ["vault", "path"], "left_semi")
     made = chunk_files(fresh).withColumnRenamed("content_hash", "chunk_hash")
     made = embed_chunks(made, embed, dims) if embed else made.withColumn("embedding", F.lit(None).cast("array<float>"))
     gone = changes.where(F.col("effect") != "skipped").where(F.col("effect") != "hash_unchanged").select("vault", F.col("path").alias("file_path"))
     kept = made if chunks is None else chunks.select(*made.columns).join(gone, ["vault", "file_path"], "left_anti").unionByName(made)
-    # the diff is a table of its own in the snapshot: a later look at the disk could give another
     snapshots.commit({"files": diff.apply_diff(files, disk, changes, now).select(*FILES), "chunks": kept, "changes": changes}, own)
     return snapshots.read("changes", own)
 

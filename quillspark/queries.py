@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import chunker
-from quillspark.functions.text import byte_truncate
+from quillspark.functions.text import byte_truncate, closest
 from quillspark.operators import content, diagnostics, diff, paths, ranked, semantic
 from quillspark.operators.merge import per_vault
 from quillspark.plans.catalog import Catalog, Vault
@@ -123,7 +123,7 @@ def content_html_bodies(spark, sf):
     return content.matching(f, "<p>", case_sensitive=True).select(F.col("size").alias("page_id"), F.col("path").alias("url"), "match_count")
 
 
-@_query(f"select {META}, content[1:200] as text, strlen(content) > 200 as truncated from files where strlen(content[1:200]) = 200")
+@_query(f"select {META}, left(content, list_max(list_filter(range(0, 201), lambda k: strlen(left(content, k)) <= 200))) as text, strlen(content) > 200 as truncated from files")
 def preview_truncate(spark, sf):
     return adapters.files(spark, sf).select("path", "size", "content_hash", "vault", byte_truncate(F.col("content"), 200).alias("text"), (F.octet_length("content") > 200).alias("truncated"))
 
@@ -231,7 +231,7 @@ _SCAN = """
 , old as (select vault, path, size, content_hash, row_number() over (order by path, vault) as r from files where size % 7 <> 0),
 disk as (select vault, path, case when size % 5 = 0 then size + 1 else size end as size, case when size % 5 = 0 and size % 2 = 0 then content_hash || 'x' else content_hash end as content_hash from files where size % 11 <> 0),
 j as (select coalesce(d.vault, o.vault) as vault, coalesce(d.path, o.path) as path,
-  case when o.path is null then 'inserted' when d.path is null then 'deleted' when d.size = o.size then 'skipped' when d.content_hash = o.content_hash then 'hash_unchanged' else 'updated' end as effect
+  case when o.path is null then 'inserted' when d.path is null then 'deleted' when d.size = o.size then 'skipped' when d.content_hash = o.content_hash then 'hash_unchanged' else 'updated' end as effect, coalesce(d.content_hash, o.content_hash) as content_hash
   from disk d full outer join old o on d.vault = o.vault and d.path = o.path)"""
 
 
@@ -252,9 +252,9 @@ def scan_report(spark, sf):
     return diff.report(_scan(spark, sf))
 
 
-@_query(f"{_SCAN} select 'change' as type, case effect when 'inserted' then 'created' when 'updated' then 'modified' else 'deleted' end as event_type, vault, path from j where effect in ('inserted', 'updated', 'deleted')")
+@_query(f"{_SCAN} select 'change' as type, case effect when 'inserted' then 'created' when 'updated' then 'modified' else 'deleted' end as event_type, vault, path, content_hash from j where effect in ('inserted', 'updated', 'deleted')")
 def change_events(spark, sf):
-    return changes.events(_scan(spark, sf), F.lit("2026-01-01T00:00:00.000000Z")).select("type", "event_type", "vault", "path")
+    return changes.events(_scan(spark, sf), F.lit("2026-01-01T00:00:00.000000Z")).select("type", "event_type", "vault", "path", "content_hash")
 
 
 @_query()
@@ -300,10 +300,9 @@ def change_fold(spark, sf):
 
 @_query("select n_name as wanted, (select arg_min(r_name, (levenshtein(n_name, r_name), r_regionkey)) from region where levenshtein(n_name, r_name) <= 6) as closest from nation", files=False)
 def closest_name(spark, sf):
-    n, r = adapters.table(spark, sf, "nation"), adapters.table(spark, sf, "region")  # a few fixed names
-    d = F.levenshtein("n_name", "r_name")
-    near = n.join(F.broadcast(r), d <= 6).groupBy("n_name").agg(F.min_by("r_name", F.struct(d, "r_regionkey")).alias("closest"))
-    return n.join(near, "n_name", "left").select(F.col("n_name").alias("wanted"), "closest")
+    names = lambda t, c, key: [r[0] for r in adapters.table(spark, sf, t).orderBy(key).select(c).collect()]
+    known = names("region", "r_name", "r_regionkey")  # a catalog's few names
+    return spark.createDataFrame([(n, closest(known, n, 6)) for n in names("nation", "n_name", "n_nationkey")], "wanted string, closest string")
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:

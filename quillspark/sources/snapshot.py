@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
@@ -70,7 +72,7 @@ class Snapshots:
         rows leaves the table. Without, the tables are replaced altogether.
         """
         was = self._pointer() or {"snapshot": 0, "tables": {}}
-        n = was["snapshot"] + 1
+        n = was["snapshot"] + 1  # another writer that comes first has this number, and this commit fails
         version = f"{n}-{uuid.uuid4().hex[:12]}"  # files that a failed commit left are never taken for this one's
         new = dict(was["tables"])
         touched = None if vaults is None else set(vaults)
@@ -84,14 +86,27 @@ class Snapshots:
             new[name] = {"schema": df.schema.jsonValue(), "parts": kept | parts}
         return self._point(n, new)
 
+    @contextmanager
+    def staged(self, df: DataFrame) -> Iterator[DataFrame]:
+        """df, written below the root and read again, until the block ends."""
+        path = f"{self.root}/.staged-{uuid.uuid4().hex}"
+        try:
+            df.write.parquet(path)
+            yield self.spark.read.schema(df.schema).parquet(path)
+        finally:
+            self._fs.delete(self._path(path), True)
+
     def forget(self, vault: str) -> int:
         """A snapshot without a vault, in all tables; its files stay until they are cleaned up."""
         was = self._pointer() or {"snapshot": 0, "tables": {}}
         return self._point(was["snapshot"] + 1, {k: t | {"parts": {p: v for p, v in t["parts"].items() if p != vault}} for k, t in was["tables"].items()})
 
     def clean(self) -> int:
-        """Deletes the versions that the current snapshot doesn't hold; call it when no reader uses older ones."""
+        """Deletes the versions that the current snapshot doesn't hold, and what lost writers left; call it when no
+        reader uses older ones and nobody writes."""
         gone = 0
+        for s in self._fs.globStatus(self._path(f"{self.root}/.{{claim,staged,CURRENT}}-*")) or []:
+            self._fs.delete(s.getPath(), True)
         for name, table in (self._pointer() or {"tables": {}})["tables"].items():
             held = {f"vault={self._escaped(k)}/v={v}" for k, v in table["parts"].items()}
             for s in self._fs.globStatus(self._path(f"{self.root}/{name}/vault=*/v=*")) or []:
@@ -101,6 +116,20 @@ class Snapshots:
         return gone
 
     def _point(self, n: int, tables: dict) -> int:
+        """Points to snapshot n, if the one before is still the current one: of several writers just one claims n."""
+        claim = self._path(f"{self.root}/.claim-{n}")
+        try:
+            self._fs.create(claim, False).close()
+        except Py4JJavaError:
+            raise EngineError("conflict", f"another writer makes snapshot {n}; if it was lost, clean() frees it") from None
+        try:
+            if (self.current() or 0) != n - 1:
+                raise EngineError("conflict", f"snapshot {n - 1} is no longer the current one; read it again")
+            return self._move(n, tables)
+        finally:
+            self._fs.delete(claim, False)
+
+    def _move(self, n: int, tables: dict) -> int:
         temp = self._path(f"{self.root}/.CURRENT-{n}-{uuid.uuid4().hex[:12]}")
         out = self._fs.create(temp, True)
         out.write(bytearray(json.dumps({"schema_version": VERSION, "snapshot": n, "tables": tables}).encode()))

@@ -1,6 +1,6 @@
 import pytest
 
-from quillspark.functions.chunker import chunks, diagnose, front_matter
+from quillspark.functions.chunker import chunks, diagnose, events, front_matter
 from quillspark.operators import diagnostics
 
 LONG = "word " * 450
@@ -53,3 +53,13 @@ def test_diagnostics():
     assert d["languages"] == ["py", "sh"] and d["thematic_breaks"] == 1 and d["code_heavy"]
     assert diagnostics.health(True, True, 0, True) == ("healthy", 200) and diagnostics.health(True, False, 0, True)[1] == 503
     assert diagnostics.health(True, True, 1, True)[0] == "degraded"
+
+
+def test_quoted_fences_line_ends_and_html():
+    level = lambda t: [e[2] for e in events(t) if e[0] == "heading"]
+    assert level("> ```\n> # no\n> ```\n\n# yes\n") == ["yes"]
+    assert level("> ```\n> # no\n# yes\n") == ["yes"]
+    assert level("a\x0c# no # no\x85# no\r\n# yes\n") == ["yes"]
+    assert level("<!-- x\n# no\n-->\n# yes\n") == ["yes"] and level("<div>\n# no\n\n# yes\n") == ["yes"]
+    text = "# ä\n" + "é🦉 words\n\n" * 400
+    assert all(text.encode()[c.start : c.end].decode() == c.content for c in chunks(text))

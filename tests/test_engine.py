@@ -72,6 +72,46 @@ def test_ingest_search_and_second_scan(spark, tmp_path):
     assert best[0]["score"] == pytest.approx(1.0) and e.get(["sub dir/b+.md"], ["alpha"]).rows.count() == 1
 
 
+def test_outage_is_mended_by_the_next_scan(spark, tmp_path):
+    (tmp_path / "vault").mkdir()
+    for name in ("good", "bad"):
+        (tmp_path / "vault" / f"{name}.md").write_text(f"# {name}\ntext of {name}\n")
+    snapshots = Snapshots(spark, f"{tmp_path}/index")
+
+    def picky(texts):
+        if any("bad" in t for t in texts):
+            raise Refused
+        return hash_embedder(8)(texts)
+
+    scan = lambda embed: ingest(snapshots, walk(spark, "1", str(tmp_path / "vault")), "t", embed, 8).first().asDict()
+    made = lambda: {r["file_path"]: r["embedding"] is not None for r in snapshots.read("chunks").collect()}
+    assert scan(picky)["inserted"] == 2 and made() == {"good.md": True, "bad.md": False}
+    assert scan(hash_embedder(8))["updated"] == 1 and made() == {"good.md": True, "bad.md": True}
+    assert scan(hash_embedder(8))["skipped"] == 2 and not list((tmp_path / "index").glob(".staged*"))
+    e = Engine(Catalog(VAULTS), snapshots.read("files"), snapshots.read("chunks"), embed=hash_embedder(4))
+    for query in ("text", [1.0] * 5):
+        with pytest.raises(EngineError, match="embedding_unavailable"):
+            e.search_semantic(query)
+    with pytest.raises(EngineError, match="invalid_request"):
+        e.search_semantic("text", granularity="page")
+
+
+def test_one_of_two_writers_fails(spark, tmp_path):
+    rows = spark.createDataFrame([("v", 1)], "vault string, x int")
+    one, two = Snapshots(spark, f"{tmp_path}/s"), Snapshots(spark, f"{tmp_path}/s")
+    one.commit({"t": rows})
+    point = two._point
+
+    def late(n, tables):
+        one.commit({"t": rows.withColumn("vault", F.lit("w"))}, ["w"])
+        return point(n, tables)
+
+    two._point = late
+    with pytest.raises(EngineError, match="conflict"):
+        two.commit({"t": rows.withColumn("vault", F.lit("x"))}, ["x"])
+    assert one.vaults("t") == ["v", "w"] and one.current() == 2
+
+
 def test_filters(spark):
     df = spark.createDataFrame([(p,) for p in (".git/x.md", "build/a.md", "build/keep.md", "log/x.md", "a/log/y.md", "ok.md", ".obsidian/z.md", "n.sync-conflict-1.md")], "p string")
     got = {r[0]: (r[1], r[2]) for r in df.select("p", included(F.col("p"), ["build/**", "!**/keep.md"], {".gitignore": "log/\n!a/log/\n"}), watched(F.col("p"))).collect()}

@@ -38,22 +38,23 @@ def test_prefix_reaches_the_reader(spark, tmp_path):
 
 
 def test_content(spark):
-    f = files(spark, [("a", "Hello World"), ("b", "no match here"), ("c", "say HELLO again")])
-    assert got(content.search_content(f, "hello")) == ["a", "c"]
-    assert got(content.search_content(f, "HELLO", case_sensitive=True)) == ["c"]
-    assert got(content.search_content(f, "hello", mode="regex")) == [] and got(content.search_content(f, "h.llo|match", regex=True)) == ["b"]
+    f = files(spark, [("a", "Rye Bread"), ("b", "oats and barley"), ("c", "two loaves of RYE")])
+    assert got(content.search_content(f, "rye")) == ["a", "c"]
+    assert got(content.search_content(f, "RYE", case_sensitive=True)) == ["c"]
+    assert got(content.search_content(f, "rye", mode="regex")) == [] and got(content.search_content(f, "r.e|barl?ey", regex=True)) == ["b"]
     assert got(content.search_content(f, "")) == []
 
 
 def test_lines(spark):
-    f = files(spark, [("a", "foo " * 7), ("b", "one\ntwo\nthe hit"), ("c", "pgvector\nsupports foo"), ("d", "needle " + "a" * 500)])
+    f = files(spark, [("a", "plum " * 7), ("b", "red\nblue\na kiln"), ("c", "warm oven\nbakes plum"), ("d", "thimble " + "z" * 300)])
     one = lambda q, **k: content.search_content(f, q, **k).rows.collect()[0]
-    r = one("foo", max_matches_per_file=2)
+    r = one("plum", max_matches_per_file=2)
     assert r["match_count"] == 7 and [m["line"] for m in r["matches"]] == [1, 1]
-    assert [tuple(m) for m in one("hit")["matches"]] == [(3, "the hit")]
-    assert [tuple(m) for m in one("pgvector\nsupports")["matches"]] == [(1, "pgvector")]
-    assert len(one("needle")["matches"][0]["text"]) == 240 and one("hit", include_matches=False)["matches"] == []
-    assert [tuple(m) for m in one("t[wh][oe]", regex=True)["matches"]] == [(2, "two"), (3, "the hit")]
+    assert [tuple(m) for m in one("kiln")["matches"]] == [(3, "a kiln")]
+    assert [tuple(m) for m in one("oven\nbakes")["matches"]] == [(1, "warm oven")]
+    assert len(one("thimble")["matches"][0]["text"]) == 240 and one("kiln", include_matches=False)["matches"] == []
+    assert [tuple(m) for m in one("bl[a-v]e|k[a-z]ln", regex=True)["matches"]] == [(2, "blue"), (3, "a kiln")]
+    assert [m["line"] for m in one("^", regex=True, prefix=None)["matches"]] == [1]
 
 
 def test_modes():
@@ -68,7 +69,7 @@ def test_modes():
 CORPUS = [("a.md", "The quick brown foxes were running over the lazy dogs"), ("b.md", "A fox runs; the dog sleeps. Running dogs bark at foxes and foxes"), ("c.md", "Café culture: running a café is hard work"), ("d.md", "nothing of note"), ("e.md", "lazy lazy dog over the quick fence quick brown"), ("f.md", "relational databases and vector search")]
 
 
-@pytest.mark.parametrize("query", ["fox", "running dog", '"quick brown"', "cafe OR databases", "dog NOT fox", "data*", "NEAR(quick fence, 3)", "NEAR(fox dog, 1)", "(lazy OR cafe) AND running", "content: foxes", "the", "lazy AND quick OR vector"])
+@pytest.mark.parametrize("query", ["fox", "running dog", '"quick brown"', "cafe OR databases", "dog NOT fox", "data*", "NEAR(quick fence, 3)", "NEAR(fox dog, 1)", "(lazy OR cafe) AND running", "content: foxes", "the", "lazy AND quick OR vector", "café*", "running*", "NEAR(quick brown fence, 2)", "NEAR(lazy quick dog, 1)", "NEAR(foxes running dogs, 4)"])
 def test_bm25_agrees_with_sqlite(spark, query):
     db = sqlite3.connect(":memory:")
     db.execute("create virtual table t using fts5(path unindexed, content, tokenize='porter unicode61')")
@@ -113,6 +114,14 @@ def test_documents(spark):
         semantic.search_documents(chunks(spark, rows), unit(0), chunks_per_document=101)
 
 
+def test_cut_of_all_vaults(spark):
+    c = chunks(spark, [(f"{i}.md", 0, f"{i}", unit(0)) for i in range(7)])
+    both = c.union(c.withColumn("vault", F.lit("w")))
+    for search in (semantic.search_chunks, semantic.search_documents):
+        r = search(both, unit(0), limit=10)
+        assert r.rows.count() == 10 and r.truncated() and not search(both, unit(0), limit=15).truncated()
+
+
 def test_hint(spark):
     c = chunks(spark, [("a.md", 0, "a", None)])
     assert [tuple(r) for r in semantic.building_hint(files(spark, [("a.md", "x")]), c).collect()] == [("v", True)]

@@ -81,3 +81,15 @@ def test_preview_has_every_file_cut_at_a_bound_of_characters(spark, tmp_path):
     spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["path"]: (r["text"], r["truncated"]) for r in QUERIES["preview_truncate"](spark, str(tmp_path)).collect()}
     assert got == {f"notes/s/{i:08d}.md": (t.encode()[:200].decode(errors="ignore"), len(t.encode()) > 200) for i, t in enumerate(texts)}
+
+
+@pytest.mark.parametrize(("pattern", "given", "want"), [("[[:digit:]]+", "ab12", "12"), ("[^[:alpha:]_]+", "é_x", "é"), (r"(?P<n>\d)x", "1x", "1x"), (r"\p{L}+", "é1", "é"), (r"a{2}b+?", "aabb", "aab"), (r"\++", "1++", "++"), ("[[:^space:]]+", " ab ", "ab")])
+def test_dialect_of_regular_expressions(spark, pattern, given, want):
+    row = spark.createDataFrame([(given,)], "t string").select(F.regexp_extract("t", text.java_regex(spark, pattern), 0)).first()
+    assert row[0] == want
+
+
+@pytest.mark.parametrize("pattern", ["a++", "a*+", "a{2}+", "(?>a)", r"\Qa\E", r"\Ga", "[[:none:]]", r"(?=a)"])
+def test_other_dialects_are_refused(spark, pattern):
+    with pytest.raises(EngineError, match="invalid_regex"):
+        text.java_regex(spark, pattern)
