@@ -82,6 +82,10 @@ def encoder(vocabulary: str):
     # other vocabularies tokenise whole texts
     lower = plain and tokenizer.normalizer is not None and tokenizer.normalizer.normalize_str("AÉ\t b") == "aé b"
     parts_of = regex.compile(split["pattern"]["Regex"]).findall if lower else None
+    # runs of letters are one part each, if what the pattern tries before them begins with an apostrophe
+    tries = split["pattern"]["Regex"].split("|") if lower else []
+    at = next((i for i, x in enumerate(tries) if x in (r"[\p{L}]+", r"\p{L}+")), None)
+    letters_whole = at is not None and all(re.fullmatch(r"'\w*", x) for x in tries[:at])
     # bytes as a byte-level model writes them: itself if it can be seen, else the next free code point from 256
     seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
     letters = {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in seen)}
@@ -97,7 +101,7 @@ def encoder(vocabulary: str):
     parts = Memory(part)
 
     def word(x: str) -> bytes:  # in lower case and Latin-1
-        own = parts_of(x)
+        own = [x] if letters_whole and x.isalpha() else parts_of(x)
         return part(own[0]) if len(own) == 1 else b"".join(map(parts.__getitem__, own))
 
     words, others = Memory(word), Memory(lambda x: word(x.lower()) if _latin(x) else whole(x))
