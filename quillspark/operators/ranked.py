@@ -41,8 +41,11 @@ def plain_index(files: DataFrame) -> Index:
     return Index(postings, files.select("vault", "path", F.size(words).cast("long").alias("dl")), False)
 
 
-def porter_index(files: DataFrame) -> Index:
-    """Tokens without accents, stemmed; a file's postings are made where it lies, without a shuffle."""
+def porter_rows(files: DataFrame) -> DataFrame:
+    """vault, term, path, positions, dl (the file's number of tokens): tokens without accents, stemmed.
+
+    A file's postings are made where it lies, without a shuffle; a file without tokens has one row, its term null.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -57,8 +60,23 @@ def porter_index(files: DataFrame) -> Index:
                 c = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.string()) for x in c[:3]), pa.array(c[3], pa.list_(pa.int32())), pa.array(c[4], pa.int64())], names=["vault", "term", "path", "positions", "dl"])
 
-    rows = files.select("vault", "path", "content").mapInArrow(run, "vault string, term string, path string, positions array<int>, dl long")
-    return Index(rows.where(F.col("term").isNotNull()).drop("dl"), rows.groupBy("vault", "path").agg(F.max("dl").alias("dl")), True)
+    return files.select("vault", "path", "content").mapInArrow(run, "vault string, term string, path string, positions array<int>, dl long")
+
+
+def postings_of(rows: DataFrame) -> DataFrame:
+    """The postings of porter_rows."""
+    return rows.where(F.col("term").isNotNull()).drop("dl")
+
+
+def lengths_of(rows: DataFrame) -> DataFrame:
+    """vault, path, dl: a row for each file of porter_rows."""
+    return rows.groupBy("vault", "path").agg(F.max("dl").alias("dl"))
+
+
+def porter_index(files: DataFrame) -> Index:
+    """An index made from texts on the spot; a scan stores one (quillspark.plans.engine.stored_index)."""
+    rows = porter_rows(files)
+    return Index(postings_of(rows), lengths_of(rows), True)
 
 
 # --- queries: ("phrase", id), ("and", a, b), ("or", a, b), ("not", a, b), ("near", ids, distance)

@@ -22,7 +22,10 @@ FILES = ["vault", "path", "size", "mtime", "content_hash", "indexed_at", "conten
 
 @dataclass
 class Engine:
-    """files: vault (an id), path, size, mtime, content_hash, indexed_at, content. chunks: what search_chunks reads."""
+    """files: vault (an id), path, size, mtime, content_hash, indexed_at, content. chunks: what search_chunks reads.
+
+    index: what ranked search reads, as stored_index gives it; without one it's made from the texts for each query.
+    """
 
     catalog: Catalog
     files: DataFrame
@@ -47,10 +50,11 @@ class Engine:
     def search_content(self, query: str, vaults: list[str] | None = None, mode: str | None = None, prefix: str | None = None, limit: int = 100, **how) -> Result:
         if content.resolve_mode(mode, how.get("regex", False), how.get("case_sensitive", False), query) != "ranked":
             return self._run(self.files, vaults, lambda f: content.search_content(f, query, mode=mode, prefix=prefix, limit=limit, **how))
-        index = self.index or ranked.porter_index(self.files)
 
-        def search(_: DataFrame) -> Result:
-            keep = [v.id for v in self.catalog.scope(vaults).run]
+        def search(files: DataFrame) -> Result:
+            if self.index is None:
+                return ranked.search_ranked(ranked.porter_index(files), query, prefix, limit)
+            index, keep = self.index, [v.id for v in self.catalog.scope(vaults).run]
             own = ranked.Index(index.postings.where(F.col("vault").isin(keep)), index.files.where(F.col("vault").isin(keep)), index.stemmed)
             return ranked.search_ranked(own, query, prefix, limit)
 
@@ -101,11 +105,16 @@ class Engine:
         return Result(diagnostics.diagnosed(diagnostics.annotate(old, new)).orderBy("chunk_index"), partial=scope.partial())
 
 
+def stored_index(snapshots: Snapshots, vaults: list[str] | None = None) -> ranked.Index:
+    """The postings that scans have stored, sorted by term within each vault."""
+    return ranked.Index(snapshots.read("postings", vaults), snapshots.read("lengths", vaults), True)
+
+
 def ingest(snapshots: Snapshots, disk: DataFrame, now: str, embed: Embedder | None = None, dims: int = 64, vaults: list[str] | None = None) -> DataFrame:
     """Brings the snapshot up to what is on disk (vault, path, size, mtime, content_hash, content); the diff's report.
 
     vaults: those that disk is a listing of, by default those that it has files of; others are neither read nor
-    written. Chunks and vectors are made for new and changed files only. A file whose vectors can't be made stays
+    written. Chunks, postings and vectors are made for new and changed files only. A file whose vectors can't be made stays
     searchable by path and content, with null vectors, and the next scan with an embedder makes it anew.
     """
     return diff.report(_ingest(snapshots, disk, now, embed, dims, vaults))
@@ -117,14 +126,15 @@ def _ingest(snapshots: Snapshots, disk: DataFrame, now: str, embed: Embedder | N
     own = [r[0] for r in disk.select("vault").distinct().collect()] if vaults is None else vaults  # names of vaults
     if snapshots.current() is None:
         files = spark.createDataFrame([], disk.select("vault", "path", "size", "mtime", "content_hash").schema).withColumn("indexed_at", F.lit("")).withColumn("content", F.lit(""))
-        chunks = None
+        chunks = index = None
     else:
         files, chunks = snapshots.read("files", own).select(*FILES), snapshots.read("chunks", own)
+        index = stored_index(snapshots, own)
     with snapshots.staged(disk.where(F.col("vault").isin(own))) as disk:  # read once: a later look could find other bytes
-        return _apply(snapshots, disk, files, chunks, now, embed, dims, own)
+        return _apply(snapshots, disk, files, chunks, index, now, embed, dims, own)
 
 
-def _apply(snapshots: Snapshots, disk: DataFrame, files: DataFrame, chunks: DataFrame | None, now: str, embed: Embedder | None, dims: int, own: list[str]) -> DataFrame:
+def _apply(snapshots: Snapshots, disk: DataFrame, files: DataFrame, chunks: DataFrame | None, index: ranked.Index | None, now: str, embed: Embedder | None, dims: int, own: list[str]) -> DataFrame:
     """Commits what the diff between disk and files calls for, and gives that diff."""
     known = files
     if embed and chunks is not None:  # files whose vectors couldn't be made are tried again, by an empty hash
@@ -136,7 +146,14 @@ def _apply(snapshots: Snapshots, disk: DataFrame, files: DataFrame, chunks: Data
     made = embed_chunks(made, embed, dims) if embed else made.withColumn("embedding", F.lit(None).cast("array<float>"))
     gone = changes.where(F.col("effect") != "skipped").where(F.col("effect") != "hash_unchanged").select("vault", F.col("path").alias("file_path"))
     kept = made if chunks is None else chunks.select(*made.columns).join(gone, ["vault", "file_path"], "left_anti").unionByName(made)
-    snapshots.commit({"files": diff.apply_diff(files, disk, changes, now).select(*FILES), "chunks": kept, "changes": changes}, own)
+    with snapshots.staged(ranked.porter_rows(fresh)) as rows:  # read for the postings and for the lengths
+        postings, lengths = ranked.postings_of(rows), ranked.lengths_of(rows)
+        if index is not None:
+            other = gone.withColumnRenamed("file_path", "path")
+            postings = index.postings.join(other, ["vault", "path"], "left_anti").select(*postings.columns).unionByName(postings)
+            lengths = index.files.join(other, ["vault", "path"], "left_anti").unionByName(lengths)
+        new = {"files": diff.apply_diff(files, disk, changes, now).select(*FILES), "chunks": kept, "postings": postings, "lengths": lengths, "changes": changes}
+        snapshots.commit(new, own, {"postings": ["term", "path"]})
     return snapshots.read("changes", own)
 
 

@@ -16,6 +16,8 @@ from quillspark.operators.diff import content_hash
 
 # Names of copies that synchronising programs make.
 CONFLICTS = (".sync-conflict-", "(conflicted copy", "conflicted copy")
+# What a vault leaves out unless it's told otherwise.
+IGNORED = (".git/**", ".obsidian/**", ".trash/**", "*.sync-conflict-*", "**/*.tmp")
 
 
 def compile_ignores(patterns: list[str]) -> tuple[list[str], list[str]]:
@@ -75,6 +77,7 @@ class Links:
     files: list[str] | None
     outside: int = 0
     errors: int = 0
+    gitignores: tuple[tuple[str, str], ...] = ()  # paths below the folder, and texts, of those not reached by a link
 
 
 def follow_links(folder: str) -> Links:
@@ -86,8 +89,9 @@ def follow_links(folder: str) -> Links:
     at = urlsplit(folder)
     if at.scheme not in ("", "file"):
         return Links(None)
-    root = unquote(at.path) if at.scheme else folder
+    root = (unquote(at.path) if at.scheme else folder).rstrip("/") or "/"
     real, seen, files, outside, errors, linked = os.path.realpath(root), set(), [], 0, 0, False
+    rules: list[tuple[str, str]] = []
     todo = [root]
     while todo:
         here = todo.pop()
@@ -107,15 +111,24 @@ def follow_links(folder: str) -> Links:
                 outside += 1
             elif e.is_dir():
                 todo.append(e.path)
+            elif e.name == ".gitignore":
+                path = os.path.relpath(e.path, root)
+                if os.path.realpath(e.path) == os.path.join(real, path):
+                    try:
+                        with open(e.path, encoding="utf-8", errors="replace") as f:
+                            rules.append((path, f.read()))
+                    except OSError:
+                        errors += 1
             elif e.name.endswith(".md"):
                 files.append(e.path)
-    return Links(files if linked or errors else None, outside, errors)
+    return Links(files if linked or errors else None, outside, errors, tuple(sorted(rules)))
 
 
 def walk(spark: SparkSession, vault: str, folder: str, ignore: list[str] | None = None, gitignores: dict[str, str] | None = None, content: bool = True) -> DataFrame:
     """The Markdown files below a folder: vault, path, size, mtime and, if asked for, content and content_hash.
 
     Without content only the listing is read; a scan asks so first, and reads the files that need it afterwards.
+    ignore: patterns instead of IGNORED. gitignores: path to text; without them, those of a local folder are found.
     """
     links = follow_links(folder)
     listing = spark.read.format("binaryFile").option("pathGlobFilter", "*.md")
@@ -133,4 +146,5 @@ def walk(spark: SparkSession, vault: str, folder: str, ignore: list[str] | None
     if content:
         cols += [content_hash(F.col("content")).alias("content_hash"), F.make_valid_utf8(F.col("content").cast("string")).alias("content")]
     files = raw.select(*cols)
-    return files.where(included(F.col("path"), ignore, gitignores))
+    rules = dict(links.gitignores) if gitignores is None else gitignores
+    return files.where(included(F.col("path"), list(IGNORED) if ignore is None else ignore, rules))

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from quillspark.errors import EngineError
 from quillspark.functions.embed import Refused, by_index, hash_embedder, in_batches
-from quillspark.operators import diff
+from quillspark.operators import diff, ranked
 from quillspark.plans.catalog import Catalog, Vault
-from quillspark.plans.engine import Engine, ingest
+from quillspark.plans.engine import Engine, ingest, stored_index
 from quillspark.sources.snapshot import Snapshots
 from quillspark.sources.vaults import included, walk, watched
 from quillspark.streaming import changes
@@ -72,6 +72,45 @@ def test_ingest_search_and_second_scan(spark, tmp_path):
     assert best[0]["score"] == pytest.approx(1.0) and e.get(["sub dir/b+.md"], ["alpha"]).rows.count() == 1
 
 
+def test_stored_postings_follow_scans(spark, tmp_path):
+    vault = tmp_path / "vault"
+    vault.mkdir()
+    for name, text in (("a", "wild oats and running water"), ("b", "a bowl of oats, oats and café milk"), ("c", ""), ("d", "nothing")):
+        (vault / f"{name}.md").write_text(text)
+    snapshots = Snapshots(spark, f"{tmp_path}/index")
+    for now in ("t1", "t2", "t3"):
+        ingest(snapshots, walk(spark, "1", str(vault)), now)
+        files, stored = snapshots.read("files"), stored_index(snapshots)
+        for query in ("oats", "oat* NOT bowl", '"wild oats"', "cafe", "runs OR nothing"):
+            rows = lambda index: sorted((r["path"], round(r["score"], 9)) for r in ranked.bm25(index, query).collect())  # noqa: B023, E731
+            assert rows(stored) == rows(ranked.porter_index(files)), (now, query)
+        assert {r[0]: r[1] for r in stored.files.select("path", "dl").collect()}.keys() == {r[0] for r in files.select("path").collect()}
+        if now == "t1":
+            (vault / "a.md").write_text("wild barley, no longer what it was")
+            (vault / "d.md").unlink()
+            (vault / "e.md").write_text("oats again")
+    e = Engine(Catalog(VAULTS), files, index=stored)
+    assert {r["path"] for r in e.search_content("oats", mode="ranked", vaults=["alpha"]).rows.collect()} == {"b.md", "e.md"}
+    assert "EqualTo(term,oat)" in stored.postings.where("term = 'oat'")._jdf.queryExecution().toString()
+    # sorted by term in each file
+    for part in (r[0] for r in stored.postings.select(F.input_file_name()).distinct().collect()):
+        terms = [r[0] for r in stored.postings.where(F.input_file_name() == part).select("term").collect()]
+        assert terms == sorted(terms)
+
+
+def test_walk_finds_gitignores(spark, tmp_path):
+    vault = tmp_path / "vault"
+    for name in ("a.md", "log/b.md", "sub/log/c.md", "sub/keep.md", "sub/drop.md", "x.sync-conflict-1.md", "in/sub/keep.md"):
+        (vault / name).parent.mkdir(parents=True, exist_ok=True)
+        (vault / name).write_text("x")
+    (vault / ".gitignore").write_text("log/\ndrop.md\nkeep.md\n")
+    (vault / "sub" / ".gitignore").write_text("!keep.md\n")
+    paths = lambda **how: {r[0] for r in walk(spark, "1", str(vault), **how).select("path").collect()}
+    assert paths() == {"a.md", "sub/keep.md"}
+    assert paths(gitignores={}) == {"a.md", "log/b.md", "sub/log/c.md", "sub/keep.md", "sub/drop.md", "in/sub/keep.md"}
+    assert "x.sync-conflict-1.md" in paths(ignore=[])
+
+
 def test_outage_is_mended_by_the_next_scan(spark, tmp_path):
     (tmp_path / "vault").mkdir()
     for name in ("good", "bad"):
