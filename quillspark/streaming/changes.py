@@ -9,16 +9,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quillspark.operators.diff import scan_diff
-from quillspark.sources.vaults import watched
+from quillspark.sources.vaults import IGNORED, included, watched
 
 EVENTS = {"inserted": "created", "updated": "modified", "deleted": "deleted"}
 
 
-def translate(raw: DataFrame) -> DataFrame:
+def translate(raw: DataFrame, folders: dict[str, str] | None = None, ignore: list[str] | None = None, gitignores: dict[str, str] | None = None) -> DataFrame:
     """vault, path, action (upsert or remove), ts for raw (vault, kind, rename_mode, paths, ts).
 
     A rename from one path to another is a removal and an upsert; other renames are upserts; notices of access or
     metadata are dropped, and so are paths that no index holds.
+
+    folders: each vault's folder, where raw has whole paths; paths outside it are dropped. Without, they lie in it
+    already. ignore, gitignores: as `walk` has them.
     """
     p = F.col("paths")
     one = lambda action, i: F.struct(F.get(p, F.lit(i)).alias("path"), F.lit(action).alias("action"))
@@ -29,7 +32,12 @@ def translate(raw: DataFrame) -> DataFrame:
         .when(kind == "remove", F.transform(p, lambda x: F.struct(x.alias("path"), F.lit("remove").alias("action"))))
         .when(kind.isin("create", "modify", "rename"), F.transform(p, lambda x: F.struct(x.alias("path"), F.lit("upsert").alias("action"))))
     )
-    return raw.select("vault", F.explode(actions).alias("a"), "ts").select("vault", "a.path", "a.action", "ts").where(watched(F.col("path")))
+    found = raw.select("vault", F.explode(actions).alias("a"), "ts").select("vault", "a.path", "a.action", "ts")
+    if folders is not None:
+        at = F.create_map(*[F.lit(x) for v, f in folders.items() for x in (v, f.rstrip("/") + "/")]) if folders else F.lit(None).cast("map<string,string>")
+        found = found.withColumn("root", at[F.col("vault")]).where(F.col("path").startswith(F.col("root"))).withColumn("path", F.expr("substring(path, length(root) + 1)")).drop("root")
+    path = F.col("path")
+    return found.where(watched(path) & included(path, list(IGNORED) if ignore is None else ignore, gitignores))
 
 
 def debounce(changes: DataFrame, gap: str, key: list[str] = ("vault", "path"), value: str = "action") -> DataFrame:

@@ -174,6 +174,9 @@ def test_translate_and_debounce(spark):
     raw = [("v", "rename", "both", ["a.md", "b.md"], ts), ("v", "rename", None, ["c.md"], ts), ("v", "modify", None, [".x/d.md"], ts), ("v", "access", None, ["e.md"], ts), ("v", "remove", None, ["f.md"], ts)]
     t = changes.translate(spark.createDataFrame(raw, "vault string, kind string, rename_mode string, paths array<string>, ts timestamp"))
     assert sorted((r["path"], r["action"]) for r in t.collect()) == [("a.md", "remove"), ("b.md", "upsert"), ("c.md", "upsert"), ("f.md", "remove")]
+    whole = [("v", "modify", None, ["/n/a.md", "/n/log/b.md", "/n/.git/c.md", "/n2/d.md", "/n/x.sync-conflict-1.md"], ts), ("w", "modify", None, ["/n/e.md"], ts)]
+    t = changes.translate(spark.createDataFrame(whole, "vault string, kind string, rename_mode string, paths array<string>, ts timestamp"), {"v": "/n"}, gitignores={".gitignore": "log/"})
+    assert [(r["vault"], r["path"]) for r in t.collect()] == [("v", "a.md")]
     at = lambda ms: ts + datetime.timedelta(milliseconds=ms)
     burst = spark.createDataFrame([("v", "a.md", "upsert", at(0)), ("v", "a.md", "remove", at(400)), ("v", "a.md", "upsert", at(901)), ("v", "b.md", "upsert", at(0)), ("v", "b.md", "remove", at(500))], "vault string, path string, action string, ts timestamp")
     assert sorted((r["action"], r["merged"]) for r in changes.debounce(burst, "500 milliseconds").collect()) == [("remove", 2), ("remove", 2), ("upsert", 1)]
