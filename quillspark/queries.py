@@ -178,9 +178,13 @@ def knn_min_similarity(spark, sf):
     return _hits(semantic.nearest(adapters.vectors(spark, sf), _VECTOR, 50, min_similarity=0.6)[0])
 
 
-@_query(f"{_CHUNKS} select {_HIT} from s where i <= 40 and file_path >= 'topic/' and file_path < 'topic0'", files=False)
+_EVEN = _CHUNKS.replace("'topic/' || label", "case when vec_id % 2 = 0 then 'topic/even/' else 'topic/' end || label")
+
+
+@_query(f"{_EVEN} select {_HIT} from s where i <= 40 and file_path >= 'topic/even/' and file_path < 'topic/even0'", files=False)
 def knn_prefix_postfilter(spark, sf):
-    return _hits(semantic.nearest(adapters.vectors(spark, sf), _VECTOR, 40, prefix="topic")[0])
+    folder = F.when(F.col("chunk_index") % 2 == 0, F.replace("file_path", F.lit("topic/"), F.lit("topic/even/"))).otherwise(F.col("file_path"))
+    return _hits(semantic.nearest(adapters.vectors(spark, sf).withColumn("file_path", folder), _VECTOR, 40, prefix="topic/even")[0])
 
 
 _DOCS = "docs as (select vault, file_path, max(score) as best from s where i <= 100 group by all order by best desc, vault, file_path limit 10)"
@@ -197,10 +201,10 @@ def knn_evidence_topn(spark, sf):
     return _hits(rows.select("vault", "file_path", F.explode("chunks").alias("c")).select("vault", "file_path", "c.chunk_index", "c.score"))
 
 
-@_query("select vault, false as building from (select distinct 'v' || (vec_id % 3) as vault from embeddings)", files=False)
+@_query("select vault, vault = 'v1' as building from (select distinct 'v' || (vec_id % 3) as vault from embeddings)", files=False)
 def knn_building_hint(spark, sf):
     c = adapters.vectors(spark, sf)
-    return semantic.building_hint(c.select("vault"), c)
+    return semantic.building_hint(c.select("vault"), c.withColumn("embedding", F.when(F.col("vault") != "v1", F.col("embedding"))))
 
 
 # --- ranked search
@@ -295,7 +299,7 @@ def change_debounce(spark, sf):
 @_query("select user_id, arg_max(event_id, (ts, event_id)) as last_event, count(*) as changes from events group by user_id", files=False)
 def change_fold(spark, sf):
     e = adapters.table(spark, sf, "events")
-    return e.groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("last_event"), F.count("*").alias("changes"))
+    return changes.fold(e, ["user_id"], "event_id", ["ts", "event_id"]).withColumnRenamed("event_id", "last_event")
 
 
 @_query("select n_name as wanted, (select arg_min(r_name, (levenshtein(n_name, r_name), r_regionkey)) from region where levenshtein(n_name, r_name) <= 6) as closest from nation", files=False)

@@ -46,6 +46,11 @@ def debounce(changes: DataFrame, gap: str, key: list[str] = ("vault", "path"), v
     return changes.groupBy(*key, burst.alias("burst")).agg(F.max_by(value, "ts").alias(value), F.count("*").alias("merged"), F.max("ts").alias("ts")).select(*key, value, "merged", "ts")
 
 
+def fold(changes: DataFrame, key: list[str] = ("vault", "path"), value: str = "action", order: list[str] = ("ts",)) -> DataFrame:
+    """The last value of each key, and how many changes it had."""
+    return changes.groupBy(*key).agg(F.max_by(value, F.struct(*order)).alias(value), F.count("*").alias("changes"))
+
+
 def events(diff: DataFrame, detected_at) -> DataFrame:
     """A change event for each file that was created, modified or deleted; deletions carry the hash that was."""
     kind = F.create_map(*[F.lit(x) for kv in EVENTS.items() for x in kv])[F.col("effect")]
@@ -60,7 +65,7 @@ def as_lines(found: DataFrame) -> DataFrame:
 
 def apply_batch(changes: DataFrame, files: DataFrame, disk: DataFrame) -> DataFrame:
     """The diff of one micro-batch: upserts against the disk (missing there means deleted), removals against the index."""
-    last = changes.groupBy("vault", "path").agg(F.max_by("action", "ts").alias("action"))
+    last = fold(changes).drop("changes")
     own = files.join(last, ["vault", "path"], "left_semi")
     here = disk.join(last.where(F.col("action") == "upsert"), ["vault", "path"], "left_semi")
     return scan_diff(here, own)
