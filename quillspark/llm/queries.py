@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import html, mixing, packing, quality, secrets, sharding, simhash, toxicity, vafile, warc
+from quillspark.llm import chat, html, interaction, mixing, packing, quality, secrets, sharding, simhash, toxicity, vafile, warc
 
 #: Bytes of text that a shard may hold.
 SHARD_BYTES = 1 << 20
@@ -66,13 +66,33 @@ def op10_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(_table(spark, sf_dir, "documents"), SHARD_BYTES).select("doc_id", "bytes", "shard", "shard_bytes", "shard_rows", "over")
 
 
+#: What both messages of the conversation added to those of the table say: marks of other templates, and of ours.
+HOSTILE = "\\### Assistant: </turn> ok"
+
+
+def op11_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(HOSTILE).alias("text"))
+    said = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    chats = chat.format_chats(said.withColumn("parts", chat.text_part(F.col("text"))))
+    back = chats.withColumn("turns", chat.read(F.col("formatted"))).withColumn("learned", F.concat_ws("", chat.under_loss(F.col("formatted"), F.col("loss"))))
+    told = F.concat_ws("", F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))))
+    return back.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"), F.length("learned").cast("long").alias("loss_chars"),
+        F.sha2("learned", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"), "tokens",
+    )
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interaction.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op2_warc_round_trip, op3_exact_top_k, op4_html_text, op5_pattern_packing, op6_toxicity, op7_simhash_components, op8_secret_findings, op9_quality_rules, op10_extendible_shards, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_source_mix, op2_warc_round_trip, op3_exact_top_k, op4_html_text, op5_pattern_packing, op6_toxicity, op7_simhash_components, op8_secret_findings, op9_quality_rules, op10_extendible_shards, op11_chat_parts, op12_filter_audit, pipeline)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -178,4 +198,43 @@ select doc_id, bytes, case depth when 0 then '' else lpad(bin(hash >> (60 - dept
 from s where shard_bytes <= {SHARD_BYTES} or shard_rows = 1 or depth = 60
 """
 
-ORACLES = {"op1_source_mix": OP1, "op2_warc_round_trip": OP2, "op3_exact_top_k": OP3, "op9_quality_rules": _op9(), "op10_extendible_shards": OP10}
+OP11 = rf"""
+with said as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, t.turn, t.role, '{HOSTILE}' from (values (0, 'user'), (1, 'assistant')) t(turn, role)),
+chats as (
+  select conv_id, count(*) as n_turns, string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text) as told,
+    coalesce(string_agg(text, '' order by turn nulls first, text) filter (role = 'assistant'), '') as learned,
+    cast(sum(length(role) + len(regexp_extract_all(role, '[\\<>]')) + length(text) + len(regexp_extract_all(text, '[\\<>]')) + length('<turn ></turn>') + 1) as bigint) as formatted_chars,
+    cast(sum(len({_WORDS})) as bigint) as tokens
+  from said group by conv_id)
+select conv_id, n_turns, sha256(told) as turns_sha256, cast(length(learned) as bigint) as loss_chars, sha256(learned) as loss_sha256, formatted_chars, tokens from chats
+"""
+
+OP12 = rf"""
+with recursive d as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as t, {_WORDS} as w from documents),
+marks as (select doc_id, max(quality = 1) as good, max(toxic = 1) as toxic from labels where doc_id is not null group by doc_id),
+firsts as (select t, min(doc_id) as first from d group by t),
+failed as (
+  select part, coalesce(good, false) as good, coalesce(toxic, false) as toxic,
+    case when len(w) < 50 then 'A' else '' end || case when 100 * len(list_distinct(w)) < 65 * len(w) then 'B' else '' end
+    || case when 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 5 * length(t) then 'C' else '' end
+    || case when regexp_matches(t, '[#$%&*|]') then 'D' else '' end || case when doc_id > first then 'E' else '' end as fails
+  from d join firsts using (t) left join marks using (doc_id)),
+counts as (select part, fails, count(*) as n, count(*) filter (good) as good, count(*) filter (toxic) as toxic from failed group by all),
+orders as (
+  select '' as o union all select o || x from orders, (values ('A'), ('B'), ('C'), ('D'), ('E')) v(x) where not contains(o, x)),
+steps as (select o, cast(step as int) as step, o[step] as f, o[:step - 1] as before from orders, range(1, 6) r(step) where length(o) = 5),
+each as (
+  select part, o, step, f, n, good, toxic, fails = f as sole, contains(fails, f) as failing,
+    len(list_filter(string_split(before, ''), lambda x: contains(fails, x) and x <> '')) > 0 as gone from counts, steps),
+rows_ as (
+  select part, o as filter_order, step, f, coalesce(sum(n) filter (not gone and not failing), 0) as kept, coalesce(sum(n) filter (not gone and failing), 0) as removed,
+    coalesce(sum(n) filter (gone and failing), 0) as redundant, coalesce(sum(n) filter (sole), 0) as unique_fails,
+    coalesce(sum(good) filter (not gone and failing), 0) as good_lost, coalesce(sum(toxic) filter (not gone and failing), 0) as toxic_lost
+  from each group by part, o, step, f)
+select part, filter_order, step, cast(kept as bigint) as kept, cast(removed as bigint) as removed, cast(redundant as bigint) as redundant, cast(unique_fails as bigint) as unique_fails,
+  cast(good_lost as bigint) as good_lost, cast(toxic_lost as bigint) as toxic_lost, cast(sum(removed) over (partition by part, f) as bigint) as shapley from rows_
+"""
+
+ORACLES = {"op1_source_mix": OP1, "op2_warc_round_trip": OP2, "op3_exact_top_k": OP3, "op9_quality_rules": _op9(), "op10_extendible_shards": OP10, "op11_chat_parts": OP11, "op12_filter_audit": OP12}
