@@ -33,12 +33,26 @@ class Index:
         return stems(text) if self.stemmed else re.findall(r"[^\W_]+", text.lower())
 
 
+def plain_words(text: Column) -> Column:
+    """Runs of letters and digits in lower case, by built-in functions alone; none for null."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+
+
 def plain_index(files: DataFrame) -> Index:
-    """Runs of letters and digits in lower case, not stemmed: built-in functions alone."""
-    words = F.regexp_extract_all(F.lower("content"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    each = files.select("vault", "path", F.posexplode(words).alias("pos", "term"))
+    """Words as they are, not stemmed."""
+    each = files.select("vault", "path", F.posexplode(plain_words(F.col("content"))).alias("pos", "term"))
     postings = each.groupBy("vault", "term", "path").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
-    return Index(postings, files.select("vault", "path", F.size(words).cast("long").alias("dl")), False)
+    return Index(postings, files.select("vault", "path", F.size(plain_words(F.col("content"))).cast("long").alias("dl")), False)
+
+
+def plain_rows(files: DataFrame, by: list[str] = ("vault", "path")) -> DataFrame:
+    """by, term, positions, dl: postings of words as they are, and for each file a row without a term that has its
+    number of words (null if its content is null). Files that are dealt out by some of `by` aren't moved again."""
+    worded = files.select(*by, "content", plain_words(F.col("content")).alias("words"))
+    length = F.when(F.col("content").isNotNull(), F.size("words")).cast("long")
+    each = worded.select(*by, length.alias("dl"), F.concat(F.array(F.lit(None).cast("string")), "words").alias("words")).select(*by, "dl", F.posexplode("words").alias("pos", "term"))
+    place, own = F.when(F.col("term").isNotNull(), F.col("pos") - 1), F.when(F.col("term").isNull(), F.col("dl"))
+    return each.groupBy(*by, "term").agg(F.sort_array(F.collect_list(place)).alias("positions"), F.max(own).alias("dl"))
 
 
 def porter_rows(files: DataFrame) -> DataFrame:

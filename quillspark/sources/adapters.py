@@ -37,3 +37,14 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("v"), (F.col("vec_id") % 3).cast("string")).alias("vault"), F.concat(F.lit("topic/"), F.col("label").cast("string"), F.lit(".md")).alias("file_path"), F.col("vec_id").cast("int").alias("chunk_index"),
         F.lit("").alias("heading_path"), F.concat(F.lit("vector "), F.col("vec_id").cast("string")).alias("content"), F.concat(F.lit("h"), F.col("label").cast("string")).alias("file_hash"), "embedding",
     )
+
+
+#: What an event of the given table does to a note; other events are mere accesses.
+KINDS = {"signup": "create", "click": "modify", "purchase": "modify", "error": "remove"}
+
+
+def notifications(events: DataFrame) -> DataFrame:
+    """events as raw notifications: a user's number makes the vault and the note. Works on streams too."""
+    kind = F.coalesce(F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv])[F.col("event_type")], F.lit("access"))
+    path = F.concat(F.lit("notes/user-"), F.col("user_id").cast("string"), F.lit(".md"))
+    return events.select(F.concat(F.lit("v"), F.pmod("user_id", F.lit(4)).cast("string")).alias("vault"), kind.alias("kind"), F.lit(None).cast("string").alias("rename_mode"), F.array(path).alias("paths"), "ts")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -46,6 +46,23 @@ def debounce(changes: DataFrame, gap: str, key: list[str] = ("vault", "path"), v
     return changes.groupBy(*key, burst.alias("burst")).agg(F.max_by(value, "ts").alias(value), F.count("*").alias("merged"), F.max("ts").alias("ts")).select(*key, value, "merged", "ts")
 
 
+def bursts(changes: DataFrame, gap_ms: int, key: list[str] = ("vault", "path")) -> DataFrame:
+    """As debounce, for tables: each burst's last action, first and last time and number of changes (key, action,
+    merged, first, last). Of changes at the same time an upsert wins, as the file is then looked at again.
+
+    Changes of a key in one interval of `gap_ms` belong together in any case, so they are combined before any row is
+    shuffled, and a key that holds a large share of all changes brings a row for each interval and task. Changes
+    without a time are left out.
+    """
+    key, quiet = list(key), F.make_dt_interval(secs=F.lit(gap_ms / 1000))
+    last = F.max(F.struct("ts", "action")).alias("end")
+    near = changes.groupBy(*key, F.window("ts", f"{gap_ms} milliseconds").alias("near")).agg(F.min("ts").alias("first"), last, F.count("*").alias("merged"))
+    line = Window.partitionBy(*key).orderBy("first")
+    starts = F.coalesce(F.col("first") - F.lag("end.ts").over(line) > quiet, F.lit(True))
+    joined = near.withColumn("starts", starts).withColumn("burst", F.sum(F.col("starts").cast("long")).over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    return joined.groupBy(*key, "burst").agg(F.max("end").alias("end"), F.sum("merged").alias("merged"), F.min("first").alias("first")).select(*key, "end.action", "merged", "first", F.col("end.ts").alias("last"))
+
+
 def fold(changes: DataFrame, key: list[str] = ("vault", "path"), value: str = "action", order: list[str] = ("ts",)) -> DataFrame:
     """The last value of each key, and how many changes it had."""
     return changes.groupBy(*key).agg(F.max_by(value, F.struct(*order)).alias(value), F.count("*").alias("changes"))
