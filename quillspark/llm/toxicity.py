@@ -6,8 +6,8 @@ length alone. A document's is 1 - (1 - BASE) * prod(1 - s) over its sentences; w
 documents' likelihood, which passes each document's error to the sentences that could explain it, with a penalty that
 keeps most at 0. Everything is scored, whole, where it lies, and the sentences that make it toxic are located.
 
-The model is fitted on at most `TRAIN_DOCS` labelled documents, those with the smallest hash of their id, as far as they
-hold `TRAIN_CHARS` characters together. Features are counted and sentences taken apart on executors; the driver gets the
+The model is fitted on at most `TRAIN_DOCS` labelled documents, those with the smallest hash of their id, without those
+of over `TRAIN_CHARS` characters; each is taken or left for its own length. Features are counted and sentences taken apart on executors; the driver gets the
 VOCABULARY chosen features and, per document, which of them meet in a sentence, and fits the weights.
 
 Defined results: a null or empty text has no sentence and the score BASE; without labels, or with labels of one kind,
@@ -24,13 +24,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm._common import cut
 
-#: Labelled documents that the model is fitted on, at most; characters that they hold, at most; features it looks at.
-TRAIN_DOCS, TRAIN_CHARS, VOCABULARY = 6000, 64_000_000, 2000
+#: Labelled documents that the model is fitted on, at most; characters that one may hold; features it looks at.
+TRAIN_DOCS, TRAIN_CHARS, VOCABULARY = 6000, 40_000, 2000
 #: Evidence of a sentence without features; evidence up to which a sentence counts nothing; the score without evidence.
 BIAS, FLOOR, BASE = -7.0, -6.0, 1e-3
 _SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
@@ -129,9 +129,7 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, trai
     order = (F.md5(F.col("doc_id").cast("string")), "doc_id")
     chosen = own.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(*order).limit(train_docs)
     got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.max("text").alias("text"))
-    upto = F.sum(F.coalesce(F.length("text"), F.lit(0))).over(Window.orderBy(*order))  # at most train_docs rows
-    sizes = cut(got, "labelled-texts")
-    taken = sizes.join(F.broadcast(sizes.select("doc_id", upto.alias("upto")).where(F.col("upto") <= train_chars).select("doc_id")), "doc_id").select("text", "toxic")
+    taken = cut(got.where(F.coalesce(F.length("text"), F.lit(0)) <= train_chars), "labelled-texts").select("text", "toxic")
     n = {r[0]: r[1] for r in taken.groupBy("toxic").agg(F.count("*")).collect()}
     if len(n) < 2:
         return {}

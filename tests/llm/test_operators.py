@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from quillspark.llm import html, mixing, packing, quality, queries, secrets, sharding, simhash, toxicity, vafile, warc
@@ -441,6 +442,9 @@ def test_toxicity_learns_alike_from_repeated_ids_and_within_its_bounds(spark):
     a, b = toxicity.train(docs, labels), toxicity.train(docs.repartition(7), labels.repartition(3))
     assert a == b and a.get("zorg", 0) > 0
     assert toxicity.train(docs, labels, train_chars=100) == {}  # no more than half a document
+    long = spark.createDataFrame([(1000 + i, "a fine day. " * 50_000) for i in range(30)], "doc_id long, text string")
+    more = labels.unionByName(long.select("doc_id", F.lit(0).alias("toxic")))
+    assert toxicity.train(docs.unionByName(long), more) == a  # texts too long to learn from take nothing from the others
 
 
 # --- SimHash
