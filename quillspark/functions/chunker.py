@@ -25,6 +25,12 @@ _QUOTE = re.compile(r" {0,3}> ?")
 # CommonMark's block tags, and how its other HTML blocks begin and end (those end with a blank line).
 _TAGS = "address article aside base basefont blockquote body caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frame frameset h1 h2 h3 h4 h5 h6 head header hr html iframe legend li link main menu menuitem nav noframes ol optgroup option p param search section summary table tbody td tfoot th thead title tr track ul"
 _HTML = [(r"<(?:script|pre|style|textarea)(?:\s|>|$)", r"</(?:script|pre|style|textarea)>"), (r"<!--", r"-->"), (r"<\?", r"\?>"), (r"<![a-z]", r">"), (r"<!\[CDATA\[", r"\]\]>"), (rf"</?(?:{_TAGS.replace(' ', '|')})(?:\s|/?>|$)", None)]
+_HTML = [(re.compile(begin, re.I), end and re.compile(end, re.I)) for begin, end in _HTML]
+_LINE = re.compile(r"[^\r\n]*(?:\r\n|\r|\n)|[^\r\n]+$")  # CommonMark's line ends, no others
+_CLOSE = re.compile(r" {0,3}(`{3,}|~{3,})[ \t]*$")
+_TAG = re.compile(r" {0,3}(?=<)")
+#: What a list item may begin with.
+_MARKERS = frozenset("-+*0123456789")
 _SETEXT = re.compile(r" {0,3}(=+|-+)[ \t]*$")
 
 
@@ -63,7 +69,7 @@ def _plain(inline: str) -> str:
 def events(text: str) -> Iterator[tuple]:
     """("heading", level, title, start, end), ("rule", start, end), ("block", kind, start, end): in order, by characters."""
     at, lines = 0, []
-    for raw in re.findall(r"[^\r\n]*(?:\r\n|\r|\n)|[^\r\n]+$", text):  # CommonMark's line ends, no others
+    for raw in _LINE.findall(text):
         lines.append((at, raw))
         at += len(raw)
     i = 0
@@ -85,7 +91,7 @@ def events(text: str) -> Iterator[tuple]:
             inner = line
             while quoted and (m := _QUOTE.match(inner)):
                 inner = inner[m.end() :]
-            close = re.match(r" {0,3}(`{3,}|~{3,})[ \t]*$", inner)
+            close = _CLOSE.match(inner)
             if quoted and inner == line:  # the quote is over, and its fence with it
                 end, fence = at, None
                 yield from done()
@@ -97,42 +103,44 @@ def events(text: str) -> Iterator[tuple]:
                 continue
         if html is not None:
             end = at + len(raw)
-            if re.search(html, line, re.I) if html else not line.strip():
+            if html.search(line) if html else not line.strip():
                 html = None
                 yield from done()
             continue
         bare, inside = line, None
-        while m := _QUOTE.match(bare):
+        first = bare.lstrip(" ")[:1]  # what a block begins with says which patterns can match
+        while first == ">" and (m := _QUOTE.match(bare)):
             bare, inside = bare[m.end() :], "quote"
-        if m := _ITEM.match(bare):
-            if not _RULE.match(bare):
-                bare, inside = bare[m.end() :], "item"
-        if not bare.strip():
+            first = bare.lstrip(" ")[:1]
+        if first in _MARKERS and (m := _ITEM.match(bare)) and not _RULE.match(bare):
+            bare, inside = bare[m.end() :], "item"
+            first = bare.lstrip(" ")[:1]
+        if not first or not bare.strip():
             if kind != "code":
                 yield from done()
             continue
-        if kind == "paragraph" and inside is None and (m := _SETEXT.match(line)):
+        if kind == "paragraph" and inside is None and first in "=-" and (m := _SETEXT.match(line)):
             kind = None
             yield "heading", 1 if m[1][0] == "=" else 2, _plain(" ".join(text[start:end].split())), start, at + len(raw)
             continue
-        if (m := _ATX.match(bare)) and not (kind == "code" and line.startswith("    ")):
+        if first == "#" and (m := _ATX.match(bare)) and not (kind == "code" and line.startswith("    ")):
             yield from done()
             yield "heading", len(m[1]), _plain(m[2] or ""), at, at + len(raw)
             continue
-        if _RULE.match(bare):
+        if first in "*-_" and _RULE.match(bare):
             yield from done()
             yield "rule", at, at + len(raw)
             continue
-        if (m := _FENCE.match(bare)) and not (m[1][0] == "`" and "`" in m[2]):
+        if first in "`~" and (m := _FENCE.match(bare)) and not (m[1][0] == "`" and "`" in m[2]):
             yield from done()
             kind, start, end, fence, quoted = "fence", at, at + len(raw), m[1], inside == "quote"
             continue
-        if inside is None and kind != "code" and (m := re.match(r" {0,3}(?=<)", line)):
-            ends = next((e or "" for s, e in _HTML if re.match(s, line[m.end() :], re.I)), None)
+        if first == "<" and inside is None and kind != "code" and (m := _TAG.match(line)):
+            ends = next((e or "" for s, e in _HTML if s.match(line[m.end() :])), None)
             if ends is not None:
                 yield from done()
                 kind, start, end = "html", at, at + len(raw)
-                html = None if ends and re.search(ends, line[m.end() :], re.I) else ends
+                html = None if ends and ends.search(line[m.end() :]) else ends
                 if html is None:
                     yield from done()
                 continue
@@ -155,7 +163,10 @@ def chunks(text: str) -> list[Chunk]:
     opened: int | None = None
     began = "document_start"
     path = ""
-    sizes = None if body.isascii() else np.concatenate([[0], np.cumsum([1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF) for c in map(ord, body)])])
+    sizes = None
+    if not body.isascii():
+        points = np.frombuffer(body.encode("utf-32-le", "surrogatepass"), np.uint32)
+        sizes = np.concatenate([[0], np.cumsum(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF))])
     byte = lambda i: i if sizes is None else int(sizes[i])
 
     def close(stop: int, by: str):

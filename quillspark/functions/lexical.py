@@ -5,7 +5,6 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from functools import lru_cache
 
 _TOKEN = re.compile(r"[^\W_]+")
 
@@ -50,7 +49,6 @@ _STEP3 = "icate:ic ative: alize:al iciti:ic ical:ic ful: ness:".split()
 _STEP4 = "al ance ence er ic able ible ant ement ment ent ou ism ate iti ous ive ize".split()
 
 
-@lru_cache(200_000)
 def stem(w: str) -> str:
     if len(w) < 3 or not w.isascii():
         return w
@@ -92,5 +90,13 @@ def stem(w: str) -> str:
     return w
 
 
-def stems(text: str) -> list[str]:
-    return [stem(t) for t in fold_tokens(text)]
+#: Stems that are remembered from text to text.
+REMEMBERED = 200_000
+
+
+def stems(text: str, known: dict[str, str] | None = None) -> list[str]:
+    """known: what the caller keeps between texts; it's emptied when it holds REMEMBERED words."""
+    known = {} if known is None else known
+    if len(known) > REMEMBERED:
+        known.clear()
+    return [known.get(t) or known.setdefault(t, stem(t)) for t in fold_tokens(text)]

@@ -62,11 +62,12 @@ def porter_rows(files: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, str] = {}
         for b in batches:
             rows: list[tuple] = []
             for vault, path, content in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 places: dict[str, list[int]] = {}
-                for i, t in enumerate(stems(content or "")):
+                for i, t in enumerate(stems(content or "", known)):
                     places.setdefault(t, []).append(i)
                 n = sum(map(len, places.values()))
                 rows += [(vault, t, path, p, n) for t, p in places.items()] or [(vault, None, path, [], 0)]

@@ -136,15 +136,15 @@ def _ingest(snapshots: Snapshots, disk: DataFrame, now: str, embed: Embedder | N
 
 def _apply(snapshots: Snapshots, disk: DataFrame, files: DataFrame, chunks: DataFrame | None, index: ranked.Index | None, now: str, embed: Embedder | None, dims: int, own: list[str]) -> DataFrame:
     """Commits what the diff between disk and files calls for, and gives that diff."""
-    known = files
-    if embed and chunks is not None:  # files whose vectors couldn't be made are tried again, by an empty hash
-        open_ = chunks.where(F.col("embedding").isNull()).select("vault", F.col("file_path").alias("path")).distinct()
-        known = files.join(open_.withColumn("open", F.lit(True)), ["vault", "path"], "left").withColumn("content_hash", F.when(F.col("open"), "").otherwise(F.col("content_hash"))).drop("open")
-    changes = diff.scan_diff(disk, known)
-    fresh = disk.join(changes.where(F.col("effect").isin("inserted", "updated")).select("vault", "path"), ["vault", "path"], "left_semi")
+    changes = diff.scan_diff(disk, files)
+    anew = changes.where(F.col("effect").isin("inserted", "updated")).select("vault", "path")
+    gone = changes.where(F.col("effect").isin("inserted", "updated", "deleted")).select("vault", F.col("path").alias("file_path"))
+    if embed and chunks is not None:  # files whose vectors couldn't be made are tried again, which isn't a change
+        open_ = chunks.where(F.col("embedding").isNull()).select("vault", "file_path").distinct()
+        anew, gone = anew.unionByName(open_.withColumnRenamed("file_path", "path")).distinct(), gone.unionByName(open_).distinct()
+    fresh = disk.join(anew, ["vault", "path"], "left_semi")
     made = chunk_files(fresh).withColumnRenamed("content_hash", "chunk_hash")
     made = embed_chunks(made, embed, dims) if embed else made.withColumn("embedding", F.lit(None).cast("array<float>"))
-    gone = changes.where(F.col("effect") != "skipped").where(F.col("effect") != "hash_unchanged").select("vault", F.col("path").alias("file_path"))
     kept = made if chunks is None else chunks.select(*made.columns).join(gone, ["vault", "file_path"], "left_anti").unionByName(made)
     with snapshots.staged(ranked.porter_rows(fresh)) as rows:  # read for the postings and for the lengths
         postings, lengths = ranked.postings_of(rows), ranked.lengths_of(rows)

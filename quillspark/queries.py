@@ -256,7 +256,7 @@ def scan_report(spark, sf):
     return diff.report(_scan(spark, sf))
 
 
-@_query(f"{_SCAN} select 'change' as type, case effect when 'inserted' then 'created' when 'updated' then 'modified' else 'deleted' end as event_type, vault, path, content_hash from j where effect in ('inserted', 'updated', 'deleted')")
+@_query(f"{_SCAN} select 'file_changed' as type, case effect when 'inserted' then 'created' when 'updated' then 'modified' else 'deleted' end as event_type, vault, path, content_hash from j where effect in ('inserted', 'updated', 'deleted')")
 def change_events(spark, sf):
     return changes.events(_scan(spark, sf), F.lit("2026-01-01T00:00:00.000000Z")).select("type", "event_type", "vault", "path", "content_hash")
 

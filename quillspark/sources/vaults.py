@@ -15,7 +15,7 @@ from quillspark.functions.text import glob_regex
 from quillspark.operators.diff import content_hash
 
 # Names of copies that synchronising programs make.
-CONFLICTS = (".sync-conflict-", "(conflicted copy", "conflicted copy")
+CONFLICTS = (".sync-conflict-", "(conflicted copy", "conflicted copy)")
 # What a vault leaves out unless it's told otherwise.
 IGNORED = (".git/**", ".obsidian/**", ".trash/**", "*.sync-conflict-*", "**/*.tmp")
 

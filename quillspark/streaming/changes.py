@@ -73,7 +73,7 @@ def events(diff: DataFrame, detected_at) -> DataFrame:
     kind = F.create_map(*[F.lit(x) for kv in EVENTS.items() for x in kv])[F.col("effect")]
     known = diff.withColumn("event_type", kind).where(F.col("event_type").isNotNull())
     digest = F.when(F.col("effect") == "deleted", F.col("previous_hash")).otherwise(F.col("content_hash"))
-    return known.select(F.lit("change").alias("type"), "event_type", "vault", "path", digest.alias("content_hash"), detected_at.alias("detected_at"))
+    return known.select(F.lit("file_changed").alias("type"), "event_type", "vault", "path", digest.alias("content_hash"), detected_at.alias("detected_at"))
 
 
 def as_lines(found: DataFrame) -> DataFrame:
@@ -99,4 +99,4 @@ def watch(stream: DataFrame, index: Callable[[DataFrame, int], DataFrame], sink:
 
 def lagged(vault: str | None, oldest_kept: int, wanted: int) -> dict | None:
     """The control event for a reader that wants batches which are no longer kept."""
-    return {"type": "stream_lagged", "vault": vault, "missed": oldest_kept - wanted, "action": "rescan"} if wanted < oldest_kept else None
+    return {"type": "stream_lagged", "vault": vault, "missed": oldest_kept - wanted, "action": "resync_required"} if wanted < oldest_kept else None

@@ -8,7 +8,7 @@ from quillspark.errors import EngineError
 from quillspark.functions.embed import Refused, by_index, hash_embedder, in_batches
 from quillspark.operators import diff, ranked
 from quillspark.plans.catalog import Catalog, Vault
-from quillspark.plans.engine import Engine, ingest, stored_index
+from quillspark.plans.engine import Engine, ingest, rescan, stored_index
 from quillspark.sources.snapshot import Snapshots
 from quillspark.sources.vaults import included, walk, watched
 from quillspark.streaming import changes
@@ -125,7 +125,8 @@ def test_outage_is_mended_by_the_next_scan(spark, tmp_path):
     scan = lambda embed: ingest(snapshots, walk(spark, "1", str(tmp_path / "vault")), "t", embed, 8).first().asDict()
     made = lambda: {r["file_path"]: r["embedding"] is not None for r in snapshots.read("chunks").collect()}
     assert scan(picky)["inserted"] == 2 and made() == {"good.md": True, "bad.md": False}
-    assert scan(hash_embedder(8))["updated"] == 1 and made() == {"good.md": True, "bad.md": True}
+    assert rescan(snapshots, walk(spark, "1", str(tmp_path / "vault")), "t", picky, 8).count() == 0  # refused again, but no change
+    assert scan(hash_embedder(8))["skipped"] == 2 and made() == {"good.md": True, "bad.md": True}
     assert scan(hash_embedder(8))["skipped"] == 2 and not list((tmp_path / "index").glob(".staged*"))
     e = Engine(Catalog(VAULTS), snapshots.read("files"), snapshots.read("chunks"), embed=hash_embedder(4))
     for query in ("text", [1.0] * 5):
