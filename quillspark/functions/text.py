@@ -150,6 +150,13 @@ def normal_path(path: str) -> str:
     return "/".join(parts)
 
 
+def closest_of(wanted: Column, names: list[str], most: int = 3) -> Column:
+    """As closest, for a column of names, by built-in functions alone."""
+    near = F.transform(F.array(*[F.lit(n) for n in names]), lambda n, i: F.struct(F.levenshtein(wanted, n).alias("distance"), i.alias("place"), n.alias("name")))
+    best = F.array_min(near)
+    return F.when(best["distance"] <= most, best["name"])
+
+
 def closest(names: list[str], wanted: str, most: int = 3) -> str | None:
     """The first of the names with the least edit distance, if that is at most `most`."""
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +46,27 @@ class Engine:
         own, scope = self._scoped(df, vaults)
         return replace(search(own), partial=scope.partial())
 
+    def answer(self, ask: Callable[[list[str] | None], Result], vaults: list[str] | None = None) -> tuple[list[dict], dict]:
+        """The rows of a search (a function of vaults that gives a Result), and which vaults it couldn't reach.
+
+        If the search fails, each vault is asked by itself; those whose index can't be read are named as failed, and the
+        others answer. Errors in the request itself are raised. Results are bounded by the search's limit.
+        """
+        rows = lambda r: [x.asDict(recursive=True) for x in r.rows.collect()]
+        try:
+            got = ask(vaults)
+            return rows(got), got.partial
+        except (PySparkException, Py4JJavaError):
+            scope, good, lost = self.catalog.scope(vaults), [], []
+        for v in scope.run:
+            try:
+                rows(ask([v.id]))
+                good.append(v.id)
+            except (PySparkException, Py4JJavaError) as e:
+                lost.append({"vault": v.id, "code": "storage_error", "message": " ".join(str(e).split())[:200]})
+        partial = {"skipped": scope.skipped, "failed": [*scope.failed, *lost]}
+        return (rows(ask(good)) if good else []), partial
+
     def search_paths(self, vaults: list[str] | None = None, **query) -> Result:
         return self._run(self.files, vaults, lambda f: paths.search_paths(f, **query))
 
@@ -157,6 +180,19 @@ def _apply(snapshots: Snapshots, disk: DataFrame, files: DataFrame, chunks: Data
     return snapshots.read("changes", own)
 
 
+def update(snapshots: Snapshots, vault: str, contents: DataFrame, removed: DataFrame, now: str, embed: Embedder | None = None, dims: int = 64) -> DataFrame:
+    """Brings a vault's index up to what some of its files hold now (as `ingest` has them) and without those removed
+    (path); no other file is looked at. Doing it again changes nothing."""
+    known = [vault] if snapshots.current() is not None else None
+    if known is None:
+        return diff.report(_ingest(snapshots, contents, now, embed, dims, [vault]))
+    files = snapshots.read("files", known).select(*FILES)
+    cols = [c for c in FILES if c != "indexed_at"]
+    touched = contents.select("path").unionByName(removed.select("path"))
+    disk = files.select(*cols).join(touched, "path", "left_anti").select(*cols).unionByName(contents.select(*cols))
+    return diff.report(_ingest(snapshots, disk, now, embed, dims, known))
+
+
 def rescan(snapshots: Snapshots, disk: DataFrame, now: str, embed: Embedder | None = None, dims: int = 64, vaults: list[str] | None = None) -> DataFrame:
     """ingest, answered by an event for each file that was created, modified or deleted."""
     return events(_ingest(snapshots, disk, now, embed, dims, vaults), F.lit(now))

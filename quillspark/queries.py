@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import chunker
-from quillspark.functions.text import byte_truncate, closest
+from quillspark.functions.text import byte_truncate, closest_of
 from quillspark.operators import content, diagnostics, diff, paths, ranked, semantic
 from quillspark.operators.merge import per_vault
 from quillspark.plans.catalog import Catalog, Vault
 from quillspark.sources import adapters
 from quillspark.sources.vaults import included, watched
-from quillspark.streaming import changes
+from quillspark.streaming import changes, event_log, live
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 META = "path, size, content_hash, vault"
@@ -93,7 +93,7 @@ def content_regex(spark, sf):
     return content.matching(adapters.files(spark, sf), r"[tT]h[ea]\w+ing", mode="regex").select("path", "size", "content_hash", "vault", "match_count")
 
 
-@_query(f"select {META}, cast(1 as bigint) as match_count from files where regexp_matches(content, '^[A-Z][a-z]+ [a-z]+ of')")
+@_query(f"select {META}, cast(len(regexp_extract_all(content, '^[A-Z][a-z]+ [a-z]+ of')) as bigint) as match_count from files where regexp_matches(content, '^[A-Z][a-z]+ [a-z]+ of')")
 def content_regex_anchored(spark, sf):
     return content.matching(adapters.files(spark, sf), r"^[A-Z][a-z]+ [a-z]+ of", mode="regex").select("path", "size", "content_hash", "vault", "match_count")
 
@@ -137,10 +137,13 @@ def scope_filter(spark, sf):
     return adapters.files(spark, sf).where(F.col("vault").isin([v.id for v in scope.run])).groupBy("vault").agg(F.count("*").alias("files"))
 
 
-@_query("select * from (values ('es', 'vault is paused'), ('frensh', 'vault_not_found')) t(vault, why)", files=False)
+@_query("select why, t.vault, coalesce(n, 0) as files from (values ('es', 'vault is paused'), ('frensh', 'vault_not_found')) t(vault, why) left join (select vault, count(*) as n from files group by vault) f on t.vault = f.vault")
 def scope_unknown(spark, sf):
+    """Vaults that a request names and doesn't reach, why, and how many files it misses there."""
     scope = Catalog(_VAULTS).scope(["english", "spanish", "frensh"])
-    return spark.createDataFrame([(x["vault"], x["reason"]) for x in scope.skipped] + [(x["vault"], x["code"]) for x in scope.failed], "vault string, why string")
+    lost = spark.createDataFrame([(x["vault"], x["reason"]) for x in scope.skipped] + [(x["vault"], x["code"]) for x in scope.failed], "vault string, why string")
+    files = adapters.files(spark, sf).groupBy("vault").agg(F.count("*").alias("files"))
+    return lost.join(files, "vault", "left").select("why", "vault", F.coalesce("files", F.lit(0)).cast("long").alias("files"))
 
 
 @_query(f"select {META} from (select *, row_number() over (partition by vault order by path) as i from files) where i <= 25 order by path, vault limit 60")
@@ -239,11 +242,16 @@ j as (select coalesce(d.vault, o.vault) as vault, coalesce(d.path, o.path) as pa
   from disk d full outer join old o on d.vault = o.vault and d.path = o.path)"""
 
 
-def _scan(spark, sf) -> DataFrame:
+def _listings(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """The documents as a folder's listing, and as an index that differs from it."""
     f = adapters.files(spark, sf).drop("content", "indexed_at")
     old = f.where("size % 7 <> 0")
     disk = f.where("size % 11 <> 0").withColumn("content_hash", F.expr("if(size % 5 = 0 and size % 2 = 0, concat(content_hash, 'x'), content_hash)")).withColumn("size", F.expr("if(size % 5 = 0, size + 1, size)"))
-    return diff.scan_diff(disk, old)
+    return disk, old
+
+
+def _scan(spark, sf) -> DataFrame:
+    return diff.scan_diff(*_listings(spark, sf))
 
 
 @_query(f"{_SCAN} select vault, path, effect from j")
@@ -304,9 +312,52 @@ def change_fold(spark, sf):
 
 @_query("select n_name as wanted, (select arg_min(r_name, (levenshtein(n_name, r_name), r_regionkey)) from region where levenshtein(n_name, r_name) <= 6) as closest from nation", files=False)
 def closest_name(spark, sf):
-    names = lambda t, c, key: [r[0] for r in adapters.table(spark, sf, t).orderBy(key).select(c).collect()]
-    known = names("region", "r_name", "r_regionkey")  # a catalog's few names
-    return spark.createDataFrame([(n, closest(known, n, 6)) for n in names("nation", "n_name", "n_nationkey")], "wanted string, closest string")
+    known = [r[0] for r in adapters.table(spark, sf, "region").orderBy("r_regionkey").select("r_name").collect()]  # a catalog's few names
+    return adapters.table(spark, sf, "nation").select(F.col("n_name").alias("wanted"), closest_of(F.col("n_name"), known, 6).alias("closest"))
+
+
+# --- live changes
+
+_COPIES = ["notes/a.sync-conflict-1.md", "(conflicted copy).md", "my conflicted copy) x.md", "my conflicted copy notes.md", ".hidden.md", "x.txt"]
+
+
+@_query(f"""
+select vault, p || n as path, n not in ('/.hidden.md', '/x.txt') and not contains(n, '.sync-conflict-') and not contains(n, '(conflicted copy') and not contains(n, 'conflicted copy)') as watched
+from (select vault, path as p from files), (select unnest([{', '.join(f"'/{c}'" for c in _COPIES)}]) as n)""")
+def watch_filter(spark, sf):
+    f = adapters.files(spark, sf)
+    path = F.explode(F.array(*[F.concat("path", F.lit("/" + c)) for c in _COPIES]))
+    return f.select("vault", path.alias("path")).select("vault", "path", watched(F.col("path")).alias("watched"))
+
+
+@_query(f"{_SCAN} select vault, path, case effect when 'deleted' then 'remove' else 'upsert' end as action from j where effect <> 'skipped'")
+def watch_notifications(spark, sf):
+    disk, old = _listings(spark, sf)
+    return live.notifications(disk.drop("content_hash"), old)
+
+
+@_query("""
+with log as (select event_id + 1 as seq, user_id, event_type from events), n as (select max(seq) as newest from log), f as (select greatest(5, newest - 256) as first from n)
+select seq, 'file_changed' as type, 'notes/user-' || user_id || '.md' as path, cast(null as bigint) as missed, cast(null as varchar) as action from log, f where seq > first
+union all select first, 'stream_lagged', null, first - 5, 'resync_required' from f where first > 5""", files=False)
+def event_log_lag(spark, sf):
+    """What a reader gets that has had 5 of all events, from a log that is read back 256 events."""
+    none = F.lit(None).cast("string")
+    log = adapters.table(spark, sf, "events").select(
+        (F.col("event_id") + 1).alias("seq"), F.lit("file_changed").alias("type"), F.lit("modified").alias("event_type"), F.concat(F.lit("notes/user-"), F.col("user_id").cast("string"), F.lit(".md")).alias("path"),
+        none.alias("content_hash"), none.alias("detected_at"), F.lit("v").alias("vault"),
+    )
+    return event_log.after(log, {"v": 5}).select("seq", "type", "path", "missed", "action")
+
+
+@_query(f"""
+, e as (select *, row_number() over (partition by vault, path, before order by ts) as i from (select *, sum(starts) over (partition by vault, path order by ts rows unbounded preceding) as before from (
+  select *, case when lag(ts) over w is null or ts > lag(ts) over w + interval 6 hours then 1 else 0 end as starts from (
+    select 'v' || (user_id % 4) as vault, 'notes/user-' || user_id || '.md' as path, case event_type when 'error' then 'remove' else 'upsert' end as action, ts from events where event_type in ('signup', 'click', 'purchase', 'error')) window w as (partition by vault, path order by ts))))
+select vault, path, arg_max(action, ts) as action, count(*) as merged from e group by vault, path, before""")
+def watch_bursts(spark, sf):
+    e = changes.translate(adapters.notifications(adapters.table(spark, sf, "events")))
+    return changes.bursts(e, 6 * 3600 * 1000).select("vault", "path", "action", "merged")
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:

@@ -124,10 +124,11 @@ def follow_links(folder: str) -> Links:
     return Links(files if linked or errors else None, outside, errors, tuple(sorted(rules)))
 
 
-def walk(spark: SparkSession, vault: str, folder: str, ignore: list[str] | None = None, gitignores: dict[str, str] | None = None, content: bool = True) -> DataFrame:
+def walk(spark: SparkSession, vault: str, folder: str, ignore: list[str] | None = None, gitignores: dict[str, str] | None = None, content: bool = True, since: Column | None = None) -> DataFrame:
     """The Markdown files below a folder: vault, path, size, mtime and, if asked for, content and content_hash.
 
     Without content only the listing is read; a scan asks so first, and reads the files that need it afterwards.
+    since: only files changed then or later; Spark's reader doesn't open the others.
     ignore: patterns instead of IGNORED. gitignores: path to text; without them, those of a local folder are found.
     """
     links = follow_links(folder)
@@ -137,6 +138,8 @@ def walk(spark: SparkSession, vault: str, folder: str, ignore: list[str] | None
     else:  # paths, not patterns
         named = [re.sub(r"([\\\[\]{}*?])", r"\\\1", f) for f in links.files]
         raw = listing.load(named) if named else listing.option("recursiveFileLookup", True).load(folder).limit(0)
+    if since is not None:
+        raw = raw.where(F.col("modificationTime") >= since)
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(folder)
     root = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toUri().getPath().rstrip("/") + "/"
