@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.errors import EngineError
 from quillspark.functions.text import closest
+from quillspark.sources.snapshot import Snapshots
 
 NAME = re.compile(r"[A-Za-z0-9_-]+")
 ROWS = "id string, name string, path string, status string, created_at string, last_error string"
@@ -141,6 +142,35 @@ class Catalog:
         return Scope([v for v in chosen.values() if v.status == "active"], skipped, failed)
 
 
+class StoredCatalog(Catalog):
+    """A catalog that is written at each change, before the change counts; of two writers one wins, and the other gets
+    a conflict and loads it again. snapshots: where it's kept, in a folder of its own."""
+
+    def __init__(self, snapshots: Snapshots, **kw):
+        self.snapshots = snapshots
+        super().__init__(**kw)
+        self.reload()
+
+    def reload(self) -> None:
+        if self.snapshots.current() is not None:
+            rows = self.snapshots.read("vaults").withColumnRenamed("vault", "id")
+            self._by_id = {v.id: v for v in Catalog.load(rows).list()}
+
+    def _save(self, vaults: dict[str, Vault]) -> None:
+        table = Catalog(list(vaults.values())).rows(self.snapshots.spark).withColumnRenamed("id", "vault")
+        self.snapshots.commit({"vaults": table})
+        self._by_id = vaults
+
+    def _put(self, v: Vault) -> Vault:
+        self._save(self._by_id | {v.id: v})
+        return v
+
+    def terminate(self, token: str) -> Vault:
+        v = self.get(token)
+        self._save({k: x for k, x in self._by_id.items() if k != v.id})
+        return v
+
+
 def _uuid7() -> uuid.UUID:
     import os
     import time

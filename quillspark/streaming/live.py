@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from quillspark.errors import EngineError
+from quillspark.functions.embed import Embedder
 from quillspark.operators.diff import stat_candidates
 from quillspark.plans import engine
 from quillspark.sources.snapshot import Snapshots
@@ -49,6 +51,9 @@ class Live:
     folder: str
     work: str
     limit: int = CAPACITY
+    embed: Embedder | None = None
+    dims: int = 64
+    tries: int = 20  # times that a commit is tried again after another writer's
     walk_options: dict = field(default_factory=dict)
 
     def _known(self) -> DataFrame:
@@ -91,7 +96,14 @@ class Live:
         if plan is None:
             return
         at = plan.select("detected_at").first()[0]
-        engine.update(self.snapshots, self.vault, plan.where("effect <> 'deleted'"), plan.where("effect = 'deleted'"), at)
+        for tries in range(self.tries, -1, -1):
+            try:
+                engine.update(self.snapshots, self.vault, plan.where("effect <> 'deleted'"), plan.where("effect = 'deleted'"), at, self.embed, self.dims)
+                break
+            except EngineError as e:  # another vault's writer came first
+                if e.code != "conflict" or not tries:
+                    raise
+                time.sleep(0.2)
         self.log.append(events(plan, F.lit(at)), self.vault, batch)
 
     def start(self, **trigger) -> StreamingQuery:
