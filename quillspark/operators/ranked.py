@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import functools
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.errors import EngineError
-from quillspark.functions.lexical import stem, stems
+from quillspark.functions.lexical import fold_tokens, stem, stems
 from quillspark.functions.text import has_prefix
 from quillspark.operators.merge import Result, check_limit
 
@@ -25,9 +25,12 @@ K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
 @dataclass
 class Index:
+    """narrow: makes an index of some terms alone (a set of them, and starts of terms); without it all are there."""
+
     postings: DataFrame
     files: DataFrame
     stemmed: bool
+    narrow: Callable[[set[str], tuple[str, ...]], Index] | None = None
 
     def terms(self, text: str) -> list[str]:
         return stems(text) if self.stemmed else re.findall(r"[^\W_]+", text.lower())
@@ -55,10 +58,11 @@ def plain_rows(files: DataFrame, by: list[str] = ("vault", "path")) -> DataFrame
     return each.groupBy(*by, "term").agg(F.sort_array(F.collect_list(place)).alias("positions"), F.max(own).alias("dl"))
 
 
-def porter_rows(files: DataFrame) -> DataFrame:
+def porter_rows(files: DataFrame, wanted: set[str] | None = None, starts: tuple[str, ...] = ()) -> DataFrame:
     """vault, term, path, positions, dl (the file's number of tokens): tokens without accents, stemmed.
 
     A file's postings are made where it lies, without a shuffle; a file without tokens has one row, its term null.
+    wanted, starts: only these terms and those that start so.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,9 +71,11 @@ def porter_rows(files: DataFrame) -> DataFrame:
             rows: list[tuple] = []
             for vault, path, content in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 places: dict[str, list[int]] = {}
-                for i, t in enumerate(stems(content or "", known)):
-                    places.setdefault(t, []).append(i)
-                n = sum(map(len, places.values()))
+                own = stems(content or "", known)
+                n = len(own)
+                for i, t in enumerate(own):
+                    if wanted is None or t in wanted or starts and t.startswith(starts):
+                        places.setdefault(t, []).append(i)
                 rows += [(vault, t, path, p, n) for t, p in places.items()] or [(vault, None, path, [], 0)]
             if rows:
                 c = list(zip(*rows, strict=True))
@@ -88,19 +94,31 @@ def lengths_of(rows: DataFrame) -> DataFrame:
     return rows.groupBy("vault", "path").agg(F.max("dl").alias("dl"))
 
 
+def porter_lengths(files: DataFrame) -> DataFrame:
+    """vault, path, dl: the number of tokens of each file, which takes no stemming."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = pa.array([len(fold_tokens(x.as_py() or "")) for x in b.column(2)], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), n], names=["vault", "path", "dl"])
+
+    return files.select("vault", "path", "content").mapInArrow(run, "vault string, path string, dl long")
+
+
 def porter_index(files: DataFrame) -> Index:
     """An index made from texts on the spot; a scan stores one (quillspark.plans.engine.stored_index)."""
-    rows = porter_rows(files)
-    return Index(postings_of(rows), lengths_of(rows), True)
+    lengths = porter_lengths(files)
+    some = lambda wanted, starts: Index(postings_of(porter_rows(files, wanted, starts)), lengths, True)
+    return Index(postings_of(porter_rows(files)), lengths, True, some)
 
 
 # --- queries: ("phrase", id), ("and", a, b), ("or", a, b), ("not", a, b), ("near", ids, distance)
 
-_LEX = re.compile(r'\s*(?:"((?:[^"]|"")*)"(\s*\*)?|(NEAR)\s*\(|([()])|,\s*(\d+)|([\w]+)\s*:|([\w]+)(\s*\*)?|(\S))')
+_LEX = re.compile(r'\s*(?:"((?:[^"]|"")*)"(\s*\*)?|(NEAR)\s*\(|([()+^])|,\s*(\d+)|((?:-\s*)?(?:\w+|\{[\w\s]*\}))\s*:|([\w]+)(\s*\*)?|(\S))')
 
 
-def parse(query: str, terms_of) -> tuple[tuple | None, list[tuple[list[str], bool]]]:
-    """The query's tree, and its phrases: (terms, is the last a prefix?)."""
+def parse(query: str, terms_of) -> tuple[tuple | None, list[tuple[list[str], bool, bool]]]:
+    """The query's tree, and its phrases: (terms, is the last a prefix?, must it be at the start?)."""
     tokens, at = [], 0
     while at < len(query.rstrip()):
         m = _LEX.match(query, at)
@@ -120,7 +138,7 @@ def parse(query: str, terms_of) -> tuple[tuple | None, list[tuple[list[str], boo
         else:
             text = m[1].replace('""', '"') if m[1] is not None else m[7]
             tokens.append(("text", (text, bool(m[2] or m[8]))))
-    phrases: list[tuple[list[str], bool]] = []
+    phrases: list[tuple[list[str], bool, bool]] = []
     place = 0
 
     def peek():
@@ -133,10 +151,14 @@ def parse(query: str, terms_of) -> tuple[tuple | None, list[tuple[list[str], boo
         place += 1
         return tokens[place - 1][1]
 
-    def phrase():
+    def phrase(first: bool = False):
         text, prefix = take("text")
         terms = terms_of(text)
-        phrases.append((terms, prefix))
+        while peek() == "+":
+            take()
+            text, prefix = take("text")
+            terms = [*terms, *terms_of(text)]
+        phrases.append((terms, prefix, first))
         return len(phrases) - 1
 
     def primary():
@@ -147,11 +169,15 @@ def parse(query: str, terms_of) -> tuple[tuple | None, list[tuple[list[str], boo
             take(")")
             return out
         if kind == "column":
-            name = take()
-            if name not in ("content", "path"):
-                raise EngineError("invalid_query", f"no such column: {name}")
+            text = take()
+            names = re.findall(r"\w+", text)
+            for name in names:
+                if name not in ("content", "path"):
+                    raise EngineError("invalid_query", f"no such column: {name}")
+            if peek() == "column":
+                raise EngineError("invalid_query", "a column filter needs an expression")
             inner = primary()
-            return inner if name == "content" else ("never", inner)
+            return inner if ("content" in names) != text.startswith("-") else ("never", inner)
         if kind == "near":
             take()
             ids, distance = [], 10
@@ -163,13 +189,16 @@ def parse(query: str, terms_of) -> tuple[tuple | None, list[tuple[list[str], boo
             if not ids:
                 raise EngineError("invalid_query", "NEAR needs phrases")
             return ("near", ids, distance)
+        if kind == "^":
+            take()
+            return ("phrase", phrase(first=True))
         if kind == "text":
             return ("phrase", phrase())
         raise EngineError("invalid_query", f"syntax error near {kind!r}")
 
     def joined():
         out = primary()
-        while peek() in ("text", "(", "column", "near"):
+        while peek() in ("text", "(", "column", "near", "^"):
             out = ("and", out, primary())
         return out
 
@@ -237,22 +266,27 @@ def _holds(tree: tuple, phrases: list) -> Column:
 def bm25(index: Index, query: str, prefix: str | None = None) -> DataFrame:
     """vault, path, score of the files that match; lower scores are better."""
     tree, phrases = parse(query, index.terms)
-    if tree is None or not any(t for t, _ in phrases):
+    if tree is None or not any(t for t, _, _ in phrases):
         raise EngineError("invalid_query", "the query has no term")
+    if index.narrow:
+        starts = {t[-1] for t, last, _ in phrases if t and last}
+        index = index.narrow({x for t, _, _ in phrases for x in t}, tuple(sorted(starts)))
     wanted = F.lit(False)
-    for terms, last in phrases:
+    for terms, last, _ in phrases:
         for k, t in enumerate(terms):
             wanted = wanted | (F.col("term").startswith(t) if last and k == len(terms) - 1 else F.col("term") == t)
     places, empty = [], F.expr("cast(array() as array<int>)")
-    for i, (terms, last) in enumerate(phrases):
+    for i, (terms, last, _) in enumerate(phrases):
         for k, t in enumerate(terms):
             is_term = F.col("term").startswith(t) if last and k == len(terms) - 1 else F.col("term") == t
             places.append(F.flatten(F.collect_list(F.when(is_term, F.transform("positions", _minus(k))))).alias(f"p{i}_{k}"))
     hits = index.postings.where(wanted).groupBy("vault", "path").agg(*places)
-    for i, (terms, _) in enumerate(phrases):
+    for i, (terms, _, first) in enumerate(phrases):
         own = F.array_distinct(f"p{i}_0") if terms else empty
         for k in range(1, len(terms)):
             own = F.array_intersect(own, F.col(f"p{i}_{k}"))
+        if first:
+            own = F.filter(own, lambda x: x == 0)
         hits = hits.withColumn(f"p{i}", own)
     counted = {i: F.size(f"p{i}") for i in range(len(phrases))}
     for _, ids, distance in _nears(tree):  # only places in a clump count there

@@ -79,6 +79,28 @@ def test_bm25_agrees_with_sqlite(spark, query):
     assert mine.keys() == want.keys() and all(math.isclose(mine[p], want[p], rel_tol=1e-9) for p in want)
 
 
+def test_grammar_agrees_with_sqlite(spark):
+    """Initial tokens, joined phrases and sets of columns: the same files, and the same queries refused."""
+    db = sqlite3.connect(":memory:")
+    db.execute("create virtual table t using fts5(path unindexed, content, tokenize='porter unicode61')")
+    db.executemany("insert into t values (?, ?)", CORPUS)
+    index = ranked.porter_index(files(spark, CORPUS))
+    first = CORPUS[0][1].split()[:3]
+    for query in (
+        "a + b", "the + quick", f"^{first[0]}", f"^{first[1]}", f"^{first[0]} + {first[1]}", f'^"{first[0]} {first[1]}" {first[2]}', "{content} : fox", "{content path} : fox", "{path} : fox", "- content : fox", "- path : fox", "- {path} : fox",
+        "content : ^the", "the + qui*", "the + quick + brown NOT dog", "content : (fox OR dog)", "^fox OR dog", "NEAR(^fox dog)", "+ fox", "fox +", "^", "{other} : fox", "- other : fox", "content : content : fox", "^^fox", "{content : fox",
+    ):
+        try:
+            want = sorted(r[0] for r in db.execute("select path from t where t match ?", (query,)))
+        except sqlite3.OperationalError:
+            want = None
+        try:
+            got = sorted(r["path"] for r in ranked.bm25(index, query).collect())
+        except EngineError:
+            got = None
+        assert got == want, query
+
+
 def test_ranked_order_and_bad_queries(spark):
     index = ranked.porter_index(files(spark, CORPUS))
     rows = ranked.search_ranked(index, "fox", limit=2).rows.collect()
