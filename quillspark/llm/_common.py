@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 WS = r"[\x20\x09-\x0D]+"
 #: Rows that a side may have to be broadcast; above it the same join is left to a shuffle.
 BROADCAST_ROWS = 100_000
+#: Bytes that such a side's wide columns may have in all.
+BROADCAST_BYTES = 64 << 20
 #: Whole texts that go to Python at once.
 TEXTS = 500
 
@@ -51,9 +53,13 @@ def cut(df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df (cheap to count), marked for broadcast if it has at most so many rows, else as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def sized(df: DataFrame, rows: int = BROADCAST_ROWS, wide: Column | None = None) -> DataFrame:
+    """df (cheap to count), marked for broadcast if it has at most so many rows, else as it is.
+
+    wide: the bytes of a row's texts or arrays, which then may be at most BROADCAST_BYTES in all.
+    """
+    n, size = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(F.lit(0) if wide is None else wide), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and size <= BROADCAST_BYTES else df
 
 
 def join_hot(rows: DataFrame, side: DataFrame, keys: list[str], n: str) -> DataFrame:

@@ -48,14 +48,17 @@ WORK = 1 << 24
 # Element names and class words with a meaning.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script style noscript template iframe svg math textarea select title object canvas audio video button".split()
-OUT_TAGS = frozenset("nav aside menu dialog head search footer label".split())
-OUT_WORDS = frozenset("ad ads advert adverts advertisement advertising adsbygoogle sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login sidebar menu menus nav navbar navigation breadcrumb breadcrumbs footer comment comments commentlist respond replies reply disqus share sharing social related recommended recommendations widget widgets toolbar pagination pager skip paywall".split())
+RAW = "script style noscript template iframe svg textarea select title object canvas audio video button".split()
+OUT_TAGS = frozenset("nav aside menu dialog head search footer".split())
+OUT_WORDS = frozenset("ad ads advert adverts advertisement advertising adsbygoogle sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login sidebar menu menus nav navbar navigation breadcrumb breadcrumbs footer comment comments commentlist respond replies reply disqus share sharing social related recommended recommendations widget widgets toolbar pagination pager skip paywall teaser teasers".split())
+# words that add nothing to another one in a name: "share-buttons" are for sharing, "social-history" is history
+PLAIN_WORDS = frozenset("site page global main primary secondary top bottom left right inner outer upper lower box block container wrapper wrap area zone region section panel bar strip row col column grid list lists item items link links button buttons icon icons btn post posts article articles story stories entry entries content body text slot unit form field input group module component header head title label nav inline sticky fixed floating mobile desktop small large big in out of to the and for up us our more tags tag js wp id class view first last new thread threads count holder heading".split())
 COMMENT_WORDS = frozenset("comment comments commentlist respond replies reply disqus".split())
 OUT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 HEADER_WORDS = frozenset("header masthead topbar".split())
 MAIN_WORDS = frozenset("article content main post entry story articlebody".split())
 STATE_WORDS = (frozenset("has no with without is not hide show".split()), frozenset("open closed enabled disabled on off visible count left right".split()))
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 STRUCTURE = frozenset("article main nav header footer section h1 h2 h3".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
@@ -84,11 +87,13 @@ def label_of(name: str, attributes: str) -> str:
     # "has-sidebar" and "comments-open" tell a state; "comment-list" and "site-footer" what it is
     telling = [t for t in tokens if t and t[0] not in STATE_WORDS[0] and not (len(t) > 1 and t[-1] in STATE_WORDS[1])]
     says = lambda words: any(w in words for t in telling for w in t)
+    # a name with a word of its own beside these, as "comment-free" or "ad-hoc", is about something else
+    means = lambda words: any(any(w in words for w in t) and all(w in words or w in OUT_WORDS or w in PLAIN_WORDS or len(w) < 3 for w in t) for t in telling)
     if name == "main" or role == "main" and not hidden:
         return label + MAIN
-    if name in OUT_TAGS or hidden or role in OUT_ROLES or says(COMMENT_WORDS):
+    if name in OUT_TAGS or hidden or role in OUT_ROLES or means(COMMENT_WORDS):
         return label + OUT
-    if says(OUT_WORDS):
+    if means(OUT_WORDS) and not (name in HEADINGS and not any(set(t) <= OUT_WORDS for t in telling)):
         return label + DOUBT
     if name == "article":
         return label + ARTICLE
@@ -197,6 +202,28 @@ def blocks(html: str, known: dict | None = None) -> list[str | tuple[str, int]]:
         add(html[at:])
     flush()
     close(1)
+    return _lift_frames(found)
+
+
+#: Characters of a block from which on it counts as prose, if little of it is links.
+PROSE = 60
+
+
+def _lift_frames(found: list) -> list:
+    """found without the marks of forms that hold most of a page's prose: such a form is the page's frame."""
+    prose = [0]  # prose before each place
+    for x in found:
+        prose.append(prose[-1] + (len(x[0]) if not isinstance(x, str) and len(x[0]) >= PROSE and 3 * x[1] < len(x[0]) else 0))
+    opened: list[int] = []
+    for i, x in enumerate(found):
+        if not isinstance(x, str) or x[-1] != FORM:
+            continue
+        if x[0] != "/":
+            opened.append(i)
+        elif opened:
+            start = opened.pop()
+            if 2 * (prose[i] - prose[start]) > prose[-1]:
+                found[start], found[i] = found[start].rstrip(FORM), x.rstrip(FORM)
     return found
 
 
@@ -528,7 +555,7 @@ def slots(read: DataFrame, found: DataFrame, learned: DataFrame) -> DataFrame:
     Slots outside what calls itself the article or main content count only where they hold over twice as much text as
     those inside.
     """
-    bound = cut(found.join(sized(learned.select("host", "wrapper")), "host").select("host", "key", "stream", "wrapper").mapInPandas(_bind, "host string, key long, at int, slot string, hint string"), "bound-slots")
+    bound = cut(found.join(sized(learned.select("host", "wrapper"), wide=F.octet_length("wrapper")), "host").select("host", "key", "stream", "wrapper").mapInPandas(_bind, "host string, key long, at int, slot string, hint string"), "bound-slots")
     each = read.select("host", "key", "page", F.explode("texts").alias("t")).select("host", "key", "page", "t.at", F.xxhash64("t.text").alias("h"), F.length("t.text").alias("n"), "t.links")
     own = each.groupBy("host", "key", "at").agg(F.min("h").alias("low"), F.max("h").alias("high"), F.approx_count_distinct("page", 0.1).alias("contents"), F.count("*").alias("texts"), F.sum("n").alias("chars"), F.sum("links").alias("links"))
     own = cut(own.join(bound, ["host", "key", "at"]), "texts-of-slots")
@@ -553,7 +580,7 @@ def extract(pages: DataFrame) -> DataFrame:
 def chosen(read: DataFrame, kept: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """The texts of parsed pages by the slots that are content; kept is broadcast up to so many rows."""
     pages = read.select("page_id", "url", "host", "key", "texts")
-    small = sized(kept, rows)
+    small = sized(kept, rows, 64 + F.octet_length("host") + 4 * F.coalesce(F.size("kept"), F.lit(0)))
     both = join_dealt(pages, kept, ["host", "key"], "pages", ["page_id", "url"], "left") if small is kept else pages.join(small, ["host", "key"], "left")
     own = F.transform(F.filter("texts", lambda t: F.array_contains(F.coalesce("kept", F.array().cast("array<int>")), t["at"])), lambda t: t["text"])
     text = F.array_join(own, "\n\n")

@@ -186,6 +186,7 @@ def pages_of(spark, *htmls, host="h"):
     return spark.createDataFrame([(i, f"http://{host}/{i}", h) for i, h in enumerate(htmls)], "page_id long, url string, html string")
 
 
+PROSE = "A sentence of some ninety characters that tells what somebody saw on the way home that day."
 LABELLED = [  # a page, its main text
     ('<body class="single has-sidebar"><article><p>Story one.</p></article></body>', "Story one."),
     ('<article class="post comments-open"><p>Story two.</p></article>', "Story two."),
@@ -212,6 +213,14 @@ LABELLED = [  # a page, its main text
     ("<p>One.</p><ul><li><a href=/a>All of it a link</a></li></ul><p>Two.</p>", "One.\n\nTwo."),
     ('<article><h1 hidden="">gone</h1><p>1 < 2 and a<b></p></article>', "1 < 2 and a"),
     ("<article><p>" + "word " * 5000 + "</p></article>", ("word " * 5000).strip()),
+    (f'<form id="aspnetForm"><div><p>{PROSE}</p></div></form>', PROSE),
+    (f"<form><p>{PROSE}</p><p>Note</p></form><form><p>Name</p></form>", f"{PROSE}\n\nNote"),
+    (f"<article><p>{PROSE}</p><form><p>{PROSE}</p></form></article>", PROSE),
+    (f'<div class="post comment-free"><p>{PROSE}</p></div>', PROSE),
+    (f'<article><section class="social-history"><p>{PROSE}</p></section><h1 class="banner-title">Head</h1><h2 id="related-work">Others</h2></article>', f"{PROSE}\n\nHead\n\nOthers"),
+    ('<article><p>An <span class="ad-hoc">ad hoc</span> <label>rule</label> of <math><mi>x</mi></math>.</p><div class="ad-slot">Buy</div><p class="share-this-on">no</p></article>', "An ad hoc rule of x.\n\nno"),
+    (f'<article class="story"><p>{PROSE}</p></article><article class="teaser"><p>Read on</p></article>', PROSE),
+    ('<article><p>Text.</p><div class="cookie-consent-banner">We use</div><div class="newsletter-signup-box">Join</div><ul class="related-posts"><li>Else</li></ul><div id="disqus_thread">hm</div></article>', "Text."),
 ]
 
 
@@ -230,6 +239,13 @@ def test_template_slots_go_and_varying_ones_stay(spark):
     assert {r["text"] for r in got} == {"Same for all\n\nOnly here 0"}
 
 
+def test_streams_beyond_what_is_followed_have_slots_of_their_own(spark, monkeypatch):
+    pages = pages_of(spark, *[f"<article>{'<p>x</p><h2>y</h2>' * (i % 3)}<p>Page {i}</p></article><footer>f</footer>" for i in range(9)])
+    want = {r["page_id"]: r["text"] for r in rows(html.extract(pages))}
+    monkeypatch.setattr(html, "WORK", 0)
+    assert {r["page_id"]: r["text"] for r in rows(html.extract(pages))} == want and want[0] == "Page 0"
+
+
 def test_a_class_is_only_a_hint(spark):
     long = "A real story of some length that goes on for more than sixty characters, number {}."
     page = lambda i: f'<div class="widget"><p>{long.format(i)}</p></div><div class="promo">Buy {i}</div>'
