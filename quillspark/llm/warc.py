@@ -5,8 +5,10 @@ and hands on their paths. The list of paths is a written table, so only archives
 lost tasks left is ignored. Payloads are compared by SHA-1 digest; that of the largest id is a response, equal ones
 revisit it and carry no payload.
 
-Reading: a task streams an archive in chunks, inflates one member at a time, finds the block by Content-Length, and
-checks block and payload digests. It holds one chunk and one record.
+Reading: a task streams an archive in chunks, inflates a chunk of one member at a time, frames the block by
+Content-Length, and sums up block and payload digests (of any kind that hashlib has, in base32 or hexadecimal) as the
+bytes go by. It holds a chunk, the message's headers and, if they are asked for, one payload. Records of all types are
+read. Damage fails the job, or is a row that says so, after which reading goes on with the next member.
 
 Archives are opened by pyarrow's file systems, so the shared folder may be any that pyarrow and Spark both know.
 
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import io
 import os
 import uuid
 import zlib
@@ -29,11 +32,14 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm._common import cut, shared_path, sized
+from quillspark.llm._common import BROADCAST_ROWS, cut, join_dealt, shared_path, sized
 
 #: Bytes read or inflated at a time.
 CHUNK = 1 << 18
-RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, warc_date string, payload binary"
+#: Bytes that a record's own headers may have, about.
+HEADER = 1 << 20
+MAGIC = b"\x1f\x8b\x08"
+RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, warc_date string, payload binary, error string"
 
 
 class WarcError(ValueError):
@@ -71,43 +77,148 @@ def gzip_member(data: bytes, level: int) -> bytes:
     return packer.compress(data) + packer.flush()
 
 
-def members(stream) -> Iterator[bytes]:
-    """The inflated members of a gzip stream, one at a time, read in chunks."""
-    inflate, out, rest = zlib.decompressobj(31), [], b""
-    while True:
-        data = rest or stream.read(CHUNK)
-        if not data and not out:
-            return
-        out.append(inflate.decompress(data, CHUNK) if data else inflate.flush())
-        if not data and not inflate.eof:
-            raise WarcError("the archive ends inside a record")
-        rest = inflate.unconsumed_tail
-        if inflate.eof:
-            yield b"".join(out)
-            rest, inflate, out = inflate.unused_data, zlib.decompressobj(31), []
+class Inflated:
+    """A gzip stream's members, inflated a chunk at a time."""
 
+    def __init__(self, stream):
+        self.stream, self.raw, self.buffer = stream, b"", bytearray()
+        self.inflate = zlib.decompressobj(31)
 
-def parse(data: bytes) -> dict:
-    """A record's headers (lower-case names), block and, for HTTP, payload and its declared length; digests are checked."""
-    head, sep, rest = data.partition(b"\r\n\r\n")
-    lines = head.decode("utf-8", "replace").split("\r\n")
-    if not sep or not lines[0].startswith("WARC/"):
+    def begin(self) -> bool:
+        """Goes to the next member; False if there's none."""
+        self.raw = self.raw or self.stream.read(CHUNK)
+        self.buffer.clear()
+        self.inflate = zlib.decompressobj(31)
+        return bool(self.raw)
+
+    def fill(self) -> bool:
+        """Inflates some more of the member; False at its end."""
+        if self.inflate.eof:
+            return False
+        data = self.raw or self.stream.read(CHUNK)
+        self.buffer += self.inflate.decompress(data, CHUNK) if data else self.inflate.flush()
+        if not data and not self.inflate.eof:
+            raise WarcError("the archive ends inside a record")
+        self.raw = self.inflate.unused_data if self.inflate.eof else self.inflate.unconsumed_tail
+        return True
+
+    def until(self, mark: bytes) -> bytes:
+        """What comes before a mark, which is passed over."""
+        while (i := self.buffer.find(mark)) < 0:
+            if len(self.buffer) > HEADER or not self.fill():
+                raise WarcError("no WARC header")
+        out = bytes(self.buffer[:i])
+        del self.buffer[: i + len(mark)]
+        return out
+
+    def take(self, size: int) -> Iterator[bytes]:
+        """The next bytes, a chunk at a time."""
+        while size:
+            if not self.buffer and not self.fill():
+                raise WarcError("Content-Length doesn't frame the block")
+            part = bytes(self.buffer[:size])
+            del self.buffer[: len(part)]
+            size -= len(part)
+            if part:
+                yield part
+
+    def finish(self) -> None:
+        """Checks that what's left of the member is a record's end."""
+        while len(self.buffer) <= 4 and self.fill():
+            pass
+        if self.buffer != b"\r\n\r\n":
+            raise WarcError("Content-Length doesn't frame the block")
+
+    def skip(self) -> None:
+        """Leaves a damaged member: to its end, or where it can't be inflated, to what looks like the next one."""
+        try:
+            while True:
+                self.buffer.clear()
+                if not self.fill():
+                    return
+        except (WarcError, zlib.error):
+            self.raw = self.raw[1:]
+        while (i := self.raw.find(MAGIC)) < 0:
+            more = self.stream.read(CHUNK)
+            if not more:
+                self.raw = b""
+                return
+            self.raw = self.raw[-2:] + more
+        self.raw = self.raw[i:]
+
+
+def _agrees(said: str | None, name: str, sums: dict) -> None:
+    """Raises if a digest, in base32 or hexadecimal of whatever case, isn't the data's; unknown kinds aren't checked."""
+    kind, _, value = (said or "").partition(":")
+    if (found := sums.get(kind.strip().lower().replace("-", ""))) is None:
+        return
+    raw, value = found.digest(), value.strip().rstrip("=")
+    if value.lower() != raw.hex() and value.upper() != base64.b32encode(raw).decode().rstrip("="):
+        raise WarcError(f"the {name}'s digest isn't {said}")
+
+
+def _sums(said: str | None) -> dict:
+    kind = (said or "").partition(":")[0].strip().lower().replace("-", "")
+    return {kind: hashlib.new(kind)} if kind in hashlib.algorithms_available and not kind.startswith("shake") else {}
+
+
+def _record(source: Inflated, payloads: bool) -> dict:
+    """The record that a member holds: its headers (lower-case names), payload if asked for, and the payload's length.
+
+    The payload of an HTTP message is what follows its headers, that of other blocks the whole block. A response is
+    checked against the length that it declares; of a revisit, which has no payload, that length is the payload's.
+    """
+    lines = source.until(b"\r\n\r\n").decode("utf-8", "replace").split("\r\n")
+    if not lines[0].startswith("WARC/"):
         raise WarcError("no WARC header")
     fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-    size = int(fields["content-length"])
-    block = rest[:size]
-    if len(block) < size or rest[size:] != b"\r\n\r\n":
-        raise WarcError("Content-Length doesn't frame the block")
-    if (said := fields.get("warc-block-digest")) and said != f"sha1:{digest(block)}":
-        raise WarcError(f"the block's digest isn't {said}")
-    http, _, payload = block.partition(b"\r\n\r\n")
-    length = next((int(x.partition(b":")[2]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")), len(payload))
-    if fields["warc-type"] == "response":
-        if len(payload) != length:
+    size, kind = fields.get("content-length", ""), fields.get("warc-type")
+    if not size.isdigit() or kind is None:
+        raise WarcError("no Content-Length or no WARC-Type")
+    whole, own = _sums(fields.get("warc-block-digest")), _sums(fields.get("warc-payload-digest"))
+    http: bytearray | None = bytearray() if fields.get("content-type", "").lower().startswith("application/http") else None
+    kept, length, declared = [], 0, None
+    for part in source.take(int(size)):
+        for x in whole.values():
+            x.update(part)
+        if http is not None:
+            http += part
+            head, sep, part = bytes(http).partition(b"\r\n\r\n")
+            if not sep:
+                continue
+            declared = next((int(v) for k, _, v in (x.partition(b":") for x in head.split(b"\r\n")) if k.strip().lower() == b"content-length" and v.strip().isdigit()), None)
+            http = None
+        length += len(part)
+        for x in own.values():
+            x.update(part)
+        if payloads:
+            kept.append(part)
+    source.finish()
+    _agrees(fields.get("warc-block-digest"), "block", whole)
+    if kind != "revisit":
+        if kind == "response" and declared is not None and declared != length:
             raise WarcError("the payload isn't as long as the response says")
-        if (said := fields.get("warc-payload-digest")) and said != f"sha1:{digest(payload)}":
-            raise WarcError(f"the payload's digest isn't {said}")
-    return {"fields": fields, "payload": payload, "payload_bytes": length}
+        _agrees(fields.get("warc-payload-digest"), "payload", own)
+    return {"fields": fields, "payload": b"".join(kept) if payloads else None, "payload_bytes": declared if kind == "revisit" and declared is not None else length}
+
+
+def records(stream, payloads: bool = True, damaged: bool = False) -> Iterator[dict]:
+    """The records of a gzip stream, in order. Damage raises a WarcError or, if `damaged` are asked for, makes a record
+    {"error": what's wrong}, and reading goes on with the next member."""
+    source = Inflated(stream)
+    while source.begin():
+        try:
+            yield _record(source, payloads)
+        except (WarcError, zlib.error) as e:
+            if not damaged:
+                raise WarcError(str(e)) from e
+            yield {"error": str(e)}
+            source.skip()
+
+
+def parse(data: bytes) -> dict:
+    """The record that data, uncompressed, is."""
+    return next(records(io.BytesIO(gzip_member(data, 1))))
 
 
 def _file(path: str):
@@ -139,13 +250,19 @@ def _writer(folder: str, level: int, archive_bytes: int, date: str):
     return run
 
 
-def _reader(payloads: bool):
-    schema = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "warc_date", "payload"]
-    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary()]
+def _reader(payloads: bool, damaged: bool):
+    schema = [c.split()[0] for c in RECORDS.split(", ")]
+    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.string()]
 
     def number(name: str | None) -> int | None:
-        found = (name or "").rpartition(":")[2].rstrip(">")
-        return int(found) if found.lstrip("-").isdigit() else None
+        found = (name or "").rpartition("urn:x-page:")[2].rstrip(">")
+        return int(found) if found.removeprefix("-").isdigit() else None
+
+    def row(r: dict) -> tuple:
+        if "error" in r:
+            return (None,) * 8 + (r["error"],)
+        f = r["fields"]
+        return (number(f.get("warc-record-id")), r["payload_bytes"], f.get("warc-payload-digest", "").removeprefix("sha1:"), f["warc-type"], number(f.get("warc-refers-to")), f.get("warc-target-uri"), f.get("warc-date"), r["payload"], None)
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=schema)
@@ -156,11 +273,9 @@ def _reader(payloads: bool):
             for path in b.column(0).to_pylist():
                 fs, at = _file(path)
                 with fs.open_input_stream(at, compression=None) as stream:
-                    for data in members(stream):
-                        r = parse(data)
-                        f = r["fields"]
-                        rows.append((number(f.get("warc-record-id")), r["payload_bytes"], f.get("warc-payload-digest", "").removeprefix("sha1:"), f["warc-type"], number(f.get("warc-refers-to")), f.get("warc-target-uri"), f.get("warc-date"), r["payload"] if payloads else None))
-                        held += len(data) if payloads else 200
+                    for r in records(stream, payloads, damaged):
+                        rows.append(row(r))
+                        held += 200 + len(r.get("payload") or b"")
                         if held > CHUNK:
                             yield batch(rows)
                             rows, held = [], 0
@@ -170,18 +285,19 @@ def _reader(payloads: bool):
     return run
 
 
-def plan(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
+def plan(pages: DataFrame, min_bytes: int = 0, rows: int = BROADCAST_ROWS) -> DataFrame:
     """page_id, url, html, is_response, refers_to: what each page's record is.
 
     Digests that several pages share are few or many: their table is counted, and broadcast only if it's small;
-    otherwise the join is a shuffle by digest, whose hot keys Spark splits.
+    otherwise the join is a shuffle by digest, with the pages of a hot one dealt out over as many parts as they call for.
     """
     sha = F.sha1(F.coalesce("html", F.lit("")).cast("binary"))
     p = pages.select("page_id", "url", "html", sha.alias("sha"))
     long_enough = F.coalesce(F.octet_length("html"), F.lit(0)) >= min_bytes
-    shared = p.where(long_enough).groupBy("sha").agg(F.max("page_id").alias("largest"), F.count("*").alias("n")).where("n > 1").drop("n")
+    shared = p.where(long_enough).groupBy("sha").agg(F.max("page_id").alias("largest"), F.count("*").alias("n")).where("n > 1")
     shared = cut(shared.withColumn("shared", F.lit(True)), "shared-digests")
-    j = p.join(sized(shared), "sha", "left")
+    small = sized(shared, rows)
+    j = join_dealt(p, shared, ["sha"], "n", ["page_id", "url"], "left") if small is shared else p.join(small, "sha", "left")
     first = F.col("shared").isNull() | F.col("page_id").eqNullSafe(F.col("largest"))
     return j.select("page_id", "url", "html", first.alias("is_response"), F.when(~first, F.col("largest")).alias("refers_to"))
 
@@ -191,10 +307,13 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0, level: int = 6, arc
     return cut(plan(pages, min_bytes).mapInArrow(_writer(folder, level, archive_bytes, date), "path string"), "archives")
 
 
-def read(paths: DataFrame, payloads: bool = True) -> DataFrame:
-    """The records of the archives in paths (a column path), checked; an archive is read by one task."""
+def read(paths: DataFrame, payloads: bool = True, damaged: bool = False) -> DataFrame:
+    """The records of the archives in paths (a column path), checked; an archive is read by one task.
+
+    A damaged record fails the job or, if `damaged` are asked for, is a row with nothing but an error.
+    """
     n = max(1, min(paths.count(), 10_000))
-    return paths.select("path").repartition(n, "path").mapInArrow(_reader(payloads), RECORDS)
+    return paths.select("path").repartition(n, "path").mapInArrow(_reader(payloads, damaged), RECORDS)
 
 
 def round_trip(pages: DataFrame, min_bytes: int = 0, level: int = 6) -> DataFrame:

@@ -102,6 +102,37 @@ def test_warc_breakage_is_found():
         warc.parse(good[:-3])
 
 
+def test_warc_of_other_writers_is_read_and_damage_goes_in_rows(spark, tmp_path):
+    def other(kind, block, content="text/plain", size=None, **more):
+        head = ["WARC/1.0", f"WARC-Type: {kind}", "WARC-Record-ID: <urn:uuid:12ab:34>", f"Content-Type: {content}", *[f"{k.replace('_', '-')}: {v}" for k, v in more.items()]]
+        head += [] if size == "" else [f"content-length: {len(block) if size is None else size}"]
+        return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    http = b"HTTP/1.1 200 OK\r\nX: y\r\n\r\n" + b"p" * 700_000
+    sha256, lower = hashlib.sha256(http).hexdigest(), warc.digest(b"p" * 700_000).lower()
+    good = [
+        other("warcinfo", b"software: x\r\n\r\nmore: y"), other("request", b"GET / HTTP/1.1\r\nHost: h\r\n\r\n", "application/http; msgtype=request"), other("metadata", b""),
+        other("response", http, "application/http", WARC_Block_Digest=f"sha256:{sha256.upper()}", WARC_Payload_Digest=f"SHA-1:{lower}"), other("resource", b"raw", WARC_Payload_Digest="blake9:xyz"),
+    ]
+    bad = [other("resource", b"raw", size=""), other("resource", b"raw", size=99), other("resource", b"raw", size=1), other("response", http, "application/http", WARC_Block_Digest="sha256:" + "0" * 64), b"no header at all", other("resource", b"r", WARC_Payload_Digest="md5:00")]
+    parts = [warc.gzip_member(x, 6) for pair in zip(good, bad, strict=False) for x in pair] + [warc.gzip_member(x, 6) for x in bad[5:]]
+    torn = warc.gzip_member(other("resource", random.Random(1).randbytes(5000)), 6)
+    parts += [torn[:2000] + b"\x00\x07" * 40 + torn[2100:], warc.gzip_member(other("resource", b"last"), 6), torn[:3000]]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(parts))
+    paths = spark.createDataFrame([(f"file://{tmp_path}/a.warc.gz",)], "path string")
+    got = rows(warc.read(paths, damaged=True))
+    assert [(r["record_type"], r["payload_bytes"], bytes(r["payload"][-5:])) for r in got if r["error"] is None] == [("warcinfo", 22, b"re: y"), ("request", 0, b""), ("metadata", 0, b""), ("response", 700_000, b"ppppp"), ("resource", 3, b"raw"), ("resource", 4, b"last")]
+    assert [r["page_id"] for r in got] == [None] * len(got) and sum(r["error"] is not None for r in got) == len(bad) + 2
+    with pytest.raises(Exception, match="WarcError"):
+        warc.read(paths).collect()
+
+
+def test_warc_both_ways_to_find_equal_payloads_agree(spark):
+    pages = spark.createDataFrame([(i if i % 50 else None, f"u{i}", "hot" if i % 3 else f"p{i % 40}", "x") for i in range(4000)], "page_id long, url string, html string, sha string")
+    a, b = (sorted(map(str, rows(warc.plan(pages, rows=n)))) for n in (10_000, 0))
+    assert a == b and len(a) == 4000
+
+
 # --- exact search
 
 
