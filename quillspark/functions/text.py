@@ -95,11 +95,40 @@ _POSIX = {
 }
 
 
+#: Bounds of words in the dialect, and what Java has for them.
+_BOUNDS = {r"\b{start-half}": r"(?<!\w)", r"\b{end-half}": r"(?!\w)", r"\b{start}": r"\b(?=\w)", r"\b{end}": r"\b(?<=\w)", r"\<": r"\b(?=\w)", r"\>": r"\b(?<=\w)"}
+
+
+# Unicode's general categories by their long names.
+_CATEGORIES = dict(x.split(":") for x in "Uppercase_Letter:Lu Lowercase_Letter:Ll Titlecase_Letter:Lt Cased_Letter:LC Modifier_Letter:Lm Other_Letter:Lo Letter:L Nonspacing_Mark:Mn Spacing_Mark:Mc Enclosing_Mark:Me Mark:M Decimal_Number:Nd Letter_Number:Nl Other_Number:No Number:N Connector_Punctuation:Pc Dash_Punctuation:Pd Open_Punctuation:Ps Close_Punctuation:Pe Initial_Punctuation:Pi Final_Punctuation:Pf Other_Punctuation:Po Punctuation:P Math_Symbol:Sm Currency_Symbol:Sc Modifier_Symbol:Sk Other_Symbol:So Symbol:S Space_Separator:Zs Line_Separator:Zl Paragraph_Separator:Zp Separator:Z Control:Cc Format:Cf Surrogate:Cs Private_Use:Co Unassigned:Cn Other:C".lower().split())
+
+
+def _property(spark: SparkSession, name: str) -> str:
+    """Java's name of a Unicode property: its categories and binary properties by name, scripts and blocks by kind."""
+    pattern = spark.sparkContext._jvm.java.util.regex.Pattern
+    key, eq, value = name.strip("{}").partition("=")
+    own = key.strip() if not eq else value.strip()
+    if (short := _CATEGORIES.get(own.lower().replace(" ", "_"))) and (not eq or key.strip().lower() in ("gc", "general_category")):
+        return "{" + short[0].upper() + (short[1:] if short != "lc" else "C") + "}"
+    kinds = ["script=", ""] if eq and key.strip().lower() in ("script", "sc", "scx", "script_extensions") else ["gc="] if eq and key.strip().lower() in ("gc", "general_category") else ["", "Is", "script="]
+    for kind in [] if eq and len(kinds) > 2 else kinds:
+        for word in (own, own.upper() if len(own) < 3 else own.replace("_", "").title()):
+            try:
+                pattern.compile(f"\\p{{{kind}{word}}}")
+                return f"{{{kind}{word}}}"
+            except Exception:  # noqa: BLE001, S112  Java refuses the name
+                continue
+    raise EngineError("invalid_regex", f"unknown property {name}")
+
+
 def java_regex(spark: SparkSession, pattern: str) -> str:
     """A linear-time dialect's expression for Java: Unicode classes, \\n alone ends lines, `$` is the very end.
 
-    POSIX classes and `(?P<name>` are translated; what only a backtracking dialect has is refused.
+    POSIX classes, `(?P<name>`, bounds of words, properties and differences of classes are translated; what only a
+    backtracking dialect has is refused, and so is what Java would take for something else.
     """
+    if re.search(r"(?<!\\)(?:\\\\)*\(\?[a-z]*-?[a-z]*U", pattern):
+        raise EngineError("invalid_regex", "swapped greediness isn't supported")
     if re.search(r"(?<!\\)(?:\\\\)*(?:\(\?(?:[=!]|<[=!])|\\[1-9]|\\k<)", pattern):
         raise EngineError("invalid_regex", "look-around and back-references aren't supported")
     if re.search(r"(?<!\\)(?:\\\\)*(?:\\[QEGRXZhHNK]|\(\?>)", pattern):
@@ -109,8 +138,27 @@ def java_regex(spark: SparkSession, pattern: str) -> str:
     while i < len(pattern):
         c = pattern[i]
         if c == "\\":
-            out.append(pattern[i : i + 2])
-            i += 2
+            bound = next((b for b in _BOUNDS if pattern.startswith(b, i)), None)
+            named = re.match(r"\\([pP])(\{[^}]*\}|[A-Z])", pattern[i:])
+            if bound and not inside:
+                out.append(_BOUNDS[bound])
+                i += len(bound)
+            elif named:
+                out.append(f"\\{named[1]}{_property(spark, named[2])}")
+                i += len(named[0])
+            else:
+                out.append(pattern[i : i + 2])
+                i += 2
+            continue
+        if inside and pattern.startswith(("~~", "--"), i) and not pattern.startswith("--]", i):
+            if c == "~":
+                raise EngineError("invalid_regex", "symmetric differences of classes aren't supported")
+            rest = re.match(r"--((?:\\[pP]\{[^}]*\}|\\.|\[(?:\\.|[^\\\[\]])*\]|[^\\\[\]])+?)(?=--|&&|\])", pattern[i:], re.S)
+            if rest is None:
+                raise EngineError("invalid_regex", "a difference of nested classes isn't supported")
+            inner = java_regex(spark, f"[{rest[1]}]").removeprefix("(?U)(?d)")
+            out.append(f"&&[^{inner}]")
+            i += len(rest[0])
             continue
         if inside and (m := re.match(r"\[:(\^?)(\w+):\]", pattern[i:])):
             if m[2] not in _POSIX:

@@ -70,6 +70,27 @@ def test_stemmer_and_tokens():
     assert fold_tokens("Café foo_bar É1") == ["cafe", "foo", "bar", "e1"]
 
 
+#: A pattern, a text, and the matches that a linear-time engine with Unicode classes finds.
+MATCHES = [
+    (r"[\w--a]+", "a-bca", ["bc"]), (r"[a-z--[aeiou]]+", "audio book", ["d", "b", "k"]), (r"[\p{L}--\p{Lu}]+", "abCd", ["ab", "d"]), (r"[a-f&&[^c]]+", "abcdefg", ["ab", "def"]), (r"[a-c--b]", "abc-", ["a", "c"]), (r"[+--]", "+-,", ["+", "-", ","]),
+    (r"\<w\w*", "why how w", ["why", "w"]), (r"\w+y\>", "why yes", ["why"]), (r"\b{start}\w", "ab cd", ["a", "c"]), (r"\w\b{end}", "ab cd", ["b", "d"]), (r"\b{start-half}x", "x ax", ["x"]), (r"x\b{end-half}", "xa x", ["x"]),
+    (r"\p{Greek}+", "abc αβγ", ["αβγ"]), (r"\p{script=Cyrillic}+", "abc где", ["где"]), (r"\p{sc=Greek}", "aα", ["α"]), (r"\P{Greek}+", "αab", ["ab"]), (r"\p{Lu}", "aB", ["B"]), (r"\pL+", "ab1", ["ab"]), (r"\p{Alphabetic}+", "é1", ["é"]), (r"\p{gc=Nd}+", "a12", ["12"]), (r"\p{Uppercase_Letter}", "aB", ["B"]), (r"\p{general_category=letter}+", "aB1", ["aB"]), (r"\p{Nothing}", "x", None),
+    (r"(?U)a+", "aa", None), (r"(?i)É", "é", ["é"]), (r"(?x) a b # c", "ab", ["ab"]), (r"(?s)a.b", "a\nb", ["a\nb"]), (r"a.b", "a\nb", []), (r"a.b", "a\rb", ["a\rb"]), (r"(?m)^b$", "a\nb\nc", ["b"]), (r"\d+", "a٣4", ["٣4"]), (r"[[:digit:]]+", "a٣4", ["4"]),
+    (r"[a~~b]", "a", None), (r"(?P<n>x)", "x", ["x"]), (r"a{2,}", "aaa", ["aaa"]), (r"(?:ab)+?", "abab", ["ab", "ab"]), (r"\x{41}", "A", ["A"]), (r"\u0041", "A", ["A"]), (r"[^\n]+", "a\nb", ["a", "b"]), (r"\.", "a.b", ["."]), (r"\S+", "a b", ["a", "b"]),
+]
+
+
+def test_patterns_find_what_they_should(spark):
+    for pattern, given, want in MATCHES:
+        try:
+            java = text.java_regex(spark, pattern)
+        except EngineError:
+            assert want is None, pattern
+            continue
+        row = spark.createDataFrame([(given,)], "t string").select(F.regexp_extract_all("t", F.lit(java), 0).alias("m")).first()
+        assert row["m"] == want, pattern
+
+
 def test_closest():
     assert text.closest(["notes", "work"], "note") == "notes" and text.closest(["notes"], "elsewhere") is None
 
