@@ -17,6 +17,7 @@ from quillspark.operators import content, diagnostics, diff, paths, ranked, sema
 from quillspark.operators.merge import Result
 from quillspark.plans.catalog import Catalog, Scope, Vault
 from quillspark.sources.snapshot import Snapshots
+from quillspark.sources.vaults import TIME, walk
 from quillspark.streaming.changes import events
 
 FILES = ["vault", "path", "size", "mtime", "content_hash", "indexed_at", "content"]
@@ -193,6 +194,26 @@ def update(snapshots: Snapshots, vault: str, contents: DataFrame, removed: DataF
     return diff.report(_ingest(snapshots, disk, now, embed, dims, known))
 
 
+def scan(snapshots: Snapshots, vault: str, folder: str, now: str, embed: Embedder | None = None, dims: int = 64, **how) -> DataFrame:
+    """ingest for a vault's folder that opens only files which have changed since the oldest of those that are new or of
+    another size or time; the report. A vault that is as it was is listed, and no file of it is read. how: as in walk."""
+    spark = snapshots.spark
+    if snapshots.current() is None:
+        return ingest(snapshots, walk(spark, vault, folder, **how), now, embed, dims, [vault])
+    listing, files = walk(spark, vault, folder, content=False, **how), snapshots.read("files", [vault])
+    look = diff.stat_candidates(listing.withColumn("content_hash", F.lit("")), files)
+    gone = files.join(listing, ["vault", "path"], "left_anti").select("vault", "path")
+    with snapshots.staged(look.withColumn("gone", F.lit(False)).unionByName(gone.withColumn("gone", F.lit(True)))) as differing:
+        oldest = listing.join(differing.where("not gone"), ["vault", "path"], "left_semi").agg(F.min(F.to_timestamp("mtime", TIME))).first()[0]
+        if oldest is None:
+            contents = files.select(*[c for c in FILES if c != "indexed_at"]).limit(0)
+            if not differing.take(1):
+                return diff.report(diff.scan_diff(files, files))
+        else:
+            contents = walk(spark, vault, folder, since=F.lit(oldest), **how).join(differing.where("not gone"), ["vault", "path"], "left_semi")
+        return update(snapshots, vault, contents, differing.where("gone"), now, embed, dims)
+
+
 def rescan(snapshots: Snapshots, disk: DataFrame, now: str, embed: Embedder | None = None, dims: int = 64, vaults: list[str] | None = None) -> DataFrame:
     """ingest, answered by an event for each file that was created, modified or deleted."""
     return events(_ingest(snapshots, disk, now, embed, dims, vaults), F.lit(now))

@@ -269,11 +269,28 @@ def change_events(spark, sf):
     return changes.events(_scan(spark, sf), F.lit("2026-01-01T00:00:00.000000Z")).select("type", "event_type", "vault", "path", "content_hash")
 
 
-@_query()
+# the texts of the given tables are one paragraph each, so they are one chunk
+@_query("select vault, path as file_path, 0 as chunk_index, cast(0 as bigint) as start_byte, size as end_byte, 'document_start' as started_by, 'document_end' as ended_by from files where regexp_matches(content, '\\S')")
 def chunk_documents(spark, sf):
     return chunker.chunk_files(adapters.files(spark, sf)).select("vault", "file_path", "chunk_index", "start_byte", "end_byte", "started_by", "ended_by")
 
 
+@_query("""
+, pieces as (
+  select vault, path, t.i, len(string_split(content, chr(10))) as n, t.line,
+    case when t.i > 1 then '## part' || chr(10) else '' end || t.line || case when t.i < len(string_split(content, chr(10))) then chr(10) else '' end as piece
+  from files, unnest(string_split(content, chr(10))) with ordinality as t(line, i)),
+placed as (select *, cast(sum(strlen(piece)) over (partition by vault, path order by i) as bigint) as end_byte from pieces)
+select vault, path as file_path, cast(i - 1 as int) as chunk_index, cast(end_byte - strlen(piece) as bigint) as start_byte, end_byte, 'sha256:' || sha256(piece) as content_hash,
+  case when i = 1 then '' else '/part' end as heading_path, case when i = 1 then 'document_start' else 'heading:h2' end as started_by,
+  case when i = n then 'document_end' when strlen(piece) > 2000 and line <> '' then 'size_after_block' else 'heading:h2' end as ended_by
+from placed where regexp_matches(piece, '\\S')""")
+def chunk_headings(spark, sf):
+    """Chunks of notes with a heading between each two lines."""
+    f = adapters.files(spark, sf).withColumn("content", F.replace("content", F.lit("\n"), F.lit("\n## part\n")))
+    return chunker.chunk_files(f).select("vault", "file_path", "chunk_index", "start_byte", "end_byte", "content_hash", "heading_path", "started_by", "ended_by")
+
+
 @_query("select 'conv/' || conv_id || '.md' as file_path, count(*) as chunks, cast(min(strlen(text)) as bigint) as min_bytes, cast(max(strlen(text)) as bigint) as max_bytes, round(avg(strlen(text)), 6) as avg_bytes, count(*) filter (strlen(text) > 3200) as oversized from conversations group by conv_id", files=False)
 def chunk_summary(spark, sf):
     return diagnostics.chunk_summary(adapters.turns(spark, sf)).select("file_path", "chunks", "min_bytes", "max_bytes", F.round("avg_bytes", 6).alias("avg_bytes"), "oversized")
@@ -336,6 +353,14 @@ def watch_notifications(spark, sf):
     return live.notifications(disk.drop("content_hash"), old)
 
 
+@_query(f"{_SCAN} select vault, path, effect, content_hash from j where effect <> 'skipped'")
+def watch_effects(spark, sf):
+    """What the notifications of a folder do to its index: only the files they name are compared."""
+    disk, old = _listings(spark, sf)
+    told = live.notifications(disk.drop("content_hash"), old).withColumn("ts", F.lit(0))
+    return changes.apply_batch(told, old, disk).select("vault", "path", "effect", F.coalesce("content_hash", "previous_hash").alias("content_hash"))
+
+
 @_query("""
 with log as (select event_id + 1 as seq, user_id, event_type from events), n as (select max(seq) as newest from log), f as (select greatest(5, newest - 256) as first from n)
 select seq, 'file_changed' as type, 'notes/user-' || user_id || '.md' as path, cast(null as bigint) as missed, cast(null as varchar) as action from log, f where seq > first

@@ -14,6 +14,8 @@ from quillspark.errors import EngineError
 from quillspark.functions.text import glob_regex
 from quillspark.operators.diff import content_hash
 
+#: How times are written.
+TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
 # Names of copies that synchronising programs make.
 CONFLICTS = (".sync-conflict-", "(conflicted copy", "conflicted copy)")
 # What a vault leaves out unless it's told otherwise.
@@ -145,7 +147,7 @@ def walk(spark: SparkSession, vault: str, folder: str, ignore: list[str] | None
     root = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toUri().getPath().rstrip("/") + "/"
     decoded = F.url_decode(F.replace(F.regexp_replace("path", r"^[a-z][\w+.-]*:(//[^/]*)?(?=/)", ""), F.lit("+"), F.lit("%2B")))
     path = F.substring(decoded, F.lit(len(root) + 1), F.length(decoded))
-    cols = [F.lit(vault).alias("vault"), path.alias("path"), F.col("length").alias("size"), F.date_format("modificationTime", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("mtime")]
+    cols = [F.lit(vault).alias("vault"), path.alias("path"), F.col("length").alias("size"), F.date_format("modificationTime", TIME).alias("mtime")]
     if content:
         cols += [content_hash(F.col("content")).alias("content_hash"), F.make_valid_utf8(F.col("content").cast("string")).alias("content")]
     files = raw.select(*cols)

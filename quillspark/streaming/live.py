@@ -24,11 +24,10 @@ from quillspark.functions.embed import Embedder
 from quillspark.operators.diff import stat_candidates
 from quillspark.plans import engine
 from quillspark.sources.snapshot import Snapshots
-from quillspark.sources.vaults import walk
+from quillspark.sources.vaults import TIME, walk
 from quillspark.streaming.changes import apply_batch, events
 from quillspark.streaming.event_log import CAPACITY, EventLog
 
-TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
 PLANNED = "vault string, path string, effect string, content_hash string, previous_hash string, size long, mtime string, content string, detected_at string, batch long"
 _FILES = "vault string, path string, size long, mtime string, content_hash string, indexed_at string, content string"
 

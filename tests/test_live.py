@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quillspark.errors import EngineError
 from quillspark.plans.catalog import Catalog, Vault
+from quillspark.plans import engine as engine_module
 from quillspark.plans.engine import Engine, ingest
 from quillspark.sources.snapshot import Snapshots
 from quillspark.sources.vaults import walk
@@ -67,6 +68,25 @@ def test_only_what_changed_is_opened(spark, vault, monkeypatch):
     assert [r.path for r in opened[0].collect()] == ["3.md"] and "PushedFilters: [IsNotNull(modificationTime), GreaterThanOrEqual(modificationTime" in opened[0]._jdf.queryExecution().toString()
 
 
+def test_a_scan_opens_only_what_changed(spark, tmp_path, monkeypatch):
+    (tmp_path / "n").mkdir()
+    for i in range(5):
+        (tmp_path / "n" / f"{i}.md").write_text(f"# {i}\n")
+        os.utime(tmp_path / "n" / f"{i}.md", (1_700_000_000 + i, 1_700_000_000 + i))
+    s = Snapshots(spark, f"file://{tmp_path}/index")
+    scan = lambda: {k: v for k, v in engine_module.scan(s, "v", str(tmp_path / "n"), "t").first().asDict().items() if v and k != "vault"}
+    assert scan() == {"inserted": 5}
+    before, opened, whole = s.current(), [], engine_module.walk
+    monkeypatch.setattr(engine_module, "walk", lambda *a, content=True, **k: opened.append(whole(*a, content=content, **k)) or opened[-1] if content else whole(*a, content=False, **k))
+    assert scan() == {"skipped": 5} and s.current() == before and opened == []
+    (tmp_path / "n" / "1.md").write_text("# one\n")
+    (tmp_path / "n" / "2.md").unlink()
+    (tmp_path / "n" / "5.md").write_text("# 5\n")
+    assert scan() == {"inserted": 1, "updated": 1, "deleted": 1, "skipped": 3} and sorted(r.path for r in opened[0].collect()) == ["1.md", "5.md"]
+    (tmp_path / "n" / "0.md").unlink()
+    assert scan() == {"deleted": 1, "skipped": 4} and len(opened) == 1
+
+
 def test_a_batch_that_fails_between_index_and_log_is_told_once(spark, vault, monkeypatch):
     notes, live = vault
     (notes / "a.md").write_text("# one\n")
