@@ -32,8 +32,9 @@ _LOWER = {c: c + 32 for c in range(65, 91)}
 #: Shingle hashes counted at a time, and pairs of nodes looked at at a time.
 BLOCK, FRONTIER = 1 << 15, 1 << 19
 #: Words of 64 bits of a wide fingerprint, whose halves of 32 bits are looked up with as many errors, and further words
-#: that pairs found there must about agree in. Candidates of sets up to SMALL shingles come from shared shingles instead.
-WIDE, HALF, ERRORS, CHECK, SMALL = 8, 32, 3, 1, 64
+#: that pairs found there must about agree in. Candidates of sets up to SMALL shingles come from shared shingles instead,
+#: and must about agree in all MORE further words.
+WIDE, HALF, ERRORS, CHECK, MORE, SMALL = 8, 32, 3, 1, 4, 64
 #: Rounds that look at one candidate per document, before all that are left.
 ROUNDS = 2
 
@@ -71,15 +72,15 @@ def shingle_set(text: str | None, k: int = 5, seed: int = 42) -> np.ndarray:
     return np.unique(np.array([digest(s, seed) for s in map(" ".join, zip(*(found[i:] for i in range(k)), strict=False))], np.uint64))
 
 
-def wide_fingerprint(hashes: np.ndarray, words: int = WIDE + CHECK) -> np.ndarray:
-    """Several words of 64 such bits, each of other mixtures of the hashes."""
-    out = []
-    for i in range(words):  # a step of the splitmix64 generator
+def wide_fingerprint(hashes: np.ndarray, words: range = range(WIDE + MORE)) -> np.ndarray:  # noqa: B008
+    """Several words of 64 such bits, each of other mixtures of the hashes; 0 for those not asked for."""
+    out = np.zeros(WIDE + MORE, np.uint64)
+    for i in words:  # a step of the splitmix64 generator
         z = hashes + np.uint64((i + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
         z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        out.append(_majority(z ^ (z >> np.uint64(31))))
-    return np.array(out, np.uint64)
+        out[i] = _majority(z ^ (z >> np.uint64(31)))
+    return out
 
 
 def fingerprints(docs: DataFrame, k: int = 3, seed: int = 42) -> DataFrame:
@@ -248,8 +249,8 @@ def _trie_of(code: Column) -> Column:
     return F.when(code < 0, code).otherwise(F.shiftright(code, HALF - HALF // (ERRORS + 1)))
 
 
-def _candidates(far: int, small: int, turn: int | None, many: int = 1 << 16):
-    """Candidate pairs of rows (code, key, check words and perhaps label; else keys are labels), by code: with `turn`
+def _candidates(far: int, small: int, exact: Fraction, turn: int | None, many: int = 1 << 16):
+    """Candidate pairs of rows (code, key, check words, size and perhaps label; else keys are labels), by code: with `turn`
     for each key the one that comes first in the turn's order, as (a, b, place of b); else all with different labels."""
     top = HALF // (ERRORS + 1)
     factor = np.uint64((2 * (turn or 0) + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)  # odd: each key has a place of its own
@@ -258,13 +259,17 @@ def _candidates(far: int, small: int, turn: int | None, many: int = 1 << 16):
         # codes to the left end, as trie_links has them; shared shingles have none
         code = np.where(code < 0, 0, code).astype(np.uint64) << np.uint64(64 - HALF)
         place = key.view(np.uint64) * factor
-        check = [c.view(np.uint64) for c in more[:CHECK]]  # signed ones would be counted by their absolute values
-        label = more[CHECK] if len(more) > CHECK else key
+        check = [c.view(np.uint64) for c in more[:MORE]]  # signed ones would be counted by their absolute values
+        size = more[MORE]
+        label = more[MORE + 1] if len(more) > MORE + 1 else key
         best = np.full(len(key), (1 << 64) - 1, np.uint64)
         of = np.zeros(len(key), np.int64)
         met = np.zeros(len(key), bool)
         for links in trie_links(trie, code, ERRORS, top, 64 - HALF, label):
             links = links[label[links[:, 0]] != label[links[:, 1]]]
+            # no sets are more similar than the smaller one's share of the larger one's size
+            n = np.sort(size[links], axis=1)
+            links = links[n[:, 0] * exact.denominator >= n[:, 1] * exact.numerator]
             bits = sum(np.bitwise_count(c[links[:, 0]] ^ c[links[:, 1]]).astype(int) for c in check)
             a, b = links[bits <= np.where(trie[links[:, 0]] < 0, small, far)].T
             a, b = np.where(place[a] < place[b], b, a), np.where(place[a] < place[b], a, b)
@@ -300,14 +305,14 @@ def _candidates(far: int, small: int, turn: int | None, many: int = 1 << 16):
 
 
 def _tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (code, key, check words, label if there) of tries for rows (key, fp, tokens, and perhaps label).
+    """Rows (code, key, check words, size, label if there) of tries for rows (key, fp, tokens, size, and perhaps label).
 
-    A code holds the half-word's number and turn above its 32 turned bits, or a shared shingle with the highest bit."""
+    Rows of half-words have CHECK check words and 0 for the others. A code holds the half-word's number and turn above its 32 turned bits, or a shared shingle with the highest bit."""
     codes, size = 64 // HALF * WIDE, HALF // (ERRORS + 1)
     for b in batches:
         key, *label = (b.column(i).to_numpy(zero_copy_only=False) for i in range(b.num_columns) if i not in (1, 2))
-        names = ["code", "key", *(f"check{i}" for i in range(CHECK)), *(["label"] if label else [])]
-        fps = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint64).reshape(len(key), WIDE + CHECK)
+        names = ["code", "key", *(f"check{i}" for i in range(MORE)), "size", *(["label"] if len(label) > 1 else [])]
+        fps = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint64).reshape(len(key), WIDE + MORE)
         check = fps[:, WIDE:].view(np.int64)
         tokens = [np.frombuffer(x, np.uint64) for x in b.column(2).to_pylist()]
         n = np.array([len(x) for x in tokens])
@@ -317,60 +322,68 @@ def _tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (code, key[row], *check[row].T.copy(), *(x[row] for x in label))], names=names)
         wide = fps[:, 0] != 0
         half = np.ascontiguousarray(fps[wide, :WIDE]).view(np.uint32).reshape(-1, codes).astype(np.uint64)
-        rest = [pa.array(x) for x in (key[wide], *check[wide].T.copy(), *(x[wide] for x in label))]
+        narrow = np.where(np.arange(MORE) < CHECK, check[wide], 0)
+        rest = [pa.array(x) for x in (key[wide], *narrow.T.copy(), *(x[wide] for x in label))]
         for block in range(ERRORS + 1):
             turned = (half << np.uint64(block * size) | half >> np.uint64(HALF - block * size)) & np.uint64((1 << HALF) - 1)
             for i in range(codes):
                 yield pa.RecordBatch.from_arrays([pa.array(turned[:, i].astype(np.int64) + (block * codes + i << HALF)), *rest], names=names)
 
 
-def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
+def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, sure: bool = False) -> DataFrame:
     """doc_id, text_hash, first_id, first_hash: each row of docs, and which document stands for its group.
 
     Two documents are linked if the Jaccard similarity of their sets of k-word shingles (64-bit hashes) of the whole
     texts is at least that; groups are the components. Only candidates are compared, all of them exactly:
 
     Sets over SMALL shingles have wide fingerprints; each half-word is a code of its own, with tries that allow ERRORS
-    errors, and pairs found there must be near in CHECK further words, with 3.5 standard deviations granted. A pair just
+    errors, and pairs found there must be near in CHECK further words, with 3.5 standard deviations granted. Sets whose
+    sizes alone are too different aren't compared. A pair just
     at the threshold is found by at least one code with a probability of about 0.99, closer ones nearly surely.
     Smaller sets are compared if they share one of the first shingles in the order of hashes, as many as similar sets
-    can't all differ in; that finds all.
+    can't all differ in; that finds all, but for what the check words miss (one in some thousands).
+
+    sure: compares all sets so, without check words. No link is missed; there are more candidates, and a fifth of each
+    set's shingles is shuffled.
 
     Candidates are first looked at one per document and round, so that large groups link up by a few comparisons each;
     then all pairs that aren't in one group yet.
     """
     exact = Fraction(str(similarity))
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi  # of bits that differ, for sets of one size
-    allowed = lambda p: int(64 * CHECK * p + 3.5 * math.sqrt(64 * CHECK * p * (1 - p)))
-    far, small = allowed(share), allowed(1.25 * share)  # 4 of 5 shingles: 0.1875
-    both = int(SMALL / exact)  # a set of SMALL may be similar to one of this size
+    allowed = lambda p, words: int(64 * words * p + 3.5 * math.sqrt(64 * words * p * (1 - p)))
+    far, small = allowed(share, CHECK), allowed(1.25 * share, MORE)  # 4 of 5 shingles: 0.1875
+    most = 1 << 62 if sure else SMALL
+    both = int(most / exact)  # a set of `most` may be similar to one of this size
+    if sure:
+        far = small = 64 * MORE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: tuple[list, list, list] = ([], [], [])
+            out: tuple[list, list, list, list] = ([], [], [], [])
             for x in b.column(2):
                 h = shingle_set(x.as_py(), k)
-                fp = wide_fingerprint(h)
-                fp[0] = fp[0] | np.uint64(fp[0] == 0) if len(h) > SMALL else 0
+                fp = wide_fingerprint(h, range(WIDE if len(h) <= most else 0, WIDE + (MORE if len(h) <= both else CHECK)))
+                fp[0] = fp[0] | np.uint64(fp[0] == 0) if len(h) > most else 0
                 first = h[: len(h) - math.ceil(exact * len(h)) + 1] if 0 < len(h) <= both else h[:0]
-                for o, v in zip(out, (xxhash.xxh64_intdigest(h.tobytes()), fp.tobytes(), first.tobytes()), strict=True):
+                for o, v in zip(out, (xxhash.xxh64_intdigest(h.tobytes()), fp.tobytes(), first.tobytes(), len(h)), strict=True):
                     o.append(v)
-            cols = [pa.array(np.array(out[0], np.uint64).view(np.int64)), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], names=["doc_id", "text_hash", "key", "fp", "tokens"])
+            cols = [pa.array(np.array(out[0], np.uint64).view(np.int64)), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.int64())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], names=["doc_id", "text_hash", "key", "fp", "tokens", "size"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     hashed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    fps = cut(hashed.mapInArrow(run, f"doc_id {id_type}, text_hash long, key long, fp binary, tokens binary"), "wide-fingerprints", TEXTS)
+    fps = cut(hashed.mapInArrow(run, f"doc_id {id_type}, text_hash long, key long, fp binary, tokens binary, size long"), "wide-fingerprints", TEXTS)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
-    named = cut(fps.groupBy("key").agg(first, F.count("*").alias("n"), F.min("fp").alias("fp"), F.min("tokens").alias("tokens")), "shingle-sets")
+    named = cut(fps.groupBy("key").agg(first, F.count("*").alias("n"), F.min("fp").alias("fp"), F.min("tokens").alias("tokens"), F.min("size").alias("size")), "shingle-sets")
 
     def found(nodes: DataFrame, turn: int | None) -> DataFrame:
-        words = "".join(f", check{i} long" for i in range(CHECK))
+        words = "".join(f", check{i} long" for i in range(MORE)) + ", size long"
         rows = nodes.mapInArrow(_tries, f"code long, key long{words}" + (", label long" if "label" in nodes.columns else ""))
         ordered = rows.repartition(partitions(docs.sparkSession), _trie_of(F.col("code"))).sortWithinPartitions("code")
-        return cut(ordered.mapInArrow(_candidates(far, small, turn), "a long, b long, place long"), "candidates")
+        return cut(ordered.mapInArrow(_candidates(far, small, exact, turn), "a long, b long, place long"), "candidates")
 
-    pairs = found(named.select("key", "fp", "tokens"), 0)
+    pairs = found(named.select("key", "fp", "tokens", "size"), 0)
     ends = cut(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct().join(named, "key"), "ends")
     # the text of one document of each set: others with that set stay where they are
     one = ends.select("key", F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"))
@@ -382,13 +395,13 @@ def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> Data
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(x.as_py(), k).view(np.int64) for x in b.column(1)], pa.list_(pa.int64()))], names=["key", "hashes"])
 
     sets = cut(texts.mapInArrow(hashes, "key long, hashes array<long>"), "sets", TEXTS)
-    few = ends.select("key", "fp", "tokens")
+    few = ends.select("key", "fp", "tokens", "size")
     linked = None
     for turn in [*range(ROUNDS), None]:
         if turn != 0:
-            stars_ = cut(stars(linked), "set-stars")
+            linked = stars_ = cut(stars(linked), "set-stars")  # what is one group stays one by these alone
             label = F.coalesce("root", "key").alias("label")
-            pairs = found(few.join(stars_.select(F.col("a").alias("key"), F.col("b").alias("root")), "key", "left").select("key", "fp", "tokens", label), turn)
+            pairs = found(few.join(stars_.select(F.col("a").alias("key"), F.col("b").alias("root")), "key", "left").select("key", "fp", "tokens", "size", label), turn)
         one = pairs.select("a", "b").distinct() if turn is None else pairs.groupBy("a").agg(F.min_by("b", "place").alias("b"))
         one = cut(one, "pairs")
         side = lambda e: one.groupBy(e).agg(F.count("*").alias(f"{e}_n")).join(sets.select(F.col("key").alias(e), F.col("hashes").alias(f"{e}_hashes")), e)
@@ -408,13 +421,13 @@ def _named(distinct: DataFrame, joined: DataFrame) -> DataFrame:
     return distinct.join(member.join(least, "root").select("fp", "least"), "fp", "left").select("fp", F.coalesce("least", "first").alias("first"), "n")
 
 
-def one_of_each(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
+def one_of_each(docs: DataFrame, k: int = 5, similarity: float = 0.8, sure: bool = False) -> DataFrame:
     """docs with all their columns, one row of each group: that of the least doc_id, and of its repetitions one.
 
     Rows that nothing is like or equal to are told from the others by a join with the ids and hashes of those that go or
     are repeated; only repeated ones are shuffled to keep one of them.
     """
-    groups = similar_groups(docs, k, similarity)
+    groups = similar_groups(docs, k, similarity, sure)
     leads = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_hash") == F.col("first_hash"))
     counted = groups.withColumn("leads", leads).groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"), F.max("leads").alias("leads"))
     known = sized(cut(counted.where(~F.col("leads") | (F.col("n") > 1)).select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "leads"), "near-copies"))

@@ -772,7 +772,7 @@ def test_written_shards_are_the_planned_ones(spark, odd, none, tmp_path):
 # --- the pipeline
 
 
-def test_pipeline_stages(spark):
+def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
@@ -789,12 +789,46 @@ def test_pipeline_stages(spark):
             assert {r["doc_id"] for r in out.select("doc_id").collect()} == kept
         if name in forest_free:
             assert out.count() == docs.count() and not out.where("text rlike 'password=[0-9a-f]{18}'").count()
-        path = f"/tmp/pipeline-test-{hashlib.md5(name.encode()).hexdigest()[:6]}"
+        if name == "source_mix":  # each document as often as its words are taken
+            taken = {r["doc_id"]: (r["taken"], r["size"]) for r in rows(mixing.mix(docs))}
+            copies = Counter(r["doc_id"] for r in out.select("doc_id").collect())
+            assert all(copies[i] in (n // size, -(-n // size)) for i, (n, size) in taken.items() if size)
+        path = f"file://{tmp_path}/{name}"
         out.write.mode("overwrite").parquet(path)
         docs = spark.read.parquet(path)
 
 
+def test_pipeline_on_odd_and_empty_tables(spark, odd, none, tmp_path):
+    import corpus_pipeline
+
+    for name, docs in (("odd", odd), ("none", none)):
+        docs.write.parquet(f"file://{tmp_path}/{name}/documents.parquet")
+        got = rows(corpus_pipeline.run(spark, f"file://{tmp_path}/{name}"))
+        assert {r["doc_id"] for r in got} <= {r["doc_id"] for r in odd.collect()} and bool(got) == (name == "odd")
+    own = {r["doc_id"] for r in got}
+    assert own == set()
+
+
+def test_the_sure_way_to_near_duplicates_misses_none(spark):
+    rng = random.Random(4)
+    base = [[f"w{rng.randint(0, 10**6)}" for _ in range(400)] for _ in range(6)]
+    docs = []
+    for b in base:
+        for share in (0.0, 0.015, 0.02, 0.0225, 0.025, 0.03):  # words changed: similarities around 0.8
+            docs.append(" ".join(w if rng.random() >= share else f"x{rng.randint(0, 10**6)}" for w in b))
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    sets = [set(simhash.shingle_set(t, 5).tolist()) for t in docs]
+    root = list(range(len(docs)))
+    for a in range(len(docs)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                root = [min(root[a], root[b]) if r in (root[a], root[b]) else r for r in root]
+    got = {r["doc_id"]: r["first_id"] for r in rows(simhash.similar_groups(df, sure=True))}
+    assert [got[i] for i in range(len(docs))] == root and len(set(root)) > 6
+    assert {r["doc_id"] for r in rows(simhash.one_of_each(df, sure=True))} == set(root)
+
+
 def test_queries_are_registered():
     names = set(entry.queries())
-    assert {f"op{n}" for n in range(1, 11)} <= {n.split("_")[0] for n in names} and "pipeline" in names
+    assert {f"op{n}" for n in range(1, 13)} <= {n.split("_")[0] for n in names} and "pipeline" in names
     assert set(entry.oracle_sql()) <= names
