@@ -31,8 +31,8 @@ NAMES = "password|passwd|passphrase|pwd|secret|token|api[_-]?key|apikey|access[_
 #: What stands before a value that is named: a name and a sign, a scheme of authorization, a URL's user.
 NAMED = rf"(?i:(?:{NAMES})[\w-]{{0,40}}[\"']?\s{{0,3}}[=:]\s{{0,3}})"
 BEARER = r"(?i:\b(?:bearer|basic)[ \t]{1,3})"
-USER = r"(?i:\b[a-z][a-z0-9+.-]{1,20}://[^\s/:@\"'<>]{1,64}:)"
-ASSIGNED = rf"{NAMED}(?:\"[^\"\n]{{6,200}}\"|'[^'\n]{{6,200}}'|[\"']?[^\s\"',;<>]{{6,}}[\"']?)|{BEARER}[A-Za-z0-9._~+/-]{{16,}}={{0,2}}|{USER}[^\s/@\"'<>]{{3,}}(?=@)"
+USER = r"://[^\s/:@\"'<>]{1,64}:"
+ASSIGNED = rf"{NAMED}(?:\"[^\"\n]{{6,200}}\"|'[^'\n]{{6,200}}'|[\"']?[^\s\"',;<>]{{6,}}[\"']?)|{BEARER}[A-Za-z0-9._~+/-]{{16,}}={{0,2}}|(?<=[A-Za-z0-9]){USER}[^\s/@\"'<>]{{3,}}(?=@)"
 STARTS = r"\b(?:(?:AKIA|ASIA)[0-9A-Z]{12,}|gh[pousr]_[A-Za-z0-9]{20,}|glpat-[\w-]{16,}|sk-[A-Za-z0-9-]{20,}|xox[abprs]-[0-9A-Za-z-]{10,}|AIza[\w-]{30,}|eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,})"
 # a key block reaches to its end mark; without one, as far as there are lines of a key
 KEY = r"[A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----"
