@@ -114,3 +114,9 @@ def test_dialect_of_regular_expressions(spark, pattern, given, want):
 def test_other_dialects_are_refused(spark, pattern):
     with pytest.raises(EngineError, match="invalid_regex"):
         text.java_regex(spark, pattern)
+
+
+def test_closest_of_a_column(spark):
+    df = spark.createDataFrame([("note",), ("elsewhere",), (None,), ("",)], "n string")
+    assert [r[0] for r in df.select(text.closest_of(F.col("n"), ["notes", "nose", "work"])).collect()] == ["notes", None, None, None]
+    assert text.closest(["notes", "nose", "work"], "note") == "notes"
