@@ -12,11 +12,15 @@ def content_hash(content: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(content.cast("binary"), 256))
 
 
+def same_stat(disk: str, files: str) -> Column:
+    """Whether size and time say that a file is as indexed; an empty hash asks for a new index entry in any case."""
+    return (F.col(f"{disk}.size") == F.col(f"{files}.size")) & (F.col(f"{disk}.mtime") == F.col(f"{files}.mtime")) & (F.col(f"{files}.content_hash") != "")
+
+
 def stat_candidates(disk: DataFrame, files: DataFrame) -> DataFrame:
     """vault, path of files that must be read: new ones, those whose size or time differ, and those without a hash."""
-    same = (F.col("f.size") == F.col("d.size")) & (F.col("f.mtime") == F.col("d.mtime")) & (F.col("f.content_hash") != "")
     j = disk.alias("d").join(files.select("vault", "path", "size", "mtime", "content_hash").alias("f"), ["vault", "path"], "left")
-    return j.where(~F.coalesce(same, F.lit(False))).select("vault", "path")
+    return j.where(~F.coalesce(same_stat("d", "f"), F.lit(False))).select("vault", "path")
 
 
 def scan_diff(disk: DataFrame, files: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from quillspark.plans.engine import Engine, ingest
 from quillspark.sources.snapshot import Snapshots
 from quillspark.sources.vaults import walk
 from quillspark.streaming import live as live_module
+from quillspark.streaming.changes import apply_batch
 from quillspark.streaming.event_log import EventLog, after
 from quillspark.streaming.live import Live
 
@@ -160,3 +161,19 @@ def test_one_vault_that_cannot_be_read_leaves_the_others(spark, tmp_path):
     assert [r["vault"] for r in got] == ["a"] and [x["vault"] for x in partial["failed"]] == ["b"] and [x["vault"] for x in partial["skipped"]] == ["c"]
     with pytest.raises(EngineError, match="invalid"):
         engine.answer(lambda vaults: engine.search_content("words", vaults=vaults, limit=0))
+
+
+def test_notifications_of_shuffled_tables_are_joined_further(spark):
+    """Where no side is broadcast, the notifications are grouped and joined with the index as elsewhere."""
+    row = "vault string, path string, size long, mtime string, content_hash string"
+    old = spark.createDataFrame([("v", p, n, "t", h) for p, n, h in [("same", 1, "a"), ("gone", 1, "b"), ("longer", 1, "c"), ("anew", 1, "")]], row)
+    disk = spark.createDataFrame([("v", p, n, "t", h) for p, n, h in [("same", 1, "a"), ("longer", 2, "d"), ("anew", 1, "e"), ("new", 1, "f")]] + [(None, "lost", 1, "t", "g")], row)
+    key, own = "spark.sql.autoBroadcastJoinThreshold", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set(key, "-1")
+    try:
+        found = live_module.notifications(disk.drop("content_hash"), old)
+        assert {tuple(r) for r in found.collect()} == {("v", "gone", "remove"), ("v", "longer", "upsert"), ("v", "anew", "upsert"), ("v", "new", "upsert"), (None, "lost", "upsert")}
+        done = apply_batch(found.withColumn("ts", F.lit(0)), old, disk)
+        assert {(r.path, r.effect) for r in done.collect()} == {("gone", "deleted"), ("longer", "updated"), ("anew", "updated"), ("new", "inserted")}
+    finally:
+        spark.conf.set(key, own)
