@@ -35,8 +35,13 @@ BLOCK, FRONTIER = 1 << 15, 1 << 19
 #: that pairs found there must about agree in. Candidates of sets up to SMALL shingles come from shared shingles instead,
 #: and must about agree in all MORE further words.
 WIDE, HALF, ERRORS, CHECK, MORE, SMALL = 8, 32, 3, 1, 4, 64
-#: Rounds that look at one candidate per document, before all that are left.
-ROUNDS = 2
+#: Words in all, of the few that have candidates.
+ALL = 32
+#: Rounds that look at one candidate per document, before all that are left: at most so many, and as long as a round's
+#: links are at least one for so many looked at.
+ROUNDS, WORTH = 12, 20
+#: A candidate pair: the second one's place in the turn's order, and the labels of both.
+PAIR = ["a", "b", "place", "a_label", "b_label"]
 
 
 def fingerprint(text: str | None, k: int = 3, seed: int = 42) -> int:
@@ -73,8 +78,8 @@ def shingle_set(text: str | None, k: int = 5, seed: int = 42) -> np.ndarray:
 
 
 def wide_fingerprint(hashes: np.ndarray, words: range = range(WIDE + MORE)) -> np.ndarray:  # noqa: B008
-    """Several words of 64 such bits, each of other mixtures of the hashes; 0 for those not asked for."""
-    out = np.zeros(WIDE + MORE, np.uint64)
+    """Several words of 64 such bits, each of other mixtures of the hashes; 0 for those before the ones asked for."""
+    out = np.zeros(words.stop, np.uint64)
     for i in words:  # a step of the splitmix64 generator
         z = hashes + np.uint64((i + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
         z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -249,41 +254,62 @@ def _trie_of(code: Column) -> Column:
     return F.when(code < 0, code).otherwise(F.shiftright(code, HALF - HALF // (ERRORS + 1)))
 
 
-def _candidates(far: int, small: int, exact: Fraction, turn: int | None, many: int = 1 << 16):
-    """Candidate pairs of rows (code, key, check words, size and perhaps label; else keys are labels), by code: with `turn`
-    for each key the one that comes first in the turn's order, as (a, b, place of b); else all with different labels."""
+def _candidates(far: int, small: int, exact: Fraction, turn: int | None, likely: int | None = None, many: int = 1 << 16):
+    """Candidate pairs (a, b, place of b, their labels) of rows (code, key, check words, size and perhaps label; else keys
+    are labels), by code: with `turn` for each key that has one the one that comes first in the turn's order; else all
+    with different labels.
+
+    likely: rows hold whole fingerprints instead of check words. Two of these are compared in all words, `far` bits may
+    differ, and they are a pair in the first of their common tries alone; with `turn` those that differ in at most
+    `likely` bits come before others.
+    """
     top = HALF // (ERRORS + 1)
     factor = np.uint64((2 * (turn or 0) + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)  # odd: each key has a place of its own
+    words, whole = (MORE, slice(0, 0)) if likely is None else (ALL, slice(0, WIDE))
+
+    def near(code: np.ndarray, check: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which pairs of places are candidates, and which of them are likely ones."""
+        bits = sum(np.bitwise_count(c[a] ^ c[b]).astype(int) for c in check[len(check[whole]) :])
+        shared = code[a] < 0
+        if likely is None:
+            return bits <= np.where(shared, small, far), np.ones(len(a), bool)
+        wide = (check[0][a] != 0) & (check[0][b] != 0)
+        bits = bits + np.where(wide, sum(np.bitwise_count(c[a] ^ c[b]).astype(int) for c in check[whole]), 0)
+        first = np.flatnonzero(~shared)
+        own = np.ones(len(a), bool)
+        own[first] = code[a[first]] >> HALF == _first_code(check[whole], a[first], b[first])
+        return (bits <= np.where(wide, far, small)) & own, bits <= np.where(wide, likely, likely * (ALL - WIDE) // ALL)
 
     def flush(trie: np.ndarray, code: np.ndarray, key: np.ndarray, *more: np.ndarray) -> Iterator[pa.RecordBatch]:
         # codes to the left end, as trie_links has them; shared shingles have none
-        code = np.where(code < 0, 0, code).astype(np.uint64) << np.uint64(64 - HALF)
-        place = key.view(np.uint64) * factor
-        check = [c.view(np.uint64) for c in more[:MORE]]  # signed ones would be counted by their absolute values
-        size = more[MORE]
-        label = more[MORE + 1] if len(more) > MORE + 1 else key
+        at = np.where(code < 0, 0, code).astype(np.uint64) << np.uint64(64 - HALF)
+        place = key.view(np.uint64) * factor >> np.uint64(2)
+        check = [c.view(np.uint64) for c in more[:words]]  # signed ones would be counted by their absolute values
+        size = more[words]
+        label = more[words + 1] if len(more) > words + 1 else key
         best = np.full(len(key), (1 << 64) - 1, np.uint64)
-        of = np.zeros(len(key), np.int64)
-        met = np.zeros(len(key), bool)
-        for links in trie_links(trie, code, ERRORS, top, 64 - HALF, label):
+        of = np.arange(len(key))
+        for links in trie_links(trie, at, ERRORS, top, 64 - HALF, label):
             links = links[label[links[:, 0]] != label[links[:, 1]]]
             # no sets are more similar than the smaller one's share of the larger one's size
             n = np.sort(size[links], axis=1)
-            links = links[n[:, 0] * exact.denominator >= n[:, 1] * exact.numerator]
-            bits = sum(np.bitwise_count(c[links[:, 0]] ^ c[links[:, 1]]).astype(int) for c in check)
-            a, b = links[bits <= np.where(trie[links[:, 0]] < 0, small, far)].T
-            a, b = np.where(place[a] < place[b], b, a), np.where(place[a] < place[b], a, b)
+            a, b = links[n[:, 0] * exact.denominator >= n[:, 1] * exact.numerator].T
+            kept, good = near(code, check, a, b)
+            a, b, good = a[kept], b[kept], good[kept]
             if turn is None:
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(key[a], key[b])), pa.array(np.minimum(key[a], key[b])), pa.array(np.zeros(len(a), np.int64))], names=["a", "b", "place"])
+                a, b = np.where(key[a] < key[b], b, a), np.where(key[a] < key[b], a, b)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[a], key[b], np.zeros(len(a), np.int64), label[a], label[b])], names=PAIR)
                 continue
-            order = np.argsort(place[b], kind="stable")[::-1]
-            a, b = a[order], b[order]
-            nearer = place[b] < best[a]
-            of[a[nearer]], best[a[nearer]] = key[b[nearer]], place[b[nearer]]  # the last one counts: the least
-            met[a] = True
-        own = np.flatnonzero(met)
+            a, b, good = np.r_[a, b], np.r_[b, a], np.r_[good, good]  # each has the other for a candidate
+            rank = place[b] | np.where(good, 0, 1 << 62).astype(np.uint64)
+            order = np.argsort(rank, kind="stable")[::-1]
+            a, b, rank = a[order], b[order], rank[order]
+            nearer = rank < best[a]
+            of[a[nearer]], best[a[nearer]] = b[nearer], rank[nearer]  # the last one counts: the least
+        own = np.flatnonzero(of != np.arange(len(key)))
         if len(own):
-            yield pa.RecordBatch.from_arrays([pa.array(key[own]), pa.array(of[own]), pa.array((best[own] >> np.uint64(1)).astype(np.int64))], names=["a", "b", "place"])
+            b = of[own]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[own], key[b], best[own].astype(np.int64), label[own], label[b])], names=PAIR)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -304,30 +330,49 @@ def _candidates(far: int, small: int, exact: Fraction, turn: int | None, many: i
     return run
 
 
-def _tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _first_code(words: list[np.ndarray], a: np.ndarray, b: np.ndarray, at_once: int = 1 << 16) -> np.ndarray:
+    """The number of the first trie that pairs of rows have in common, by their words: its turn, and which half-word."""
+    size = HALF // (ERRORS + 1)
+    out = np.full(len(a), -1)
+    for i in range(0, len(a), at_once):
+        x = np.ascontiguousarray(np.stack([w[a[i : i + at_once]] ^ w[b[i : i + at_once]] for w in words], 1)).view(np.uint32)
+        close = np.bitwise_count(x) <= ERRORS
+        # a turn's trie is of the block that comes to the left end
+        same = np.concatenate([close & ((x << np.uint32(t * size)) >> np.uint32(HALF - size) == 0) for t in range(ERRORS + 1)], 1)
+        out[i : i + at_once] = np.where(same.any(1), same.argmax(1), -1)
+    return out
+
+
+def _tries(whole: bool):
     """Rows (code, key, check words, size, label if there) of tries for rows (key, fp, tokens, size, and perhaps label).
 
-    Rows of half-words have CHECK check words and 0 for the others. A code holds the half-word's number and turn above its 32 turned bits, or a shared shingle with the highest bit."""
+    Rows of half-words have CHECK check words and 0 for the others; with `whole` all rows have all words. A code holds the
+    half-word's number and turn above its 32 turned bits, or a shared shingle with the highest bit."""
     codes, size = 64 // HALF * WIDE, HALF // (ERRORS + 1)
-    for b in batches:
-        key, *label = (b.column(i).to_numpy(zero_copy_only=False) for i in range(b.num_columns) if i not in (1, 2))
-        names = ["code", "key", *(f"check{i}" for i in range(MORE)), "size", *(["label"] if len(label) > 1 else [])]
-        fps = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint64).reshape(len(key), WIDE + MORE)
-        check = fps[:, WIDE:].view(np.int64)
-        tokens = [np.frombuffer(x, np.uint64) for x in b.column(2).to_pylist()]
-        n = np.array([len(x) for x in tokens])
-        row = np.repeat(np.arange(len(key)), n)
-        if len(row):  # a shared shingle is a trie of its own, in which all codes are equal
-            code = (np.concatenate(tokens) | np.uint64(1 << 63)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (code, key[row], *check[row].T.copy(), *(x[row] for x in label))], names=names)
-        wide = fps[:, 0] != 0
-        half = np.ascontiguousarray(fps[wide, :WIDE]).view(np.uint32).reshape(-1, codes).astype(np.uint64)
-        narrow = np.where(np.arange(MORE) < CHECK, check[wide], 0)
-        rest = [pa.array(x) for x in (key[wide], *narrow.T.copy(), *(x[wide] for x in label))]
-        for block in range(ERRORS + 1):
-            turned = (half << np.uint64(block * size) | half >> np.uint64(HALF - block * size)) & np.uint64((1 << HALF) - 1)
-            for i in range(codes):
-                yield pa.RecordBatch.from_arrays([pa.array(turned[:, i].astype(np.int64) + (block * codes + i << HALF)), *rest], names=names)
+    width, n_check = (ALL, ALL) if whole else (WIDE + MORE, MORE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key, *label = (b.column(i).to_numpy(zero_copy_only=False) for i in range(b.num_columns) if i not in (1, 2))
+            names = ["code", "key", *(f"check{i}" for i in range(n_check)), "size", *(["label"] if len(label) > 1 else [])]
+            fps = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint64).reshape(len(key), width)
+            check = fps[:, width - n_check :].view(np.int64)
+            tokens = [np.frombuffer(x, np.uint64) for x in b.column(2).to_pylist()]
+            n = np.array([len(x) for x in tokens])
+            row = np.repeat(np.arange(len(key)), n)
+            if len(row):  # a shared shingle is a trie of its own, in which all codes are equal
+                code = (np.concatenate(tokens) | np.uint64(1 << 63)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (code, key[row], *check[row].T.copy(), *(x[row] for x in label))], names=names)
+            wide = fps[:, 0] != 0
+            half = np.ascontiguousarray(fps[wide, :WIDE]).view(np.uint32).reshape(-1, codes).astype(np.uint64)
+            narrow = check[wide] if whole else np.where(np.arange(MORE) < CHECK, check[wide], 0)
+            rest = [pa.array(x) for x in (key[wide], *narrow.T.copy(), *(x[wide] for x in label))]
+            for block in range(ERRORS + 1):
+                turned = (half << np.uint64(block * size) | half >> np.uint64(HALF - block * size)) & np.uint64((1 << HALF) - 1)
+                for i in range(codes):
+                    yield pa.RecordBatch.from_arrays([pa.array(turned[:, i].astype(np.int64) + (block * codes + i << HALF)), *rest], names=names)
+
+    return run
 
 
 def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, sure: bool = False) -> DataFrame:
@@ -346,24 +391,26 @@ def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, sure: b
     sure: compares all sets so, without check words. No link is missed; there are more candidates, and a fifth of each
     set's shingles is shuffled.
 
-    Candidates are first looked at one per document and round, so that large groups link up by a few comparisons each;
-    then all pairs that aren't in one group yet.
+    Candidates are first looked at one per document and round, likely ones first, so that large groups link up by a few
+    comparisons each; then all pairs that aren't in one group yet. From the second round on only documents that have
+    candidates are left, with their whole fingerprints: pairs are compared in all words, each in one trie alone.
     """
     exact = Fraction(str(similarity))
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi  # of bits that differ, for sets of one size
     allowed = lambda p, words: int(64 * words * p + 3.5 * math.sqrt(64 * words * p * (1 - p)))
     far, small = allowed(share, CHECK), allowed(1.25 * share, MORE)  # 4 of 5 shingles: 0.1875
+    all_far, likely = (allowed(share, ALL), allowed(1.25 * share, ALL - WIDE)), int(64 * ALL * share)
     most = 1 << 62 if sure else SMALL
     both = int(most / exact)  # a set of `most` may be similar to one of this size
     if sure:
-        far = small = 64 * MORE
+        far, small, all_far = 64 * MORE, 64 * MORE, (64 * ALL, 64 * ALL)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: tuple[list, list, list, list] = ([], [], [], [])
             for x in b.column(2):
                 h = shingle_set(x.as_py(), k)
-                fp = wide_fingerprint(h, range(WIDE if len(h) <= most else 0, WIDE + (MORE if len(h) <= both else CHECK)))
+                fp = wide_fingerprint(h, range(WIDE if len(h) <= most else 0, WIDE + MORE))
                 fp[0] = fp[0] | np.uint64(fp[0] == 0) if len(h) > most else 0
                 first = h[: len(h) - math.ceil(exact * len(h)) + 1] if 0 < len(h) <= both else h[:0]
                 for o, v in zip(out, (xxhash.xxh64_intdigest(h.tobytes()), fp.tobytes(), first.tobytes(), len(h)), strict=True):
@@ -378,13 +425,15 @@ def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, sure: b
     named = cut(fps.groupBy("key").agg(first, F.count("*").alias("n"), F.min("fp").alias("fp"), F.min("tokens").alias("tokens"), F.min("size").alias("size")), "shingle-sets")
 
     def found(nodes: DataFrame, turn: int | None) -> DataFrame:
-        words = "".join(f", check{i} long" for i in range(MORE)) + ", size long"
-        rows = nodes.mapInArrow(_tries, f"code long, key long{words}" + (", label long" if "label" in nodes.columns else ""))
+        whole = "label" in nodes.columns
+        words = "".join(f", check{i} long" for i in range(ALL if whole else MORE)) + ", size long" + (", label long" if whole else "")
+        rows = nodes.mapInArrow(_tries(whole), f"code long, key long{words}")
         ordered = rows.repartition(partitions(docs.sparkSession), _trie_of(F.col("code"))).sortWithinPartitions("code")
-        return cut(ordered.mapInArrow(_candidates(far, small, exact, turn), "a long, b long, place long"), "candidates")
+        pairs = _candidates(*all_far, exact, turn, likely) if whole else _candidates(far, small, exact, turn)
+        return cut(ordered.mapInArrow(pairs, ", ".join(f"{c} long" for c in PAIR)), "candidates")
 
     pairs = found(named.select("key", "fp", "tokens", "size"), 0)
-    ends = cut(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct().join(named, "key"), "ends")
+    ends = cut(pairs.select(F.col("a").alias("key")).distinct().join(named, "key"), "ends")
     # the text of one document of each set: others with that set stay where they are
     one = ends.select("key", F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"))
     same = hashed["doc_id"].eqNullSafe(one["doc_id"]) & (hashed["text_hash"] == one["text_hash"])
@@ -395,21 +444,39 @@ def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, sure: b
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(x.as_py(), k).view(np.int64) for x in b.column(1)], pa.list_(pa.int64()))], names=["key", "hashes"])
 
     sets = cut(texts.mapInArrow(hashes, "key long, hashes array<long>"), "sets", TEXTS)
-    few = ends.select("key", "fp", "tokens", "size")
-    linked = None
-    for turn in [*range(ROUNDS), None]:
-        if turn != 0:
-            linked = stars_ = cut(stars(linked), "set-stars")  # what is one group stays one by these alone
-            label = F.coalesce("root", "key").alias("label")
-            pairs = found(few.join(stars_.select(F.col("a").alias("key"), F.col("b").alias("root")), "key", "left").select("key", "fp", "tokens", "size", label), turn)
-        one = pairs.select("a", "b").distinct() if turn is None else pairs.groupBy("a").agg(F.min_by("b", "place").alias("b"))
-        one = cut(one, "pairs")
-        side = lambda e: one.groupBy(e).agg(F.count("*").alias(f"{e}_n")).join(sets.select(F.col("key").alias(e), F.col("hashes").alias(f"{e}_hashes")), e)
+    side = lambda pairs, e: pairs.groupBy(e).agg(F.count("*").alias(f"{e}_n")).join(sets.select(F.col("key").alias(e), F.col("hashes").alias(f"{e}_hashes")), e)
+
+    def true(pairs: DataFrame) -> DataFrame:
+        """The pairs that are similar enough, by all their hashes."""
         common = F.size(F.array_intersect("a_hashes", "b_hashes")).cast("long")
         near = common * (exact.numerator + exact.denominator) >= (F.size("a_hashes") + F.size("b_hashes")) * exact.numerator
-        true = join_dealt(join_dealt(one, side("a"), ["a"], "a_n", ["b"]), side("b"), ["b"], "b_n", ["a"]).where(near).select("a", "b")
-        linked = cut(true if linked is None else true.union(linked), "links")
-    joined = cut(stars(linked), "set-stars")
+        return join_dealt(join_dealt(pairs, side(pairs, "a"), ["a"], "a_n", ["b"]), side(pairs, "b"), ["b"], "b_n", ["a"]).where(near).select("a_label", "b_label")
+
+    def widened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            more = [wide_fingerprint(np.array(h.values.to_numpy().view(np.uint64)), range(WIDE + MORE, ALL))[WIDE + MORE :].tobytes() for h in b.column(4)]
+            fp = pa.array([x + y for x, y in zip(b.column(1).to_pylist(), more, strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), fp, b.column(2), b.column(3)], names=["key", "fp", "tokens", "size"])
+
+    few = cut(ends.join(sets, "key").select("key", "fp", "tokens", "size", "hashes").mapInArrow(widened, "key long, fp binary, tokens binary, size long"), "few")
+    joined, turn = None, 0
+    while True:
+        if turn is None:
+            one = pairs.dropDuplicates(["a", "b"])
+        else:
+            best = pairs.groupBy("a").agg(F.min_by(F.struct("b", "a_label", "b_label"), "place").alias("best")).select("a", "best.*")
+            one = best.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "a_label", "b_label").dropDuplicates(["a", "b"])
+        one = cut(one, "pairs")
+        # groups are linked, not their documents: a group's links to another are one
+        linked = cut(true(one).select(F.greatest("a_label", "b_label").alias("a"), F.least("a_label", "b_label").alias("b")).distinct(), "links")
+        joined = cut(stars(linked if joined is None else joined.union(linked)), "set-stars")
+        if turn is None:
+            break
+        if turn:  # groups only grow: who has no candidate outside its own now has none later
+            few = few.join(sized(cut(pairs.select(F.col("a").alias("key")).distinct(), "open")), "key", "left_semi")
+        turn = turn + 1 if turn + 1 < ROUNDS and (not turn or linked.count() * WORTH >= max(1, one.count())) else None
+        label = F.coalesce("root", "key").alias("label")
+        pairs = found(few.join(joined.select(F.col("a").alias("key"), F.col("b").alias("root")), "key", "left").select("key", "fp", "tokens", "size", label), turn)
     names = cut(_named(named.select(F.col("key").alias("fp"), "first", "n"), joined).withColumnRenamed("fp", "key"), "named-sets")
     return join_hot(fps, names, ["key"], "n").select("doc_id", "text_hash", F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash"))
 

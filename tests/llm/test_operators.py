@@ -6,8 +6,10 @@ import random
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -832,3 +834,42 @@ def test_queries_are_registered():
     names = set(entry.queries())
     assert {f"op{n}" for n in range(1, 13)} <= {n.split("_")[0] for n in names} and "pipeline" in names
     assert set(entry.oracle_sql()) <= names
+
+
+def test_candidates_of_groups_below_the_threshold_dont_grow_with_their_square(spark, monkeypatch):
+    """80 texts that share 0.6 of their shingles, and a pair of 0.9: only what may be similar enough is a row, once."""
+    rng, word = random.Random(5), lambda r: "".join(r.choices("abcdefghijklmnop", k=7))
+    base = [word(rng) for _ in range(400)]
+    texts = []
+    for i in range(80):
+        own = random.Random(i)
+        at = own.randrange(0, 300)
+        texts.append(" ".join(base[:at] + [word(own) for _ in range(100)] + base[at + 100 :]))
+    texts.append(texts[7] + " and some more words at the end")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [set(simhash.shingle_set(t).tolist()) for t in texts]
+    truly = {(i, j) for i in range(81) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    made, cut = [], simhash.cut
+
+    def counted(df, name, batch=None):
+        out = cut(df, name, batch)
+        if name == "candidates":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "cut", counted)
+    groups = {r.doc_id: r.first_id for r in simhash.similar_groups(docs).collect()}
+    assert truly and all(groups[i] == groups[j] for i, j in truly)
+    assert made[-1] < 81 * 80 // 2 // 4  # before: all pairs, several times
+
+
+def test_a_document_that_no_other_prefers_keeps_its_candidates():
+    """y is like x and z, and z comes first in the turn's order: x is told of y all the same."""
+    n, zero = 3, np.zeros(3, np.int64)
+    key = np.array([1, 2, 3], np.int64)
+    check = np.array([0, 0b111, 0b111111], np.int64)  # 1 and 3 are too far apart, 2 is near both
+    cols = [zero, key, check, zero, zero, zero, np.full(n, 100, np.int64)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["code", "key", *(f"check{i}" for i in range(4)), "size"])
+    for turn in range(4):
+        got = pa.Table.from_batches(list(simhash._candidates(4, 4, Fraction("0.8"), turn)(iter([batch]))))
+        assert {1, 2, 3} == set(got["a"].to_pylist())
