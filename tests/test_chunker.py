@@ -1,3 +1,4 @@
+import pyarrow as pa
 import pytest
 
 from quillspark.functions.chunker import chunks, diagnose, events, front_matter
@@ -63,3 +64,24 @@ def test_quoted_fences_line_ends_and_html():
     assert level("<!-- x\n# no\n-->\n# yes\n") == ["yes"] and level("<div>\n# no\n\n# yes\n") == ["yes"]
     text = "# ä\n" + "é🦉 words\n\n" * 400
     assert all(text.encode()[c.start : c.end].decode() == c.content for c in chunks(text))
+
+
+def test_chunks_come_back_some_at_a_time(spark):
+    """A batch of many files isn't held as chunks; all chunks are there."""
+    from quillspark.functions import chunker
+
+    class Files:  # what Spark hands to Python
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, schema):
+            n = 400
+            text = "\n".join(f"# part {i}\n\n{'word ' * 100}\n" for i in range(20))
+            b = pa.RecordBatch.from_arrays([pa.array([x] * n, pa.string()) for x in ("v", "a.md", text, "h")], names=["vault", "path", "content", "content_hash"])
+            return list(run(iter([b])))
+
+    got = chunker.chunk_files(Files())
+    assert sum(b.num_rows for b in got) == 400 * 20
+    assert len(got) > 3 and max(b.nbytes for b in got) < 3 << 20
+    odd = spark.createDataFrame([("v", "none", None, "h"), ("v", "empty", "", "h"), (None, "one", "# a\ntext", None)], "vault string, path string, content string, content_hash string")
+    assert [(r.vault, r.file_path, r.content, r.file_hash) for r in chunker.chunk_files(odd).collect()] == [(None, "one", "# a\ntext", None)]
