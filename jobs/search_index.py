@@ -8,7 +8,8 @@ list, or parts of none, and the next one finds the same slices to do again.
     python -m jobs.search_index jobs/search_index.toml
 
 Texts are read twice, to hash them and, those of the slices concerned only, to index them; they are shuffled once, by
-slice, and postings are made where a slice lies, sorted by term, so that a reader of some terms skips most of a file.
+slice, and postings are made where a slice lies, sorted by term, so that a reader of some terms skips most of a file. A
+posting has its note's hash and state, so that reading the index back joins and moves nothing.
 Set `slices` so that a vault's slice is some 100 MB. A note that is gone stays on the list as deleted.
 """
 
@@ -25,8 +26,11 @@ from quillspark.operators.ranked import Index, plain_rows
 from quillspark.sources import adapters
 
 NOTES = "path string, content_hash string, state string, vault string, slice int"
-POSTINGS = "path string, term string, positions array<int>, dl long, vault string, slice int"
+POSTINGS = "path string, state string, content_hash string, term string, positions array<int>, dl long, vault string, slice int"
 KEY = ["vault", "slice", "path"]
+#: Notes that a task indexes and a file holds: few enough to sort their postings in memory, and for dictionaries of their
+#: paths and hashes in the file.
+NOTES_A_FILE = 5000
 log = logging.getLogger("search_index")
 
 
@@ -52,21 +56,28 @@ def run(spark: SparkSession, source: str, out: str, work: str, slices: int = 16)
     log.info("read %s and %s: %s", source, f"{out}/notes", sums.asDict())
 
     concerned = changes.where(F.col("effect").isin("inserted", "updated", "deleted")).select("vault", "slice").distinct()
-    n = concerned.count()
+    n, notes_in, most = changes.join(concerned, ["vault", "slice"], "left_semi").groupBy("vault", "slice").agg(F.count("*").alias("n")).agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
     if n:
         touched = lambda df: df.join(concerned, ["vault", "slice"], "left_semi")
         gone = changes.where("effect = 'deleted'").select(*KEY, F.lit(None).cast("string").alias("content"), F.col("previous_hash").alias("content_hash"))
-        overwrite(_postings(touched(notes).unionByName(gone)), f"{out}/postings", "vault", "slice")
+        overwrite(_postings(touched(notes).unionByName(gone), notes_in, most), f"{out}/postings", "vault", "slice")
         overwrite(_notes(touched(changes), touched(known)), f"{out}/notes", "vault", "slice")
     log.info("wrote %d slices of %s and %s", n, f"{out}/postings", f"{out}/notes")
     return sums.asDict()
 
 
-def _postings(notes: DataFrame) -> DataFrame:
-    """Postings of whole slices; also of a note that is gone there is a row, without a term and a length."""
-    first = F.row_number().over(Window.partitionBy(*KEY).orderBy("content_hash"))
-    dealt = notes.repartition("vault", "slice").withColumn("copy", first).where("copy = 1")
-    return plain_rows(dealt, KEY).sortWithinPartitions("vault", "slice", "term", "path")
+def _postings(notes: DataFrame, count: int, most: int) -> DataFrame:
+    """Postings of whole slices; also of a note that is gone there is a row, without a term and a length.
+
+    count, most: notes in all, and in a slice; a slice is dealt by path over as many files as it calls for.
+    """
+    part = F.pmod(F.xxhash64("path", F.lit("part")), F.lit(most // NOTES_A_FILE + 1)).cast("int")
+    tasks = max(int(notes.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * count // NOTES_A_FILE)
+    first = F.row_number().over(Window.partitionBy(*KEY, "part").orderBy("content_hash"))
+    dealt = notes.withColumn("part", part).repartition(tasks, "vault", "slice", "part").withColumn("copy", first).where("copy = 1")
+    state = F.when(F.col("content").isNull(), "deleted").otherwise("live").alias("state")
+    rows = plain_rows(dealt.select(*KEY, state, "content_hash", "content"), [*KEY, "state", "content_hash"])
+    return rows.sortWithinPartitions("vault", "slice", "term", "path")
 
 
 def _notes(changes: DataFrame, known: DataFrame) -> DataFrame:
@@ -78,8 +89,8 @@ def _notes(changes: DataFrame, known: DataFrame) -> DataFrame:
 
 def read(spark: SparkSession, out: str) -> DataFrame:
     """The whole index: a row for each term of a note, and one without a term for the note itself."""
-    notes, postings = (read_if_there(spark, f"{out.rstrip('/')}/{t}", s) for t, s in (("notes", NOTES), ("postings", POSTINGS)))
-    return postings.join(notes, KEY, "left").select("vault", "path", "state", "content_hash", "term", F.size("positions").alias("tf"), "dl")
+    postings = read_if_there(spark, f"{out.rstrip('/')}/postings", POSTINGS)
+    return postings.select("vault", "path", "state", "content_hash", "term", F.size("positions").alias("tf"), "dl")
 
 
 def open_index(spark: SparkSession, out: str) -> Index:

@@ -50,12 +50,26 @@ def plain_index(files: DataFrame) -> Index:
 
 def plain_rows(files: DataFrame, by: list[str] = ("vault", "path")) -> DataFrame:
     """by, term, positions, dl: postings of words as they are, and for each file a row without a term that has its
-    number of words (null if its content is null). Files that are dealt out by some of `by` aren't moved again."""
+    number of words (null if its content is null). Each file's are made from its own row: by sorting its words with
+    their places and cutting where the word changes. Nothing is grouped or moved, and no row is made for a place.
+    """
     worded = files.select(*by, "content", plain_words(F.col("content")).alias("words"))
     length = F.when(F.col("content").isNotNull(), F.size("words")).cast("long")
-    each = worded.select(*by, length.alias("dl"), F.concat(F.array(F.lit(None).cast("string")), "words").alias("words")).select(*by, "dl", F.posexplode("words").alias("pos", "term"))
-    place, own = F.when(F.col("term").isNotNull(), F.col("pos") - 1), F.when(F.col("term").isNull(), F.col("dl"))
-    return each.groupBy(*by, "term").agg(F.sort_array(F.collect_list(place)).alias("positions"), F.max(own).alias("dl"))
+    placed = F.sort_array(F.transform("words", lambda w, i: F.struct(w.alias("term"), i.alias("pos"))))
+
+    def cut(x: Column) -> Column:
+        """The postings of sorted (term, pos)."""
+        n = F.size(x)
+        at = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+        starts = F.filter(at, lambda i: F.coalesce(F.get(x, i)["term"] != F.get(x, i - 1)["term"], F.lit(True)))
+        runs = F.arrays_zip(starts.alias("start"), F.slice(F.concat(starts, F.array(n)), 2, n + 1).alias("end"))
+        whole = lambda r: F.struct(F.get(x, r["start"])["term"].alias("term"), F.transform(F.sequence(r["start"], r["end"] - 1), lambda i: F.get(x, i)["pos"]).alias("positions"))  # noqa: E731  slice would copy all of x each time
+        return F.transform(F.filter(runs, lambda r: r["start"].isNotNull()), whole)
+
+    made = worded.select(*by, length.alias("dl"), F.flatten(F.transform(F.array(placed), cut)).alias("postings"))
+    own = F.struct(F.lit(None).cast("string").alias("term"), F.array().cast("array<int>").alias("positions"))
+    each = made.select(*by, "dl", F.explode(F.concat(F.array(own), "postings")).alias("p"))
+    return each.select(*by, "p.term", "p.positions", F.when(F.col("p.term").isNull(), F.col("dl")).alias("dl"))
 
 
 def porter_rows(files: DataFrame, wanted: set[str] | None = None, starts: tuple[str, ...] = ()) -> DataFrame:

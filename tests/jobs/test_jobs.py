@@ -194,3 +194,16 @@ def test_command_line(job, keys, tmp_path):
         assert done.returncode == 0, done.stderr[-3000:]
         assert job in done.stderr
     assert any(f.endswith(".parquet") for f in files(tmp_path / "out"))
+
+
+def test_index_is_read_back_without_moving_it_and_large_slices_are_several_files(spark, tmp_path, monkeypatch):
+    docs = [(i, f"word{i} the the end", "en", "s", 1) for i in range(40)] + [(40, "", "en", "s", 0), (41, None, "en", "s", 0)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/in/documents.parquet")
+    monkeypatch.setattr(search_index, "NOTES_A_FILE", 5, raising=False)
+    search_index.run(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/work", slices=1)
+    got = search_index.read(spark, f"{tmp_path}/out")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    rows = {(r.path[-5:-3], r.term): (r.state, r.tf, r.dl) for r in got.collect()}
+    assert len(rows) == 40 * 4 + 2 and rows["07", "the"] == ("live", 2, None) and rows["07", None] == ("live", 0, 4) and rows["41", None] == ("live", 0, 0)
+    assert len(list((tmp_path / "out/postings/vault=en/slice=0").glob("*.parquet"))) > 2
