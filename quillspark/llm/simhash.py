@@ -21,6 +21,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,11 +38,11 @@ BLOCK, FRONTIER = 1 << 15, 1 << 19
 WIDE, HALF, ERRORS, CHECK, MORE, SMALL = 8, 32, 3, 1, 4, 64
 #: Words in all, of the few that have candidates.
 ALL = 32
-#: Rounds that look at one candidate per document, before all that are left: at most so many, and as long as a round's
-#: links are at least one for so many looked at.
-ROUNDS, WORTH = 12, 20
-#: A candidate pair: the second one's place in the turn's order, and the labels of both.
-PAIR = ["a", "b", "place", "a_label", "b_label"]
+#: A candidate pair: the second one's place in the turn's order.
+PAIR = ["a", "b", "place"]
+#: Hashes that a part of a trie may have in all where sets are compared (two parts meet in a task), and pairs of sets
+#: compared at a time.
+HASHES, SETS = 1 << 22, 1 << 14
 
 
 def fingerprint(text: str | None, k: int = 3, seed: int = 42) -> int:
@@ -254,69 +255,15 @@ def _trie_of(code: Column) -> Column:
     return F.when(code < 0, code).otherwise(F.shiftright(code, HALF - HALF // (ERRORS + 1)))
 
 
-def _candidates(far: int, small: int, exact: Fraction, turn: int | None, likely: int | None = None, many: int = 1 << 16):
-    """Candidate pairs (a, b, place of b, their labels) of rows (code, key, check words, size and perhaps label; else keys
-    are labels), by code: with `turn` for each key that has one the one that comes first in the turn's order; else all
-    with different labels.
-
-    likely: rows hold whole fingerprints instead of check words. Two of these are compared in all words, `far` bits may
-    differ, and they are a pair in the first of their common tries alone; with `turn` those that differ in at most
-    `likely` bits come before others.
-    """
-    top = HALF // (ERRORS + 1)
-    factor = np.uint64((2 * (turn or 0) + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)  # odd: each key has a place of its own
-    words, whole = (MORE, slice(0, 0)) if likely is None else (ALL, slice(0, WIDE))
-
-    def near(code: np.ndarray, check: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which pairs of places are candidates, and which of them are likely ones."""
-        bits = sum(np.bitwise_count(c[a] ^ c[b]).astype(int) for c in check[len(check[whole]) :])
-        shared = code[a] < 0
-        if likely is None:
-            return bits <= np.where(shared, small, far), np.ones(len(a), bool)
-        wide = (check[0][a] != 0) & (check[0][b] != 0)
-        bits = bits + np.where(wide, sum(np.bitwise_count(c[a] ^ c[b]).astype(int) for c in check[whole]), 0)
-        first = np.flatnonzero(~shared)
-        own = np.ones(len(a), bool)
-        own[first] = code[a[first]] >> HALF == _first_code(check[whole], a[first], b[first])
-        return (bits <= np.where(wide, far, small)) & own, bits <= np.where(wide, likely, likely * (ALL - WIDE) // ALL)
-
-    def flush(trie: np.ndarray, code: np.ndarray, key: np.ndarray, *more: np.ndarray) -> Iterator[pa.RecordBatch]:
-        # codes to the left end, as trie_links has them; shared shingles have none
-        at = np.where(code < 0, 0, code).astype(np.uint64) << np.uint64(64 - HALF)
-        place = key.view(np.uint64) * factor >> np.uint64(2)
-        check = [c.view(np.uint64) for c in more[:words]]  # signed ones would be counted by their absolute values
-        size = more[words]
-        label = more[words + 1] if len(more) > words + 1 else key
-        best = np.full(len(key), (1 << 64) - 1, np.uint64)
-        of = np.arange(len(key))
-        for links in trie_links(trie, at, ERRORS, top, 64 - HALF, label):
-            links = links[label[links[:, 0]] != label[links[:, 1]]]
-            # no sets are more similar than the smaller one's share of the larger one's size
-            n = np.sort(size[links], axis=1)
-            a, b = links[n[:, 0] * exact.denominator >= n[:, 1] * exact.numerator].T
-            kept, good = near(code, check, a, b)
-            a, b, good = a[kept], b[kept], good[kept]
-            if turn is None:
-                a, b = np.where(key[a] < key[b], b, a), np.where(key[a] < key[b], a, b)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[a], key[b], np.zeros(len(a), np.int64), label[a], label[b])], names=PAIR)
-                continue
-            a, b, good = np.r_[a, b], np.r_[b, a], np.r_[good, good]  # each has the other for a candidate
-            rank = place[b] | np.where(good, 0, 1 << 62).astype(np.uint64)
-            order = np.argsort(rank, kind="stable")[::-1]
-            a, b, rank = a[order], b[order], rank[order]
-            nearer = rank < best[a]
-            of[a[nearer]], best[a[nearer]] = b[nearer], rank[nearer]  # the last one counts: the least
-        own = np.flatnonzero(of != np.arange(len(key)))
-        if len(own):
-            b = of[own]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[own], key[b], best[own].astype(np.int64), label[own], label[b])], names=PAIR)
+def _by_trie(flush, many: int = 1 << 16):
+    """Rows come by code. Whole tries go to flush (trie, and the rows' columns), many small ones at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
         rows = 0
         for b in batches:
             cols = [np.frombuffer(c.buffers()[1], np.int64)[c.offset : c.offset + len(c)] if not c.null_count else c.to_numpy(zero_copy_only=False) for c in b.columns]
-            held.append([np.where(cols[0] < 0, cols[0], cols[0] >> (HALF - top)), *cols])
+            held.append([np.where(cols[0] < 0, cols[0], cols[0] >> (HALF - HALF // (ERRORS + 1))), *cols])
             rows += b.num_rows
             if rows >= many:
                 x = [np.concatenate(c) for c in zip(*held, strict=True)]
@@ -330,6 +277,145 @@ def _candidates(far: int, small: int, exact: Fraction, turn: int | None, likely:
     return run
 
 
+def _pairs(trie: np.ndarray, code: np.ndarray, size: np.ndarray, label: np.ndarray, exact: Fraction) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places that a trie has in common, with different labels and sizes that similar sets may have."""
+    # codes to the left end, as trie_links has them; shared shingles have none
+    at = np.where(code < 0, 0, code).astype(np.uint64) << np.uint64(64 - HALF)
+    for links in trie_links(trie, at, ERRORS, HALF // (ERRORS + 1), 64 - HALF, label):
+        links = links[label[links[:, 0]] != label[links[:, 1]]]
+        # no sets are more similar than the smaller one's share of the larger one's size
+        n = np.sort(size[links], axis=1)
+        a, b = links[n[:, 0] * exact.denominator >= n[:, 1] * exact.numerator].T
+        yield a, b
+
+
+def _candidates(far: int, small: int, exact: Fraction, turn: int, many: int = 1 << 16):
+    """Candidate pairs (a, b, place of b) of rows (code, key, check words, size), by code: for each key that has one, the
+    one that comes first in the turn's order."""
+    factor = np.uint64((2 * turn + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)  # odd: each key has a place of its own
+
+    def flush(trie: np.ndarray, code: np.ndarray, key: np.ndarray, *more: np.ndarray) -> Iterator[pa.RecordBatch]:
+        place = key.view(np.uint64) * factor >> np.uint64(2)
+        check = [c.view(np.uint64) for c in more[:MORE]]  # signed ones would be counted by their absolute values
+        best = np.full(len(key), (1 << 64) - 1, np.uint64)
+        of = np.arange(len(key))
+        for a, b in _pairs(trie, code, more[MORE], key, exact):
+            bits = sum(np.bitwise_count(c[a] ^ c[b]).astype(int) for c in check)
+            kept = bits <= np.where(code[a] < 0, small, far)
+            a, b = np.r_[a[kept], b[kept]], np.r_[b[kept], a[kept]]  # each has the other for a candidate
+            order = np.argsort(place[b], kind="stable")[::-1]
+            a, b = a[order], b[order]
+            nearer = place[b] < best[a]
+            of[a[nearer]], best[a[nearer]] = b[nearer], place[b[nearer]]  # the last one counts: the least
+        own = np.flatnonzero(of != np.arange(len(key)))
+        if len(own):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[own], key[of[own]], best[own].astype(np.int64))], names=PAIR)
+
+    return _by_trie(flush, many)
+
+
+def _near(words: list[np.ndarray], code: np.ndarray, a: np.ndarray, b: np.ndarray, far: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs whose fingerprints differ in at most `far` bits (of all words; of those after the wide ones, where a set
+    has no others), in the first of their common tries alone; the nearest first."""
+    wide = (words[0][a] != 0) & (words[0][b] != 0)
+    bits = sum(np.bitwise_count(c[a] ^ c[b]).astype(int) for c in words[WIDE:])
+    bits = bits + np.where(wide, sum(np.bitwise_count(c[a] ^ c[b]).astype(int) for c in words[:WIDE]), 0)
+    kept = np.flatnonzero(bits <= np.where(wide, *far))
+    a, b, bits = a[kept], b[kept], bits[kept] * np.where(wide[kept], ALL - WIDE, ALL)
+    own, halves = np.ones(len(a), bool), np.flatnonzero(code[a] >= 0)
+    own[halves] = code[a[halves]] >> HALF == _first_code(words[:WIDE], a[halves], b[halves])
+    order = np.argsort(bits[own], kind="stable")
+    return a[own][order], b[own][order]
+
+
+def _open(far: tuple[int, int], exact: Fraction):
+    """code, key, size of those rows (code, key, all words, size, label), by code, that are near one of another label in
+    their trie: each row once, however many are near it."""
+
+    def flush(trie: np.ndarray, code: np.ndarray, key: np.ndarray, *more: np.ndarray) -> Iterator[pa.RecordBatch]:
+        words, (size, label) = [c.view(np.uint64) for c in more[:ALL]], more[ALL:]
+        found = np.zeros(len(key), bool)
+        for a, b in _pairs(trie, code, size, label, exact):
+            a, b = _near(words, code, a, b, far)
+            found[a] = found[b] = True
+        if found.any():
+            yield pa.RecordBatch.from_arrays([pa.array(x[found]) for x in (code, key, size)], names=["code", "key", "size"])
+
+    return _by_trie(flush)
+
+
+def _linked(far: tuple[int, int], exact: Fraction, many: int = 1 << 12):
+    """Labels a, b to be linked, from rows (trie, lo, hi, part, code, size, label, fp, hashes), by trie, lo, hi and code.
+
+    Sets of different labels that are near are compared by all their hashes where they lie, the nearest first; once two
+    labels are linked, their other sets need no comparison. A task's links leave it as stars, so it never gives more rows
+    than it has labels. Rows of different parts meet where lo and hi differ, those of one part where they don't.
+    """
+
+    def flush(t: pa.Table, group: np.ndarray) -> Iterator[pa.RecordBatch]:
+        code, part, size = (t[c].to_numpy() for c in ("code", "part", "size"))
+        names, label = np.unique(t["label"].to_numpy(), return_inverse=True)
+        words = list(np.frombuffer(b"".join(t["fp"].to_pylist()), np.uint64).reshape(len(code), ALL).T.copy())
+        sets = t["hashes"].combine_chunks()
+        hashes, start = sets.flatten().to_numpy().view(np.uint64), np.r_[0, np.cumsum(size)]
+        across = t["lo"].to_numpy() != t["hi"].to_numpy()
+        root = np.arange(len(names))
+        for a, b in _pairs(group, code, size, label, exact):
+            other = (part[a] != part[b]) | ~across[a]
+            a, b = _near(words, code, a[other], b[other], far)
+            while len(a):
+                apart = root[label[a]] != root[label[b]]
+                a, b = a[apart], b[apart]
+                now = _similar(hashes, start, a[:SETS], b[:SETS], exact)
+                links = np.stack([label[a[:SETS][now]], label[b[:SETS][now]]], 1)
+                root = _stars(np.concatenate([links, np.stack([np.arange(len(root)), root], 1)]), len(root))
+                a, b = a[SETS:], b[SETS:]
+        own = root != np.arange(len(root))
+        if own.any():
+            yield pa.RecordBatch.from_arrays([pa.array(names[own]), pa.array(names[root[own]])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows = full = 0
+
+        def grouped() -> tuple[pa.Table, np.ndarray]:
+            t = pa.Table.from_batches(held)
+            trie, lo, hi = (t[c].to_numpy() for c in ("trie", "lo", "hi"))
+            return t, np.r_[0, np.cumsum((trie[1:] != trie[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]))]
+
+        for b in batches:
+            held.append(b)
+            rows, full = rows + b.num_rows, full + pc.sum(b["size"]).as_py()
+            if rows >= many or full >= HASHES:
+                t, group = grouped()
+                stop = int(np.searchsorted(group, group[-1]))  # the last group may go on
+                held, rows, full = t.slice(stop).to_batches(), t.num_rows - stop, 0
+                if stop:
+                    yield from flush(t.slice(0, stop), group[:stop])
+        if rows:
+            yield from flush(*grouped())
+
+    return run
+
+
+def _similar(hashes: np.ndarray, start: np.ndarray, a: np.ndarray, b: np.ndarray, exact: Fraction, at_once: int = 1 << 20) -> np.ndarray:
+    """Which pairs of sets are similar enough; set i is hashes[start[i] : start[i + 1]], each hash once, in order."""
+    size = np.diff(start)
+    common = np.zeros(len(a), np.int64)
+    order = np.argsort(a, kind="stable")
+    for same in np.split(order, np.flatnonzero(np.diff(a[order])) + 1) if len(a) else []:
+        own = hashes[start[a[same[0]]] : start[a[same[0]] + 1]]
+        upto = np.cumsum(size[b[same]])
+        for some in np.split(same, np.flatnonzero(np.diff(upto // at_once)) + 1):
+            n = size[b[some]]
+            begin = np.cumsum(n) - n
+            other = hashes[np.arange(n.sum()) + np.repeat(start[b[some]] - begin, n)]
+            place = np.searchsorted(own, other)
+            hit = own[np.minimum(place, len(own) - 1)] == other
+            common[some] = np.add.reduceat(hit, begin, dtype=np.int64)
+    return common * (exact.numerator + exact.denominator) >= (size[a] + size[b]) * exact.numerator
+
+
 def _first_code(words: list[np.ndarray], a: np.ndarray, b: np.ndarray, at_once: int = 1 << 16) -> np.ndarray:
     """The number of the first trie that pairs of rows have in common, by their words: its turn, and which half-word."""
     size = HALF // (ERRORS + 1)
@@ -391,15 +477,17 @@ def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, sure: b
     sure: compares all sets so, without check words. No link is missed; there are more candidates, and a fifth of each
     set's shingles is shuffled.
 
-    Candidates are first looked at one per document and round, likely ones first, so that large groups link up by a few
-    comparisons each; then all pairs that aren't in one group yet. From the second round on only documents that have
-    candidates are left, with their whole fingerprints: pairs are compared in all words, each in one trie alone.
+    Candidates are first looked at one per document and trie, so that large groups link up by a few comparisons each.
+    Then only documents that have candidates are left, with their whole fingerprints: of each trie those rows stay that
+    are near one of another group, and take their sets along. There all pairs that aren't in one group yet are compared,
+    each in one trie alone, and only links leave a task: no row is made for a pair that isn't similar enough. Tries
+    with more than HASHES hashes are dealt out by pairs of parts.
     """
     exact = Fraction(str(similarity))
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi  # of bits that differ, for sets of one size
     allowed = lambda p, words: int(64 * words * p + 3.5 * math.sqrt(64 * words * p * (1 - p)))
     far, small = allowed(share, CHECK), allowed(1.25 * share, MORE)  # 4 of 5 shingles: 0.1875
-    all_far, likely = (allowed(share, ALL), allowed(1.25 * share, ALL - WIDE)), int(64 * ALL * share)
+    all_far = (allowed(share, ALL), allowed(1.25 * share, ALL - WIDE))
     most = 1 << 62 if sure else SMALL
     both = int(most / exact)  # a set of `most` may be similar to one of this size
     if sure:
@@ -424,15 +512,14 @@ def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, sure: b
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
     named = cut(fps.groupBy("key").agg(first, F.count("*").alias("n"), F.min("fp").alias("fp"), F.min("tokens").alias("tokens"), F.min("size").alias("size")), "shingle-sets")
 
-    def found(nodes: DataFrame, turn: int | None) -> DataFrame:
+    def found(nodes: DataFrame, look, out: str) -> DataFrame:
         whole = "label" in nodes.columns
         words = "".join(f", check{i} long" for i in range(ALL if whole else MORE)) + ", size long" + (", label long" if whole else "")
         rows = nodes.mapInArrow(_tries(whole), f"code long, key long{words}")
         ordered = rows.repartition(partitions(docs.sparkSession), _trie_of(F.col("code"))).sortWithinPartitions("code")
-        pairs = _candidates(*all_far, exact, turn, likely) if whole else _candidates(far, small, exact, turn)
-        return cut(ordered.mapInArrow(pairs, ", ".join(f"{c} long" for c in PAIR)), "candidates")
+        return cut(ordered.mapInArrow(look, out), "candidates")
 
-    pairs = found(named.select("key", "fp", "tokens", "size"), 0)
+    pairs = found(named.select("key", "fp", "tokens", "size"), _candidates(far, small, exact, 0), ", ".join(f"{c} long" for c in PAIR))
     ends = cut(pairs.select(F.col("a").alias("key")).distinct().join(named, "key"), "ends")
     # the text of one document of each set: others with that set stay where they are
     one = ends.select("key", F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"))
@@ -450,7 +537,7 @@ def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, sure: b
         """The pairs that are similar enough, by all their hashes."""
         common = F.size(F.array_intersect("a_hashes", "b_hashes")).cast("long")
         near = common * (exact.numerator + exact.denominator) >= (F.size("a_hashes") + F.size("b_hashes")) * exact.numerator
-        return join_dealt(join_dealt(pairs, side(pairs, "a"), ["a"], "a_n", ["b"]), side(pairs, "b"), ["b"], "b_n", ["a"]).where(near).select("a_label", "b_label")
+        return join_dealt(join_dealt(pairs, side(pairs, "a"), ["a"], "a_n", ["b"]), side(pairs, "b"), ["b"], "b_n", ["a"]).where(near).select("a", "b")
 
     def widened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -459,24 +546,22 @@ def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, sure: b
             yield pa.RecordBatch.from_arrays([b.column(0), fp, b.column(2), b.column(3)], names=["key", "fp", "tokens", "size"])
 
     few = cut(ends.join(sets, "key").select("key", "fp", "tokens", "size", "hashes").mapInArrow(widened, "key long, fp binary, tokens binary, size long"), "few")
-    joined, turn = None, 0
-    while True:
-        if turn is None:
-            one = pairs.dropDuplicates(["a", "b"])
-        else:
-            best = pairs.groupBy("a").agg(F.min_by(F.struct("b", "a_label", "b_label"), "place").alias("best")).select("a", "best.*")
-            one = best.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "a_label", "b_label").dropDuplicates(["a", "b"])
-        one = cut(one, "pairs")
-        # groups are linked, not their documents: a group's links to another are one
-        linked = cut(true(one).select(F.greatest("a_label", "b_label").alias("a"), F.least("a_label", "b_label").alias("b")).distinct(), "links")
-        joined = cut(stars(linked if joined is None else joined.union(linked)), "set-stars")
-        if turn is None:
-            break
-        if turn:  # groups only grow: who has no candidate outside its own now has none later
-            few = few.join(sized(cut(pairs.select(F.col("a").alias("key")).distinct(), "open")), "key", "left_semi")
-        turn = turn + 1 if turn + 1 < ROUNDS and (not turn or linked.count() * WORTH >= max(1, one.count())) else None
-        label = F.coalesce("root", "key").alias("label")
-        pairs = found(few.join(joined.select(F.col("a").alias("key"), F.col("b").alias("root")), "key", "left").select("key", "fp", "tokens", "size", label), turn)
+    best = pairs.groupBy("a").agg(F.min_by("b", "place").alias("b"))
+    one = cut(best.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
+    joined = cut(stars(true(one)), "set-stars")
+    # groups are linked from here on, not their documents
+    label = F.coalesce("root", "key").alias("label")
+    few = few.join(joined.select(F.col("a").alias("key"), F.col("b").alias("root")), "key", "left").select("key", "fp", "tokens", "size", label)
+    left = found(few, _open(all_far, exact), "code long, key long, size long").withColumn("trie", _trie_of(F.col("code")))
+    last = F.expr(f"cast((sum(size) - 1) div {HASHES} as int)").alias("last")
+    wide = F.broadcast(left.groupBy("trie").agg(last).where("last > 0"))
+    part, to = F.pmod(F.xxhash64("key"), F.col("last") + 1).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), "last")).alias("to")
+    dealt = left.join(wide, "trie", "left").fillna(0, ["last"]).select("trie", "code", "key", part, "last").select("*", to)
+    block = [F.least("part", "to").cast("long").alias("lo"), F.greatest("part", "to").cast("long").alias("hi"), F.col("part").cast("long").alias("part")]
+    rows = dealt.join(few.select("key", "fp", "size", "label"), "key").join(sets, "key").select("trie", *block, "code", "size", "label", "fp", "hashes")
+    ordered = rows.repartition(partitions(docs.sparkSession), "trie", "lo", "hi").sortWithinPartitions("trie", "lo", "hi", "code")
+    linked = cut(ordered.mapInArrow(_linked(all_far, exact), "a long, b long"), "links", TEXTS)
+    joined = cut(stars(joined.union(linked)), "set-stars")
     names = cut(_named(named.select(F.col("key").alias("fp"), "first", "n"), joined).withColumnRenamed("fp", "key"), "named-sets")
     return join_hot(fps, names, ["key"], "n").select("doc_id", "text_hash", F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash"))
 

@@ -863,6 +863,43 @@ def test_candidates_of_groups_below_the_threshold_dont_grow_with_their_square(sp
     assert made[-1] < 81 * 80 // 2 // 4  # before: all pairs, several times
 
 
+@pytest.mark.parametrize("hashes", [1 << 22, 20_000])  # tries in one part, and dealt out by pairs of ten
+def test_pairs_just_below_the_threshold_are_compared_but_no_rows(spark, monkeypatch, hashes):
+    """200 texts of similarity 0.77 or so, which fingerprints can't tell from 0.8, and some above."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=7))
+    base = [word() for _ in range(1000)]
+    texts = []
+    for i in range(200):
+        own = list(base) if i % 20 or not i else texts[-1].split()
+        for at in rng.sample(range(1000), 13 if i % 20 or not i else 1):
+            own[at] = word()
+        texts.append(" ".join(own))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [set(simhash.shingle_set(t).tolist()) for t in texts]
+    root, below = list(range(200)), 0
+    for i in range(200):
+        for j in range(i):
+            common = len(sets[i] & sets[j])
+            alike = common / (len(sets[i]) + len(sets[j]) - common)
+            below += 0.75 <= alike < 0.8
+            if alike >= 0.8 and root[i] != root[j]:
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    made, cut = Counter(), simhash.cut
+
+    def counted(df, name, batch=None):
+        out = cut(df, name, batch)
+        made[name] += out.count()
+        return out
+
+    monkeypatch.setattr(simhash, "cut", counted)
+    monkeypatch.setattr(simhash, "HASHES", hashes, raising=False)
+    got = {r.doc_id: r.first_id for r in simhash.similar_groups(docs).collect()}
+    assert below > 15_000 and 1 < len(set(root)) < 200 and [got[i] for i in range(200)] == root
+    tries = 200 * 64
+    assert made["candidates"] <= 2 * tries and made["pairs"] <= 200  # before: each pair besides, and a round's rows again and again
+
+
 def test_a_document_that_no_other_prefers_keeps_its_candidates():
     """y is like x and z, and z comes first in the turn's order: x is told of y all the same."""
     n, zero = 3, np.zeros(3, np.int64)
