@@ -189,6 +189,23 @@ def test_top_k_of_large_values_repeated_ids_lengths_and_clashing_columns(spark,
         vafile.top_k(spark.createDataFrame([(0, [2e12]), (1, [2e12])], "vec_id long, embedding array<double>")).collect()
 
 
+@pytest.mark.parametrize("far", [0.5, 3.0e5])  # at the latter nearly all vectors are in one cell
+def test_top_k_sends_no_queries_through_the_driver_and_holds_few_bounds(spark, monkeypatch, far):
+    plans, write = {}, vafile.cut
+    monkeypatch.setattr(vafile, "cut", lambda d, name, *a: [plans.update({name: d._jdf.queryExecution().executedPlan().toString()}), write(d, name, *a)][1])
+    for name, value in (("LOT_BYTES", 8 * 6 * 9), ("PART", 256), ("HELD", 64), ("FIRST", 32)):
+        monkeypatch.setattr(vafile, name, value, raising=False)
+    rng = np.random.default_rng(5)
+    data = [(i, [float(x) for x in rng.normal(0, 0.3, 6)]) for i in range(3000)] + [(3001, [far] * 6)]
+    got = rows(vafile.top_k(spark.createDataFrame(data, "vec_id long, embedding array<double>")))
+    ids, v = np.array([i for i, _ in data]), np.floor(1024 * np.array([x for _, x in data]))
+    for q in range(0, 3000, 100):
+        score = v @ v[q]
+        want = [(int(score[i]), int(ids[i])) for i in np.lexsort((ids, -score)) if ids[i] != q][:10]
+        assert [(r["score"], r["vec_id"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == want
+    assert len(got) == 300 and "Broadcast" not in plans["bounds"]
+
+
 def test_bounds_hold_and_few_exact_vectors_are_read():
     rng = np.random.default_rng(4)
     v = np.floor(rng.normal(0, 120, (3000, 32)))
